@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import splitting, tables
+from codelode.llm import packing, splitting, tables
 from codelode.session import table
 
 
@@ -32,6 +32,20 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return by.select(F.col("key").alias("chunk_no"), F.when(F.col("forced"), "forced").otherwise("natural").alias("cut"))
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes are tokens of a byte-level tokenizer: one per UTF-8 byte."""
+    docs = table(spark, folder, "documents").select("doc_id", F.octet_length("text").cast("long").alias("tokens"))
+    return packing.pack(docs, "doc_id", "tokens")
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p6_containers(spark, folder))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_containers(spark, folder).where("piece_no = 1").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit() and callable(f)}
 

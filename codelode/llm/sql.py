@@ -16,3 +16,5 @@ SELECT o.chunk_no,
 FROM one o JOIN chunk_limits l ON l.model = o.model AND l.kind = o.k
 WHERE length(o.text) > l.max_chars
 """
+
+SQL["p6_found"] = "SELECT doc_id FROM documents WHERE strlen(text) > 4096"
