@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import packing, splitting, tables
+from codelode.llm import mixing, packing, splitting, tables
 from codelode.session import table
 
 
@@ -46,6 +46,22 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_containers(spark, folder).where("piece_no = 1").select("doc_id")
 
 
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, folder, "documents"), "doc_id", tables.trimmed_source(), "text", table(spark, folder, "mix_targets"))
+
+
+def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[0]
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1]
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1].where("NOT can_reach").select("source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit() and callable(f)}
 

@@ -18,3 +18,9 @@ WHERE length(o.text) > l.max_chars
 """
 
 SQL["p6_found"] = "SELECT doc_id FROM documents WHERE strlen(text) > 4096"
+
+SQL["p7_found"] = """
+WITH size AS (SELECT lower(trim(source)) AS source, sum(strlen(text)) AS n FROM documents GROUP BY 1),
+t AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(s.n, 0) AS n FROM mix_targets m LEFT JOIN size s USING (source))
+SELECT source FROM t WHERE max_repeats * n < target_share * (SELECT sum(n) FROM t)
+"""
