@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import mixing, packing, splitting, tables
+from codelode.llm import mixing, packing, splitting, stuffing, tables
 from codelode.session import table
 
 
@@ -62,6 +62,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1].where("NOT can_reach").select("source")
 
 
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.score_pages(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_scores(spark, folder).where("flagged").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit() and callable(f)}
 
