@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import mixing, packing, splitting, stuffing, tables
+from codelode.llm import mixing, neighbours, packing, splitting, stuffing, tables
 from codelode.session import table
 
 
@@ -21,6 +21,17 @@ def _long_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return tables.latest(slim, "chunk_no", "indexed_at", ["over", "text", "max_chars", "overlap_chars"]).where("over")
 
 
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").select("chunk_no", "model", "embedding", "indexed_at")
+    once = tables.latest(chunks, "chunk_no", "indexed_at", ["model", "embedding"])
+    return neighbours.most_similar(once, "chunk_no", "model", "embedding")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = neighbours.linked_pairs(p4_neighbours(spark, folder), "chunk_no")
+    return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     pieces = splitting.split_texts(_long_chunks(spark, folder), "chunk_no", "text", "max_chars", "overlap_chars")
     return pieces.select(F.col("key").alias("chunk_no"), "piece_no", "start_char", "end_char", "piece")
