@@ -63,7 +63,7 @@ class Sketch:
     """Counts of words and of pairs: two rows of ``width`` cells each, the smaller cell counts."""
 
     def __init__(self, width: int):
-        self.width, self.words, self.pairs = width, np.zeros(2 * width, np.int64), np.zeros(2 * width, np.int64)
+        self.width, self.words, self.pairs, self.totals = width, np.zeros(2 * width, np.int64), np.zeros(2 * width, np.int64), (1, 1)
 
     @staticmethod
     def ids(text: str, memo: _Hash) -> np.ndarray:
@@ -107,6 +107,7 @@ def corpus_counts(docs: DataFrame, text: str, width: int) -> Sketch:
     s = Sketch(width)
     for r in parts.groupBy("kind", "block").applyInPandas(total, "kind int, block int, n binary").toLocalIterator():
         (s.words, s.pairs)[r.kind][r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.n, np.int64)[: 2 * width - r.block * BLOCK]
+    s.totals = tuple(max(1, int(x[:width].sum())) for x in (s.words, s.pairs))
     return s
 
 
@@ -135,7 +136,7 @@ def line_kind(line: str) -> str | None:
 def page_parts(text: str, s: Sketch, memo: _Hash, coherent: float, rate: float, burst: float) -> dict[str, float]:
     """Characters of each kind of line, mean PMI and number of words of one page."""
     out = dict.fromkeys(("links", "tags", "salad", "stuffed", "chars"), 0.0)
-    total_words, total_pairs = max(1, int(s.words[: s.width].sum())), max(1, int(s.pairs[: s.width].sum()))
+    total_words, total_pairs = s.totals
     plain: list[tuple[int, str]] = []
     for line in text.split("\n"):
         line = line.strip()
