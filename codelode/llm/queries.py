@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import mixing, neighbours, packing, splitting, stuffing, tables
-from codelode.session import table
+from codelode.llm import credentials, mixing, neighbours, packing, splitting, stuffing, tables
+from codelode.session import table, written
 
 
 def _long_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +21,25 @@ def _long_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return tables.latest(slim, "chunk_no", "indexed_at", ["over", "text", "max_chars", "overlap_chars"]).where("over")
 
 
+def _chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Text and path of each chunk, once; kept as a table because several passes read it."""
+    chunks = table(spark, folder, "chunks").select("chunk_no", "path", "text", "indexed_at")
+    return written(tables.latest(chunks, "chunk_no", "indexed_at", ["path", "text"]), "chunk-texts")
+
+
+def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.score_candidates(_chunk_texts(spark, folder), "chunk_no", "text", "path")
+
+
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    texts = _chunk_texts(spark, folder)
+    return credentials.redact(texts, "chunk_no", "text", credentials.score_candidates(texts, "chunk_no", "text", "path"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_scores(spark, folder).where("score >= 0.5").select("chunk_no", "line_no").distinct()
+
+
 def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks").select("chunk_no", "model", "embedding", "indexed_at")
     once = tables.latest(chunks, "chunk_no", "indexed_at", ["model", "embedding"])
