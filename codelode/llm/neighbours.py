@@ -25,30 +25,45 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelode.llm import tables
 from codelode.session import written
 
 MAX_CODES = 1024
 MAX_COLLECTIONS = 64
 
 
+STEP = 32767.0  # unit vectors travel as 16-bit integers; a cosine is off by about a hundred-thousandth
+
+
+def decoded(values, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.int16).reshape(-1, dim).astype(np.float32) / np.float32(STEP)
+
+
 def unit_vectors(df: DataFrame, dim: int) -> DataFrame:
-    """(key, collection, vec) -> ``key, collection, v BINARY`` (float32, unit length): usable vectors only."""
+    """(key, collection, vec, order) -> ``key, collection, order, h1, h2, v``: the vector at unit length as
+    16-bit integers and two hashes of it in full precision; null where it isn't usable."""
+    order = dict(df.dtypes)["order"]
 
     def run(batches):
         for pdf in batches:
-            ok = [v is not None and len(v) == dim for v in pdf["vec"]]
-            pdf = pdf[ok]
-            m = np.stack([np.asarray(v, dtype=float) for v in pdf["vec"]]) if len(pdf) else np.zeros((0, dim))
+            n = len(pdf)
+            v, h1, h2 = [None] * n, [None] * n, [None] * n
+            at = [i for i, x in enumerate(pdf["vec"]) if x is not None and len(x) == dim]
+            m = np.stack([np.asarray(pdf["vec"].iloc[i], dtype=float) for i in at]) if at else np.zeros((0, dim))
             top = np.abs(m).max(1, initial=0.0)
             good = np.isfinite(m).all(1) & (top > 0)
             m = m[good] / top[good, None]
             m /= np.linalg.norm(m, axis=1, keepdims=True)
-            yield pd.DataFrame({"key": pdf["key"][good], "collection": pdf["collection"][good], "v": [x.tobytes() for x in m.astype(np.float32)]})
+            for i, full, short in zip(np.asarray(at, dtype=int)[good], m.astype(np.float32), np.round(m * STEP).astype(np.int16)):
+                h = xxhash.xxh3_128_intdigest(full.tobytes())
+                v[i], h1[i], h2[i] = short.tobytes(), (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+            yield pd.DataFrame({"key": pdf["key"], "collection": pdf["collection"], "order": pdf["order"], "h1": pd.array(h1, "Int64"), "h2": pd.array(h2, "Int64"), "v": v})
 
-    return df.where("key IS NOT NULL AND collection IS NOT NULL AND vec IS NOT NULL").mapInPandas(run, "key long, collection string, v binary")
+    return df.where("key IS NOT NULL AND collection IS NOT NULL").mapInPandas(run, f"key long, collection string, order {order}, h1 long, h2 long, v binary")
 
 
 def codebook(y: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -135,21 +150,23 @@ class MultiIndex:
         return out
 
 
-def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, reach: int = 2500, per_cell: float = 2.0, sample: int = 40_000, block: int = 8000, salts: int = 32) -> DataFrame:
+def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 1000, per_cell: float = 1.0, sample: int = 40_000, block: int = 16_000, salts: int = 32) -> DataFrame:
     """``key, neighbour, score, rank``: for each usable vector the k others of its collection with the
     largest cosine (fewer if there are fewer); rank is from 1, ties go to the smaller neighbour.
 
     Usable is a vector of ``dim`` finite numbers that aren't all zero; others, and rows whose key or
-    collection is null, have no rows and are no neighbours. ``key`` (BIGINT) must be unique."""
+    collection is null, have no rows and are no neighbours. Of rows that repeat a ``key`` (BIGINT) the one
+    with the largest ``order`` counts."""
     spark = df.sparkSession
-    base = df.select(F.col(key).cast("long").alias("key"), F.col(collection).alias("collection"), F.col(vector).alias("vec"))
-    units = written(unit_vectors(base, dim), "knn-units")
+    base = df.select(F.col(key).cast("long").alias("key"), F.col(collection).alias("collection"), F.col(vector).alias("vec"), (F.col(order) if order else F.lit(0)).alias("order"))
+    once = tables.latest(unit_vectors(base, dim), "key", "order", ["collection", "h1", "h2", "v"])
+    units = written(once.where("v IS NOT NULL"), "knn-units")
     names = [r.collection for r in units.select("collection").distinct().orderBy("collection").limit(MAX_COLLECTIONS + 1).collect()]
     if len(names) > MAX_COLLECTIONS:
         raise ValueError(f"more than {MAX_COLLECTIONS} collections")
 
     # classes of equal vectors, by two hashes; ranks by key in two steps, so a class of a third of all rows is no task
-    ids = units.select("key", "collection", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"))
+    ids = units.select("key", "collection", "h1", "h2", F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"))
     cls = ["collection", "h1", "h2"]
     some = ids.withColumn("r", F.row_number().over(Window.partitionBy(*cls, "salt").orderBy("key"))).where(F.col("r") <= k + 1)
     heads = written(some.withColumn("r", F.row_number().over(Window.partitionBy(*cls).orderBy("key"))).where(F.col("r") <= k + 1).select("key", *cls, "r"), "knn-heads")
@@ -166,20 +183,21 @@ def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int
         if n > sample:
             part = part.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(scale)) < int(scale * sample / n))
         rows = part.select("v").limit(2 * sample).toPandas()["v"]
-        index[name] = MultiIndex(np.frombuffer(b"".join(rows), np.float32).reshape(-1, dim).copy(), n, per_cell)
+        index[name] = MultiIndex(decoded(rows, dim), n, per_cell)
     code = {name: i for i, name in enumerate(names)}
     books = spark.sparkContext.broadcast([index[name] for name in names])
 
     def assign(batches):
         for pdf in batches:
             g = pdf["collection"].map(code).to_numpy(dtype=np.int64)
-            m = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(-1, dim)
+            m = decoded(pdf["v"], dim)
             cell = np.zeros(len(pdf), np.int64)
             for x in np.unique(g):
                 cell[g == x] = books.value[x].cells(m[g == x])
             yield pd.DataFrame({"g": g.astype(np.int32), "cell": cell.astype(np.int32), "key": pdf["key"], "v": pdf["v"]})
 
-    assigned = written(entries.mapInPandas(assign, "g int, cell int, key long, v binary"), "knn-assigned")
+    # the cells are found again where they are needed; that costs less than to keep them with the vectors
+    assigned = entries.select("collection", "key", "v").mapInPandas(assign, "g int, cell int, key long, v binary")
     occupied = written(assigned.groupBy("g", "cell").agg(F.count("*").alias("n")), "knn-cells")
     counts = occupied.toPandas()  # at most MAX_CODES squared rows a collection
     for name in names:
@@ -200,7 +218,7 @@ def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int
         pdf = pdf.sort_values(["cell", "key"])
         ix, block_no = full_index.value[int(pdf["g"].iloc[0])], int(pdf["block"].iloc[0])
         key_, cell = pdf["key"].to_numpy(), pdf["cell"].to_numpy()
-        m = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(-1, dim)
+        m = decoded(pdf["v"], dim)
         home = ix.first[cell] + (key_ % ix.blocks[cell])
         found, starts = [], np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         span = {int(cell[s]): (s, e) for s, e in zip(starts, [*starts[1:], len(cell)])}

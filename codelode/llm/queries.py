@@ -42,8 +42,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks").select("chunk_no", "model", "embedding", "indexed_at")
-    once = tables.latest(chunks, "chunk_no", "indexed_at", ["model", "embedding"])
-    return neighbours.most_similar(once, "chunk_no", "model", "embedding")
+    return neighbours.most_similar(chunks, "chunk_no", "model", "embedding", order="indexed_at")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
