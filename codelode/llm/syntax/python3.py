@@ -133,10 +133,11 @@ name: ID | 'match' | 'case' | 'type'
 
 _SOFT = {"match", "case", "type"}
 _OPS = "... **= //= >>= <<= -> := += -= *= /= %= @= &= |= ^= == != <= >= << >> ** // + - * / % @ & | ^ ~ < > ( ) [ ] { } , : . ; =".split()
-_STRING = r"(?:[rRuUbBfFtT]{1,3})?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*')"
+_NESTED = r"(?:[rR]?[fFtT][rR]?(?:\"(?!\"\")(?:[^\"\\\n{}]|\\[\s\S]|\{\{|\}\}|\{(?:[^\"{}\n]|\"[^\"\n]*\"|\{[^{}\n]*\})*\})*\"|'(?!'')(?:[^'\\\n{}]|\\[\s\S]|\{\{|\}\}|\{(?:[^'{}\n]|'[^'\n]*'|\{[^{}\n]*\})*\})*'))"
+_STRING = _NESTED + r"|(?:[rRuUbBfFtT]{1,3})?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*')"
 _NUMBER = r"(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)"
 PATTERN = re.compile(r"\n[ \t\f]*|#[^\n]*|\\\n|" + _STRING + r"|[^\W\d]\w*|" + _NUMBER + "|" + "|".join(map(re.escape, _OPS)) + r"|[^\s]")
-_FULL_NUMBER, _FULL_STRING = re.compile(_NUMBER), re.compile(_STRING)
+_FULL_NUMBER, _FULL_STRING = re.compile(_NUMBER), re.compile("(?:" + _STRING + ")")
 
 
 def classify(t: str):
