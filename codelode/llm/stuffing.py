@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 1 << 14
 _WORD = re.compile(r"[^\W\d_]+")
+_WORD_OR_LINE = re.compile(r"[^\W\d_]+|\n")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>()\"'\]]*", re.I)
 _TAG = re.compile(r"</?[a-z][^<>]*>", re.I)
 _END = re.compile(r"[.!?](?:\s|$)|[。！？]")
@@ -37,11 +38,15 @@ _CODE = re.compile(r"[(){}=\[\]`<>]|::|->|\w/\w")
 
 
 class _Hash(dict):
+    """Word -> hash, never 0; a line end has the 0."""
+
     def __missing__(self, w: str) -> int:
+        if w == "\n":
+            return 0
         if len(self) > 300_000:
             self.clear()
         b = w.encode("utf-8", "replace")
-        self[w] = h = zlib.crc32(b) | zlib.adler32(b) << 32
+        self[w] = h = zlib.crc32(b) | zlib.adler32(b) << 32 or 1
         return h
 
 
@@ -68,7 +73,7 @@ class Sketch:
     @staticmethod
     def ids(text: str, memo: _Hash) -> np.ndarray:
         w = _WORD.findall(text.lower())
-        return np.fromiter((memo[x] for x in w), dtype=np.uint64, count=len(w))
+        return np.fromiter(map(memo.__getitem__, w), dtype=np.uint64, count=len(w))
 
     def add(self, hashes: list[np.ndarray]) -> None:
         if hashes:
@@ -123,8 +128,10 @@ def line_kind(line: str) -> str | None:
         parts = line.split()
         if sum(p[0] == "#" and len(p) > 1 for p in parts) >= 0.6 * len(parts):
             return "tags"
-    if _PRICE.search(line) and len(_WORD.findall(line)) <= 6 and not _END.search(line):
+    if ("$" in line or "€" in line or "£" in line or "USD" in line or "EUR" in line or "GBP" in line) and _PRICE.search(line) and len(_WORD.findall(line)) <= 6 and not _END.search(line):
         return "tags"
+    if sum(map(line.count, ";,|•·/-–")) < 7:
+        return None
     items = [x for x in _SEPARATOR.split(line) if x.strip(" .:;,|")]
     if len(items) >= 8 and not _END.search(line.rstrip(" .")):
         sizes = [len(_WORD.findall(x)) for x in items]
@@ -148,38 +155,40 @@ def page_parts(text: str, s: Sketch, memo: _Hash, coherent: float, rate: float,
             out[kind] += len(line)
         else:
             plain.append((len(line), line))
-    ids = [Sketch.ids(line, memo) for _, line in plain]
-    every = np.concatenate(ids) if ids else np.zeros(0, np.uint64)
+    tokens = _WORD_OR_LINE.findall("\n".join([line for _, line in plain]).lower())
+    h = np.fromiter(map(memo.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    ends = h == 0
+    line_no = np.cumsum(ends)[~ends]
+    every = h[~ends]
     pmi_sum, pmi_n = 0.0, 0
     if len(every) > 1:
-        line_no = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
         inside = line_no[:-1] == line_no[1:]
         pairs = _pairs(every)
-        cw = np.maximum(s.of_words(every), 1).astype(float)
+        cw = np.log(np.maximum(s.of_words(every), 1) / total_words)
         cp = s.of_pairs(pairs).astype(float)
-        pmi = np.log(np.maximum(cp - 0.5, 0.5) / total_pairs) - np.log(cw[:-1] / total_words) - np.log(cw[1:] / total_words)
+        pmi = np.log(np.maximum(cp - 0.5, 0.5) / total_pairs) - cw[:-1] - cw[1:]
         pmi_sum, pmi_n = float(pmi[inside].sum()), int(inside.sum())
-        uniq, where, count = np.unique(pairs, return_inverse=True, return_counts=True)
+        _, where, count = np.unique(pairs, return_inverse=True, return_counts=True)
         own = count[where]
-        hot = inside & (own >= 4) & (own >= rate * len(pairs)) & (own / len(pairs) >= burst * cp / total_pairs)
-        # short texts in a small corpus: a pair that is almost only this page's own
-        hot |= inside & (own >= 4) & (own >= rate * len(pairs)) & (own >= 0.5 * cp)
+        hot = inside & (own >= max(4, rate * len(pairs)))
+        # far above the corpus's rate, or (in a small corpus) a pair that is almost only this page's own
+        hot &= (own / len(pairs) >= burst * cp / total_pairs) | (own >= 0.5 * cp)
         covered = np.zeros(len(every), bool)
         covered[:-1] |= hot
         covered[1:] |= hot
-        start = 0
-        for (chars, line), h in zip(plain, ids):
-            n = len(h)
-            if n:
-                c = covered[start : start + n].mean()
-                if n >= 15 and len(_END.findall(line)) * 40 < n + 39 and len(_CODE.findall(line)) * 10 < n:
-                    own_pmi = pmi[start : start + n - 1].mean()
-                    if own_pmi < coherent or len(np.unique(h)) < 0.25 * n:
-                        out["salad"] += chars
-                        c = 0.0
-                if c >= 0.5:
-                    out["stuffed"] += chars
-            start += n
+        n_of = np.bincount(line_no, minlength=len(plain))
+        share = np.bincount(line_no, weights=covered, minlength=len(plain)) / np.maximum(n_of, 1)
+        first = np.concatenate([[0], np.cumsum(n_of)])
+        for i in np.flatnonzero((n_of >= 15) | (share >= 0.5)):
+            chars, line = plain[i]
+            n = int(n_of[i])
+            if n >= 15 and len(_END.findall(line)) * 40 < n + 39 and len(_CODE.findall(line)) * 10 < n:
+                at = first[i]
+                if pmi[at : at + n - 1].mean() < coherent or len(np.unique(every[at : at + n])) < 0.25 * n:
+                    out["salad"] += chars
+                    continue
+            if share[i] >= 0.5:
+                out["stuffed"] += chars
     return out | {"pmi": pmi_sum / pmi_n if pmi_n else 0.0, "words": float(len(every))}
 
 
