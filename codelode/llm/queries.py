@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import credentials, mixing, neighbours, packing, splitting, stuffing, tables
+from codelode.llm import credentials, mixing, neighbours, packing, splitting, stuffing, tables, validity
 from codelode.session import table, written
 
 
@@ -40,6 +40,24 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_scores(spark, folder).where("score >= 0.5").select("chunk_no", "line_no").distinct()
 
 
+def p3_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Parsed files, once each, with a computed flag in place of the recorded one (null: not checked)."""
+    files = table(spark, folder, "source_files").select("file_id", "path", "content")
+    flags = validity.syntax_flags(files, "file_id", "path", "content").drop("language")
+    parsed = table(spark, folder, "parsed_files").select("file_id", "repo_id", F.regexp_replace("path", r"^(\./)+", "").alias("path"), "language", "loaded_at")
+    once = tables.latest(parsed, "file_id", "loaded_at", ["repo_id", "path", "language"])
+    return once.withColumn("language", F.coalesce(tables.path_language("path"), F.lower("language"))).join(flags, "file_id", "left")
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return validity.error_rates(p3_flags(spark, folder).where("has_errors IS NOT NULL"), "repo_id", "language")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "source_files").select("file_id", "path", "content")
+    return validity.syntax_flags(files, "file_id", "path", "content").where("has_errors").select("file_id")
+
+
 def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks").select("chunk_no", "model", "embedding", "indexed_at")
     return neighbours.most_similar(chunks, "chunk_no", "model", "embedding", order="indexed_at")
