@@ -75,7 +75,7 @@ propname: name | STR | NUM | '[' assign ']'
 
 name: ident | 'break' | 'case' | 'catch' | 'class' | 'const' | 'continue' | 'debugger' | 'default' | 'delete' | 'do' | 'else' | 'enum' | 'export' | 'extends' | 'false' | 'finally' | 'for' | 'function' | 'if' | 'import' | 'in' | 'instanceof' | 'new' | 'null' | 'return' | 'super' | 'switch' | 'this' | 'throw' | 'true' | 'try' | 'typeof' | 'var' | 'void' | 'while' | 'with'
 
-ident: ID | 'async' | 'of' | 'get' | 'set' | 'static' | 'let' | 'await' | 'yield' | 'from' | 'as' | 'assert' | 'accessor' | 'type' | 'interface' | 'namespace' | 'module' | 'declare' | 'abstract' | 'readonly' | 'public' | 'private' | 'protected' | 'override' | 'implements' | 'keyof' | 'infer' | 'unique' | 'is' | 'asserts' | 'satisfies' | 'global' | 'require' | 'undefined' | 'out'
+ident: ID | 'async' | 'of' | 'get' | 'set' | 'static' | 'let' | 'await' | 'yield' | 'from' | 'as' | 'assert' | 'accessor' | 'type' | 'interface' | 'namespace' | 'module' | 'declare' | 'abstract' | 'readonly' | 'public' | 'private' | 'protected' | 'override' | 'implements' | 'keyof' | 'infer' | 'unique' | 'is' | 'asserts' | 'satisfies' | 'global' | 'require' | 'undefined' | 'out' | 'using'
 
 decorator: '@' lhs
 """
@@ -121,7 +121,9 @@ export: 'export' ('type'? '*' ('as' (name | STR))? 'from' STR attrs? SC | 'type'
 
 stmt: block | vardecl SC | func | class | 'if' '(' expr ')' stmt ('else' stmt)? | for | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' SC? | 'continue' ident? SC | 'break' ident? SC | 'return' expr? SC | 'throw' expr SC | try | switch | 'debugger' SC | ';' | ident ':' stmt | 'with' '(' expr ')' stmt | ~'{' ~'function' ~'class' expr SC | 'async' func | typed
 
-typed: interface | 'type' ident typeparams? '=' type SC | 'const'? 'enum' ident '{' (enumitem (',' enumitem)* ','?)? '}' | 'abstract' class | ('namespace' | 'module') (ident ('.' name)* | STR) '{' item* '}' | 'declare' (typed | vardecl SC | func | class | 'module' STR SC | 'global' '{' item* '}')
+typed: interface | 'type' ident typeparams? '=' type SC | 'const'? 'enum' ident '{' (enumitem (',' enumitem)* ','?)? '}' | 'abstract' class | ('namespace' | 'module') (ident ('.' name)* | STR) '{' item* '}' | 'global' '{' item* '}' | 'declare' (typed | vardecl SC | func | class | 'module' STR SC)
+
+vardecl: ('var' | 'let' | 'const' | 'await'? 'using') binding (',' binding)*
 
 interface: 'interface' ident typeparams? ('extends' typeref (',' typeref)*)? typebody
 
@@ -165,7 +167,7 @@ typeargs: '<' type (',' type)* ','? '>'
 
 typeref: ident ('.' name)* typeargs? | 'this'
 
-type: uniontype ('extends' uniontype '?' type ':' type)? | functype
+type: uniontype ('extends' (uniontype | functype) '?' type ':' type)? | functype
 
 functype: ('abstract'? 'new')? typeparams? params '=>' returntype
 
@@ -209,7 +211,7 @@ child: element | '{' ('...'? expr)? '}' | JTEXT | ~'<' ~'>' ~'{' ~'}' ANY
 """
 
 _RESERVED = set("break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split())
-_CONTEXT = set("async of get set static let await yield from as assert accessor type interface namespace module declare abstract readonly public private protected override implements keyof infer unique is asserts satisfies global require undefined out".split())
+_CONTEXT = set("async of get set static let await yield from as assert accessor type interface namespace module declare abstract readonly public private protected override implements keyof infer unique is asserts satisfies global require undefined out using".split())
 _OPS = "... => === !== **= <<= &&= ||= ??= == != <= >= && || ?? ?. ++ -- += -= *= /= %= &= |= ^= ** << { } ( ) [ ] ; , < > + - * / % & | ^ ! ~ ? : = . @".split()
 _STRING = r"(?:\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')"
 _NUMBER = r"(?:0[xX][\da-fA-F](?:_?[\da-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?n?)"
@@ -220,6 +222,7 @@ _TEXT1 = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|" + _HOLE1 + r")*`"
 _HOLE2 = r"\$\{(?:[^`{}]|" + _TEXT1 + r"|\{(?:[^`{}]|" + _TEXT1 + r"|\{(?:[^`{}]|" + _TEXT1 + r")*\})*\})*\}"
 _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|" + _HOLE2 + r")*`"
 _REGEX = r"/(?![*/])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*"
+# a slash after "<" ends an element in TSX
 _BEFORE_REGEX = r"(?:(?<=[=(,:\[!&|?{;+\-*%~^>\n])|(?<=return)|(?<=typeof)|(?<=case)|(?<=^))[ \t]*"
 
 
@@ -227,7 +230,7 @@ def _pattern(jsx: bool) -> re.Pattern:
     text = r"(?<=[>}])[^<>{}]*[^<>{}\s][^<>{}]*(?=</)|" if jsx else ""
     # after a line end a slash begins a regular expression only where no operand is before it; there it
     # is told from a division by the blank that follows the operator
-    return re.compile(r"\n|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|^#![^\n]*|" + text + _BEFORE_REGEX + "(?=" + _REGEX + ")" + _REGEX + "|" + _STRING + "|" + _TEMPLATE + "|#" + _IDENT + "|" + _IDENT + "|" + _NUMBER + "|" + r"\?\.(?!\d)|" + "|".join(re.escape(x) for x in _OPS if x != "?.") + r"|[^\s]")
+    return re.compile(r"\n|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|^#![^\n]*|" + text + ("" if jsx else r"(?<=<)(?=" + _REGEX + ")" + _REGEX + "|") + _BEFORE_REGEX + "(?=" + _REGEX + ")" + _REGEX + "|" + _STRING + "|" + _TEMPLATE + "|#" + _IDENT + "|" + _IDENT + "|" + _NUMBER + "|" + r"\?\.(?!\d)|" + "|".join(re.escape(x) for x in _OPS if x != "?.") + r"|[^\s]")
 
 
 _FULL = {k: re.compile(v) for k, v in {"STR": _STRING, "TPL": _TEMPLATE, "NUM": _NUMBER, "ID": _IDENT, "PRIVATE": "#" + _IDENT, "REGEX": r"[ \t]*" + _REGEX}.items()}
@@ -251,14 +254,14 @@ class _Classify:
             return t
         c = t[0]
         if c in "\"'":
-            return "STR" if _FULL["STR"].fullmatch(t) else "LONEQUOTE" if self.jsx and len(t) == 1 else "JTEXT" if self.jsx else "BAD"
+            return "STR" if _FULL["STR"].fullmatch(t) else "JTEXT" if self.jsx else "BAD"
         if c == "`" and _FULL["TPL"].fullmatch(t):
             holes = _HOLES.findall(t)
             return "TPL" if all(self.language.check(h[2:-1], "expr")[0] for h in holes) else "BAD"
         for kind in ("ID", "NUM", "PRIVATE", "REGEX"):
             if _FULL[kind].fullmatch(t):
                 return "BAD" if kind == "NUM" and re.fullmatch(r"0\d+n|\d+_|.*__.*", t) else kind
-        return "JTEXT" if self.jsx and len(t) > 1 else "BAD"
+        return "JTEXT" if self.jsx else "BAD"
 
 
 def _language(grammar: str, jsx: bool) -> Language:
