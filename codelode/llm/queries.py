@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import credentials, mixing, neighbours, packing, splitting, stuffing, tables, validity
+from codelode.llm import credentials, handwritten, mixing, neighbours, packing, splitting, stuffing, tables, validity
 from codelode.session import table, written
 
 
@@ -21,6 +21,15 @@ def _long_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return tables.latest(slim, "chunk_no", "indexed_at", ["over", "text", "max_chars", "overlap_chars"]).where("over")
 
 
+def p1_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "source_files").select("file_id", "repo_id", "path", "content")
+    return handwritten.file_kinds(files, table(spark, folder, "repos"), "file_id", "repo_id", "path", "content")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_kinds(spark, folder).where("kind IS NOT NULL").select("file_id")
+
+
 def _chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Text and path of each chunk, once; kept as a table because several passes read it."""
     chunks = table(spark, folder, "chunks").select("chunk_no", "path", "text", "indexed_at")
