@@ -23,9 +23,15 @@ def query(sql: str | None = None):
     return register
 
 
+def _load() -> None:
+    from codelode.plans import explore, graph, ingest, relational, retrieval  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
