@@ -1 +1,104 @@
-"""Queries, see below."""
+"""Queries over repositories' addresses, files and their text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codelode.functions import exprs as X
+from codelode.operators import extract as P
+from codelode.plans.catalogue import query
+from codelode.session import table
+
+
+def _case(exprs: dict, name: str) -> str:
+    """The patterns of ``extract`` as SQL."""
+    out = "CASE"
+    for fam, options in exprs.items():
+        for i, (kind, pattern) in enumerate(options):
+            p = pattern.replace("'", "''")
+            out += f" WHEN family = '{fam}' AND regexp_extract(text, '{p}', 1) <> '' THEN {{'kind': '{kind}', 'v': regexp_extract(text, '{p}', 1)}}"
+    return out + " END AS m"
+
+
+_SQL_LINES = """s AS (SELECT file_id, CASE WHEN lower(language) IN ('javascript', 'typescript', 'tsx') THEN 'ecma' WHEN lower(language) IN ('python', 'java', 'go') THEN lower(language) END AS family, string_split(replace(content, chr(13), ''), chr(10)) AS ls FROM source_files WHERE content IS NOT NULL),
+l AS (SELECT file_id, family, unnest(ls) AS text, generate_subscripts(ls, 1)::INT AS line FROM s WHERE family IS NOT NULL)"""
+
+
+@query("WITH " + _SQL_LINES + f", x AS (SELECT file_id, line, {_case(P.IMPORTS, 'specifier')} FROM l) SELECT file_id, line, m.kind AS kind, m.v AS specifier FROM x WHERE m IS NOT NULL")
+def parse_imports(spark, d):
+    return P.matches(P.lines(table(spark, d, "source_files"), "file_id", "language", "content"), "file_id", P.IMPORTS, "specifier")
+
+
+@query("WITH " + _SQL_LINES + f", x AS (SELECT file_id, line, {_case(P.DECLARATIONS, 'fn_name')} FROM l) SELECT file_id, line, m.kind AS kind, m.v AS fn_name FROM x WHERE m IS NOT NULL")
+def parse_declarations(spark, d):
+    return P.matches(P.lines(table(spark, d, "source_files"), "file_id", "language", "content"), "file_id", P.DECLARATIONS, "fn_name")
+
+
+@query("SELECT file_id, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) END AS loc FROM source_files WHERE content IS NOT NULL")
+def loc_count(spark, d):
+    return table(spark, d, "source_files").where("content IS NOT NULL").select("file_id", P.loc("content").alias("loc"))
+
+
+@query("""SELECT file_id, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'mjs' THEN 'javascript' WHEN 'cjs' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'mts' THEN 'typescript'
+ WHEN 'cts' THEN 'typescript' WHEN 'tsx' THEN 'tsx' WHEN 'py' THEN 'python' WHEN 'pyi' THEN 'python' WHEN 'java' THEN 'java' WHEN 'go' THEN 'go' END AS language FROM source_files""")
+def ext_language_map(spark, d):
+    return table(spark, d, "source_files").select("file_id", X.language_of("path").alias("language"))
+
+
+@query("""SELECT repo_id, regexp_matches(source_url, '(?i)^(https?|git|ssh)://') OR regexp_matches(source_url, '^[\\w.\\-]+@[\\w.\\-]+:') AS is_url, regexp_replace(regexp_extract(regexp_replace(source_url, '/+$', ''), '([^/:]+)$', 1), '\\.git$', '') AS name,
+ regexp_replace(regexp_replace(source_url, '^([A-Za-z][A-Za-z0-9+.\\-]*://)', '\\1' || owner || ':pw-' || repo_id || '@'), '^([A-Za-z][A-Za-z0-9+.\\-]*://)[^/@\\s]+@', '\\1<redacted>@') AS redacted FROM repos""")
+def repo_addresses(spark, d):
+    """Addresses told from paths, their last names, and a user and password hidden again."""
+    r = table(spark, d, "repos")
+    secret = F.concat(F.regexp_extract("source_url", r"^([A-Za-z][A-Za-z0-9+.\-]*://)", 1), F.col("owner"), F.lit(":pw-"), F.col("repo_id"), F.lit("@"), F.regexp_replace("source_url", r"^[A-Za-z][A-Za-z0-9+.\-]*://", ""))
+    return r.select("repo_id", X.is_repo_url("source_url").alias("is_url"), X.repo_name("source_url").alias("name"), X.redact_url(secret).alias("redacted"))
+
+
+@query("""SELECT repo_id, array_to_string(list_filter(list_transform(string_split(replace(regexp_replace(regexp_replace(regexp_replace(source_url, '^[A-Za-z][A-Za-z0-9+.\\-]*://', ''), '^[^/@]+@', ''), '\\.git/?$', ''), ':', '/'), '/'),
+ lambda s: regexp_replace(s, '[^A-Za-z0-9._\\-]', '_', 'g')), lambda s: NOT regexp_full_match(s, '\\.*')), '/') AS folder FROM repos""")
+def repo_cache_dir(spark, d):
+    return table(spark, d, "repos").select("repo_id", X.cache_folder("source_url").alias("folder"))
+
+
+@query("""SELECT doc_id, sha256(regexp_replace(text, '([A-Za-z][A-Za-z0-9+.\\-]*://)[^/@\\s]+@', '\\1<redacted>@', 'g')) AS hash FROM documents WHERE text IS NOT NULL""")
+def redact_text(spark, d):
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(X.redact_urls("text"), 256).alias("hash"))
+
+
+@query("SELECT file_id, length(content) - length(replace(content, s.path, '')) AS removed, sha256(replace(content, s.path, '<redacted>')) AS hash FROM source_files s WHERE content IS NOT NULL")
+def redact_secret(spark, d):
+    """A secret (here each file's own path) hidden wherever its text shows it."""
+    s = table(spark, d, "source_files").where("content IS NOT NULL")
+    return s.select("file_id", (F.length("content") - F.length(F.replace("content", F.col("path"), F.lit("")))).cast("long").alias("removed"), F.sha2(X.redact_secret("content", "path"), 256).alias("hash"))
+
+
+@query("""SELECT repo_id, owner, repo_name, nullif(license, 'NOASSERTION') AS license, nullif(description, '') AS description, CASE WHEN archived THEN true END AS archived, stars,
+ CASE WHEN stars >= 1000000 THEN regexp_replace(printf('%.1f', floor(stars / 1000000 * 10 + 0.5) / 10), '\\.0$', '') || 'M' WHEN stars >= 1000 THEN regexp_replace(printf('%.1f', floor(stars / 1000 * 10 + 0.5) / 10), '\\.0$', '') || 'K' ELSE stars::VARCHAR END AS stars_short FROM repos""")
+def repo_info(spark, d):
+    """The hosting service's fields with empty, unknown and false ones dropped."""
+    r = table(spark, d, "repos")
+    return r.select("repo_id", "owner", "repo_name", F.nullif("license", F.lit("NOASSERTION")).alias("license"), F.nullif("description", F.lit("")).alias("description"), F.when(F.col("archived"), True).alias("archived"), "stars", X.compact_count("stars").alias("stars_short"))
+
+
+@query("SELECT doc_id, length(text) > 6000 AS truncated, sha256(text[1:6000]) AS hash FROM documents WHERE text IS NOT NULL")
+def truncate_source(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", (F.length(t) > 6000).alias("truncated"), F.sha2(F.substring(t, 1, 6000), 256).alias("hash"))
+
+
+@query("""WITH s AS (SELECT DISTINCT trim(specifier) AS specifier FROM import_refs WHERE kind = 'go' AND trim(specifier) <> '.'), p AS (SELECT specifier, list_filter(string_split(specifier, '/'), lambda x: NOT regexp_full_match(x, 'v[0-9]+'))[-1] AS last FROM s)
+SELECT specifier, regexp_replace(regexp_replace(regexp_replace(last, '\\.v[0-9]+$', ''), '^go-', ''), '[-.]', '_', 'g') AS local_name FROM p""")
+def go_package_name(spark, d):
+    """The name a Go package goes by, from its path."""
+    s = table(spark, d, "import_refs").where("kind = 'go'").select(F.trim("specifier").alias("specifier")).where("specifier <> '.'").distinct()
+    last = F.element_at(F.filter(F.split("specifier", "/"), lambda x: ~x.rlike(r"^v[0-9]+$")), -1)
+    return s.select("specifier", F.regexp_replace(F.regexp_replace(F.regexp_replace(last, r"\.v[0-9]+$", ""), "^go-", ""), "[-.]", "_").alias("local_name"))
+
+
+@query("""WITH l AS (SELECT doc_id, trim(l) AS line, n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL)
+ WHERE regexp_matches(trim(l), '(?i)\\b(fatal|error|remote|warning):')), t AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM l)
+SELECT doc_id, string_agg(line, ' ' ORDER BY r)[1:300] AS detail FROM t WHERE r <= 3 GROUP BY 1""")
+def error_details(spark, d):
+    """The first three lines of a log that say what went wrong, cut at 300 characters."""
+    rows = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"(?i)\b(fatal|error|remote|warning):"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", rows.alias("l")).where("size(l) > 0").select("doc_id", F.substring(F.array_join(F.slice("l", 1, 3), " "), 1, 300).alias("detail"))
