@@ -33,12 +33,15 @@ def log_count(c: str | Column) -> Column:
     return F.log1p(F.greatest(col(c), F.lit(0)).cast("double"))
 
 
-@F.pandas_udf("string")
-def fixed3(v: pd.Series) -> pd.Series:
-    """Three decimals of the exact binary value, halves up; no built-in rounds the binary value."""
+def _fixed3(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if pd.isna(x) else str(Decimal(x).quantize(Decimal("0.001"), ROUND_HALF_UP)))
 
 
+def fixed3(c: str | Column) -> Column:
+    """Three decimals of the exact binary value, halves up; no built-in rounds the binary value."""
+    return F.pandas_udf(_fixed3, "string")(col(c))
+
+
 # -- paths, with forward slashes
 
 

@@ -15,7 +15,7 @@ def file_text(path: str, language: str, importance: str, in_degree: str, out_deg
     """Text of a file's chunk; ``declares`` is an array of lines, null or empty for none."""
     none = F.lit("This file declares nothing at its top level.")
     listed = F.when(F.size(F.coalesce(F.col(declares), F.array().cast("array<string>"))) > 0, F.concat(F.lit("Declares:\n"), F.array_join(declares, "\n"))).otherwise(none)
-    graph = F.concat(F.lit("Graph: importance "), fixed3(F.col(importance)), F.lit(", imported by "), F.col(in_degree), F.lit(" file(s), imports "), F.col(out_degree), F.lit(" file(s), "), F.col(churn), F.lit(" commit(s), "), F.col(loc), F.lit(" lines."))
+    graph = F.concat(F.lit("Graph: importance "), fixed3(importance), F.lit(", imported by "), F.col(in_degree), F.lit(" file(s), imports "), F.col(out_degree), F.lit(" file(s), "), F.col(churn), F.lit(" commit(s), "), F.col(loc), F.lit(" lines."))
     return F.concat_ws("\n", F.concat(F.lit("File: "), path), F.concat(F.lit("Language: "), language), F.lit(""), graph, F.lit(""), listed)
 
 

@@ -1 +1,108 @@
-"""Queries, see below."""
+"""Queries of the explorer: folders, clusters, frames, labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from codelode.functions import exprs as X
+from codelode.operators import explore as O
+from codelode.operators import vectors as V
+from codelode.plans.catalogue import query
+from codelode.plans.graph import SQL_CALLS, call_edges, files, functions
+from codelode.session import table
+
+SQL_ONE = """c0 AS (SELECT repo_id, path, regexp_replace(path, '/?[^/]*$', '') AS folder FROM source_files), clu AS (SELECT repo_id, path, split_part(folder, '/', 1) AS cluster FROM c0)"""
+
+
+def one_level(spark, d) -> DataFrame:
+    """Clusters by the first path segment: the plan where no group needs a second split."""
+    return files(spark, d).select("repo_id", "path", F.substring_index(X.dirname("path"), "/", 1).alias("cluster"))
+
+
+@query()
+def folder_clusters(spark, d):
+    return O.folder_clusters(files(spark, d))
+
+
+@query("SELECT DISTINCT repo_id, CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS folder FROM source_files")
+def directory_distinct(spark, d):
+    f = X.dirname("path")
+    return files(spark, d).select("repo_id", F.when(f == "", ".").otherwise(f).alias("folder")).distinct()
+
+
+@query("WITH " + SQL_CALLS + "," + SQL_ONE + """, pe AS (SELECT DISTINCT e.repo_id, split_part(e.src, '#', 1) AS src, split_part(e.dst, '#', 1) AS dst FROM cedge e)
+SELECT pe.repo_id, a.cluster AS src_cluster, b.cluster AS dst_cluster, count(*) AS weight FROM pe JOIN clu a ON a.repo_id = pe.repo_id AND a.path = pe.src JOIN clu b ON b.repo_id = pe.repo_id AND b.path = pe.dst WHERE a.cluster <> b.cluster GROUP BY ALL""")
+def cluster_edges(spark, d):
+    """Calls between files, counted between top folders."""
+    e = call_edges(spark, d).select("repo_id", F.substring_index("src", "#", 1).alias("src"), F.substring_index("dst", "#", 1).alias("dst")).distinct()
+    return O.cluster_edges(e, one_level(spark, d))
+
+
+@query("WITH " + SQL_ONE.replace("split_part(folder, '/', 1)", "folder") + """, o AS (SELECT DISTINCT repo_id, cluster, string_split(cluster, '/')[-1] AS l1, array_to_string(string_split(cluster, '/')[-2:], '/') AS l2 FROM clu)
+SELECT repo_id, cluster, CASE WHEN cluster = '' THEN '/' WHEN count(*) OVER (PARTITION BY repo_id, l1) = 1 THEN l1 WHEN count(*) OVER (PARTITION BY repo_id, l2) = 1 THEN l2 ELSE cluster END AS label FROM o""")
+def cluster_labels(spark, d):
+    return O.cluster_labels(files(spark, d).select("repo_id", X.dirname("path").alias("cluster")))
+
+
+def _points(spark, d) -> DataFrame:
+    v = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    c = table(spark, d, "chunks").where(V.usable("embedding", 96)).groupBy("chunk_no").agg(F.max(F.struct("repo_id", F.coalesce("importance", F.lit(0.0)).alias("importance"), F.round(v(0) * 100, 4).alias("x"), F.round(v(1) * 100, 4).alias("y"), F.round(v(2) * 100, 4).alias("z"))).alias("p"))
+    return c.select("chunk_no", "p.*")
+
+
+SQL_POINTS = """pt AS (SELECT chunk_no, max((repo_id, coalesce(importance, 0), round(embedding[1]::DOUBLE * 100, 4), round(embedding[2]::DOUBLE * 100, 4), round(embedding[3]::DOUBLE * 100, 4))) AS p FROM chunks
+ WHERE embedding IS NOT NULL AND len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 GROUP BY 1),
+po AS (SELECT chunk_no, p[1] AS repo_id, p[2] AS importance, p[3] AS x, p[4] AS y, p[5] AS z FROM pt)"""
+
+
+@query("WITH " + SQL_POINTS + """, c AS (SELECT repo_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, max(importance) AS importance, count(*) AS members FROM po GROUP BY 1),
+dd AS (SELECT repo_id, c.members, sqrt(power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2)) AS d FROM po JOIN c USING (repo_id)), r AS (SELECT repo_id, d, members, row_number() OVER (PARTITION BY repo_id ORDER BY d) - 1 AS i FROM dd)
+SELECT c.repo_id, round(cx, 4) AS cx, round(cy, 4) AS cy, round(cz, 4) AS cz, c.importance, c.members, round(r.d, 4) AS spread FROM c JOIN r USING (repo_id) WHERE r.i = least(c.members - 1, floor(c.members * 0.9))""")
+def cluster_stats(spark, d):
+    s = O.cluster_stats(_points(spark, d), ["repo_id"], "x", "y", "z", "importance")
+    return s.select("repo_id", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "cz")], "importance", "members", F.round("spread", 4).alias("spread"))
+
+
+@query("WITH " + SQL_POINTS + """SELECT repo_id, round(CASE WHEN sum(importance * importance) > 0 THEN sum(importance * importance * x) / sum(importance * importance) ELSE avg(x) END, 4) AS cx, round((min(x) + max(x)) / 2, 3) AS mx,
+ round(greatest(1.4 * greatest((max(x) - min(x)) / 2, (max(y) - min(y)) / 2, (max(z) - min(z)) / 2), 100.0), 3) AS radius FROM po GROUP BY 1""")
+def layout_frame(spark, d):
+    return O.frame(_points(spark, d), ["repo_id"], "x", "y", "z", "importance").select("repo_id", F.round("cx", 4).alias("cx"), F.round("mx", 3).alias("mx"), F.round("radius", 3).alias("radius"))
+
+
+@query("""WITH g AS (SELECT repo_id, path, string_split(path, '/') AS s FROM source_files), l AS (SELECT repo_id, path, array_to_string(s[-2:], '/') AS two,
+ CASE WHEN regexp_replace(s[-1], '\\.[^.]*$', '') IN ('index', 'main', '__init__', 'mod', 'utils', 'util', 'types', 'test', 'app') THEN array_to_string(s[-2:], '/') ELSE s[-1] END AS l FROM g)
+SELECT repo_id, path, CASE WHEN count(*) OVER (PARTITION BY repo_id, l) > 1 THEN two ELSE l END AS label FROM l""")
+def file_labels(spark, d):
+    return O.file_labels(files(spark, d))
+
+
+@query("""WITH fn AS (SELECT DISTINCT repo_id, id, max(importance) AS importance FROM function_nodes GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY coalesce(importance, -1) DESC, id) AS place, count(*) OVER (PARTITION BY repo_id) AS n FROM fn)
+SELECT repo_id, id, place FROM r WHERE place <= least(n, 300, greatest(10, floor(n * 0.2 + 0.5)))""")
+def focus_set(spark, d):
+    fn = table(spark, d, "function_nodes").groupBy("repo_id", "id").agg(F.coalesce(F.max("importance"), F.lit(-1.0)).alias("importance"))
+    return O.focus_set(fn, ["repo_id"], "importance", "id").select("repo_id", "id", "place")
+
+
+@query("""WITH fn AS (SELECT repo_id, file_id, id, max(coalesce(importance, -1)) AS importance FROM function_nodes GROUP BY ALL), f AS (SELECT fn.*, regexp_replace(s.path, '/?[^/]*$', '') AS folder FROM fn JOIN source_files s USING (file_id))
+SELECT repo_id, folder, id, place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, folder ORDER BY importance DESC, id, file_id) AS place FROM f) WHERE place <= 8""")
+def folder_panel(spark, d):
+    """The eight most important declarations of each folder."""
+    fn = table(spark, d, "function_nodes").groupBy("repo_id", "file_id", "id").agg(F.max(F.coalesce("importance", F.lit(-1.0))).alias("importance"))
+    f = fn.join(files(spark, d).select("file_id", X.dirname("path").alias("folder")), "file_id")
+    w = Window.partitionBy("repo_id", "folder").orderBy(F.desc("importance"), "id", "file_id")
+    return f.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 8").select("repo_id", "folder", "id", "place")
+
+
+@query("""WITH n AS (SELECT repo_id, count(*) AS n FROM source_files GROUP BY 1) SELECT repo_id, n AS files, CASE WHEN n <= 300 THEN 100.0 ELSE greatest(0.1, 300 / n * 100) END AS prominent_percent, n > 400 AS folders_view FROM n""")
+def view_defaults(spark, d):
+    n = files(spark, d).groupBy("repo_id").agg(F.count("*").alias("files"))
+    return n.select("repo_id", "files", F.when(F.col("files") <= 300, 100.0).otherwise(F.greatest(F.lit(0.1), 300 / F.col("files") * 100)).alias("prominent_percent"), (F.col("files") > 400).alias("folders_view"))
+
+
+@query("WITH " + SQL_ONE + ", h AS (SELECT repo_id, cluster FROM clu GROUP BY ALL HAVING count(*) > 20) SELECT clu.repo_id, clu.path FROM clu ANTI JOIN h USING (repo_id, cluster)")
+def hidden_mask(spark, d):
+    """Files that stay in sight when folders of more than twenty files are collapsed."""
+    c = one_level(spark, d)
+    folded = c.groupBy("repo_id", "cluster").agg(F.count("*").alias("n")).where("n > 20").select("repo_id", "cluster")
+    return c.join(folded, ["repo_id", "cluster"], "left_anti").select("repo_id", "path")
