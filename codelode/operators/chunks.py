@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codelode.functions.exprs import fixed3, trim_ws
 
@@ -49,7 +50,7 @@ def reuse(new: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
 
 def embed(rows: DataFrame, text: str, name: str, backend: Callable[[list[str]], list[list[float]]], batch: int = 16) -> DataFrame:
     """Vectors of an injected embedding backend, a few texts a request; one per text or an error."""
-    schema = rows.schema.add(name, "array<float>")
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

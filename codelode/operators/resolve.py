@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelode.functions.exprs import basename, dirname, joined
+from codelode.functions.exprs import dirname, joined
 
 JS_EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs"]  # fixed order of trial
 RUNTIME_TO_SOURCE = {"js": [".ts", ".tsx", ".js", ".jsx"], "mjs": [".mts", ".mjs"], "cjs": [".cts", ".cjs"]}  # fixed
@@ -41,13 +41,6 @@ def parents(folder: Column) -> Column:
     return F.when(folder == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), up))
 
 
-def first_match(asked: DataFrame, candidates: Column, files: DataFrame, key: list[str]) -> DataFrame:
-    """``key..., target``: the first candidate that is a file of the repository."""
-    tried = asked.select(*key, F.posexplode(candidates).alias("_rank", "path")).where(F.col("path").isNotNull())
-    hits = tried.join(files.select("repo_id", "path"), ["repo_id", "path"])
-    return hits.groupBy(*key).agg(F.min_by("path", "_rank").alias("target"))
-
-
 def suffixes(path: Column) -> Column:
     """All suffixes of a path that begin at a segment."""
     parts = F.split(path, "/")
@@ -68,56 +61,51 @@ def resolve_imports(files: DataFrame, imports: DataFrame, packages: DataFrame |
     distinct = asked.select("repo_id", "folder", "specifier", "kind", F.col("from_path").endswith("_test.go").alias("test")).distinct()
     key = ["repo_id", "folder", "specifier", "kind", "test"]
     js = F.col("kind").isin("esm", "require", "dynamic")
-    found = []
-    relative = distinct.where(js & F.col("specifier").startswith("."))
-    found.append(first_match(relative, js_candidates(joined("folder", "specifier")), known, key).withColumn("target_ord", F.lit(0)))
+
+    # one file at most: JavaScript and Python
+    dots = F.length(F.regexp_extract("specifier", r"^(\.*)", 1))
+    single = distinct.where(js | (F.col("kind") == "python")).withColumns({"_dots": dots, "_rest": F.translate(F.regexp_replace("specifier", r"^\.+", ""), ".", "/")})
+    tail = F.when(js, F.col("specifier")).otherwise(F.concat(F.lit("./"), F.repeat(F.lit("../"), F.col("_dots") - 1), F.col("_rest")))
+    single = single.where((F.col("_dots") > 0) | ((F.col("kind") == "python") & (F.col("specifier") != ""))).withColumn("_base", F.when(F.col("_dots") > 0, joined("folder", tail)))
+    bases = F.transform(parents(F.col("folder")), lambda r: F.when(r == "", F.col("_rest")).otherwise(F.concat(r, F.lit("/"), F.col("_rest"))))
+    tries = F.when(js, js_candidates(F.col("_base"))).when(F.col("_dots") > 0, py_candidates(F.col("_base"))).otherwise(F.flatten(F.transform(bases, py_candidates)))
+    tried = single.select(*key, F.posexplode(tries).alias("_rank", "path"))
     if packages is not None:
         bare = distinct.where(js & ~F.col("specifier").rlike(r"^[./]"))
         parts = F.split("specifier", "/")
         heads = bare.select(*key, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("name"))
         first = heads.join(packages.withColumnRenamed("folder", "pkg"), ["repo_id", "name"]).groupBy(*key).agg(F.min_by(F.struct("name", "pkg"), "ord").alias("p"))
-        base = joined("p.pkg", F.expr("substring(specifier, length(p.name) + 2)"))
-        found.append(first_match(first, F.concat(js_candidates(base), js_candidates(joined(base, F.lit("src")))), known, key).withColumn("target_ord", F.lit(0)))
-    py = distinct.where(F.col("kind") == "python")
-    dots = F.length(F.regexp_extract("specifier", r"^(\.*)", 1))
-    rest = F.translate(F.regexp_replace("specifier", r"^\.+", ""), ".", "/")
-    ups = F.concat(F.lit("./"), F.repeat(F.lit("../"), dots - 1))
-    found.append(first_match(py.where(dots > 0), py_candidates(joined("folder", F.concat(ups, rest))), known, key).withColumn("target_ord", F.lit(0)))
-    roots = F.flatten(F.transform(parents(F.col("folder")), lambda r: py_candidates(F.when(r == "", rest).otherwise(F.concat(r, F.lit("/"), rest)))))
-    found.append(first_match(py.where((dots == 0) & (F.col("specifier") != "")), roots, known, key).withColumn("target_ord", F.lit(0)))
-
-    java = distinct.where(F.col("kind") == "java")
-    java_files = known.where(F.col("path").endswith(".java"))
-    by_suffix = java_files.select("repo_id", "path", F.explode(suffixes(F.col("path"))).alias("suffix"))
+        first = first.withColumn("_base", joined("p.pkg", F.expr("substring(specifier, length(p.name) + 2)"))).withColumn("_src", F.concat_ws("/", F.nullif("_base", F.lit("")), F.lit("src")))
+        tried = tried.unionByName(first.select(*key, F.posexplode(F.concat(js_candidates(F.col("_base")), js_candidates(F.col("_src")))).alias("_rank", "path")))
+    one = tried.where("path IS NOT NULL").join(known, ["repo_id", "path"]).groupBy(*key).agg(F.min_by("path", "_rank").alias("target")).withColumn("target_ord", F.lit(0))
+
+    # packages of several files: Java and Go. A place is (what, at): a file's or folder's suffix, or a folder
+    place = lambda what, at: F.struct(F.lit(what).alias("what"), at.alias("at"))
+    java_file, go_file = F.col("path").endswith(".java"), F.col("path").endswith(".go")
+    no_place = F.array().cast("array<struct<what:string,at:string>>")
+    of_java = F.concat(F.transform(suffixes(F.col("path")), lambda x: place("file", x)), F.transform(suffixes(dirname("path")), lambda x: place("folder", x)))
+    here = F.array(place("own", dirname("path")))
+    places = F.concat(F.when(java_file, of_java).otherwise(no_place), here, F.when(go_file & ~F.col("path").endswith("_test.go"), F.array(place("go", dirname("path")))).otherwise(no_place), F.when(go_file, F.array(place("gotest", dirname("path")))).otherwise(no_place))
+    known_places = known.select("repo_id", "path", F.explode(places).alias("_p")).select("repo_id", F.col("path").alias("target"), "_p.what", "_p.at")
     parts = F.split("specifier", r"\.")
-    plain = java.where(~F.col("specifier").endswith("*")).select(*key, F.explode(F.sequence(F.size(parts), F.lit(1), F.lit(-1))).alias("end"), F.size(parts).alias("n"), parts.alias("parts"))
-    plain = plain.where((F.col("end") > 1) | (F.col("n") == 1)).select(*key, "end", F.concat(F.array_join(F.slice("parts", 1, F.col("end")), "/"), F.lit(".java")).alias("suffix"))
-    hits = plain.join(by_suffix, ["repo_id", "suffix"])
-    longest = hits.groupBy(*key).agg(F.max("end").alias("end"))
-    java_hits = [hits.join(longest, [*key, "end"]).select(*key, F.col("path").alias("target"))]
-    folders = known.select("repo_id", "path", dirname("path").alias("in_folder"))
-    own = java.where(F.col("specifier") == "*").join(folders.withColumnRenamed("in_folder", "folder"), ["repo_id", "folder"])
-    java_hits.append(own.select(*key, F.col("path").alias("target")))
-    wild = java.where(F.col("specifier").endswith(".*")).withColumn("suffix", F.translate(F.expr("substring(specifier, 1, length(specifier) - 2)"), ".", "/"))
-    of_folder = java_files.select("repo_id", "path", F.explode(suffixes(dirname("path"))).alias("suffix"))
-    java_hits.append(wild.join(of_folder, ["repo_id", "suffix"]).select(*key, F.col("path").alias("target")))
-    go = distinct.where(F.col("kind") == "go")
-    go_files = folders.where(F.col("path").endswith(".go")).withColumn("is_test", F.col("path").endswith("_test.go"))
-    same = go.where(F.col("specifier") == ".").join(go_files.withColumnRenamed("in_folder", "folder"), ["repo_id", "folder"]).where(F.col("test") | ~F.col("is_test"))
-    java_hits.append(same.select(*key, F.col("path").alias("target")))
+    ends = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda k: (k > 1) | (F.size(parts) == 1))
+    want = lambda what, at, end: F.struct(F.lit(what).alias("what"), at.alias("at"), end.cast("int").alias("end"))
+    wants = (
+        F.when((F.col("kind") == "java") & (F.col("specifier") == "*"), F.array(want("own", F.col("folder"), F.lit(0))))
+        .when((F.col("kind") == "java") & F.col("specifier").endswith(".*"), F.array(want("folder", F.translate(F.expr("substring(specifier, 1, length(specifier) - 2)"), ".", "/"), F.lit(0))))
+        .when(F.col("kind") == "java", F.transform(ends, lambda k: want("file", F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit(".java")), k)))
+        .when((F.col("kind") == "go") & (F.col("specifier") == "."), F.when(F.col("test"), F.array(want("gotest", F.col("folder"), F.lit(0)))).otherwise(F.array(want("go", F.col("folder"), F.lit(0)))))
+    )
+    wanted = distinct.where(F.col("kind").isin("java", "go")).select(*key, F.explode(wants).alias("_w")).select(*key, "_w.what", "_w.at", "_w.end")
     if modules is not None:
-        parts = F.split("specifier", "/")
-        heads = go.where(F.col("specifier") != ".").select(*key, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("module"))
-        best = heads.join(modules.withColumnRenamed("folder", "at"), ["repo_id", "module"]).groupBy(*key).agg(F.max_by(F.struct("module", "at"), F.length("module")).alias("m"))
-        in_folder = best.withColumn("in_folder", joined("m.at", F.expr("substring(specifier, length(m.module) + 2)")))
-        java_hits.append(in_folder.join(go_files.where(~F.col("is_test")), ["repo_id", "in_folder"]).select(*key, F.col("path").alias("target")))
-    many = java_hits[0]
-    for x in java_hits[1:]:
-        many = many.unionByName(x)
-    many = many.distinct().withColumn("target_ord", F.row_number().over(Window.partitionBy(*key).orderBy("target")) - 1)
-    every = many
-    for x in found:
-        every = every.unionByName(x.select(*many.columns))
+        segments = F.split("specifier", "/")
+        heads = distinct.where((F.col("kind") == "go") & (F.col("specifier") != ".")).select(*key, F.explode(F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.array_join(F.slice(segments, 1, k), "/"))).alias("module"))
+        best = heads.join(modules.withColumnRenamed("folder", "root"), ["repo_id", "module"]).groupBy(*key).agg(F.max_by(F.struct("module", "root"), F.length("module")).alias("m"))
+        wanted = wanted.unionByName(best.select(*key, F.lit("go").alias("what"), joined("m.root", F.expr("substring(specifier, length(m.module) + 2)")).alias("at"), F.lit(0).alias("end")))
+    hits = wanted.join(known_places, ["repo_id", "what", "at"]).groupBy(*key, "target").agg(F.max("end").alias("end"))
+    per = Window.partitionBy(*key)
+    many = hits.withColumn("_most", F.max("end").over(per)).where("end = _most").withColumn("target_ord", F.row_number().over(per.orderBy("target")) - 1)
+    every = one.unionByName(many.select(*one.columns))
     asked = asked.withColumn("test", F.col("from_path").endswith("_test.go"))
     return asked.join(every, key).where(F.col("target") != F.col("from_path")).select("repo_id", "file_id", "imp_ord", "from_path", "target_ord", "target")
 
