@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from codelode.session import written
 
 BUCKETS = 4096  # of hashed words: the model has sources x BUCKETS numbers
+REPORT = "source string, target_share double, max_repeats int, size long, total long, all_tokens long, labelled_tokens long, most_copies long, share_of_selected double, share_of_total double, can_reach boolean"
 UNIT = 1_000_000  # rates are whole numbers of millionths, so that sums don't depend on their order
 MAX_TARGETS = 1000
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|\n\s*")
@@ -171,6 +172,9 @@ def mix(docs: DataFrame, key: str, label: Column, text: str, targets: DataFrame,
     if len(rows) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} sources to mix")
     goals = [(r.source, r.target_share, r.max_repeats) for r in rows]
+    if not goals:
+        none = docs.sparkSession.createDataFrame([], REPORT)
+        return docs.where("false").select(F.col(key), F.lit("").alias("source"), F.lit(True).alias("labelled"), F.lit(0).cast("long").alias("tokens"), F.lit(0).alias("copies")), none
     members = written(memberships(docs, key, label, text, goals, label_weight), "mix-members")
     sizes = {r.label: r.n for r in members.where("label IS NOT NULL").groupBy("label").agg(F.sum("n").alias("n")).collect()}
     total = sum(sizes.values())
@@ -190,7 +194,7 @@ def mix(docs: DataFrame, key: str, label: Column, text: str, targets: DataFrame,
     inside = F.coalesce(F.sum("r").over(Window.partitionBy(*part).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     c = F.col("c0") + F.col("inside")
     whole = lambda x: F.floor((x + UNIT // 2) / UNIT)
-    names = F.array(*[F.lit(t[0]) for t in goals]) if goals else F.array(F.lit(""))
+    names = F.array(*[F.lit(t[0]) for t in goals])
     picked = rated.withColumn("inside", inside).join(before, part).withColumn("copies", (whole(c + F.col("r")) - whole(c)).cast("int")).where("copies > 0")
     selection = written(picked.select(F.col("id").alias(key), F.element_at(names, F.col("top") + 1).alias("source"), F.col("label").isNotNull().alias("labelled"), F.col("n").alias("tokens"), "copies"), "mix-selection")
     used = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("all_tokens"), F.sum(F.when(F.col("labelled"), F.col("tokens") * F.col("copies"))).alias("labelled_tokens"), F.max("copies").alias("most_copies"))

@@ -10,7 +10,7 @@ given to one of
 * ``salad``: a long run of words without sentences whose mean pointwise mutual information is low
   (neighbours that don't belong together) or that uses few distinct words;
 * ``stuffed``: at least half of its words in collocations that the page repeats excessively, that is
-  at a rate far above the corpus's;
+  at a rate far above the corpus's (lines with brackets, as code and logs have, are left out);
 * ordinary text otherwise. Code, logs, tables, changelogs and source lists have none of these traits.
 
 A page is flagged if those four make up the greater part of its characters.
@@ -187,7 +187,7 @@ def page_parts(text: str, s: Sketch, memo: _Hash, coherent: float, rate: float,
                 if pmi[at : at + n - 1].mean() < coherent or len(np.unique(every[at : at + n])) < 0.25 * n:
                     out["salad"] += chars
                     continue
-            if share[i] >= 0.5:
+            if share[i] >= 0.5 and len(_CODE.findall(line)) * 10 < n:
                 out["stuffed"] += chars
     return out | {"pmi": pmi_sum / pmi_n if pmi_n else 0.0, "words": float(len(every))}
 

@@ -225,6 +225,7 @@ class State(dict):
     """The state after some tokens; ``state[kind]`` is the state after one more."""
 
     __slots__ = ("g", "stacks", "extra")
+    lead = ""  # put before the text
 
     def __init__(self, g: Grammar, stacks: frozenset, extra: tuple):
         self.g, self.stacks, self.extra = g, stacks, extra
@@ -295,6 +296,9 @@ class IndentState(State):
     """Blocks by indentation (Python). Line ends are numbers: the width of the next line's indentation.
     extra = (indentations, open brackets, width at hand or None, is a line open)"""
 
+    __slots__ = ()
+    lead = "\n"  # so that the first line's indentation is seen
+
     @classmethod
     def start(cls, g: Grammar, rule: str | None = None) -> State:
         return cls.of(g, g.first(rule), ((0,), 0, 0, False))
@@ -347,17 +351,18 @@ class Language:
         """(valid, line of the failing token, was the text cut off)"""
         if self.grammar.entries > MOST_STATES:
             self.grammar.reset()
-        text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+        lead = self.state.lead
+        text = lead + text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
         kind = self.kinds
         s = first = self.state.start(self.grammar, rule)
         tokens = self.pattern.findall(text)
         for t in tokens:
             s = s[kind[t]]
         if not s.dead():
-            return (True, None, False) if s.complete() else (False, text.count("\n") + 1, True)
+            return (True, None, False) if s.complete() else (False, text.count("\n") + 1 - len(lead), True)
         s = first
         for m in self.pattern.finditer(text):
             s = s[kind[m.group()]]
             if s.dead():
-                return False, text.count("\n", 0, m.start() + (m.group()[:1] == "\n")) + 1, False
+                return False, text.count("\n", 0, m.start() + (m.group()[:1] == "\n")) + 1 - len(lead), False
         return False, None, False
