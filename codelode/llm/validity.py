@@ -35,7 +35,7 @@ def syntax_flags(files: DataFrame, key: str, path: str, content: str) -> DataFra
 
     def run(batches):
         for pdf in batches:
-            got = [checker(lang).check(text) for lang, text in zip(pdf["language"], pdf["content"])]
+            got = [checker(lang).check(text) if text.strip() else (True, None, False) for lang, text in zip(pdf["language"], pdf["content"])]
             yield pd.DataFrame({"key": pdf["key"], "language": pdf["language"], "has_errors": [not g[0] for g in got], "error_line": pd.array([g[1] for g in got], "Int32"), "cut_off": [g[2] for g in got]})
 
     kind = dict(files.dtypes)[key]
