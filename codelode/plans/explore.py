@@ -45,29 +45,34 @@ def cluster_labels(spark, d):
     return O.cluster_labels(files(spark, d).select("repo_id", X.dirname("path").alias("cluster")))
 
 
+def _three(c: str):
+    """Three decimals."""
+    return (F.floor(F.col(c) * 1000 + 0.5) / 1000).alias(c)
+
+
 def _points(spark, d) -> DataFrame:
     v = lambda i: F.get("embedding", F.lit(i)).cast("double")
-    c = table(spark, d, "chunks").where(V.usable("embedding", 96)).groupBy("chunk_no").agg(F.max(F.struct("repo_id", F.coalesce("importance", F.lit(0.0)).alias("importance"), F.round(v(0) * 100, 4).alias("x"), F.round(v(1) * 100, 4).alias("y"), F.round(v(2) * 100, 4).alias("z"))).alias("p"))
+    c = table(spark, d, "chunks").where(V.usable("embedding", 96)).groupBy("chunk_no").agg(F.max(F.struct("repo_id", F.coalesce("importance", F.lit(0.0)).alias("importance"), (v(0) * 100).alias("x"), (v(1) * 100).alias("y"), (v(2) * 100).alias("z"))).alias("p"))
     return c.select("chunk_no", "p.*")
 
 
-SQL_POINTS = """pt AS (SELECT chunk_no, max((repo_id, coalesce(importance, 0), round(embedding[1]::DOUBLE * 100, 4), round(embedding[2]::DOUBLE * 100, 4), round(embedding[3]::DOUBLE * 100, 4))) AS p FROM chunks
+SQL_POINTS = """pt AS (SELECT chunk_no, max((repo_id, coalesce(importance, 0), embedding[1]::DOUBLE * 100, embedding[2]::DOUBLE * 100, embedding[3]::DOUBLE * 100)) AS p FROM chunks
  WHERE embedding IS NOT NULL AND len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 GROUP BY 1),
 po AS (SELECT chunk_no, p[1] AS repo_id, p[2] AS importance, p[3] AS x, p[4] AS y, p[5] AS z FROM pt)"""
 
 
 @query("WITH " + SQL_POINTS + """, c AS (SELECT repo_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, max(importance) AS importance, count(*) AS members FROM po GROUP BY 1),
 dd AS (SELECT repo_id, c.members, sqrt(power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2)) AS d FROM po JOIN c USING (repo_id)), r AS (SELECT repo_id, d, members, row_number() OVER (PARTITION BY repo_id ORDER BY d) - 1 AS i FROM dd)
-SELECT c.repo_id, round(cx, 4) AS cx, round(cy, 4) AS cy, round(cz, 4) AS cz, c.importance, c.members, round(r.d, 4) AS spread FROM c JOIN r USING (repo_id) WHERE r.i = least(c.members - 1, floor(c.members * 0.9))""")
+SELECT c.repo_id, floor(cx * 1000 + 0.5) / 1000 AS cx, floor(cy * 1000 + 0.5) / 1000 AS cy, floor(cz * 1000 + 0.5) / 1000 AS cz, c.importance, c.members, floor(r.d * 1000 + 0.5) / 1000 AS spread FROM c JOIN r USING (repo_id) WHERE r.i = least(c.members - 1, floor(c.members * 0.9))""")
 def cluster_stats(spark, d):
     s = O.cluster_stats(_points(spark, d), ["repo_id"], "x", "y", "z", "importance")
-    return s.select("repo_id", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "cz")], "importance", "members", F.round("spread", 4).alias("spread"))
+    return s.select("repo_id", *[_three(c) for c in ("cx", "cy", "cz")], "importance", "members", _three("spread"))
 
 
-@query("WITH " + SQL_POINTS + """SELECT repo_id, round(CASE WHEN sum(importance * importance) > 0 THEN sum(importance * importance * x) / sum(importance * importance) ELSE avg(x) END, 4) AS cx, round((min(x) + max(x)) / 2, 3) AS mx,
- round(greatest(1.4 * greatest((max(x) - min(x)) / 2, (max(y) - min(y)) / 2, (max(z) - min(z)) / 2), 100.0), 3) AS radius FROM po GROUP BY 1""")
+@query("WITH " + SQL_POINTS + """SELECT repo_id, floor(CASE WHEN sum(importance * importance) > 0 THEN sum(importance * importance * x) / sum(importance * importance) ELSE avg(x) END * 1000 + 0.5) / 1000 AS cx, floor((min(x) + max(x)) / 2 * 1000 + 0.5) / 1000 AS mx,
+ floor(greatest(1.4 * greatest((max(x) - min(x)) / 2, (max(y) - min(y)) / 2, (max(z) - min(z)) / 2), 100.0) * 1000 + 0.5) / 1000 AS radius FROM po GROUP BY 1""")
 def layout_frame(spark, d):
-    return O.frame(_points(spark, d), ["repo_id"], "x", "y", "z", "importance").select("repo_id", F.round("cx", 4).alias("cx"), F.round("mx", 3).alias("mx"), F.round("radius", 3).alias("radius"))
+    return O.frame(_points(spark, d), ["repo_id"], "x", "y", "z", "importance").select("repo_id", _three("cx"), _three("mx"), _three("radius"))
 
 
 @query("""WITH g AS (SELECT repo_id, path, string_split(path, '/') AS s FROM source_files), l AS (SELECT repo_id, path, array_to_string(s[-2:], '/') AS two,
