@@ -32,6 +32,8 @@ PLACEHOLDER = re.compile(
     r"(?i)^(?:[x*.•#_\-]{3,}|<.*>?|\{.*\}?|\[.*\]|\$.*|%.*%?|your[_\-].*|.*[_\-]here|change[_\-]?me.*|replace[_\-]?me.*|insert[_\-].*|tbd|fixme|(?:example|sample|dummy|placeholder|fake|todo|none|null|nil|undefined|true|false|redacted|removed|hidden|secret|password|passwd|token|test|default|string|empty)[\W_\d]*)$"
     r"|\*{3,}|x{6,}|\$\{|\{\{|\}\}|<[A-Za-z_\- ]+>|\.{3,}|process\.env|os\.environ|getenv|^env[.:(]|^ENC\[|^vault:|^@@?\w+@@?$|^!(?:vault|ref|env)"
 )
+# Plain words, numbers, paths, addresses without a password, embedded media, checksums.
+PLAIN = re.compile(r"^(?:[A-Za-z]+|[a-z]+(?:[_\-. ][a-z]+)*|\d+(?:\.\d+)*)$|^[\w.\-/]*/[\w\-]+\.\w{1,5}$|^[A-Za-z][A-Za-z0-9+.\-]*://|^data:|^sha\d+[-:]")
 NOUNS = frozenset("password passwd pwd pass passphrase secret token key apikey apitoken credential credentials cred auth authorization jwt dsn bearer accesskeyid secretaccesskey".split())
 OTHER = frozenset("sha sha1 sha256 sha512 md5 hash checksum digest integrity uuid guid id icon image img data font public label field name path size count width depth kind type status stamp total owner limit offset phase weight url uri version license commit etag revision fingerprint signature file dir header".split())
 CONFIG = re.compile(r"(?i)\.(?:env|ya?ml|toml|ini|cfg|conf|config|properties|json|tmpl|template|example|tf|tfvars|netrc|npmrc|pypirc|xml|txt|md|sh)(?:\.\w+)?$|(?:^|/)\.env")
@@ -46,7 +48,9 @@ _CONFIG_LINE = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?[\"']?([A-
 _SCHEME = re.compile(r"(?i)^(?:bearer|basic|token|digest)[ \t]+")
 _LOOKUP = re.compile(r"(?i)(?:\w\[|(?:getenv|environ\.get|env|secrets?|config|settings|vault|params?|property|getproperty|header|get)\s*\()\s*[\"'`]$")
 _FILLER = frozenset("bearer basic is here are was be the a an this that of for now value todo remove temp".split())  # fixed values
-_BARE = re.compile(r"(?<![\w+/=.\-])(?=[\w+/=.\-]*\d)(?=[\w+/=.\-]*[A-Za-z])[A-Za-z0-9_+/=.\-]{16,}(?![\w+/=\-])")
+_BARE = re.compile(r"(?<![\w+/=.\-])[A-Za-z0-9_+/=.\-]{16,}(?![\w+/=\-])")
+_LOOSE = re.compile(r"(?m)(?:^[ \t]*(?://|#|\*|/\*|--|;)[^\n]*?[:=][ \t]+|\bis[ \t]+)(?:(?:[Bb]earer|[Bb]asic)[ \t]+)?([^\s\"'`<>{}()\[\],;]{6,})(?=[.,;]?(?:[ \t]*\*/)?[ \t]*$)")
+_MIXED = re.compile(r"\d.*[A-Za-z]|[A-Za-z].*\d")
 FEATURES = 24
 
 
@@ -104,9 +108,13 @@ def candidates(text: str, path: str | None) -> list[Candidate]:
                 s += scheme.end()
             if not re.search(r"\s", text[s:e]):
                 add(s, e, "config")
+    for m in _LOOSE.finditer(text):
+        if _MIXED.search(m.group(1)):
+            add(m.start(1), m.start(1) + len(m.group(1).rstrip(".")), "bare")
     for m in _BARE.finditer(text):
-        if sum(c.isdigit() for c in m.group()) >= 2:
-            add(m.start(), m.start() + len(m.group().rstrip(".")), "bare")
+        v = m.group().rstrip(".")
+        if (_MIXED.search(v) and sum(c.isdigit() for c in v) >= 2) or ISSUED.match(v):
+            add(m.start(), m.start() + len(v), "bare")
     out = []
     breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 10)
     for s, e, kind in sorted(found):
@@ -153,7 +161,7 @@ def weak_label(kind: str, value: str, names: str) -> int:
     if ISSUED.match(value):
         return 1
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-    plain = re.fullmatch(r"[A-Za-z]+|[a-z]+(?:[_\-. ][a-z]+)*|\d+(?:\.\d+)*", value) or re.search(r"^[\w.\-/]*/[\w\-]+\.\w{1,5}$|^https?://|^data:|^sha\d+[-:]", value)
+    plain = PLAIN.search(value)
     if secret_name(words):
         return 0 if plain or len(value) > 300 else 1 if mixed and 8 <= len(value) <= 200 else -1
     if plain or (set(words) & OTHER and not any(secret_name([w]) for w in words)):
@@ -175,11 +183,12 @@ def features(value: str, names: str, kind: str, path: str | None, pair_log: np.n
     earlier = [w for x in names.split(" ")[:-1] for w in (p_.lower() for p_ in _PARTS.findall(x))]
     low = (path or "").lower()
     placeholder = bool(PLACEHOLDER.search(value)) and kind != "private"
+    harmless = placeholder or (kind not in ("private", "userinfo") and bool(PLAIN.search(value)))
     return [
         like, -min(like, -4.0) - 4.0, np.log(n), entropy, digits, upper, lower, 1 - digits - upper - lower,
         max(runs, default=0) / n, len(set(v)) / n, float(n > 120), float(n < 8),
-        float(secret_name(words)), float(any(secret_name([w]) for w in earlier)), float(bool(set(words) & OTHER)),
-        float(bool(ISSUED.match(value))), float(placeholder), float("/" in v and "." in v), float(kind == "bare"), float(kind == "userinfo"),
+        float(secret_name(words) and not harmless), float(any(secret_name([w]) for w in earlier) and not harmless), float(bool(set(words) & OTHER)),
+        float(bool(ISSUED.match(value)) and not placeholder), float(placeholder), float("/" in v and "." in v), float(kind == "bare"), float(kind == "userinfo"),
         float(kind == "private"), float(kind == "config"), float(bool(re.search(r"test|sample|example|fixture|mock|doc", low))), float(bool(CONFIG.search(low))),
     ]
 
