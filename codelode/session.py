@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +40,30 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors' Python once an application, so that they needn't have it
+    installed. Spark's own file server passes the archive on."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join(os.path.basename(root), os.path.relpath(full, root)))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-ship-"), "codelode.zip")
+    with open(path, "wb") as f:
+        f.write(out.getvalue())
+    spark.sparkContext.addPyFile(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors and is
     read column by column."""
