@@ -120,6 +120,8 @@ def structure(text: str) -> str | None:
         packed = sum(len(s) for s in long)
         if packed >= 0.75 * chars and sum(s.count(" ") for s in long) <= 0.08 * packed and sum(s.count(";") + s.count("{") + s.count(",") for s in long) >= 0.02 * packed:
             return "minified"
+    if code[0][0] in "{[<":  # a document under a wrong name, not source text of these languages
+        return None
     body = [s for s in code if len(s) > 3 and not s.startswith(("import ", "from ", "package ", "use "))]
     if len(body) >= 10:
         shapes = Counter(map(_shape, body))
