@@ -111,3 +111,24 @@ def hidden_mask(spark, d):
     c = one_level(spark, d)
     folded = c.groupBy("repo_id", "cluster").agg(F.count("*").alias("n")).where("n > 20").select("repo_id", "cluster")
     return c.join(folded, ["repo_id", "cluster"], "left_anti").select("repo_id", "path")
+
+
+@query("WITH " + SQL_CALLS + """, im AS (SELECT repo_id, id, max(coalesce(importance, 0)) AS importance FROM function_nodes GROUP BY ALL)
+SELECT e.repo_id, e.src, e.dst, round(40 + (1 - im.importance) * 60, 4) AS distance FROM cedge e JOIN im ON im.repo_id = e.repo_id AND im.id = e.dst""")
+def link_distances(spark, d):
+    """How long the layout draws each call: shorter towards what is important."""
+    im = table(spark, d, "function_nodes").groupBy("repo_id", F.col("id").alias("dst")).agg(F.max(F.coalesce("importance", F.lit(0.0))).alias("importance"))
+    return call_edges(spark, d).join(im, ["repo_id", "dst"]).select("repo_id", "src", "dst", F.round(40 + (1 - F.col("importance")) * 60, 4).alias("distance"))
+
+
+@query("WITH " + SQL_CALLS + """, im AS (SELECT repo_id, id, max(coalesce(importance, 0)) AS importance FROM function_nodes GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY importance DESC, id) AS i, count(*) OVER (PARTITION BY repo_id) AS n FROM im),
+cut AS (SELECT repo_id, importance AS cut FROM r WHERE i = greatest(1, floor(n * 0.5 + 0.5))), keep AS (SELECT im.repo_id, im.id FROM im JOIN cut USING (repo_id) WHERE im.importance >= cut.cut)
+SELECT e.repo_id, e.src, e.dst FROM cedge e SEMI JOIN keep a ON a.repo_id = e.repo_id AND a.id = e.src SEMI JOIN keep b ON b.repo_id = e.repo_id AND b.id = e.dst""")
+def visible_edges(spark, d):
+    """Calls of which both ends are among the more important half of their repository."""
+    im = table(spark, d, "function_nodes").groupBy("repo_id", "id").agg(F.max(F.coalesce("importance", F.lit(0.0))).alias("importance"))
+    n = im.groupBy("repo_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") * 0.5 + 0.5)).alias("k"))
+    r = im.join(n, "repo_id").withColumn("i", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("importance"), "id")))
+    keep = im.join(r.where("i = k").select("repo_id", F.col("importance").alias("cut")), "repo_id").where("importance >= cut").select("repo_id", "id")
+    e = call_edges(spark, d).select("repo_id", "src", "dst")
+    return e.join(keep.withColumnRenamed("id", "src"), ["repo_id", "src"], "left_semi").join(keep.withColumnRenamed("id", "dst"), ["repo_id", "dst"], "left_semi")

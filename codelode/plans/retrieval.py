@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import exprs as X
+from codelode.operators import answers as A
 from codelode.operators import chunks as C
 from codelode.operators import vectors as V
 from codelode.plans.catalogue import query
@@ -175,3 +176,28 @@ def function_chunk_texts(spark, d):
 
     f = functions(spark, d).join(outgoing_calls(spark, d), ["repo_id", "id"], "left").withColumn("signature", F.concat_ws(" ", "kind", "qualified_name"))
     return f.select("repo_id", "file_id", "id", "start_line", "end_line", "kind", "exported", C.text_hash(C.function_text("qualified_name", "path", "start_line", "kind", "exported", "signature", "calls")).alias("hash"))
+
+
+@query(r"""WITH p AS (SELECT * FROM parsed_files QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY loaded_at DESC NULLS LAST) = 1),
+fn AS (SELECT DISTINCT id, file_id, qualified_name, kind, start_line, end_line, exported FROM function_nodes),
+dc AS (SELECT file_id, string_agg('- ' || kind || ' ' || qualified_name, chr(10) ORDER BY start_line, end_line, id, kind, exported) AS declares FROM fn GROUP BY 1)
+SELECT s.file_id, sha256('Summarise the file ' || s.path || ' (' || coalesce(s.language, 'unknown') || ', ' || coalesce(p.loc, 0) || ' lines).' || chr(10) || 'Declarations:' || chr(10) || coalesce(dc.declares, '(no declarations)') || chr(10)
+ || CASE WHEN length(s.content) > 6000 THEN 'Source (first 6000 of ' || length(s.content) || ' characters):' ELSE 'Source:' END || chr(10) || s.content[1:6000] || chr(10)
+ || 'Reply with JSON: {"summary": "...", "functions": [{"name": "...", "summary": "..."}]}') AS prompt_hash FROM source_files s LEFT JOIN p USING (file_id) LEFT JOIN dc USING (file_id) WHERE s.content IS NOT NULL""")
+def file_prompts(spark, d):
+    """The prompt for each file's summary (hashed)."""
+    p = table(spark, d, "parsed_files").groupBy("file_id").agg(F.max_by("loc", F.coalesce("loaded_at", F.timestamp_seconds(F.lit(0)))).alias("loc"))
+    line = F.concat(F.lit("- "), F.col("kind"), F.lit(" "), F.col("qualified_name"))
+    fn = table(spark, d, "function_nodes").select("id", "file_id", "qualified_name", "kind", "start_line", "end_line", "exported").distinct()
+    dc = fn.groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("start_line", "end_line", "id", "kind", "exported", line.alias("line")))), lambda x: x.line).alias("declares"))
+    both = table(spark, d, "source_files").where("content IS NOT NULL").select("file_id", "path", "language", "content").join(p, "file_id", "left").join(dc, "file_id", "left")
+    return both.select("file_id", F.sha2(A.file_prompt("path", "language", "loc", "declares", "content"), 256).alias("prompt_hash"))
+
+
+@query("""WITH h AS (SELECT file_id, path, sha256(path || chr(0) || content) AS hash FROM source_files WHERE content IS NOT NULL), c AS (SELECT DISTINCT hash FROM h WHERE file_id % 3 = 0)
+SELECT h.file_id, CASE WHEN c.hash IS NOT NULL THEN 'cache' ELSE 'model' END AS source FROM h LEFT JOIN c USING (hash)""")
+def summary_cache_lookup(spark, d):
+    """Which files a cache that holds every third one's summary would spare the model."""
+    h = table(spark, d, "source_files").where("content IS NOT NULL").select("file_id", A.content_hash("path", "content").alias("hash"))
+    cached = h.where("file_id % 3 = 0").select("hash").distinct().withColumn("held", F.lit(True))
+    return h.join(cached, "hash", "left").select("file_id", F.when(F.col("held"), "cache").otherwise("model").alias("source"))
