@@ -125,6 +125,29 @@ def byte_ranges(df: DataFrame, range_bytes: int) -> DataFrame:
     )
 
 
+def file_ranges(files: DataFrame, range_bytes: int) -> DataFrame:
+    """The same for files on storage that all executors reach: (key, path, n, max_chars, overlap), ``n``
+    the size in bytes. Each task seeks to its ranges and reads no more than them and their halos."""
+    sized = files.select("key", "path", F.col("n").cast("long").alias("n"), F.col("max_chars").cast("int").alias("max_chars"), F.coalesce(F.col("overlap").cast("int"), F.lit(0)).alias("overlap")).where("n > 0 AND max_chars >= 1")
+    sized = sized.withColumn("size", F.greatest(F.lit(range_bytes), F.col("max_chars") * 32).cast("int")).withColumn("last_range", F.floor((F.col("n") - 1) / F.col("size")).cast("long"))
+    cut = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_range"))).alias("range_no"))
+
+    def read(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                off, halo = r.range_no * r.size, r.max_chars * 8 + 16
+                with open(r.path, "rb") as f:
+                    f.seek(max(0, off - BEFORE))
+                    got = f.read(min(off, BEFORE) + r.size + halo)
+                lead = min(off, BEFORE)
+                rows.append((r.key, r.max_chars, r.overlap, r.range_no, r.last_range, got[:lead], got[lead : lead + r.size], got[lead + r.size :], off + r.size + halo >= r.n))
+            yield pd.DataFrame(rows, columns=["key", "max_chars", "overlap", "range_no", "last_range", "before", "body", "after", "ends"])
+
+    spread = max(2, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut.repartition(spread, "key", "range_no").mapInPandas(read, "key long, max_chars int, overlap int, range_no long, last_range long, before binary, body binary, after binary, ends boolean")
+
+
 def _window(r) -> Window:
     return Window(bytes(r.before), bytes(r.body), bytes(r.after), int(r.max_chars), int(r.overlap), bool(r.ends))
 
@@ -198,9 +221,20 @@ def split_texts(df: DataFrame, key: str, text: str, max_chars: str, overlap: str
     base = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.col(max_chars).alias("max_chars"), F.col(overlap).alias("overlap"))
     base = base.where("key IS NOT NULL AND text IS NOT NULL AND max_chars >= 1")
     empty = base.where("text = ''").select("key", F.lit(0).cast("long").alias("piece_no"), F.lit(0).cast("long").alias("start_char"), F.lit(0).cast("long").alias("end_char"), F.lit(False).alias("long_run"), F.lit("").alias("piece"))
-    ranges = byte_ranges(base.where("text <> ''"), range_bytes)
+    return _pieces(byte_ranges(base.where("text <> ''"), range_bytes), with_text).unionByName(empty)
+
+
+def split_files(files: DataFrame, key: str, path: str, size: str, max_chars: str, overlap: str, range_bytes: int = 1 << 24, with_text: bool = True) -> DataFrame:
+    """As ``split_texts`` for UTF-8 files of any size, of which no task holds more than a range; empty
+    files have no pieces, bytes that aren't UTF-8 are read as replacement characters."""
+    base = files.select(F.col(key).cast("long").alias("key"), F.col(path).alias("path"), F.col(size).alias("n"), F.col(max_chars).alias("max_chars"), F.col(overlap).alias("overlap"))
+    return _pieces(file_ranges(base.where("key IS NOT NULL AND path IS NOT NULL"), range_bytes), with_text)
+
+
+def _pieces(ranges: DataFrame, with_text: bool) -> DataFrame:
+    """Pieces of the texts whose byte ranges are given."""
     single = ranges.where("last_range = 0").mapInPandas(_emit(with_text, True), PIECES)
     many = ranges.where("last_range > 0")
     chained = many.mapInPandas(_tables, TABLE).groupBy("key").applyInPandas(_stitch, "key long, range_no long, entry long, first_piece long, base long")
     rest = many.join(chained, ["key", "range_no"]).mapInPandas(_emit(with_text, False), PIECES)
-    return single.unionByName(rest).unionByName(empty)
+    return single.unionByName(rest)

@@ -56,7 +56,7 @@ def test_odd_rows(spark):
 
 def test_extra_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e", 3, 0, "x", "y")], COLUMNS + ", key string, text string")
-    assert splitting.split_texts(df, "k", "t", "m", "o").count() == 5 or splitting.split_texts(df, "k", "t", "m", "o").count() >= 3
+    assert splitting.split_texts(df, "k", "t", "m", "o").columns == splitting.PIECES.names and splitting.split_texts(df, "k", "t", "m", "o").count() >= 3
 
 
 @pytest.mark.parametrize("with_text", [True, False])
@@ -64,3 +64,15 @@ def test_very_long(spark, with_text):
     df = spark.createDataFrame([(1, "lorem ipsum " * 40_000, 100, 10)], COLUMNS)
     got = splitting.split_texts(df, "k", "t", "m", "o", range_bytes=1 << 14, with_text=with_text)
     assert got.agg({"end_char": "max"}).first()[0] == 480_000 and got.count() > 4800
+
+
+def test_files(spark, tmp_path):
+    rng = random.Random(8)
+    t = text(rng, 5000)
+    (tmp_path / "a.txt").write_text(t, encoding="utf-8")
+    n = len(t.encode())
+    files = spark.createDataFrame([(1, str(tmp_path / "a.txt"), n, 40, 9), (2, None, 5, 40, 9), (3, str(tmp_path / "a.txt"), 0, 40, 9)], "k long, p string, n long, m int, o int")
+    want = [(p.start_char, p.end_char, p.piece) for p in pieces(spark, [(1, t, 40, 9)])[1]]
+    for size in (1, 1 << 20):
+        got = splitting.split_files(files, "k", "p", "n", "m", "o", range_bytes=size).orderBy("piece_no").collect()
+        assert [(p.start_char, p.end_char, p.piece) for p in got] == want
