@@ -16,11 +16,12 @@ from codelode.session import table
 DIM, K = 96, 8
 
 
-def chunks(spark, d) -> DataFrame:
-    """Chunks once each (the latest row), with the kind that their id tells."""
+def chunks(spark, d, *columns: str) -> DataFrame:
+    """Chunks once each (the latest row), with the kind that their id tells. Only the named columns are
+    read and shuffled."""
     c = table(spark, d, "chunks")
     kind = F.when(F.col("id").startswith("file:"), "file").when(F.col("id").startswith("fn:"), "function").otherwise(F.lower(F.trim("kind")))
-    picked = c.groupBy("chunk_no").agg(F.max_by(F.struct("repo_id", "id", kind.alias("kind"), "path", "ref", "importance", "text", "hash", "model", "embedding"), F.coalesce("indexed_at", F.timestamp_seconds(F.lit(0)))).alias("c"))
+    picked = c.groupBy("chunk_no").agg(F.max_by(F.struct(*[kind.alias("kind") if x == "kind" else F.col(x) for x in columns]), F.coalesce("indexed_at", F.timestamp_seconds(F.lit(0)))).alias("c"))
     return picked.select("chunk_no", "c.*")
 
 
@@ -35,9 +36,9 @@ sc AS (SELECT q.chunk_no AS query, u.chunk_no, u.kind, u.model, coalesce(u.impor
 
 
 def _scored(spark, d) -> DataFrame:
-    c = chunks(spark, d).select("chunk_no", "model", "kind", "embedding")
+    c = chunks(spark, d, "model", "kind", "embedding")
     hits = V.search(c, c.where("chunk_no % 100 = 0"), "chunk_no", "embedding", ["model"], "kind", K, DIM)
-    weight = chunks(spark, d).select("chunk_no", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+    weight = chunks(spark, d, "importance").select("chunk_no", F.coalesce("importance", F.lit(0.0)).alias("importance"))
     return hits.join(weight, "chunk_no")
 
 
@@ -61,14 +62,14 @@ def vector_topk_balanced(spark, d):
 
 @query("WITH " + SQL_CHUNKS + "SELECT chunk_no, round(nrm, 4) AS length, round(embedding[1]::DOUBLE / nrm, 5) AS first FROM us")
 def vector_normalize(spark, d):
-    c = chunks(spark, d).where(V.usable("embedding", DIM))
+    c = chunks(spark, d, "embedding").where(V.usable("embedding", DIM))
     return c.select("chunk_no", F.round(V.norm("embedding"), 4).alias("length"), F.round(F.get(V.unit("embedding"), F.lit(0)).cast("double"), 5).alias("first"))
 
 
 @query("WITH " + SQL_CHUNKS + "SELECT ch.model, count(*) AS chunks, count(ch.embedding) AS with_vector, (SELECT count(*) FROM us WHERE us.model = ch.model) AS usable, min(len(ch.embedding)) AS least_dim, max(len(ch.embedding)) AS most_dim FROM ch GROUP BY ch.model")
 def index_report(spark, d):
     """What a model's index holds, and whether its vectors have one length."""
-    c = chunks(spark, d)
+    c = chunks(spark, d, "model", "embedding")
     n = F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long")
     return c.groupBy("model").agg(F.count("*").alias("chunks"), F.count("embedding").alias("with_vector"), F.count_if(V.usable("embedding", DIM)).alias("usable"), F.min(n).alias("least_dim"), F.max(n).alias("most_dim"))
 
@@ -76,7 +77,7 @@ def index_report(spark, d):
 @query("WITH " + SQL_CHUNKS + "SELECT chunk_no, sha256(text) AS text_hash, sha256(text) = hash AS same FROM ch")
 def chunk_hash(spark, d):
     h = C.text_hash("text")
-    return chunks(spark, d).select("chunk_no", h.alias("text_hash"), (h == F.col("hash")).alias("same"))
+    return chunks(spark, d, "text", "hash").select("chunk_no", h.alias("text_hash"), (h == F.col("hash")).alias("same"))
 
 
 @query("WITH " + SQL_CHUNKS + """, new AS (SELECT repo_id, id, model, CASE WHEN chunk_no % 7 = 0 THEN text || ' (edited)' ELSE text END AS text FROM ch),
@@ -84,7 +85,7 @@ old AS (SELECT DISTINCT repo_id, id, model, sha256(text) AS hash FROM ch WHERE e
 SELECT new.model, count(*) AS total, count(old.hash) AS reused, count(*) - count(old.hash) AS embedded FROM new LEFT JOIN old ON old.repo_id = new.repo_id AND old.id = new.id AND old.model = new.model AND old.hash = sha256(new.text) GROUP BY 1""")
 def incremental_reuse(spark, d):
     """Every seventh chunk edited: which vectors of the stored index still hold?"""
-    c = chunks(spark, d)
+    c = chunks(spark, d, "repo_id", "id", "model", "text", "embedding")
     text = F.when(F.col("chunk_no") % 7 == 0, F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text"))
     new = c.select("repo_id", "id", "model", C.text_hash(text).alias("hash"))
     stored = c.where("embedding IS NOT NULL").select("repo_id", "id", "model", C.text_hash("text").alias("hash"), "embedding")
