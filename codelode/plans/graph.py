@@ -39,7 +39,8 @@ def resolved(spark: SparkSession, d: str) -> DataFrame:
 
 
 def narrowed(spark: SparkSession, d: str) -> DataFrame:
-    return R.narrow(resolved(spark, d), imports(spark, d), functions(spark, d))
+    # narrowing reads the targets several times
+    return R.narrow(written(resolved(spark, d), "targets"), imports(spark, d), functions(spark, d))
 
 
 def file_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +50,7 @@ def file_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def call_edges(spark: SparkSession, d: str) -> DataFrame:
     f = functions(spark, d)
-    origins = R.binding_origins(narrowed(spark, d), imports(spark, d))
+    origins = R.binding_origins(written(narrowed(spark, d), "narrowed"), imports(spark, d))
     return E.collapse(R.resolve_calls(calls(spark, d), R.symbol_index(f), origins), ["repo_id", "src", "dst"])
 
 
@@ -273,7 +274,7 @@ SELECT f.repo_id, count(*) AS files, coalesce(any_value(e.n), 0) AS edges, coale
 FROM f LEFT JOIN e USING (repo_id) LEFT JOIN ff USING (repo_id) LEFT JOIN x USING (repo_id) GROUP BY 1""")
 def repo_stats(spark, d):
     n = lambda df, name: df.groupBy("repo_id").agg(F.count("*").alias(name))
-    r, i, f = resolved(spark, d), imports(spark, d), functions(spark, d)
+    r, i, f = written(resolved(spark, d), "targets"), imports(spark, d), functions(spark, d)
     out = n(files(spark, d), "files")
     for df, name in ((E.collapse(R.narrow(r, i, f).select("repo_id", F.col("from_path").alias("src"), F.col("target").alias("dst")), ["repo_id", "src", "dst"]), "edges"), (f, "functions"), (R.external_imports(i, r), "external_imports")):
         out = out.join(n(df, name), "repo_id", "left")
