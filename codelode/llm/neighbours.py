@@ -81,7 +81,9 @@ def codebook(y: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def nearest(y: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.argmin((c * c).sum(1) - 2 * (y @ c.T), axis=1)
+    """Nearest centroid of each row, a few thousand rows at a time."""
+    half = (c * c).sum(1) / 2
+    return np.concatenate([np.argmax(y[i : i + 4096] @ c.T - half, axis=1) for i in range(0, len(y), 4096)] or [np.zeros(0, np.int64)])
 
 
 def bisection(c: np.ndarray) -> np.ndarray:
