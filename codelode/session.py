@@ -64,6 +64,14 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out anew where a table has fewer files than the cluster has cores; costly work on
+    each row would else sit in a few tasks, as a file may be one row group. Other tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df if files >= cores or not files else df.repartition(3 * cores)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors and is
     read column by column."""
