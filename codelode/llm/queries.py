@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm import credentials, handwritten, mixing, neighbours, packing, splitting, stuffing, tables, validity
-from codelode.session import table, written
+from codelode.session import spread, table, written
 
 
 def _long_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,7 +22,7 @@ def _long_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    files = table(spark, folder, "source_files").select("file_id", "repo_id", "path", "content")
+    files = spread(table(spark, folder, "source_files").select("file_id", "repo_id", "path", "content"))
     return handwritten.file_kinds(files, table(spark, folder, "repos"), "file_id", "repo_id", "path", "content")
 
 
@@ -51,7 +51,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Parsed files, once each, with a computed flag in place of the recorded one (null: not checked)."""
-    files = table(spark, folder, "source_files").select("file_id", "path", "content")
+    files = spread(table(spark, folder, "source_files").select("file_id", "path", "content"))
     flags = validity.syntax_flags(files, "file_id", "path", "content").drop("language")
     parsed = table(spark, folder, "parsed_files").select("file_id", "repo_id", F.regexp_replace("path", r"^(\./)+", "").alias("path"), "language", "loaded_at")
     once = tables.latest(parsed, "file_id", "loaded_at", ["repo_id", "path", "language"])
@@ -63,7 +63,7 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    files = table(spark, folder, "source_files").select("file_id", "path", "content")
+    files = spread(table(spark, folder, "source_files").select("file_id", "path", "content"))
     return validity.syntax_flags(files, "file_id", "path", "content").where("has_errors").select("file_id")
 
 
@@ -103,7 +103,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix(table(spark, folder, "documents"), "doc_id", tables.trimmed_source(), "text", table(spark, folder, "mix_targets"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return mixing.mix(docs, "doc_id", tables.trimmed_source(), "text", table(spark, folder, "mix_targets"))
 
 
 def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,7 +120,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return stuffing.score_pages(table(spark, folder, "documents"), "doc_id", "text")
+    return stuffing.score_pages(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
