@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codelode.functions import exprs as X
 from codelode.operators import extract as P
 from codelode.plans.catalogue import query
+from codelode.sources import remote
 from codelode.session import table
 
 
@@ -102,3 +103,10 @@ def error_details(spark, d):
     """The first three lines of a log that say what went wrong, cut at 300 characters."""
     rows = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"(?i)\b(fatal|error|remote|warning):"))
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", rows.alias("l")).where("size(l) > 0").select("doc_id", F.substring(F.array_join(F.slice("l", 1, 3), " "), 1, 300).alias("detail"))
+
+
+@query(r"""WITH x AS (SELECT repo_id, source_url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?(?:[^/@\s]+@)?git\.example[:/]([^/\s]+)/([^/\s]+?)(?:\.git)?/?$' AS p FROM repos)
+SELECT repo_id, CASE WHEN regexp_matches(source_url, p) THEN regexp_extract(source_url, p, 1) END AS owner, CASE WHEN regexp_matches(source_url, p) THEN regexp_extract(source_url, p, 2) END AS name FROM x""")
+def parse_remote(spark, d):
+    x = table(spark, d, "repos").select("repo_id", remote.owner_and_name("source_url", "git.example").alias("r"))
+    return x.select("repo_id", "r.owner", "r.name")
