@@ -152,7 +152,7 @@ class MultiIndex:
         return out
 
 
-def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 2000, per_cell: float = 1.0, sample: int = 40_000, block: int = 16_000, salts: int = 32) -> DataFrame:
+def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 4000, per_cell: float = 1.0, sample: int = 40_000, block: int = 16_000, salts: int = 32) -> DataFrame:
     """``key, neighbour, score, rank``: for each usable vector the k others of its collection with the
     largest cosine (fewer if there are fewer); rank is from 1, ties go to the smaller neighbour.
 
