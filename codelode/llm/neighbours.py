@@ -110,8 +110,8 @@ class MultiIndex:
         self.h, self.a, self.b = h, codebook(sample[:, :h], k), codebook(sample[:, h:], k)
         self.k = len(self.a)
         near = [((c[:, None, :] - c[None, :, :]) ** 2).sum(2) if k <= 256 else np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * c @ c.T, 0) for c in (self.a, self.b)]
-        self.order = [np.argsort(d, axis=1, kind="stable").astype(np.int16) for d in near]
-        self.dist = [np.take_along_axis(d, o.astype(np.int64), axis=1).astype(np.float32) for d, o in zip(near, self.order)]
+        self.near = [d.astype(np.float32) for d in near]
+        self.order = [np.argsort(d, axis=1, kind="stable").astype(np.int16) for d in self.near]
 
     def cells(self, m: np.ndarray) -> np.ndarray:
         return nearest(m[:, : self.h], self.a) * self.k + nearest(m[:, self.h :], self.b)
@@ -119,6 +119,7 @@ class MultiIndex:
     def occupy(self, cells: np.ndarray, counts: np.ndarray, block: int) -> None:
         self.count = np.zeros(self.k * self.k, np.int64)
         self.count[cells] = counts
+        self.occupied = cells
         pa, pb = bisection(self.a), bisection(self.b)
         order = cells[np.lexsort((pb[cells % self.k], pa[cells // self.k]))]
         self.first, self.blocks = np.zeros(self.k * self.k, np.int32), np.ones(self.k * self.k, np.int32)
@@ -135,11 +136,19 @@ class MultiIndex:
                 room -= n
 
     def traverse(self, cell: int, reach: int) -> list[int]:
-        """Occupied cells by summed distance of their centroids, until they hold ``reach`` vectors."""
+        """Occupied cells by summed distance of their centroids, until they hold ``reach`` vectors. Where
+        the pairs that come next are mostly empty the heap is left after 2 k steps and all occupied cells
+        are sorted by the same distance, which gives the same cells."""
         i0, j0 = divmod(cell, self.k)
-        oa, ob, da, db = self.order[0][i0], self.order[1][j0], self.dist[0][i0], self.dist[1][j0]
-        heap, out, got, k, count = [(float(da[0] + db[0]), 0, 0)], [], 0, self.k, self.count
+        oa, ob, k, count = self.order[0][i0], self.order[1][j0], self.k, self.count
+        da, db = self.near[0][i0][oa], self.near[1][j0][ob]
+        heap, out, got, steps = [(float(da[0] + db[0]), 0, 0)], [], 0, 2 * k
         while heap and got < reach:
+            if not steps:
+                d = self.near[0][i0][self.occupied // k] + self.near[1][j0][self.occupied % k]
+                near = self.occupied[np.argsort(d, kind="stable")]
+                return near[: int(np.searchsorted(np.cumsum(count[near]), reach)) + 1].tolist()
+            steps -= 1
             _, i, j = heapq.heappop(heap)
             c = int(oa[i]) * k + int(ob[j])
             if count[c]:

@@ -51,3 +51,19 @@ def test_repeated_keys(spark):
     got = N.most_similar(df, "k", "c", "v", dim=2, order="t")
     assert {(r.k, r.neighbour, r.score) for r in got.collect()} == {(1, 2, 1.0), (2, 1, 1.0)}
     assert [(r.a, r.b) for r in N.linked_pairs(got, "k").collect()] == [(1, 2)]
+
+
+def test_traversal_is_the_sorted_order():
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(4000, 8)).astype(np.float32)
+    ix = N.MultiIndex(m[:500], 4000, 4.0)
+    cells, counts = np.unique(ix.cells(m), return_counts=True)
+    ix.occupy(cells, counts, 500)
+    assert ix.count.sum() == 4000 and (ix.blocks >= 1).all()
+    for c in cells[::40]:
+        for reach in (1, 100, 3999, 9999):
+            got = ix.traverse(int(c), reach)
+            i, j = divmod(int(c), ix.k)
+            d = ix.near[0][i][cells // ix.k] + ix.near[1][j][cells % ix.k]
+            assert len(set(got)) == len(got) and (ix.count[got].sum() >= reach or len(got) == len(cells))
+            assert max(ix.near[0][i][np.array(got) // ix.k] + ix.near[1][j][np.array(got) % ix.k]) <= np.sort(d)[len(got) - 1] + 1e-5
