@@ -147,7 +147,8 @@ class MultiIndex:
             if not steps:
                 d = self.near[0][i0][self.occupied // k] + self.near[1][j0][self.occupied % k]
                 near = self.occupied[np.argsort(d, kind="stable")]
-                return near[: int(np.searchsorted(np.cumsum(count[near]), reach)) + 1].tolist()
+                out = near[: int(np.searchsorted(np.cumsum(count[near]), reach)) + 1].tolist()
+                break
             steps -= 1
             _, i, j = heapq.heappop(heap)
             c = int(oa[i]) * k + int(ob[j])
@@ -158,7 +159,7 @@ class MultiIndex:
                 heapq.heappush(heap, (float(da[i] + db[j + 1]), i, j + 1))
             if j == 0 and i + 1 < k:
                 heapq.heappush(heap, (float(da[i + 1] + db[0]), i + 1, 0))
-        return out
+        return out if cell in out else [cell, *out]  # equal centroids could hide the cell itself
 
 
 def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 4000, per_cell: float = 1.0, sample: int = 40_000, block: int = 16_000, salts: int = 32) -> DataFrame:
