@@ -1,8 +1,10 @@
 """Problem 8: pages of repeated keywords, links or tags, found by the coherence of neighbouring words.
 
-First pass: counts of words and of neighbouring pairs over the whole corpus, as count-min sketches of a
-fixed size (so what is broadcast doesn't grow with the data). Each task adds up its own sketch; the
-blocks are summed on Spark. Second pass: every page is read with those counts and each of its lines is
+First pass: each batch of pages tokenises its text once and sends its distinct word and pair hashes with
+their counts to slices of the hash space; each slice adds them up and answers every batch with the
+corpus's counts of just the hashes it asked for. Counts are exact at every size (but for two of the
+64-bit hashes being equal), and nothing that grows with the data is broadcast or reaches the driver.
+Second pass: every page is read with those counts and each of its lines is
 given to one of
 
 * ``links``: addresses with a few words around them;
@@ -19,14 +21,19 @@ A page is flagged if those four make up the greater part of its characters.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 14
+from codelode.session import written
+
+BATCH = 1 << 22  # characters of the pages that are counted and scored together
+SLICE = 1 << 24  # characters of the corpus whose hashes make one slice of the counts
 _WORD = re.compile(r"[^\W\d_]+")
 _WORD_OR_LINE = re.compile(r"[^\W\d_]+|\n")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>()\"'\]]*", re.I)
@@ -65,7 +72,8 @@ def _pairs(h: np.ndarray) -> np.ndarray:
 
 
 class Sketch:
-    """Counts of words and of pairs: two rows of ``width`` cells each, the smaller cell counts."""
+    """Approximate counts of words and of pairs in two rows of ``width`` cells each, the smaller cell counts;
+    for texts that fill few of the cells. The queries count exactly (``Counts``)."""
 
     def __init__(self, width: int):
         self.width, self.words, self.pairs, self.totals = width, np.zeros(2 * width, np.int64), np.zeros(2 * width, np.int64), (1, 1)
@@ -90,30 +98,100 @@ class Sketch:
         return np.minimum(self.pairs[a], self.pairs[b])
 
 
-def corpus_counts(docs: DataFrame, text: str, width: int) -> Sketch:
-    """The sketch of all texts. The driver gets 4 x ``width`` counts, whatever the corpus."""
+class Counts:
+    """Exact counts of those words and pairs that a batch of pages has; ``ids`` are sorted."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, totals: tuple[int, int]):
+        self.ids, self.n, self.totals = ids, n, totals
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.ids):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.ids, h), len(self.ids) - 1)
+        return np.where(self.ids[at] == h, self.n[at], 0)
 
-    def part(batches):
-        memo, s = _Hash(), Sketch(width)
+    def of_words(self, h: np.ndarray) -> np.ndarray:
+        return self.of(_mixed(h, 0))
+
+    def of_pairs(self, h: np.ndarray) -> np.ndarray:
+        return self.of(_mixed(h, 1))
+
+
+def _mixed(h: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes spread evenly one to one; the lowest bit tells pairs (1) from words (0)."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h & ~np.uint64(1)) | np.uint64(kind)
+
+
+def in_batches(pages: DataFrame) -> DataFrame:
+    """``batch, chars, pages`` for rows of ``k, t``: packed batches of about BATCH characters, written so
+    that a batch is the same one whenever it is read."""
+
+    def pack(batches):
+        schema, held, size = None, [], 0
+
+        def row():
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for x in held:
+                    w.write_batch(x)
+            return pa.RecordBatch.from_pydict({"batch": pa.array([uuid.uuid4().int >> 65], pa.int64()), "chars": pa.array([size], pa.int64()), "pages": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+        for rb in batches:
+            schema = rb.schema
+            sizes = np.array([len(t) for t in rb.column("t").to_pylist()], np.int64)
+            first = 0
+            for i, n in enumerate(sizes):
+                size += int(n)
+                if size >= BATCH:
+                    held.append(rb.slice(first, i + 1 - first))
+                    yield row()
+                    first, held, size = i + 1, [], 0
+            if first < len(sizes):
+                held.append(rb.slice(first))
+        if held:
+            yield row()
+
+    return written(pages.mapInArrow(pack, "batch long, chars long, pages binary"), "page-batches")
+
+
+def _unpacked(pages: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pages).read_all()
+
+
+def batch_counts(packed: DataFrame) -> DataFrame:
+    """``batch, ids, n, words, pairs``: for each batch, from each slice of the hashes, the corpus's counts
+    of what the batch has there, and the words and pairs of the whole slice."""
+    chars = packed.agg(F.sum("chars")).first()[0] or 0
+    slices = 1 + chars // SLICE
+
+    def ask(batches):
+        memo = _Hash()
         for pdf in batches:
-            s.add([Sketch.ids(t, memo) for t in pdf["t"]])
-        for kind, table in enumerate((s.words, s.pairs)):
-            at = np.flatnonzero(table)
-            edges = np.flatnonzero(np.diff(at // BLOCK)) + 1
-            yield pd.DataFrame([(kind, int(x[0] // BLOCK), (x % BLOCK).astype(np.uint16).tobytes(), table[x].astype(np.int64).tobytes()) for x in np.split(at, edges) if len(x)], columns=["kind", "block", "at", "n"])
-
-    def total(key, pdf):
-        out = np.zeros(BLOCK, np.int64)
-        for at, n in zip(pdf["at"], pdf["n"]):
-            out[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
-        return pd.DataFrame({"kind": [key[0]], "block": [key[1]], "n": [out.tobytes()]})
-
-    parts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(part, "kind int, block int, at binary, n binary")
-    s = Sketch(width)
-    for r in parts.groupBy("kind", "block").applyInPandas(total, "kind int, block int, n binary").toLocalIterator():
-        (s.words, s.pairs)[r.kind][r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.n, np.int64)[: 2 * width - r.block * BLOCK]
-    s.totals = tuple(max(1, int(x[:width].sum())) for x in (s.words, s.pairs))
-    return s
+            for batch, pages in zip(pdf["batch"], pdf["pages"]):
+                h = [Sketch.ids(t, memo) for t in _unpacked(pages).column("t").to_pylist()]
+                words, nw = np.unique(np.concatenate([np.zeros(0, np.uint64), *h]), return_counts=True)
+                pairs, np_ = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_pairs(x) for x in h if len(x) > 1]]), return_counts=True)
+                ids, n = np.concatenate([_mixed(words, 0), _mixed(pairs, 1)]), np.concatenate([nw, np_]).astype(np.int64)
+                part = (ids >> np.uint64(32)).astype(np.int64) * slices >> 32
+                order = np.lexsort((ids, part))
+                ends = np.searchsorted(part[order], np.arange(slices + 1))
+                # a batch asks every slice, as it needs the totals of all
+                yield pd.DataFrame([(batch, i, ids[order[s:e]].tobytes(), n[order[s:e]].tobytes()) for i, (s, e) in enumerate(zip(ends, ends[1:]))], columns=["batch", "slice", "ids", "n"])
+
+    def answer(pdf):
+        ids = np.frombuffer(b"".join(pdf["ids"]), np.uint64)
+        got, at = np.unique(ids, return_inverse=True)
+        n = np.zeros(len(got), np.int64)
+        np.add.at(n, at, np.frombuffer(b"".join(pdf["n"]), np.int64))
+        of_pairs = (got & np.uint64(1)).astype(bool)
+        ends = np.cumsum([0, *[len(x) // 8 for x in pdf["ids"]]])
+        return pd.DataFrame({"batch": pdf["batch"], "ids": pdf["ids"], "n": [n[at[s:e]].tobytes() for s, e in zip(ends, ends[1:])], "words": int(n[~of_pairs].sum()), "pairs": int(n[of_pairs].sum())})
+
+    asked = packed.select("batch", "pages").mapInPandas(ask, "batch long, slice long, ids binary, n binary")
+    return asked.groupBy("slice").applyInPandas(answer, "batch long, ids binary, n binary, words long, pairs long")
 
 
 def line_kind(line: str) -> str | None:
@@ -140,7 +218,7 @@ def line_kind(line: str) -> str | None:
     return None
 
 
-def page_parts(text: str, s: Sketch, memo: _Hash, coherent: float, rate: float, burst: float) -> dict[str, float]:
+def page_parts(text: str, s: Sketch | Counts, memo: _Hash, coherent: float, rate: float, burst: float) -> dict[str, float]:
     """Characters of each kind of line, mean PMI and number of words of one page."""
     out = dict.fromkeys(("links", "tags", "salad", "stuffed", "chars"), 0.0)
     total_words, total_pairs = s.totals
@@ -201,16 +279,21 @@ def score_pages(docs: DataFrame, key: str, text: str, width: int = 1 << 20, cohe
     ``coherent`` is the mean PMI (in nats) below which neighbours count as unrelated; a collocation is
     excessive if it makes at least ``rate`` of the page's pairs (and four) and ``burst`` times its rate
     in the corpus. Null texts have no row; texts of fewer than ``least_chars`` characters (empty ones
-    too) are never flagged. Each row is scored by itself, so repeated rows have equal results."""
-    counts = docs.sparkSession.sparkContext.broadcast(corpus_counts(docs, text, width))
-
-    def run(batches):
-        memo, s = _Hash(), counts.value
-        for pdf in batches:
-            parts = [page_parts(t, s, memo, coherent, rate, burst) for t in pdf["t"]]
-            yield pd.DataFrame({"k": pdf["k"], **{c: [p[c] for p in parts] for c in COLUMNS}})
+    too) are never flagged. Each row is scored by itself, so repeated rows have equal results.
+    ``width`` was that of a sketch and has no effect since counts are exact."""
+
+    def run(mine, theirs):
+        memo = _Hash()
+        ids, n = (np.frombuffer(b"".join(theirs[c]), t) for c, t in (("ids", np.uint64), ("n", np.int64)))
+        order = np.argsort(ids)
+        s = Counts(ids[order], n[order], (max(1, int(theirs["words"].sum())), max(1, int(theirs["pairs"].sum()))))
+        for pages in mine["pages"]:
+            rows = _unpacked(pages)
+            parts = [page_parts(t, s, memo, coherent, rate, burst) for t in rows.column("t").to_pylist()]
+            return rows.select(["k"]).to_pandas().assign(**{c: [p[c] for p in parts] for c in COLUMNS})
 
     kind = dict(docs.dtypes)[key]
-    scored = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, " + ", ".join(f"{c} double" for c in COLUMNS))
+    packed = in_batches(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")))
+    scored = packed.select("batch", "pages").groupBy("batch").cogroup(batch_counts(packed).groupBy("batch")).applyInPandas(run, f"k {kind}, " + ", ".join(f"{c} double" for c in COLUMNS))
     flagged = (F.col("chars") >= least_chars) & (F.col("links") + F.col("tags") + F.col("salad") + F.col("stuffed") > 0.5 * F.col("chars"))
     return scored.select(F.col("k").alias(key), *COLUMNS, flagged.alias("flagged"))

@@ -1,6 +1,8 @@
 """Spam pages against ordinary ones."""
 
+import math
 import random
+from collections import Counter
 
 from codelode.llm import stuffing
 
@@ -61,3 +63,27 @@ def test_sketch_counts():
     ids = stuffing.Sketch.ids("a b a b a c", memo)
     s.add([ids])
     assert list(s.of_words(ids)) == [3, 2, 3, 2, 3, 1] and list(s.of_pairs(stuffing._pairs(ids))) == [2, 2, 2, 2, 1]
+
+
+def test_counts_are_exact_at_any_size(spark, monkeypatch):
+    """Over a million distinct pairs, in many batches and slices: each batch gets the corpus's exact counts."""
+    monkeypatch.setattr(stuffing, "BATCH", 1 << 20)
+    monkeypatch.setattr(stuffing, "SLICE", 1 << 20)
+    r = random.Random(3)
+    word = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(30_000)]
+    texts = [" ".join(r.choices(word, k=5000)) for _ in range(260)]
+    salad = " ".join(f"{a} {b}" for a, b in zip(NOUNS * 4, reversed(NOUNS * 4))) + " " + " ".join(r.choices(NOUNS, k=300))
+    rows = [(f"t{i}", t) for i, t in enumerate(texts)] + [("salad", salad)] + [(f"n{i}", " ".join(r.choices(NOUNS, k=4))) for i in range(20_000)]
+    words, pairs = Counter(), Counter()
+    for _, t in rows:
+        w = t.split()
+        words.update(w)
+        pairs.update(zip(w, w[1:]))
+    assert len(pairs) > 1_000_000
+    got = {x.k: x for x in stuffing.score_pages(spark.createDataFrame(rows, "k string, t string").repartition(4), "k", "t").collect()}
+    assert len(got) == len(rows)
+    nw, np_ = sum(words.values()), sum(pairs.values())
+    for k, t in rows[:3] + rows[260:262]:
+        w = t.split()
+        pmi = [math.log((pairs[a, b] - 0.5) / np_) - math.log(words[a] / nw) - math.log(words[b] / nw) for a, b in zip(w, w[1:])]
+        assert abs(got[k].pmi - sum(pmi) / len(pmi)) < 1e-9
