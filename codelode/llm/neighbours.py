@@ -14,6 +14,8 @@ Cells lie in an order that keeps near ones together (recursive bisection of the
 packed in that order into blocks of about ``block`` vectors, so a block needs few vectors from
 elsewhere; a cell with more vectors than that is dealt out over several blocks. Each vector is sent to
 the blocks whose cells reach its own cell, and a block is searched cell by cell with matrix products.
+Candidates in such an oversized cell are cut into slices of the same bound; a block is searched against
+each slice by itself and the best of all slices are merged.
 
 Of vectors that are equal only the first k + 1 by key are indexed, which is enough for any answer; the
 other copies get their neighbours from that class. Ties go to the smaller key.
@@ -161,6 +163,47 @@ class MultiIndex:
                 heapq.heappush(heap, (float(da[i + 1] + db[0]), i + 1, 0))
         return out if cell in out else [cell, *out]  # equal centroids could hide the cell itself
 
+    def routes(self, cell: int, reach: int) -> set[tuple[int, int, int, int, bool]]:
+        """``cell, part, block, slice, asks``: where vectors of which part of a cell go so that those of
+        ``cell`` find their candidates. Slice 0 of a block has the candidates of cells that are whole,
+        every other one a part of an oversized cell; the askers go to each of their slices."""
+        out = set()
+        for to in self.traverse(cell, reach):
+            n = int(self.blocks[to])
+            for part in range(n):
+                piece = 1 + int(self.first[to]) + part if n > 1 else 0
+                for s in range(int(self.blocks[cell])):
+                    block = int(self.first[cell]) + s
+                    out.add((to, part, block, piece, False))
+                    out.add((cell, s, block, piece, True))
+        return out
+
+
+def part_of(key: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The part of an oversized cell that a key belongs to, even where keys have a common factor."""
+    with np.errstate(over="ignore"):
+        return (((key.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int64)
+
+
+def best(score: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest of each row, rounded, and their keys; of equal ones those of the smaller keys,
+    however many there are. ``keys`` ascend."""
+    n = score.shape[1]
+    k, keep = min(k, n), min(n, k + 8)
+    top = np.sort(np.argpartition(-score, keep - 1, axis=1)[:, :keep], axis=1)
+    near = np.round(np.take_along_axis(score, top, axis=1).astype(float), 6)
+    least = near.min(axis=1)
+    o = np.argsort(-near, axis=1, kind="stable")[:, :k]
+    near, top = np.take_along_axis(near, o, axis=1), np.take_along_axis(top, o, axis=1)
+    if keep < n:
+        for r in np.flatnonzero(least >= near[:, -1]):  # others, not kept, may equal the k-th
+            row = np.round(score[r].astype(float), 6)
+            above = np.flatnonzero(row > near[r, -1])
+            at = np.concatenate([above, np.flatnonzero(row == near[r, -1])[: k - len(above)]])
+            at = at[np.lexsort((at, -row[at]))]
+            near[r], top[r] = row[at], at
+    return near, keys[top]
+
 
 def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 4000, per_cell: float = 1.0, sample: int = 40_000, block: int = 16_000, salts: int = 32) -> DataFrame:
     """``key, neighbour, score, rank``: for each usable vector the k others of its collection with the
@@ -199,17 +242,24 @@ def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int
     code = {name: i for i, name in enumerate(names)}
     books = spark.sparkContext.broadcast([index[name] for name in names])
 
-    def assign(batches):
+    def assigned_by(batches, index, parts: bool):
         for pdf in batches:
             g = pdf["collection"].map(code).to_numpy(dtype=np.int64)
             m = decoded(pdf["v"], dim)
             cell = np.zeros(len(pdf), np.int64)
             for x in np.unique(g):
-                cell[g == x] = books.value[x].cells(m[g == x])
-            yield pd.DataFrame({"g": g.astype(np.int32), "cell": cell.astype(np.int32), "key": pdf["key"], "v": pdf["v"]})
+                cell[g == x] = index.value[x].cells(m[g == x])
+            out = pd.DataFrame({"g": g.astype(np.int32), "cell": cell.astype(np.int32), "key": pdf["key"], "v": pdf["v"]})
+            if parts:
+                part = np.zeros(len(pdf), np.int64)
+                for x in np.unique(g):
+                    part[g == x] = part_of(pdf["key"].to_numpy()[g == x], index.value[x].blocks[cell[g == x]])
+                out["part"] = part.astype(np.int32)
+            yield out
 
     # the cells are found again where they are needed; that costs less than to keep them with the vectors
-    assigned = entries.select("collection", "key", "v").mapInPandas(assign, "g int, cell int, key long, v binary")
+    vectors = entries.select("collection", "key", "v")
+    assigned = vectors.mapInPandas(lambda b: assigned_by(b, books, False), "g int, cell int, key long, v binary")
     occupied = written(assigned.groupBy("g", "cell").agg(F.count("*").alias("n")), "knn-cells")
     counts = occupied.toPandas()  # at most MAX_CODES squared rows a collection
     for name in names:
@@ -221,44 +271,45 @@ def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int
         for pdf in batches:
             out = set()
             for g, cell in zip(pdf["g"], pdf["cell"]):
-                ix = full_index.value[g]
-                for to in ix.traverse(int(cell), reach):
-                    out.update((int(g), to, int(ix.first[cell]) + s) for s in range(int(ix.blocks[cell])))
-            yield pd.DataFrame(list(out), columns=["g", "cell", "block"])
+                out.update((int(g), *r) for r in full_index.value[g].routes(int(cell), reach))
+            yield pd.DataFrame(list(out), columns=["g", "cell", "part", "block", "slice", "asks"])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["cell", "key"])
-        ix, block_no = full_index.value[int(pdf["g"].iloc[0])], int(pdf["block"].iloc[0])
-        key_, cell = pdf["key"].to_numpy(), pdf["cell"].to_numpy()
+        ix, slice_no = full_index.value[int(pdf["g"].iloc[0])], int(pdf["slice"].iloc[0])
+        key_, cell, asks = pdf["key"].to_numpy(), pdf["cell"].to_numpy(), pdf["asks"].to_numpy()
         m = decoded(pdf["v"], dim)
-        home = ix.first[cell] + (key_ % ix.blocks[cell])
         found, starts = [], np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         span = {int(cell[s]): (s, e) for s, e in zip(starts, [*starts[1:], len(cell)])}
-        for c in np.unique(cell[home == block_no]):
+        for c in np.unique(cell[asks]):
             s, e = span[int(c)]
-            own = np.arange(s, e)[home[s:e] == block_no]
-            cand = np.concatenate([np.arange(*span[x]) for x in ix.traverse(int(c), reach)])
+            own = np.arange(s, e)[asks[s:e]]
+            reached = ix.traverse(int(c), reach)
+            whole = all(ix.blocks[x] == 1 for x in reached)
+            cand = np.flatnonzero(pdf["found"]) if slice_no else np.concatenate([np.arange(*span[x]) for x in reached if ix.blocks[x] == 1])
+            cand = cand[np.argsort(key_[cand])]
             cm = m[cand]
             for part in np.array_split(own, -(-len(own) // 256)):
                 score = m[part] @ cm.T
                 score[key_[part][:, None] == key_[cand][None, :]] = -9
-                keep = min(len(cand), k + 8)
-                top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                near = np.round(np.take_along_axis(score, top, axis=1).astype(float), 6)
-                names_ = key_[cand][top]
-                o = np.lexsort((names_, -near), axis=1)[:, :k]
-                near, names_ = np.take_along_axis(near, o, axis=1), np.take_along_axis(names_, o, axis=1)
+                near, names_ = best(score, key_[cand], k)
                 rank = np.broadcast_to(np.arange(1, near.shape[1] + 1), near.shape)
                 who = np.broadcast_to(key_[part][:, None], near.shape)
                 real = near > -2
-                found.append(pd.DataFrame({"key": who[real], "neighbour": names_[real], "score": near[real], "rank": rank[real].astype(np.int32)}))
-        return pd.concat(found) if found else pd.DataFrame({"key": [], "neighbour": [], "score": [], "rank": []})
+                found.append(pd.DataFrame({"key": who[real], "neighbour": names_[real], "score": near[real], "rank": rank[real].astype(np.int32), "whole": whole}))
+        return pd.concat(found) if found else pd.DataFrame({"key": [], "neighbour": [], "score": [], "rank": [], "whole": []})
 
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    to_block = occupied.repartition(spread).select("g", "cell").mapInPandas(probes, "g int, cell int, block int").distinct()
-    sent = assigned.join(to_block, ["g", "cell"])
-    near = sent.groupBy("g", "block").applyInPandas(search, "key long, neighbour long, score double, rank int")
-    return near.unionByName(of_copies).withColumnRenamed("key", key)
+    routed = occupied.repartition(spread).select("g", "cell").mapInPandas(probes, "g int, cell int, part int, block int, slice int, asks boolean")
+    to_slice = routed.groupBy("g", "cell", "part", "block", "slice").agg(F.max("asks").alias("asks"), F.max(~F.col("asks")).alias("found"))
+    sent = vectors.mapInPandas(lambda b: assigned_by(b, full_index, True), "g int, cell int, key long, v binary, part int").join(to_slice, ["g", "cell", "part"])
+    near = sent.groupBy("g", "block", "slice").applyInPandas(search, "key long, neighbour long, score double, rank int, whole boolean")
+    if any((index[name].blocks > 1).any() for name in names):
+        # what was found in several slices is merged
+        near = written(near, "knn-slices")
+        merged = near.where("NOT whole").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "neighbour")))
+        near = near.where("whole").unionByName(merged.where(F.col("rank") <= k))
+    return near.drop("whole").unionByName(of_copies).withColumnRenamed("key", key)
 
 
 def linked_pairs(near: DataFrame, key: str) -> DataFrame:

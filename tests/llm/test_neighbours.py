@@ -67,3 +67,42 @@ def test_traversal_is_the_sorted_order():
             d = ix.near[0][i][cells // ix.k] + ix.near[1][j][cells % ix.k]
             assert len(set(got)) == len(got) and (ix.count[got].sum() >= reach or len(got) == len(cells))
             assert max(ix.near[0][i][np.array(got) // ix.k] + ix.near[1][j][np.array(got) % ix.k]) <= np.sort(d)[len(got) - 1] + 1e-5
+
+
+def test_near_copies_in_one_cell_are_cut_and_merged(spark):
+    """Near copies share an oversized cell; their scores round alike, and ties go to the smaller keys."""
+    rng = np.random.default_rng(4)
+    far = rng.normal(size=(300, 8))
+    near = np.array([1.0] * 8) + 1e-5 * rng.normal(size=(900, 8))
+    m = np.vstack([far, near]).astype(np.float32)
+    keys = 8 * rng.permutation(len(m))
+    df = spark.createDataFrame([(int(k), "m", v.tolist()) for k, v in zip(keys, m)], "k long, c string, v array<float>")
+    got = {}
+    for r in N.most_similar(df, "k", "c", "v", dim=8, reach=5000, block=100).orderBy("k", "rank").collect():
+        got.setdefault(r.k, []).append((r["rank"], r.neighbour))
+    first = sorted(keys[300:])[:6]
+    assert len(got) == len(m) and all([x[0] for x in v] == [1, 2, 3, 4, 5] for v in got.values())
+    for k in keys[300:]:
+        assert [x[1] for x in got[k]] == [x for x in first if x != k][:5]
+    true = brute(keys, m.astype(float), 5)
+    assert np.mean([len({x[1] for x in got[k]} & set(true[k])) / 5 for k in keys[:300]]) >= 0.98
+
+
+def test_no_slice_is_large():
+    rng = np.random.default_rng(6)
+    m = np.vstack([rng.normal(size=(2000, 8)), np.ones((6000, 8)) + 1e-4 * rng.normal(size=(6000, 8))]).astype(np.float32)
+    ix = N.MultiIndex(m[:500], len(m), 4.0)
+    at = ix.cells(m)
+    cells, counts = np.unique(at, return_counts=True)
+    ix.occupy(cells, counts, 500)
+    part = N.part_of(np.arange(len(m)) * 12, ix.blocks[at])
+    size = {(c, p): int(n) for (c, p), n in zip(*(lambda u: (map(tuple, u[0].tolist()), u[1]))(np.unique(np.stack([at, part], axis=1), axis=0, return_counts=True)))}
+    assert ix.blocks.max() > 10
+    hot = int(np.argmax(ix.blocks))
+    routes = ix.routes(hot, 8000)
+    for block in range(int(ix.first[hot]), int(ix.first[hot] + ix.blocks[hot])):
+        slices = {r[3] for r in routes if r[2] == block}
+        seen = [(r[0], r[1]) for r in routes if r[2] == block and not r[4]]
+        assert sorted(seen) == sorted((c, p) for c, p in size if c in {x for x, _ in seen}) and len(set(seen)) == len(seen)
+        for piece in slices - {0}:
+            assert sum(size[r[0], r[1]] for r in routes if r[2] == block and r[3] == piece) <= 2 * 600
