@@ -70,6 +70,25 @@ def file_scores(spark: SparkSession, d: str, iterations: int | None = None) -> D
     return both.withColumn("importance", E.blend("centrality", "churn_score"))
 
 
+def file_ranks(spark: SparkSession, d: str, iterations: int | None = None) -> DataFrame:
+    r = pagerank(files(spark, d), file_edges(spark, d), "repo_id", "path", "src", "dst", "weight", iterations=iterations)
+    return r.withColumn("rank", F.round("rank", 7))
+
+
+def function_ranks(spark: SparkSession, d: str, iterations: int | None = None) -> DataFrame:
+    v, e = functions(spark, d).select("repo_id", "id"), written(call_edges(spark, d), "call-edges")
+    return pagerank(v, e, "repo_id", "id", "src", "dst", "weight", iterations=iterations).withColumn("rank", F.round("rank", 7))
+
+
+def importance(spark: SparkSession, d: str, iterations: int | None = None) -> DataFrame:
+    return file_scores(spark, d, iterations).select("repo_id", "path", F.round("importance", 3).alias("importance"))
+
+
+def places(scored: DataFrame) -> DataFrame:
+    w = Window.partitionBy("repo_id").orderBy(F.desc("importance"), "path")
+    return scored.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 10").select("repo_id", "path", "place", "importance")
+
+
 SQL_FILES = r"""
 f AS (SELECT repo_id, file_id, path, lower(language) AS language, regexp_replace(path, '/?[^/]*$', '') AS folder FROM source_files),
 imp AS (SELECT DISTINCT ON (i.file_id, i.imp_ord) i.repo_id, i.file_id, i.imp_ord, trim(i.specifier) AS specifier, i.kind, i.names, i.uses,
@@ -232,15 +251,25 @@ def call_counts(spark, d):
 
 
 @query("WITH " + SQL_NARROWED + ", fv AS (SELECT repo_id, path AS v FROM f)," + unrolled(4, "fv", "edge") + " SELECT repo_id, v AS path, round(r, 7) AS rank FROM r4")
+def pagerank_files_four_steps(spark, d):
+    return file_ranks(spark, d, iterations=4)
+
+
+@query()
 def pagerank_files(spark, d):
-    r = pagerank(files(spark, d), file_edges(spark, d), "repo_id", "path", "src", "dst", "weight", iterations=4)
-    return r.withColumn("rank", F.round("rank", 7))
+    """Ranks of files in their repository's import graph, until each has converged."""
+    return file_ranks(spark, d)
 
 
 @query("WITH " + SQL_CALLS + ", fv AS (SELECT repo_id, id AS v FROM fn)," + unrolled(3, "fv", "cedge") + " SELECT repo_id, v AS id, round(r, 7) AS rank FROM r3")
+def pagerank_functions_three_steps(spark, d):
+    return function_ranks(spark, d, iterations=3)
+
+
+@query()
 def pagerank_functions(spark, d):
-    v, e = functions(spark, d).select("repo_id", "id"), written(call_edges(spark, d), "call-edges")
-    return pagerank(v, e, "repo_id", "id", "src", "dst", "weight", iterations=3).withColumn("rank", F.round("rank", 7))
+    """Ranks of declarations in their repository's call graph, until each has converged."""
+    return function_ranks(spark, d)
 
 
 @query("WITH " + SQL_SCORES + "SELECT repo_id, path, churn, round(churn_score, 6) AS churn_score FROM score")
@@ -250,22 +279,33 @@ def churn_scores(spark, d):
 
 
 @query("WITH " + SQL_SCORES + "SELECT repo_id, path, round(importance, 3) AS importance FROM score")
+def file_importance_four_steps(spark, d):
+    return importance(spark, d, iterations=4)
+
+
+@query()
 def file_importance(spark, d):
-    return file_scores(spark, d, iterations=4).select("repo_id", "path", F.round("importance", 3).alias("importance"))
+    """Importance of each file, from ranks that have converged."""
+    return importance(spark, d)
 
 
 @query("WITH " + SQL_SCORES + """SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY round(importance, 3) DESC, path) AS place, round(importance, 3) AS importance
 FROM score QUALIFY place <= 10""")
+def analyze_rank_files_four_steps(spark, d):
+    """The flagship's list from four steps of PageRank, which SQL can check."""
+    return places(importance(spark, d, iterations=4))
+
+
+@query()
 def analyze_rank_files(spark, d):
-    """The flagship: resolve, collapse, rank, blend and list each repository's ten most important files."""
-    s = file_importance(spark, d)
-    w = Window.partitionBy("repo_id").orderBy(F.desc("importance"), "path")
-    return s.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 10").select("repo_id", "path", "place", "importance")
+    """The flagship: resolve, collapse, rank until every repository has converged, blend and list each
+    repository's ten most important files."""
+    return places(importance(spark, d))
 
 
 @query()
 def analyze_converged(spark, d):
-    """As the flagship, until every repository's ranks have converged."""
+    """The parts of every file's importance, unrounded."""
     return file_scores(spark, d).select("repo_id", "path", "centrality", "churn", "churn_score", "importance")
 
 

@@ -23,6 +23,19 @@ def transitions(spark, d) -> DataFrame:
     return E.collapse(nxt, ["month", "src", "dst"], drop_loops=("src", "dst"))
 
 
+def user_ranks(spark, d, iterations: int | None = None) -> DataFrame:
+    v = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM").alias("month"), "user_id").distinct()
+    return pagerank(v, transitions(spark, d), "month", "user_id", "src", "dst", "weight", iterations=iterations).withColumn("rank", F.round("rank", 8))
+
+
+def part_ranks(spark, d, iterations: int | None = None) -> DataFrame:
+    """Parts to suppliers: every supplier passes its rank on to all."""
+    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    e = written(E.collapse(li, ["flag", "src", "dst"]), "part-edges")
+    v = e.select("flag", F.col("src").alias("vertex")).union(e.select("flag", "dst")).distinct()
+    return pagerank(v, e, "flag", "vertex", "src", "dst", "weight", iterations=iterations).withColumn("rank", F.round("rank", 9))
+
+
 @query("WITH " + SQL_E + " SELECT repo_id AS month, src, dst, weight FROM edge")
 def edge_collapse(spark, d):
     return transitions(spark, d)
@@ -40,21 +53,28 @@ def incoming_weight(spark, d):
 
 
 @query("WITH " + SQL_E + "," + unrolled(4, "ev", "edge") + " SELECT repo_id AS month, v AS user_id, round(r, 8) AS rank FROM r4")
+def pagerank_weighted_four_steps(spark, d):
+    return user_ranks(spark, d, iterations=4)
+
+
+@query()
 def pagerank_weighted(spark, d):
-    v = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM").alias("month"), "user_id").distinct()
-    return pagerank(v, transitions(spark, d), "month", "user_id", "src", "dst", "weight", iterations=4).withColumn("rank", F.round("rank", 8))
+    """Ranks of users by transitions, until each month has converged."""
+    return user_ranks(spark, d)
 
 
 SQL_P = "edge AS (SELECT l_returnflag AS repo_id, 'p' || l_partkey AS src, 's' || l_suppkey AS dst, count(*) AS weight FROM lineitem GROUP BY ALL), pvx AS (SELECT repo_id, src AS v FROM edge UNION SELECT repo_id, dst FROM edge)"
 
 
 @query("WITH " + SQL_P + "," + unrolled(3, "pvx", "edge") + " SELECT repo_id AS flag, v AS vertex, round(r, 9) AS rank FROM r3")
+def pagerank_dangling_three_steps(spark, d):
+    return part_ranks(spark, d, iterations=3)
+
+
+@query()
 def pagerank_dangling(spark, d):
-    """Parts to suppliers: every supplier passes its rank on to all."""
-    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
-    e = written(E.collapse(li, ["flag", "src", "dst"]), "part-edges")
-    v = e.select("flag", F.col("src").alias("vertex")).union(e.select("flag", "dst")).distinct()
-    return pagerank(v, e, "flag", "vertex", "src", "dst", "weight", iterations=3).withColumn("rank", F.round("rank", 9))
+    """Parts to suppliers, until each flag has converged."""
+    return part_ranks(spark, d)
 
 
 @query("WITH b AS (SELECT c_mktsegment, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY 1) SELECT c_custkey, round(CASE WHEN hi = lo THEN 0.5 ELSE (c_acctbal - lo) / (hi - lo) END, 6) AS score FROM customer JOIN b USING (c_mktsegment)")

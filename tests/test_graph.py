@@ -2,6 +2,7 @@
 
 import json
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from codelode.operators import edges as E
 from codelode.operators import resolve as R
 from codelode.operators.pagerank import pagerank
+from codelode.plans import graph, relational
 
 PATHS = ["app.ts", "util.ts", "hub.ts", "lib/index.ts", "big.ts", "py/main.py", "py/helpers.py", "py/__init__.py", "orphan.ts", "src/main/java/com/acme/App.java", "src/main/java/com/acme/Store.java",
          "src/main/java/com/acme/model/Item.java", "src/test/java/com/acme/AppTest.java", "svc/main.go", "svc/run.go", "svc/run_test.go", "svc/store/open.go", "svc/store/db_test.go", "packages/core/src/index.ts"]
@@ -126,3 +128,43 @@ def test_scores(spark):
     deg = E.degrees(spark.createDataFrame([(1, "a"), (1, "b"), (1, "z")], "g int, v string"), spark.createDataFrame([(1, "a", "b", 2)], "g int, s string, d string, weight int"), ["g"], "v", "s", "d")
     assert sorted((r.v, r.out_degree, r.in_degree) for r in deg.collect()) == [("a", 1, 0), ("b", 0, 1), ("z", 0, 0)]
     assert F is not None
+
+
+CHAIN = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("d", "c", 5), ("a", "c", 1), ("e", "d", 1), ("f", "e", 3)]
+
+
+def test_rank_queries_run_to_the_stop_rule(spark, monkeypatch):
+    """The ranks of files and declarations, and the flagship's places, are the converged ones."""
+    v = list("abcdef")
+    true = reference_pagerank(v, CHAIN)
+    files = spark.createDataFrame([(1, x) for x in v], "repo_id long, path string")
+    edges = spark.createDataFrame([(1, *x) for x in CHAIN], "repo_id long, src string, dst string, weight long")
+    monkeypatch.setattr(graph, "files", lambda s, d: files)
+    monkeypatch.setattr(graph, "file_edges", lambda s, d: edges)
+    monkeypatch.setattr(graph, "functions", lambda s, d: files.withColumnRenamed("path", "id"))
+    monkeypatch.setattr(graph, "call_edges", lambda s, d: edges)
+    monkeypatch.setattr(graph, "churn", lambda s, d: files.selectExpr("repo_id", "path", "0L AS churn"))
+    for query, key in ((graph.pagerank_files, "path"), (graph.pagerank_functions, "id")):
+        assert {r[key]: r["rank"] for r in query(spark, "").collect()} == pytest.approx(true, abs=1e-7)
+    low, high = min(true.values()), max(true.values())
+    scale = {k: (x - low) / (high - low) for k, x in true.items()}
+    got = {r.path: (r.place, r.importance) for r in graph.analyze_rank_files(spark, "").collect()}
+    all_ = {r.path: r.importance for r in graph.analyze_converged(spark, "").collect()}
+    assert {k: x[1] for k, x in got.items()} == pytest.approx(all_, abs=6e-4)
+    assert sorted(v, key=lambda x: got[x][0]) == sorted(v, key=lambda x: (-got[x][1], x))
+    assert {r.path: r.centrality for r in graph.analyze_converged(spark, "").collect()} == pytest.approx(scale, abs=1e-6)
+
+
+def test_relational_ranks_run_to_the_stop_rule(spark, tmp_path):
+    li = [("A", 1, 1), ("A", 1, 1), ("A", 1, 2), ("A", 2, 2), ("A", 3, 2), ("R", 1, 3)]
+    spark.createDataFrame(li, "l_returnflag string, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r.flag, r.vertex): r["rank"] for r in relational.pagerank_dangling(spark, str(tmp_path)).collect()}
+    for flag in "AR":
+        e = Counter((f"p{p}", f"s{s}") for f, p, s in li if f == flag)
+        for k, x in reference_pagerank(sorted({x for p in e for x in p}), [(*p, n) for p, n in e.items()]).items():
+            assert got[flag, k] == pytest.approx(x, abs=1e-8)
+    users = [1, 2, 3, 1, 2, 4, 4, 1, 3, 2, 1, 2]
+    spark.createDataFrame([(i, u, f"2024-01-01 00:{i:02}:00") for i, u in enumerate(users)], "event_id long, user_id long, t string").selectExpr("event_id", "user_id", "CAST(t AS TIMESTAMP) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    e = Counter((a, b) for a, b in zip(users, users[1:]) if a != b)
+    true = reference_pagerank(sorted(set(users)), [(*p, n) for p, n in e.items()])
+    assert {r.user_id: r["rank"] for r in relational.pagerank_weighted(spark, str(tmp_path)).collect()} == pytest.approx(true, abs=1e-8)
