@@ -12,6 +12,7 @@ from which the end can't be derived (it isn't nullable) tells that the text was
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 END = "END"  # kind for the end of input, where statement ends may be left out
 MOST_STATES = 400_000  # memo entries after which it is emptied between texts; results don't depend on it
@@ -347,6 +348,12 @@ class Language:
     def __init__(self, grammar: Grammar, state: type[State], pattern: re.Pattern, classify):
         self.grammar, self.state, self.pattern, self.kinds = grammar, state, pattern, Kinds(classify)
 
+    def tokens(self, text: str) -> list[str]:
+        return self.pattern.findall(text)
+
+    def places(self, text: str) -> Iterator[tuple[int, str]]:
+        return ((m.start(), m.group()) for m in self.pattern.finditer(text))
+
     def check(self, text: str, rule: str | None = None) -> tuple[bool, int | None, bool]:
         """(valid, line of the failing token, was the text cut off)"""
         if self.grammar.entries > MOST_STATES:
@@ -355,14 +362,13 @@ class Language:
         text = lead + text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
         kind = self.kinds
         s = first = self.state.start(self.grammar, rule)
-        tokens = self.pattern.findall(text)
-        for t in tokens:
+        for t in self.tokens(text):
             s = s[kind[t]]
         if not s.dead():
             return (True, None, False) if s.complete() else (False, text.count("\n") + 1 - len(lead), True)
         s = first
-        for m in self.pattern.finditer(text):
-            s = s[kind[m.group()]]
+        for at, t in self.places(text):
+            s = s[kind[t]]
             if s.dead():
-                return False, text.count("\n", 0, m.start() + (m.group()[:1] == "\n")) + 1 - len(lead), False
+                return False, text.count("\n", 0, at + (t[:1] == "\n")) + 1 - len(lead), False
         return False, None, False

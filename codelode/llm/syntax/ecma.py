@@ -216,11 +216,7 @@ _OPS = "... => === !== **= <<= &&= ||= ??= == != <= >= && || ?? ?. ++ -- += -= *
 _STRING = r"(?:\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')"
 _NUMBER = r"(?:0[xX][\da-fA-F](?:_?[\da-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?n?)"
 _IDENT = r"(?:[^\W\d]|\$|\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\})(?:\w|\$|‌|‍|\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\})*"
-_TEXT0 = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*`"
-_HOLE1 = r"\$\{(?:[^`{}]|" + _TEXT0 + r"|\{(?:[^`{}]|" + _TEXT0 + r"|\{[^`{}]*\})*\})*\}"
-_TEXT1 = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|" + _HOLE1 + r")*`"
-_HOLE2 = r"\$\{(?:[^`{}]|" + _TEXT1 + r"|\{(?:[^`{}]|" + _TEXT1 + r"|\{(?:[^`{}]|" + _TEXT1 + r")*\})*\})*\}"
-_TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|" + _HOLE2 + r")*`"
+_TEXT = r"(?:[^`\\$]+|\\[\s\S]|\$(?!\{))*"  # between the holes of a template
 _REGEX = r"/(?![*/])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*"
 # a slash after "<" ends an element in TSX
 _BEFORE_REGEX = r"(?:(?<=[=(,:\[!&|?{;+\-*%~^>\n])|(?<=return)|(?<=typeof)|(?<=case)|(?<=^))[ \t]*"
@@ -230,11 +226,64 @@ def _pattern(jsx: bool) -> re.Pattern:
     text = r"(?<=[>}])[^<>{}]*[^<>{}\s][^<>{}]*(?=</)|" if jsx else ""
     # after a line end a slash begins a regular expression only where no operand is before it; there it
     # is told from a division by the blank that follows the operator
-    return re.compile(r"\n|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|^#![^\n]*|" + text + ("" if jsx else r"(?<=<)(?=" + _REGEX + ")" + _REGEX + "|") + _BEFORE_REGEX + "(?=" + _REGEX + ")" + _REGEX + "|" + _STRING + "|" + _TEMPLATE + "|#" + _IDENT + "|" + _IDENT + "|" + _NUMBER + "|" + r"\?\.(?!\d)|" + "|".join(re.escape(x) for x in _OPS if x != "?.") + r"|[^\s]")
-
-
-_FULL = {k: re.compile(v) for k, v in {"STR": _STRING, "TPL": _TEMPLATE, "NUM": _NUMBER, "ID": _IDENT, "PRIVATE": "#" + _IDENT, "REGEX": r"[ \t]*" + _REGEX}.items()}
-_HOLES = re.compile(_HOLE2)
+    return re.compile(r"\n|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|^#![^\n]*|" + text + ("" if jsx else r"(?<=<)(?=" + _REGEX + ")" + _REGEX + "|") + _BEFORE_REGEX + "(?=" + _REGEX + ")" + _REGEX + "|" + _STRING + "|#" + _IDENT + "|" + _IDENT + "|" + _NUMBER + "|" + r"\?\.(?!\d)|" + "|".join(re.escape(x) for x in _OPS if x != "?.") + r"|[^\s]")
+
+
+_FULL = {k: re.compile(v) for k, v in {"STR": _STRING, "NUM": _NUMBER, "ID": _IDENT, "PRIVATE": "#" + _IDENT, "REGEX": r"[ \t]*" + _REGEX}.items()}
+_CHUNK = re.compile(_TEXT)
+
+
+def _template(pattern: re.Pattern, text: str, at: int) -> tuple[int, list[tuple[int, int]]] | None:
+    """The end of the template that begins at ``at`` and its holes' places; its expressions are read as
+    tokens with a depth of braces, so that it may nest as deep as it likes. None if it isn't closed."""
+    i, open_, holes, first = at + 1, [-1], [], 0  # -1: in the text of a template, else braces open in a hole
+    while open_:
+        if open_[-1] < 0:
+            i = _CHUNK.match(text, i).end()
+            if text.startswith("`", i):
+                open_.pop()
+                i += 1
+            elif text.startswith("${", i):
+                i += 2
+                if len(open_) == 1:
+                    first = i
+                open_.append(0)
+            else:
+                return None
+            continue
+        m = pattern.search(text, i)
+        if not m:
+            return None
+        i, t = m.end(), m.group()
+        if t == "`":
+            open_.append(-1)
+        elif t == "{":
+            open_[-1] += 1
+        elif t == "}" and open_[-1]:
+            open_[-1] -= 1
+        elif t == "}":
+            open_.pop()
+            if len(open_) == 1:
+                holes.append((first, m.start()))
+    return i, holes
+
+
+class _Language(Language):
+    """Templates are one token each."""
+
+    def tokens(self, text: str) -> list[str]:
+        return [t for _, t in self.places(text)] if "`" in text else super().tokens(text)
+
+    def places(self, text: str):
+        i, closed = 0, True
+        while m := self.pattern.search(text, i):
+            i = m.end()
+            if m.group() == "`" and closed:
+                found = _template(self.pattern, text, m.start())
+                closed = found is not None or self.kinds.classify.jsx  # a lone one may be an element's text
+                if found:
+                    i = found[0]
+            yield m.start(), text[m.start() : i]
 
 
 class _Classify:
@@ -255,9 +304,8 @@ class _Classify:
         c = t[0]
         if c in "\"'":
             return "STR" if _FULL["STR"].fullmatch(t) else "JTEXT" if self.jsx else "BAD"
-        if c == "`" and _FULL["TPL"].fullmatch(t):
-            holes = _HOLES.findall(t)
-            return "TPL" if all(self.language.check(h[2:-1], "expr")[0] for h in holes) else "BAD"
+        if c == "`" and (found := _template(self.language.pattern, t, 0)):
+            return "TPL" if all(self.language.check(t[s:e], "expr")[0] for s, e in found[1]) else "BAD"
         for kind in ("ID", "NUM", "PRIVATE", "REGEX"):
             if _FULL[kind].fullmatch(t):
                 return "BAD" if kind == "NUM" and re.fullmatch(r"0\d+n|\d+_|.*__.*", t) else kind
@@ -266,7 +314,7 @@ class _Classify:
 
 def _language(grammar: str, jsx: bool) -> Language:
     classify = _Classify(jsx)
-    classify.language = Language(Grammar(grammar, "program"), FreeState, _pattern(jsx), classify)
+    classify.language = _Language(Grammar(grammar, "program"), FreeState, _pattern(jsx), classify)
     return classify.language
 
 

@@ -95,3 +95,19 @@ def test_operator(spark):
     assert validity.syntax_flags(df.limit(0), "k", "p", "c").count() == 0
     rates = validity.error_rates(validity.syntax_flags(df, "k", "p", "c"), "language")
     assert {r.language: (r.files, r.with_errors) for r in rates.collect()}["python"] == (4, 2)
+
+
+DEEP = "x => { if (x) { return { b: { c: `${[1].map(y => { if (y) { return { d: '}' } } })}` } }; } }"
+
+
+@pytest.mark.parametrize("language", ["javascript", "typescript", "tsx"])
+def test_templates_of_any_depth(language):
+    c = validity.checker(language)
+    text = DEEP
+    for _ in range(4):
+        assert c.check(f"const a = 1\nconst s = `a${{b.map({text})}}c${{d}}`\nf(s)")[0]
+        assert c.check(f"const a = 1\nconst s = `a${{b.map({text})}}c${{d e}}`\nf(s)")[:2] == (False, 2)
+        assert not c.check(f"const s = `a${{b.map({text.replace('return', 'return return')})}}c`")[0]
+        text = f"x => {{ if (x) {{ return {{ b: `${{b.map({text})}}` }}; }} }}"
+    assert c.check('const s = `${"}"}${`}`}\\``')[0] and c.check("f`$${a}$`\ng``")[0]
+    assert not c.check("const s = `${a")[0] and not c.check("const s = `${{a}`")[0]
