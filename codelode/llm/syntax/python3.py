@@ -8,6 +8,8 @@ import re
 from codelode.llm.syntax.derivatives import Grammar, IndentState, Language
 
 GRAMMAR = r"""
+hole: '(' starlist ')' NEWLINE
+
 file: (stmt | NEWLINE)*
 
 stmt: simple | compound
@@ -133,13 +135,112 @@ name: ID | 'match' | 'case' | 'type'
 
 _SOFT = {"match", "case", "type"}
 _OPS = "... **= //= >>= <<= -> := += -= *= /= %= @= &= |= ^= == != <= >= << >> ** // + - * / % @ & | ^ ~ < > ( ) [ ] { } , : . ; =".split()
-_NESTED = r"(?:[rR]?[fFtT][rR]?(?:\"(?!\"\")(?:[^\"\\\n{}]|\\[\s\S]|\{\{|\}\}|\{(?:[^\"{}\n]|\"[^\"\n]*\"|\{[^{}\n]*\})*\})*\"|'(?!'')(?:[^'\\\n{}]|\\[\s\S]|\{\{|\}\}|\{(?:[^'{}\n]|'[^'\n]*'|\{[^{}\n]*\})*\})*'))"
-_STRING = _NESTED + r"|(?:[rRuUbBfFtT]{1,3})?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*')"
+_FSTART = r"(?:[fFtT][rR]?|[rR][fFtT])(?:\"\"\"|'''|\"|')"
+_STRING = r"(?:[rRuUbB]{1,2})?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!\'\'))*'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!\'\')(?:[^'\\\n]|\\[\s\S])*')"
 _NUMBER = r"(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)"
-PATTERN = re.compile(r"\n[ \t\f]*|#[^\n]*|\\\n|" + _STRING + r"|[^\W\d]\w*|" + _NUMBER + "|" + "|".join(map(re.escape, _OPS)) + r"|[^\s]")
+PATTERN = re.compile(r"\n[ \t\f]*|#[^\n]*|\\\n|" + _FSTART + "|" + _STRING + r"|[^\W\d]\w*|" + _NUMBER + "|" + "|".join(map(re.escape, _OPS)) + r"|[^\s]")
 _FULL_NUMBER, _FULL_STRING = re.compile(_NUMBER), re.compile("(?:" + _STRING + ")")
 
 
+_OPEN, _FTEXT = re.compile(_FSTART), re.compile(r"[^\\{}\n\"']+")
+_CONVERSION = re.compile(r"\s*[rsa]\s*(?=[:}])")
+_MOST_NESTED = 150  # as in CPython
+
+
+def fstring(text: str, at: int, holes: list[tuple[int, int]] | None = None, level: int = 0) -> int | None:
+    """The end of the f-string that begins at ``at``, or None if its quotes or braces don't close; the
+    places of its expressions, those in format specifications too, are added to ``holes``."""
+    m = _OPEN.match(text, at)
+    if not m or level >= _MOST_NESTED:
+        return None
+    quote = m.group().lstrip("fFtTrR")
+    raw, i, spec = "r" in m.group().lower(), m.end(), 0
+    while i < len(text):
+        c = text[i]
+        if text.startswith(quote, i):
+            return None if spec else i + len(quote)
+        if c == "\n" and (len(quote) == 1 or spec):
+            return None
+        if c == "\\":
+            if not raw and text.startswith("N{", i + 1):
+                i = text.find("}", i) + 1
+                if not i:
+                    return None
+            else:
+                i += 1 if text[i + 1 : i + 2] in ("{", "}") else 2
+        elif c == "}":
+            if spec:
+                spec -= 1
+                i += 1
+            elif text.startswith("}}", i):
+                i += 2
+            else:
+                return None
+        elif c == "{" and not spec and text.startswith("{{", i):
+            i += 2
+        elif c == "{":
+            first, end, depth, last = i + 1, None, 0, ""
+            while m := PATTERN.search(text, i + 1 if i < first else i):
+                t, i = m.group(), m.end()
+                if _OPEN.fullmatch(t):
+                    i = fstring(text, m.start(), None, level + 1)
+                    if i is None:
+                        return None
+                elif t in ("(", "[", "{"):
+                    depth += 1
+                elif depth and t in (")", "]", "}"):
+                    depth -= 1
+                elif not depth and t in ("!", ":", ":=", "}"):
+                    end = m.start()
+                    break
+                if t[0] not in "#\n":
+                    last, last_at = t, m.start()
+            if end is None:
+                return None
+            if t == "!":
+                conversion = _CONVERSION.match(text, i)
+                if not conversion:
+                    return None
+                i = conversion.end() + 1
+                t = text[i - 1]
+            elif t == ":=":
+                i -= 1
+            if holes is not None:
+                holes.append((first, last_at if last == "=" else end))
+            spec += t != "}"
+        else:
+            m = _FTEXT.match(text, i)
+            i = m.end() if m else i + 1
+    return None
+
+
+class _Language(Language):
+    """F-strings are one token each."""
+
+    def tokens(self, text: str) -> list[str]:
+        return [t for _, t in self.places(text)] if _OPEN.search(text) else super().tokens(text)
+
+    def places(self, text: str):
+        i = 0
+        while m := self.pattern.search(text, i):
+            i = m.end()
+            if _OPEN.fullmatch(m.group()):
+                i = fstring(text, m.start()) or i
+            yield m.start(), text[m.start() : i]
+
+
+class _Classify:
+    """Kinds of tokens; the expressions inside an f-string are checked by the same language."""
+
+    language: Language
+
+    def __call__(self, t: str):
+        if _OPEN.match(t):
+            holes: list[tuple[int, int]] = []
+            return "STR" if fstring(t, 0, holes) == len(t) and all(self.language.check("(" + t[s:e] + "\n)", "hole")[0] for s, e in holes) else "BAD"
+        return classify(t)
+
+
 def classify(t: str):
     c = t[0]
     if c == "\n":
@@ -159,4 +260,6 @@ def classify(t: str):
 
 
 def language() -> Language:
-    return Language(Grammar(GRAMMAR, "file"), IndentState, PATTERN, classify)
+    kinds = _Classify()
+    kinds.language = _Language(Grammar(GRAMMAR, "file"), IndentState, PATTERN, kinds)
+    return kinds.language

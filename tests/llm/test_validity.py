@@ -111,3 +111,18 @@ def test_templates_of_any_depth(language):
         text = f"x => {{ if (x) {{ return {{ b: `${{b.map({text})}}` }}; }} }}"
     assert c.check('const s = `${"}"}${`}`}\\``')[0] and c.check("f`$${a}$`\ng``")[0]
     assert not c.check("const s = `${a")[0] and not c.check("const s = `${{a}`")[0]
+
+
+F_GOOD = ['f"{x}"', "f'{a[\"b\"]}'", 'f"{x!r:>{w}.{p}}"', 'f"{x=}"', 'f"{x = !r}"', 'f"{{}}"', 'f"{a, *b}"', "f'{x:%Y-%m}'", 'f"{(lambda: 1)()}"', 'f"{a != b}"', 'rf"\\d{n}"', 'f"\\N{BULLET}{x}"', 'f"{x:=5}"', 'f"a" "b" f"{c}"', 'f"{ {1: 2}[1] }"', 'f"{f\'{y}\'}"', "f'''{\n x\n}'''", 'f"{(yield)}"', 'f""']
+F_BAD = ['f"{x"', 'f"{x +}"', 'f"{}"', 'f"{a b}"', 'f"}"', 'f"{x!z}"', 'f"{x:{}}"', 'f"{ }"', 'f"{f\'{y +}\'}"', 'f"{x)}"', 'f"{lambda x: 1}"', 'f"{a b!r}"', 'f"{!r}"']
+
+
+def test_expressions_in_f_strings():
+    c = validity.checker("python")
+    for s, good in [(s, True) for s in F_GOOD] + [(s, False) for s in F_BAD]:
+        try:
+            ast.parse(f"a = 1\nb = {s}\n")
+            valid = True
+        except SyntaxError:
+            valid = False
+        assert (s, c.check(f"a = 1\nb = {s}\n")[0], valid) == (s, good, good)
