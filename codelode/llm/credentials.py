@@ -45,6 +45,8 @@ _PUBLIC = re.compile(r"-----BEGIN (?!(?:[A-Z0-9]+ )*PRIVATE)[A-Z0-9 ]+-----")
 _USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@\"'`<>]*:([^\s/@\"'`<>]+)@")
 _QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.){6,})\"|'((?:[^'\\\n]|\\.){6,})'|`([^`\n]{6,})`")
 _CONFIG_LINE = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?[\"']?([A-Za-z_][\w.\-]*)[\"']?[ \t]*(?::=|[:=])[ \t]*([^\s\"'`#;,(){}\[\]][^\n]*?)[ \t]*,?$", re.M)
+_COMMENT = re.compile(r"[ \t]+(?:#|;|//)[^\n]*$")  # after a value
+_KEY_VALUE = re.compile(r"(?<![\w.\-])[A-Za-z_][\w.\-]*[ \t]*=[ \t]*([^\s;,&\"'`<>]+)")
 _SCHEME = re.compile(r"(?i)^(?:bearer|basic|token|digest)[ \t]+")
 _LOOKUP = re.compile(r"(?i)(?:\w\[|(?:getenv|environ\.get|env|secrets?|config|settings|vault|params?|property|getproperty|header|get)\s*\()\s*[\"'`]$")
 _FILLER = frozenset("bearer basic is here are was be the a an this that of for now value todo remove temp".split())  # fixed values
@@ -101,11 +103,20 @@ def candidates(text: str, path: str | None) -> list[Candidate]:
         elif " " not in v and "\t" not in v and free(m.start(g), e):
             add(s, e, "quoted")
             taken.append(m.span())
+        elif (" " in v or "\t" in v) and free(m.start(g), e):
+            # a keyword string's parts, or the whole under a secret's name
+            parts = [p.span(1) for p in _KEY_VALUE.finditer(text, s, e)]
+            for a, b in parts:
+                add(a, b, "quoted")
+            if not parts and secret_name(name_words(names_before(text, s))):
+                add(s, e, "quoted")
     if path is None or CONFIG.search(path):
         for m in _CONFIG_LINE.finditer(text):
             s, e = m.span(2)
             if (scheme := _SCHEME.match(text[s:e])):
                 s += scheme.end()
+            if (comment := _COMMENT.search(text[s:e])):
+                e = s + comment.start()
             if not re.search(r"\s", text[s:e]):
                 add(s, e, "config")
     for m in _LOOSE.finditer(text):
@@ -119,13 +130,16 @@ def candidates(text: str, path: str | None) -> list[Candidate]:
     breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 10)
     for s, e, kind in sorted(found):
         at = s if kind != "private" else text.rfind("-----BEGIN", 0, s)
-        begin = text.rfind("\n", 0, at) + 1
-        names = _IDENT.findall(text[max(begin, at - 80) : at])
-        names = [x for x in names if x.lower() not in _FILLER][-5:]
-        out.append(Candidate(int(np.searchsorted(breaks, at)) + 1, s, e, text[s:e], " ".join(names), kind))
+        out.append(Candidate(int(np.searchsorted(breaks, at)) + 1, s, e, text[s:e], names_before(text, at), kind))
     return out
 
 
+def names_before(text: str, at: int) -> str:
+    begin = text.rfind("\n", 0, at) + 1
+    names = _IDENT.findall(text[max(begin, at - 80) : at])
+    return " ".join([x for x in names if x.lower() not in _FILLER][-5:])
+
+
 def _key_body(text: str, at: int) -> int:
     m = re.compile(r"(?:\\n|[\sA-Za-z0-9+/=:,\-])*").match(text, at)
     return m.end() if m else at
@@ -163,14 +177,14 @@ def weak_label(kind: str, value: str, names: str) -> int:
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
     plain = PLAIN.search(value)
     if secret_name(words):
-        return 0 if plain or len(value) > 300 else 1 if mixed and 8 <= len(value) <= 200 else -1
+        return 0 if plain else 1 if mixed and 8 <= len(value) <= 200 else -1
     if plain or (set(words) & OTHER and not any(secret_name([w]) for w in words)):
         return 0
     return 0 if kind != "bare" and not any(secret_name([w]) for n in names.split(" ") for w in [p.lower() for p in _PARTS.findall(n)]) else -1
 
 
 def features(value: str, names: str, kind: str, path: str | None, pair_log: np.ndarray) -> list[float]:
-    v = value[:400]
+    v = value
     b = np.frombuffer(v.encode("utf-8", "replace"), np.uint8).astype(np.int64)
     like = float(pair_log[b[:-1] * 256 + b[1:]].mean()) if len(b) > 1 else -3.0
     n = max(1, len(v))

@@ -73,3 +73,15 @@ def test_calibration_held_out(spark):
     s = K.Scorer(x, y)
     p = s(x)
     assert s.held_accuracy > 0.8 and abs(p[p > 0.5].mean() - y[p > 0.5].mean()) < 0.1
+
+
+def test_values_with_comments_blanks_and_length():
+    got = lambda text, path=None: [(c.value, c.names.split(" ")[-1]) for c in K.candidates(text, path)]
+    assert got("password: s3cretPw9 # prod", "a.yml") == [("s3cretPw9", "password")]
+    assert got("db.password = hunter22x ; prod\nx = y#z1234", "a.ini") == [("hunter22x", "db.password"), ("y#z1234", "x")]
+    assert ("s3cretPw9", "password") in got("dsn = 'host=db user=app password=s3cretPw9'", "a.py")
+    assert ("Blue 42 horses run", "passphrase") in got('passphrase = "Blue 42 horses run"', "a.py")
+    assert got('title = "Blue 42 horses run"', "a.py") == []
+    assert K.weak_label("quoted", "aB3" * 200, "api_key") == -1
+    flat = K.np.zeros(65536)
+    assert K.features("a" * 400, "x", "quoted", None, flat) != K.features("a" * 400 + "Z9" * 50, "x", "quoted", None, flat)
