@@ -1,24 +1,25 @@
 """Problem 4: the k most similar vectors of every vector, by an inverted multi-index.
 
-Vectors are scaled to unit length and each half is quantised by its own k-means codebook; a cell is a
-pair of centroids. From each occupied cell the pairs of centroids are traversed in order of their summed
-distance with a heap until their cells hold ``reach`` vectors; the vectors of the cell are compared
-exactly with those and the best k are kept.
-
-The codebooks are fitted on a bounded sample (``sample`` vectors a collection); every vector is indexed.
-The number of centroids grows with the root of the number of vectors, up to ``MAX_CODES``, so that what
-a vector is compared with doesn't grow. The index that is broadcast is the codebooks and three numbers
-a cell, at most ``MAX_CODES`` squared of each.
-
-Cells lie in an order that keeps near ones together (recursive bisection of the codebooks) and are
-packed in that order into blocks of about ``block`` vectors, so a block needs few vectors from
-elsewhere; a cell with more vectors than that is dealt out over several blocks. Each vector is sent to
-the blocks whose cells reach its own cell, and a block is searched cell by cell with matrix products.
-Candidates in such an oversized cell are cut into slices of the same bound; a block is searched against
-each slice by itself and the best of all slices are merged.
-
-Of vectors that are equal only the first k + 1 by key are indexed, which is enough for any answer; the
-other copies get their neighbours from that class. Ties go to the smaller key.
+Each half of the vectors (at unit length) is quantised by its own k-means codebook; a cell is a pair of
+centroids. From each occupied cell the pairs of centroids are traversed in order of their summed distance
+with a heap, until their cells hold ``reach`` vectors or ``pops`` pairs were taken; the vectors of the
+cell are compared with those of the reached cells, and the best are reranked by the exact cosine of the
+stored vectors.
+
+* **Codebooks** are fitted on a bounded sample (``sample`` vectors a collection), one task a collection;
+  every vector is indexed. The number of centroids grows with the root of the number of vectors, so a cell
+  holds about ``per_cell`` vectors at any size. Where a cell would hold more than four times ``reach``, its
+  part of the sample gets centroids of its own. Collections of at most twice ``reach`` vectors are one cell.
+* **The index** that is broadcast has the codebooks and one byte a cell (the logarithm of its count), that
+  is a sixteenth of a byte for each vector; ``per_cell`` rises where there would be more than 2^27 cells.
+* **Search.** Cells lie in an order that keeps near ones together (recursive bisection of the codebooks,
+  interleaved) and are packed in it into blocks of about ``block`` candidates; a denser place is dealt out
+  over several blocks. A vector is sent to the blocks that have cells it reaches, in slices of about
+  ``asking`` vectors, so no group holds more than a fixed number of rows. The best of all blocks are merged.
+
+Of vectors that are equal (to a millionth in each number at unit length) only the first k + 1 by key are
+indexed, which is enough for any answer; the other copies get their neighbours from that class. Cosines
+are rounded to nine places, ties go to the smaller key.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,38 +36,45 @@ from pyspark.sql import functions as F
 from codelode.llm import tables
 from codelode.session import written
 
-MAX_CODES = 1024
-MAX_COLLECTIONS = 64
+MOST_CELLS = 1 << 27  # bytes of the index; beyond that, cells hold more vectors
+SALT_ROWS = 1 << 16  # vectors of a cell that are joined with its routes in one task
+MARGIN = 2e-6  # of single precision; what is within it of the k-th best is reranked
 
 
-STEP = 32767.0  # unit vectors travel as 16-bit integers; a cosine is off by about a hundred-thousandth
+def matrix(column, dim: int) -> np.ndarray:
+    """A column of binary rows of ``dim`` 32-bit floats."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(a):
+        return np.zeros((0, dim), np.float32)
+    return np.frombuffer(b"".join(a.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def decoded(values, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(values), np.int16).reshape(-1, dim).astype(np.float32) / np.float32(STEP)
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows at unit length, in double precision."""
+    d = m.astype(float)
+    d /= np.abs(d).max(1, initial=1e-300, keepdims=True)
+    return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
-def unit_vectors(df: DataFrame, dim: int) -> DataFrame:
-    """(key, collection, vec, order) -> ``key, collection, order, h1, h2, v``: the vector at unit length as
-    16-bit integers and two hashes of it in full precision; null where it isn't usable."""
+def usable_vectors(df: DataFrame, dim: int) -> DataFrame:
+    """(key, collection, vec, order) -> ``key, collection, order, h1, h2, v``: the vector as 32-bit floats
+    and two hashes of its direction; null where it isn't usable."""
     order = dict(df.dtypes)["order"]
 
     def run(batches):
-        for pdf in batches:
-            n = len(pdf)
+        for rb in batches:
+            n, lists = rb.num_rows, rb.column("vec")
+            at = np.flatnonzero(pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False) == dim)
+            m = pc.fill_null(lists.take(pa.array(at)).flatten(), float("nan")).to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            good = np.isfinite(m).all(1) & (m != 0).any(1)
+            at, m = at[good], m[good]
             v, h1, h2 = [None] * n, [None] * n, [None] * n
-            at = [i for i, x in enumerate(pdf["vec"]) if x is not None and len(x) == dim]
-            m = np.stack([np.asarray(pdf["vec"].iloc[i], dtype=float) for i in at]) if at else np.zeros((0, dim))
-            top = np.abs(m).max(1, initial=0.0)
-            good = np.isfinite(m).all(1) & (top > 0)
-            m = m[good] / top[good, None]
-            m /= np.linalg.norm(m, axis=1, keepdims=True)
-            for i, full, short in zip(np.asarray(at, dtype=int)[good], m.astype(np.float32), np.round(m * STEP).astype(np.int16)):
-                h = xxhash.xxh3_128_intdigest(full.tobytes())
-                v[i], h1[i], h2[i] = short.tobytes(), (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
-            yield pd.DataFrame({"key": pdf["key"], "collection": pdf["collection"], "order": pdf["order"], "h1": pd.array(h1, "Int64"), "h2": pd.array(h2, "Int64"), "v": v})
+            for i, row, grid in zip(at, m, np.rint(unit(m) * (1 << 20)).astype(np.int32)):
+                h = xxhash.xxh3_128_intdigest(grid.tobytes())
+                v[i], h1[i], h2[i] = row.tobytes(), (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+            yield pa.RecordBatch.from_arrays([rb.column("key"), rb.column("collection"), rb.column("order"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(v, pa.binary())], names=["key", "collection", "order", "h1", "h2", "v"])
 
-    return df.where("key IS NOT NULL AND collection IS NOT NULL").mapInPandas(run, f"key long, collection string, order {order}, h1 long, h2 long, v binary")
+    return df.where("key IS NOT NULL AND collection IS NOT NULL").mapInArrow(run, f"key long, collection string, order {order}, h1 long, h2 long, v binary")
 
 
 def codebook(y: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -88,6 +97,23 @@ def nearest(y: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(y[i : i + 4096] @ c.T - half, axis=1) for i in range(0, len(y), 4096)] or [np.zeros(0, np.int64)])
 
 
+def codebooks(sample: np.ndarray, n: int, per_cell: float, hot: float) -> tuple[np.ndarray, np.ndarray]:
+    """A codebook for either half. Cells that hold more than ``hot`` of the ``n`` vectors, going by the
+    sample, add centroids fitted on their own part of it, at most as many as there are."""
+    h, k = sample.shape[1] // 2, max(1, min(int(np.ceil(np.sqrt(n / per_cell))), len(sample)))
+    a, b = codebook(sample[:, :h], k), codebook(sample[:, h:], k)
+    for _ in range(2):
+        cells, of, count = np.unique(nearest(sample[:, :h], a) * len(b) + nearest(sample[:, h:], b), return_inverse=True, return_counts=True)
+        scale, room = n / len(sample), 2 * k - max(len(a), len(b))
+        for c in np.argsort(-count, kind="stable"):
+            if count[c] * scale <= hot or count[c] < 8 or room <= 0:
+                break
+            own = sample[of == c]
+            extra = min(room, int(np.ceil(np.sqrt(count[c] * scale / per_cell))), len(own) // 2)
+            a, b, room = np.vstack([a, codebook(own[:, :h], extra)]), np.vstack([b, codebook(own[:, h:], extra)]), room - extra
+    return a, b
+
+
 def bisection(c: np.ndarray) -> np.ndarray:
     """Place of each centroid in an order that keeps near ones together."""
     place, todo, at = np.zeros(len(c), np.int64), [np.arange(len(c))], 0
@@ -103,109 +129,161 @@ def bisection(c: np.ndarray) -> np.ndarray:
     return place
 
 
+def coded(n: np.ndarray) -> np.ndarray:
+    """Counts as one byte each: 0 for none, else their logarithm in sevenths of an octave."""
+    return np.where(n > 0, 1 + np.rint(7 * np.log2(np.maximum(n, 1))), 0).astype(np.uint8)
+
+
+SIZES = np.concatenate([[0.0], 2 ** (np.arange(255) / 7)])  # what the bytes stand for
+
+
 class MultiIndex:
-    """Codebooks, and after ``occupy`` each cell's number of vectors and its blocks."""
+    """Codebooks, each cell's count and, after ``lay_out``, its block. Without codebooks there is one cell."""
 
-    def __init__(self, sample: np.ndarray, n: int, per_cell: float):
-        k = max(1, min(MAX_CODES, int(np.ceil(np.sqrt(n / per_cell))), len(sample)))
-        h = sample.shape[1] // 2
-        self.h, self.a, self.b = h, codebook(sample[:, :h], k), codebook(sample[:, h:], k)
-        self.k = len(self.a)
-        near = [((c[:, None, :] - c[None, :, :]) ** 2).sum(2) if k <= 256 else np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * c @ c.T, 0) for c in (self.a, self.b)]
-        self.near = [d.astype(np.float32) for d in near]
-        self.order = [np.argsort(d, axis=1, kind="stable").astype(np.int16) for d in self.near]
+    def __init__(self, a: np.ndarray, b: np.ndarray, codes: np.ndarray):
+        self.a, self.b, self.h, self.ka, self.kb = a, b, a.shape[1], len(a), len(b)
+        self.codes = codes.reshape(self.ka, self.kb)
 
     def cells(self, m: np.ndarray) -> np.ndarray:
-        return nearest(m[:, : self.h], self.a) * self.k + nearest(m[:, self.h :], self.b)
-
-    def occupy(self, cells: np.ndarray, counts: np.ndarray, block: int) -> None:
-        self.count = np.zeros(self.k * self.k, np.int64)
-        self.count[cells] = counts
-        self.occupied = cells
-        pa, pb = bisection(self.a), bisection(self.b)
-        order = cells[np.lexsort((pb[cells % self.k], pa[cells // self.k]))]
-        self.first, self.blocks = np.zeros(self.k * self.k, np.int32), np.ones(self.k * self.k, np.int32)
-        at, room = 0, block
-        for c in order:
-            n = int(self.count[c])
-            if n > room and room < block:
-                at, room = at + 1, block
-            self.first[c] = at
-            if n > block:
-                self.blocks[c] = -(-n // block)
-                at, room = at + int(self.blocks[c]), block
+        return nearest(m[:, : self.h], self.a) * self.kb + nearest(m[:, self.h :], self.b)
+
+    def lay_out(self, block: int) -> MultiIndex:
+        """Bins of neighbouring cells in interleaved order, packed into blocks; a bin with more vectors than
+        a block is dealt out over several. Bins number some sixty to a block, however many cells there are."""
+        n = SIZES[self.codes].sum(1).sum()
+        bits = int(np.clip(np.ceil(np.log2(8 * np.sqrt(max(n, 1) / block))), 2, 11))
+        self.za, self.zb = (bisection(c) * (1 << bits) // len(c) for c in (self.a, self.b))
+        self.za, self.zb = (sum(((z >> i) & 1) << (2 * i + s) for i in range(bits)) for z, s in ((self.za, 1), (self.zb, 0)))
+        weight = np.zeros(1 << 2 * bits)
+        for i in range(self.ka):
+            np.add.at(weight, self.za[i] + self.zb, SIZES[self.codes[i]])
+        self.first, self.parts = np.zeros(len(weight), np.int32), np.ones(len(weight), np.int32)
+        at, room = 0, float(block)
+        for z in np.flatnonzero(weight):
+            w = weight[z]
+            if w > room and room < block:
+                at, room = at + 1, float(block)
+            self.first[z] = at
+            if w > block:
+                self.parts[z] = int(np.ceil(w / block))
+                at, room = at + int(self.parts[z]), float(block)
             else:
-                room -= n
-
-    def traverse(self, cell: int, reach: int) -> list[int]:
-        """Occupied cells by summed distance of their centroids, until they hold ``reach`` vectors. Where
-        the pairs that come next are mostly empty the heap is left after 2 k steps and all occupied cells
-        are sorted by the same distance, which gives the same cells."""
-        i0, j0 = divmod(cell, self.k)
-        oa, ob, k, count = self.order[0][i0], self.order[1][j0], self.k, self.count
-        da, db = self.near[0][i0][oa], self.near[1][j0][ob]
-        heap, out, got, steps = [(float(da[0] + db[0]), 0, 0)], [], 0, 2 * k
-        while heap and got < reach:
-            if not steps:
-                d = self.near[0][i0][self.occupied // k] + self.near[1][j0][self.occupied % k]
-                near = self.occupied[np.argsort(d, kind="stable")]
-                out = near[: int(np.searchsorted(np.cumsum(count[near]), reach)) + 1].tolist()
-                break
-            steps -= 1
+                room -= w
+        return self
+
+    def bins(self, cells: np.ndarray) -> np.ndarray:
+        return self.za[cells // self.kb] + self.zb[cells % self.kb]
+
+    def salts(self, cells: np.ndarray) -> np.ndarray:
+        return 1 + (SIZES[self.codes.ravel()[cells]] // SALT_ROWS).astype(np.int64)
+
+    def traverse(self, cell: int, reach: float, pops: int) -> np.ndarray:
+        """Occupied cells by summed distance of their centroids, from a heap, until they hold ``reach``
+        vectors or ``pops`` pairs of centroids were taken. The cell itself is always one of them."""
+        i0, j0 = divmod(cell, self.kb)
+        da, db = ((self.a - self.a[i0]) ** 2).sum(1), ((self.b - self.b[j0]) ** 2).sum(1)
+        oa, ob = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
+        da, db, rows, columns = da[oa].tolist(), db[ob].tolist(), oa.tolist(), ob.tolist()
+        heap, out, got, codes, sizes = [(da[0] + db[0], 0, 0)], [], 0.0, self.codes, _SIZE_LIST
+        ka, kb = self.ka, self.kb
+        while heap and got < reach and pops > 0:
             _, i, j = heapq.heappop(heap)
-            c = int(oa[i]) * k + int(ob[j])
-            if count[c]:
-                out.append(c)
-                got += int(count[c])
-            if j + 1 < k:
-                heapq.heappush(heap, (float(da[i] + db[j + 1]), i, j + 1))
-            if j == 0 and i + 1 < k:
-                heapq.heappush(heap, (float(da[i + 1] + db[0]), i + 1, 0))
-        return out if cell in out else [cell, *out]  # equal centroids could hide the cell itself
-
-    def routes(self, cell: int, reach: int) -> set[tuple[int, int, int, int, bool]]:
-        """``cell, part, block, slice, asks``: where vectors of which part of a cell go so that those of
-        ``cell`` find their candidates. Slice 0 of a block has the candidates of cells that are whole,
-        every other one a part of an oversized cell; the askers go to each of their slices."""
-        out = set()
-        for to in self.traverse(cell, reach):
-            n = int(self.blocks[to])
-            for part in range(n):
-                piece = 1 + int(self.first[to]) + part if n > 1 else 0
-                for s in range(int(self.blocks[cell])):
-                    block = int(self.first[cell]) + s
-                    out.add((to, part, block, piece, False))
-                    out.add((cell, s, block, piece, True))
-        return out
+            pops -= 1
+            code = codes[rows[i], columns[j]]
+            if code:
+                out.append(rows[i] * kb + columns[j])
+                got += sizes[code]
+            if j + 1 < kb:
+                heapq.heappush(heap, (da[i] + db[j + 1], i, j + 1))
+            if j == 0 and i + 1 < ka:
+                heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
+        return np.array(out if cell in out else [cell, *out], np.int64)
+
+    def routes(self, cell: int, reach: float, pops: int) -> list[tuple[int, np.ndarray]]:
+        """(block, the cells that the vectors of ``cell`` reach in it)."""
+        found = self.traverse(cell, reach, pops)
+        z = self.bins(found)
+        first, parts = self.first[z], self.parts[z]
+        out: dict[int, list[np.ndarray]] = {}
+        for f, p in set(zip(first.tolist(), parts.tolist())):
+            own = found[(first == f) & (parts == p)]
+            for block in range(f, f + p):
+                out.setdefault(block, []).append(own)
+        return [(block, np.concatenate(x)) for block, x in sorted(out.items())]
+
+
+_SIZE_LIST = SIZES.tolist()
+_ONE_CELL = np.zeros(1, np.int64)
 
 
 def part_of(key: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """The part of an oversized cell that a key belongs to, even where keys have a common factor."""
+    """The part of several that a key belongs to, even where keys have a common factor."""
     with np.errstate(over="ignore"):
         return (((key.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int64)
 
 
-def best(score: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest of each row, rounded, and their keys; of equal ones those of the smaller keys,
-    however many there are. ``keys`` ascend."""
-    n = score.shape[1]
-    k, keep = min(k, n), min(n, k + 8)
-    top = np.sort(np.argpartition(-score, keep - 1, axis=1)[:, :keep], axis=1)
-    near = np.round(np.take_along_axis(score, top, axis=1).astype(float), 6)
-    least = near.min(axis=1)
-    o = np.argsort(-near, axis=1, kind="stable")[:, :k]
-    near, top = np.take_along_axis(near, o, axis=1), np.take_along_axis(top, o, axis=1)
-    if keep < n:
-        for r in np.flatnonzero(least >= near[:, -1]):  # others, not kept, may equal the k-th
-            row = np.round(score[r].astype(float), 6)
-            above = np.flatnonzero(row > near[r, -1])
-            at = np.concatenate([above, np.flatnonzero(row == near[r, -1])[: k - len(above)]])
-            at = at[np.lexsort((at, -row[at]))]
-            near[r], top[r] = row[at], at
-    return near, keys[top]
-
-
-def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 4000, per_cell: float = 1.0, sample: int = 40_000, block: int = 16_000, salts: int = 32) -> DataFrame:
+def best(asks: np.ndarray, keys: np.ndarray, theirs: np.ndarray, near: np.ndarray, their_keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cosine, key) of the k best of each row of ``asks`` among ``theirs``, by row, cosine and key.
+
+    ``near`` are the unit vectors of ``theirs`` in single precision; all that is within its error of the
+    k-th best, however much that is, is reranked exactly. A row isn't its own neighbour (equal keys)."""
+    own = unit(asks)
+    score = own.astype(np.float32) @ near.T
+    order = np.argsort(their_keys)
+    at = order[np.minimum(np.searchsorted(their_keys, keys, sorter=order), len(order) - 1)]
+    self_ = np.flatnonzero(their_keys[at] == keys)
+    score[self_, at[self_]] = -9
+    k = min(k, score.shape[1])
+    kth = np.partition(score, -k, axis=1)[:, -k]
+    r, c = np.nonzero(score >= np.maximum(kth - MARGIN, -2)[:, None])
+    exact = np.round(np.einsum("ij,ij->i", own[r], unit(theirs[c])), 9)
+    o = np.lexsort((their_keys[c], -exact, r))
+    r, c, exact = r[o], c[o], exact[o]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], exact[keep], their_keys[c[keep]]
+
+
+def search(t: pa.Table, dim: int, k: int) -> pa.Table:
+    """One slice of one block: kind 0 are its candidates, kind 1 the vectors that ask, kind 2 the cells that
+    those of a cell reach in this block. -> ``key, near``, the best of the block for each that asks."""
+    kind = t["kind"].to_numpy()
+    cand, ask, lists = (t.take(pa.array(np.flatnonzero(kind == i))) for i in range(3))
+    schema = pa.schema([("key", pa.int64()), ("near", pa.list_(pa.struct([("far", pa.float64()), ("neighbour", pa.int64())])))])
+    if not cand.num_rows or not ask.num_rows:
+        return schema.empty_table()
+    reached = {c: np.frombuffer(x, np.int64) for c, x in zip(lists["cell"].to_pylist(), lists["v"].to_pylist())}
+    their_cell, their_key, theirs = cand["cell"].to_numpy(), cand["key"].to_numpy(), matrix(cand["v"], dim)
+    o = np.argsort(their_cell, kind="stable")
+    their_cell, their_key, theirs = their_cell[o], their_key[o], theirs[o]
+    near = unit(theirs).astype(np.float32)
+    cells, starts = np.unique(their_cell, return_index=True)
+    ends = np.append(starts[1:], len(their_cell))
+    cell, key, asks = ask["cell"].to_numpy(), ask["key"].to_numpy(), matrix(ask["v"], dim)
+    o = np.argsort(cell, kind="stable")
+    cell, key, asks = cell[o], key[o], asks[o]
+    rows, scores, found = [], [], []
+    for c, s, e in zip(*(lambda u, i: (u.tolist(), i.tolist(), np.append(i[1:], len(cell)).tolist()))(*np.unique(cell, return_index=True))):
+        at = np.minimum(np.searchsorted(cells, reached[c]), len(cells) - 1)
+        at = at[cells[at] == reached[c]]  # a part of a bin needn't have vectors of all of its cells
+        if not len(at):
+            continue
+        i = np.concatenate([np.arange(starts[x], ends[x]) for x in at])
+        n, k_, m = near[i], their_key[i], theirs[i]
+        step = max(1, (1 << 22) // len(i))
+        for p in range(s, e, step):
+            r, x, y = best(asks[p : min(e, p + step)], key[p : min(e, p + step)], m, n, k_, k)
+            rows.append(r + p)
+            scores.append(-x)
+            found.append(y)
+    if not rows:
+        return schema.empty_table()
+    rows = np.concatenate(rows)
+    offsets = np.searchsorted(rows, np.arange(len(key) + 1)).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(scores)), pa.array(np.concatenate(found))], names=["far", "neighbour"])
+    return pa.table([pa.array(key), pa.ListArray.from_arrays(pa.array(offsets), pairs)], schema=schema)
+
+
+def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 4000, pops: int = 2048, per_cell: float = 16.0, sample: int = 40_000, block: int = 1 << 15, asking: int = 1 << 17, salts: int = 32) -> DataFrame:
     """``key, neighbour, score, rank``: for each usable vector the k others of its collection with the
     largest cosine (fewer if there are fewer); rank is from 1, ties go to the smaller neighbour.
 
@@ -213,12 +291,9 @@ def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int
     collection is null, have no rows and are no neighbours. Of rows that repeat a ``key`` (BIGINT) the one
     with the largest ``order`` counts."""
     spark = df.sparkSession
-    base = df.select(F.col(key).cast("long").alias("key"), F.col(collection).alias("collection"), F.col(vector).alias("vec"), (F.col(order) if order else F.lit(0)).alias("order"))
-    once = tables.latest(unit_vectors(base, dim), "key", "order", ["collection", "h1", "h2", "v"])
+    base = df.select(F.col(key).cast("long").alias("key"), F.col(collection).cast("string").alias("collection"), F.col(vector).cast("array<float>").alias("vec"), (F.col(order) if order else F.lit(0)).alias("order"))
+    once = tables.latest(usable_vectors(base, dim), "key", "order", ["collection", "h1", "h2", "v"])
     units = written(once.where("v IS NOT NULL"), "knn-units")
-    names = [r.collection for r in units.select("collection").distinct().orderBy("collection").limit(MAX_COLLECTIONS + 1).collect()]
-    if len(names) > MAX_COLLECTIONS:
-        raise ValueError(f"more than {MAX_COLLECTIONS} collections")
 
     # classes of equal vectors, by two hashes; ranks by key in two steps, so a class of a third of all rows is no task
     ids = units.select("key", "collection", "h1", "h2", F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"))
@@ -226,90 +301,92 @@ def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int
     some = ids.withColumn("r", F.row_number().over(Window.partitionBy(*cls, "salt").orderBy("key"))).where(F.col("r") <= k + 1)
     heads = written(some.withColumn("r", F.row_number().over(Window.partitionBy(*cls).orderBy("key"))).where(F.col("r") <= k + 1).select("key", *cls, "r"), "knn-heads")
     full = heads.where(F.col("r") == k + 1).select(*cls)
-    copies = ids.join(full, cls).join(heads.select("key"), "key", "left_anti")
+    copies = written(ids.join(full, cls).join(heads.select("key"), "key", "left_anti"), "knn-copies")
     of_copies = copies.join(heads.where(F.col("r") <= k).select(*cls, F.col("key").alias("neighbour"), F.col("r").alias("rank")), cls).select("key", "neighbour", F.lit(1.0).alias("score"), "rank")
-    entries = units.join(copies.select("key"), "key", "left_anti")
+    entries = units.select("collection", "key", "v").join(copies.select("key"), "key", "left_anti")
+
+    total = heads.count()
+    large = heads.groupBy("collection").agg(F.count("*").alias("n")).where(F.col("n") > max(2 * reach, total >> 14))  # at most 2^14 rows
+    chance = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 30)) < F.floor(F.lit(float(1 << 30)) * sample / F.col("n"))
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def fit(t: pa.Table) -> pa.Table:
+        a, b = codebooks(unit(matrix(t["v"], dim)).astype(np.float32), t["n"][0].as_py(), max(per_cell, total / MOST_CELLS), 4.0 * reach)
+        return pa.table({"collection": t["collection"].slice(0, 1), "ka": [len(a)], "kb": [len(b)], "books": [a.tobytes() + b.tobytes()]}, schema=pa.schema([("collection", pa.string()), ("ka", pa.int32()), ("kb", pa.int32()), ("books", pa.binary())]))
 
-    sizes = {r.collection: r.n for r in heads.groupBy("collection").agg(F.count("*").alias("n")).collect()}
     index: dict[str, MultiIndex] = {}
-    for name in names:
-        n, scale = sizes[name], 1 << 20
-        part = entries.where(F.col("collection") == name)
-        if n > sample:
-            part = part.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(scale)) < int(scale * sample / n))
-        rows = part.select("v").limit(2 * sample).toPandas()["v"]
-        index[name] = MultiIndex(decoded(rows, dim), n, per_cell)
-    code = {name: i for i, name in enumerate(names)}
-    books = spark.sparkContext.broadcast([index[name] for name in names])
-
-    def assigned_by(batches, index, parts: bool):
-        for pdf in batches:
-            g = pdf["collection"].map(code).to_numpy(dtype=np.int64)
-            m = decoded(pdf["v"], dim)
-            cell = np.zeros(len(pdf), np.int64)
-            for x in np.unique(g):
-                cell[g == x] = index.value[x].cells(m[g == x])
-            out = pd.DataFrame({"g": g.astype(np.int32), "cell": cell.astype(np.int32), "key": pdf["key"], "v": pdf["v"]})
-            if parts:
-                part = np.zeros(len(pdf), np.int64)
-                for x in np.unique(g):
-                    part[g == x] = part_of(pdf["key"].to_numpy()[g == x], index.value[x].blocks[cell[g == x]])
-                out["part"] = part.astype(np.int32)
-            yield out
+    for r in entries.join(F.broadcast(large), "collection").where(chance).groupBy("collection").applyInArrow(fit, "collection string, ka int, kb int, books binary").collect():
+        h, c = dim // 2, np.frombuffer(r.books, np.float32)
+        index[r.collection] = MultiIndex(c[: r.ka * h].reshape(r.ka, h), c[r.ka * h :].reshape(r.kb, dim - h), np.zeros(r.ka * r.kb, np.uint8))
+    books = spark.sparkContext.broadcast(index)
+
+    def cells_of(rb: pa.RecordBatch, index: dict[str, MultiIndex]) -> tuple[np.ndarray, list]:
+        """Each row's cell, and for each collection its rows."""
+        names, m = np.array(rb.column("collection").to_pylist(), dtype=object), None
+        cell, rows = np.zeros(len(names), np.int64), []
+        for x in dict.fromkeys(names.tolist()):
+            at = np.flatnonzero(names == x)
+            if x in index:
+                m = unit(matrix(rb.column("v"), dim)).astype(np.float32) if m is None else m
+                cell[at] = index[x].cells(m[at])
+                rows.append((index[x], at))
+        return cell, rows
+
+    def cells(batches):
+        for rb in batches:
+            yield pa.RecordBatch.from_arrays([rb.column("collection"), pa.array(cells_of(rb, books.value)[0])], names=["collection", "cell"])
 
     # the cells are found again where they are needed; that costs less than to keep them with the vectors
-    vectors = entries.select("collection", "key", "v")
-    assigned = vectors.mapInPandas(lambda b: assigned_by(b, books, False), "g int, cell int, key long, v binary")
-    occupied = written(assigned.groupBy("g", "cell").agg(F.count("*").alias("n")), "knn-cells")
-    counts = occupied.toPandas()  # at most MAX_CODES squared rows a collection
-    for name in names:
-        own = counts[counts["g"] == code[name]].sort_values("cell")
-        index[name].occupy(own["cell"].to_numpy(), own["n"].to_numpy(), block)
-    full_index = spark.sparkContext.broadcast([index[name] for name in names])
+    occupied = written(entries.select("collection", "v").mapInArrow(cells, "collection string, cell long").groupBy("collection", "cell").agg(F.count("*").alias("n")), "knn-cells")
 
-    def probes(batches):
-        for pdf in batches:
-            out = set()
-            for g, cell in zip(pdf["g"], pdf["cell"]):
-                out.update((int(g), *r) for r in full_index.value[g].routes(int(cell), reach))
-            yield pd.DataFrame(list(out), columns=["g", "cell", "part", "block", "slice", "asks"])
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cell", "key"])
-        ix, slice_no = full_index.value[int(pdf["g"].iloc[0])], int(pdf["slice"].iloc[0])
-        key_, cell, asks = pdf["key"].to_numpy(), pdf["cell"].to_numpy(), pdf["asks"].to_numpy()
-        m = decoded(pdf["v"], dim)
-        found, starts = [], np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        span = {int(cell[s]): (s, e) for s, e in zip(starts, [*starts[1:], len(cell)])}
-        for c in np.unique(cell[asks]):
-            s, e = span[int(c)]
-            own = np.arange(s, e)[asks[s:e]]
-            reached = ix.traverse(int(c), reach)
-            whole = all(ix.blocks[x] == 1 for x in reached)
-            cand = np.flatnonzero(pdf["found"]) if slice_no else np.concatenate([np.arange(*span[x]) for x in reached if ix.blocks[x] == 1])
-            cand = cand[np.argsort(key_[cand])]
-            cm = m[cand]
-            for part in np.array_split(own, -(-len(own) // 256)):
-                score = m[part] @ cm.T
-                score[key_[part][:, None] == key_[cand][None, :]] = -9
-                near, names_ = best(score, key_[cand], k)
-                rank = np.broadcast_to(np.arange(1, near.shape[1] + 1), near.shape)
-                who = np.broadcast_to(key_[part][:, None], near.shape)
-                real = near > -2
-                found.append(pd.DataFrame({"key": who[real], "neighbour": names_[real], "score": near[real], "rank": rank[real].astype(np.int32), "whole": whole}))
-        return pd.concat(found) if found else pd.DataFrame({"key": [], "neighbour": [], "score": [], "rank": [], "whole": []})
+    def packed(t: pa.Table) -> pa.Table:
+        at = t["cell"].to_numpy() & 0xFFFF
+        codes = np.zeros(int(at.max()) + 1, np.uint8)
+        codes[at] = coded(t["n"].to_numpy())
+        return pa.table({"collection": t["collection"].slice(0, 1), "chunk": [t["cell"][0].as_py() >> 16], "codes": [codes.tobytes()]}, schema=pa.schema([("collection", pa.string()), ("chunk", pa.int64()), ("codes", pa.binary())]))
 
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    routed = occupied.repartition(spread).select("g", "cell").mapInPandas(probes, "g int, cell int, part int, block int, slice int, asks boolean")
-    to_slice = routed.groupBy("g", "cell", "part", "block", "slice").agg(F.max("asks").alias("asks"), F.max(~F.col("asks")).alias("found"))
-    sent = vectors.mapInPandas(lambda b: assigned_by(b, full_index, True), "g int, cell int, key long, v binary, part int").join(to_slice, ["g", "cell", "part"])
-    near = sent.groupBy("g", "block", "slice").applyInPandas(search, "key long, neighbour long, score double, rank int, whole boolean")
-    if any((index[name].blocks > 1).any() for name in names):
-        # what was found in several slices is merged
-        near = written(near, "knn-slices")
-        merged = near.where("NOT whole").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "neighbour")))
-        near = near.where("whole").unionByName(merged.where(F.col("rank") <= k))
-    return near.drop("whole").unionByName(of_copies).withColumnRenamed("key", key)
+    some_cells = occupied.join(F.broadcast(large.select("collection")), "collection")
+    for r in some_cells.groupBy("collection", (F.col("cell") / 65536).cast("long").alias("chunk")).applyInArrow(packed, "collection string, chunk long, codes binary").collect():
+        index[r.collection].codes.reshape(-1)[r.chunk << 16 : (r.chunk << 16) + len(r.codes)] = np.frombuffer(r.codes, np.uint8)
+    for x in index.values():
+        x.lay_out(block)
+    whole = spark.sparkContext.broadcast(index)
+
+    def probes(batches):
+        for rb in batches:
+            out: list[tuple] = []
+            for name, cell, n in zip(*(c.to_pylist() for c in (rb.column("collection"), rb.column("cell"), rb.column("n")))):
+                ix = whole.value.get(name)
+                routes, salts_ = ([(0, _ONE_CELL)], 1) if ix is None else (ix.routes(cell, reach, pops), int(ix.salts(np.array([cell]))[0]))
+                out += [(name, cell, n, salts_, block_, reached.tobytes()) for block_, reached in routes]
+            columns = zip(*out) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["collection", "cell", "n", "salts", "block", "v"])
+
+    routes = written(occupied.repartition(spread).mapInArrow(probes, "collection string, cell long, n long, salts int, block int, v binary"), "knn-routes")
+    slices = routes.groupBy("collection", "block").agg(F.sum("n").alias("asks")).select("collection", "block", F.ceil(F.col("asks") / asking).cast("int").alias("slices"))
+
+    def assigned(batches):
+        for rb in batches:
+            cell, rows = cells_of(rb, whole.value)
+            key_, block_, salt = rb.column("key").to_numpy(), np.zeros(len(cell), np.int32), np.zeros(len(cell), np.int32)
+            for ix, at in rows:
+                z = ix.bins(cell[at])
+                block_[at] = ix.first[z] + part_of(key_[at], ix.parts[z])
+                salt[at] = part_of(key_[at], ix.salts(cell[at]))
+            yield pa.RecordBatch.from_arrays([rb.column("collection"), pa.array(cell), rb.column("key"), rb.column("v"), pa.array(block_), pa.array(salt)], names=["collection", "cell", "key", "v", "own", "salt"])
+
+    placed = entries.select("collection", "key", "v").mapInArrow(assigned, "collection string, cell long, key long, v binary, own int, salt int")
+    each = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+    columns = ["collection", "block", "slice", F.col("kind").cast("tinyint").alias("kind"), "cell", "key", "v"]
+    candidates = placed.withColumnRenamed("own", "block").join(slices, ["collection", "block"]).select("*", F.lit(0).alias("kind"), each).select(*columns)
+    to = routes.select("collection", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    asks = placed.join(to, ["collection", "cell", "salt"]).join(slices, ["collection", "block"]).select("*", F.lit(1).alias("kind"), F.pmod(F.xxhash64("key"), "slices").cast("int").alias("slice")).select(*columns)
+    lists = routes.join(slices, ["collection", "block"]).select("*", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"), each).select(*columns)
+    parts = candidates.unionByName(asks).unionByName(lists).groupBy("collection", "block", "slice").applyInArrow(lambda t: search(t, dim, k), "key long, near array<struct<far: double, neighbour: long>>")
+    best_ = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k)  # at most k from each block
+    near = parts.groupBy("key").agg(best_.alias("near")).select("key", F.posexplode("near").alias("at", "x"))
+    near = near.select("key", "x.neighbour", (-F.col("x.far")).alias("score"), (F.col("at") + 1).alias("rank"))
+    return near.unionByName(of_copies).withColumnRenamed("key", key)
 
 
 def linked_pairs(near: DataFrame, key: str) -> DataFrame:
