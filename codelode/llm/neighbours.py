@@ -11,11 +11,12 @@ stored vectors.
   holds about ``per_cell`` vectors at any size. Where a cell would hold more than four times ``reach``, its
   part of the sample gets centroids of its own. Collections of at most twice ``reach`` vectors are one cell.
 * **The index** that is broadcast has the codebooks and one byte a cell (the logarithm of its count), that
-  is a sixteenth of a byte for each vector; ``per_cell`` rises where there would be more than 2^27 cells.
+  is an eighth of a byte for each vector; ``per_cell`` rises where there would be more than 2^27 cells.
 * **Search.** Cells lie in an order that keeps near ones together (recursive bisection of the codebooks,
   interleaved) and are packed in it into blocks of about ``block`` candidates; a denser place is dealt out
   over several blocks. A vector is sent to the blocks that have cells it reaches, in slices of about
-  ``asking`` vectors, so no group holds more than a fixed number of rows. The best of all blocks are merged.
+  ``asking`` vectors, so no group holds more than a fixed number of rows, and each group has a partition of
+  its own. The best of all blocks are merged.
 
 Of vectors that are equal (to a millionth in each number at unit length) only the first k + 1 by key are
 indexed, which is enough for any answer; the other copies get their neighbours from that class. Cosines
@@ -38,6 +39,7 @@ from codelode.session import written
 
 MOST_CELLS = 1 << 27  # bytes of the index; beyond that, cells hold more vectors
 SALT_ROWS = 1 << 16  # vectors of a cell that are joined with its routes in one task
+MOST_LANES = 100_000  # partitions of the search; beyond that, several groups share one, one after the other
 MARGIN = 2e-6  # of single precision; what is within it of the k-th best is reranked
 
 
@@ -283,7 +285,7 @@ def search(t: pa.Table, dim: int, k: int) -> pa.Table:
     return pa.table([pa.array(key), pa.ListArray.from_arrays(pa.array(offsets), pairs)], schema=schema)
 
 
-def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 4000, pops: int = 2048, per_cell: float = 16.0, sample: int = 40_000, block: int = 1 << 15, asking: int = 1 << 17, salts: int = 32) -> DataFrame:
+def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 3000, pops: int = 256, per_cell: float = 8.0, sample: int = 40_000, block: int = 12_288, asking: int = 24_576, salts: int = 32) -> DataFrame:
     """``key, neighbour, score, rank``: for each usable vector the k others of its collection with the
     largest cosine (fewer if there are fewer); rank is from 1, ties go to the smaller neighbour.
 
@@ -363,7 +365,14 @@ def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["collection", "cell", "n", "salts", "block", "v"])
 
     routes = written(occupied.repartition(spread).mapInArrow(probes, "collection string, cell long, n long, salts int, block int, v binary"), "knn-routes")
-    slices = routes.groupBy("collection", "block").agg(F.sum("n").alias("asks")).select("collection", "block", F.ceil(F.col("asks") / asking).cast("int").alias("slices"))
+    blocks = routes.groupBy("collection", "block").agg(F.ceil(F.sum("n") / asking).cast("long").alias("slices"))  # a row a block
+    numbered = blocks.withColumn("end", F.sum("slices").over(Window.orderBy("collection", "block").rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = written(numbered.select("collection", "block", F.explode(F.sequence(F.col("end") - F.col("slices"), F.col("end") - 1)).alias("group")), "knn-groups")
+    lanes = max(1, min(MOST_LANES, numbered.count()))
+    # numbers that hash to different partitions, so that each of these has one group
+    apart = spark.range(20 * lanes).groupBy(F.pmod(F.hash("id"), F.lit(lanes)).cast("long").alias("at")).agg(F.min("id").alias("apart"))
+    lane = F.coalesce("apart", F.lit(0)) + F.floor(F.col("group") / lanes) * F.lit(20 * lanes)
+    slices = written(numbered.withColumn("at", F.col("group") % lanes).join(apart, "at", "left").groupBy("collection", "block").agg(F.collect_list(F.struct(lane.cast("long").alias("lane"), "group")).alias("lanes")), "knn-slices")
 
     def assigned(batches):
         for rb in batches:
@@ -376,13 +385,15 @@ def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int
             yield pa.RecordBatch.from_arrays([rb.column("collection"), pa.array(cell), rb.column("key"), rb.column("v"), pa.array(block_), pa.array(salt)], names=["collection", "cell", "key", "v", "own", "salt"])
 
     placed = entries.select("collection", "key", "v").mapInArrow(assigned, "collection string, cell long, key long, v binary, own int, salt int")
-    each = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
-    columns = ["collection", "block", "slice", F.col("kind").cast("tinyint").alias("kind"), "cell", "key", "v"]
+    each = F.explode("lanes").alias("to")
+    columns = ["to", F.col("kind").cast("tinyint").alias("kind"), "cell", "key", "v"]
     candidates = placed.withColumnRenamed("own", "block").join(slices, ["collection", "block"]).select("*", F.lit(0).alias("kind"), each).select(*columns)
     to = routes.select("collection", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    asks = placed.join(to, ["collection", "cell", "salt"]).join(slices, ["collection", "block"]).select("*", F.lit(1).alias("kind"), F.pmod(F.xxhash64("key"), "slices").cast("int").alias("slice")).select(*columns)
+    one = F.element_at("lanes", (F.pmod(F.xxhash64("key"), F.size("lanes")) + 1).cast("int")).alias("to")
+    asks = placed.join(to, ["collection", "cell", "salt"]).join(slices, ["collection", "block"]).select("*", F.lit(1).alias("kind"), one).select(*columns)
     lists = routes.join(slices, ["collection", "block"]).select("*", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"), each).select(*columns)
-    parts = candidates.unionByName(asks).unionByName(lists).groupBy("collection", "block", "slice").applyInArrow(lambda t: search(t, dim, k), "key long, near array<struct<far: double, neighbour: long>>")
+    every = candidates.unionByName(asks).unionByName(lists).select(F.col("to.lane").alias("lane"), F.col("to.group").alias("group"), "kind", "cell", "key", "v")
+    parts = every.repartition(lanes, "lane").groupBy("lane", "group").applyInArrow(lambda t: search(t, dim, k), "key long, near array<struct<far: double, neighbour: long>>")
     best_ = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k)  # at most k from each block
     near = parts.groupBy("key").agg(best_.alias("near")).select("key", F.posexplode("near").alias("at", "x"))
     near = near.select("key", "x.neighbour", (-F.col("x.far")).alias("score"), (F.col("at") + 1).alias("rank"))

@@ -1,133 +1,133 @@
 """Problem 8: pages of repeated keywords, links or tags, found by the coherence of neighbouring words.
 
-First pass: each batch of pages tokenises its text once and sends its distinct word and pair hashes with
-their counts to slices of the hash space; each slice adds them up and answers every batch with the
-corpus's counts of just the hashes it asked for. Counts are exact at every size (but for two of the
-64-bit hashes being equal), and nothing that grows with the data is broadcast or reaches the driver.
-Second pass: every page is read with those counts and each of its lines is
-given to one of
-
-* ``links``: addresses with a few words around them;
-* ``tags``: many short items between separators, hashtags, or goods with prices;
-* ``salad``: a long run of words without sentences whose mean pointwise mutual information is low
-  (neighbours that don't belong together) or that uses few distinct words;
-* ``stuffed``: at least half of its words in collocations that the page repeats excessively, that is
+Neighbouring words of a line are a pair. The pointwise mutual information (PMI) of a pair is taken from
+exact counts over all pages, without the page's own: a pair that no other page shows says nothing, so it
+counts 0. Exact copies (up to outer white space) are one page for the counts. What the corpus's pairs have
+on average (their mutual information, the ``level``) is the measure of coherence. A line is
+
+* ``salad``: at least fifteen words without sentences whose mean PMI is below ``loose`` times the level;
+* ``links`` or ``tags``: it looks like a list of addresses, of tags or of goods, and the page's lines of
+  that kind have a mean PMI below ``listed`` times the level, or collocations repeated in excess;
+* ``stuffed``: at least half of its words are in collocations that the page repeats excessively, that is
   at a rate far above the corpus's (lines with brackets, as code and logs have, are left out);
-* ordinary text otherwise. Code, logs, tables, changelogs and source lists have none of these traits.
+* ordinary text otherwise. What a line looks like never decides alone.
 
 A page is flagged if those four make up the greater part of its characters.
+
+Counting: batches of pages send the hashes of their distinct words and pairs with their counts to slices
+of the hash space; a slice adds them up and answers every batch with the corpus's counts of just the
+hashes it asked for. Nothing that grows with the data is broadcast or reaches the driver, and only two
+equal 64-bit hashes could make a count inexact. Text is tokenised and scored as arrays of bytes.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.session import written
 
-BATCH = 1 << 22  # characters of the pages that are counted and scored together
-SLICE = 1 << 24  # characters of the corpus whose hashes make one slice of the counts
+BATCH = 1 << 24  # bytes of the pages that ask together
+BLOCK = 1 << 22  # bytes that are tokenised together
+SLICE = 1 << 25  # bytes of the corpus whose hashes make one slice of the counts
 _WORD = re.compile(r"[^\W\d_]+")
-_WORD_OR_LINE = re.compile(r"[^\W\d_]+|\n")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>()\"'\]]*", re.I)
 _TAG = re.compile(r"</?[a-z][^<>]*>", re.I)
 _END = re.compile(r"[.!?](?:\s|$)|[。！？]")
 _PRICE = re.compile(r"[$€£]\s?\d|\d\s?(?:[$€£]|(?:USD|EUR|GBP)\b)")
 _SEPARATOR = re.compile(r"\s*[;,|•·/]\s+|\s+[-–|•·]\s+")
 _CODE = re.compile(r"[(){}=\[\]`<>]|::|->|\w/\w")
+_EMPTY = np.zeros(0, np.int64)
 
 
-class _Hash(dict):
-    """Word -> hash, never 0; a line end has the 0."""
-
-    def __missing__(self, w: str) -> int:
-        if w == "\n":
-            return 0
-        if len(self) > 300_000:
-            self.clear()
-        b = w.encode("utf-8", "replace")
-        self[w] = h = zlib.crc32(b) | zlib.adler32(b) << 32 or 1
-        return h
-
-
-def _cells(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two cells of each 64-bit hash."""
-    with np.errstate(over="ignore"):
-        a = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        b = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(31)
-    m = np.uint64(width - 1)
-    return (a & m).astype(np.int64), (b & m).astype(np.int64) + width
+def _letters() -> np.ndarray:
+    """Bytes of words: ASCII letters and all bytes of longer characters (but see ``words_of``)."""
+    b = np.arange(256)
+    return ((b | 32) >= 97) & ((b | 32) <= 122) & (b < 128) | (b >= 128)
 
 
-def _pairs(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (h[:-1] * np.uint64(0xD6E8FEB86659FD93)) ^ (h[1:] + np.uint64(0x165667B19E3779F9))
+_LETTER = _letters()
+_POWERS: list[np.ndarray] = []
 
 
-class Sketch:
-    """Approximate counts of words and of pairs in two rows of ``width`` cells each, the smaller cell counts;
-    for texts that fill few of the cells. The queries count exactly (``Counts``)."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.cumprod(np.full(n, x, np.uint64)) for x in (base, pow(base, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
 
-    def __init__(self, width: int):
-        self.width, self.words, self.pairs, self.totals = width, np.zeros(2 * width, np.int64), np.zeros(2 * width, np.int64), (1, 1)
 
-    @staticmethod
-    def ids(text: str, memo: _Hash) -> np.ndarray:
-        w = _WORD.findall(text.lower())
-        return np.fromiter(map(memo.__getitem__, w), dtype=np.uint64, count=len(w))
-
-    def add(self, hashes: list[np.ndarray]) -> None:
-        if hashes:
-            for table, h in ((self.words, np.concatenate(hashes)), (self.pairs, np.concatenate([_pairs(x) for x in hashes if len(x) > 1] or [np.zeros(0, np.uint64)]))):
-                for at in _cells(h, self.width):
-                    np.add.at(table, at, 1)
-
-    def of_words(self, h: np.ndarray) -> np.ndarray:
-        a, b = _cells(h, self.width)
-        return np.minimum(self.words[a], self.words[b])
+def _mix(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
 
-    def of_pairs(self, h: np.ndarray) -> np.ndarray:
-        a, b = _cells(h, self.width)
-        return np.minimum(self.pairs[a], self.pairs[b])
 
+def _of_kind(h: np.ndarray, kind: int) -> np.ndarray:
+    """The lowest bit tells pairs (1) from words (0)."""
+    return (h & ~np.uint64(1)) | np.uint64(kind)
 
-class Counts:
-    """Exact counts of those words and pairs that a batch of pages has; ``ids`` are sorted."""
 
-    def __init__(self, ids: np.ndarray, n: np.ndarray, totals: tuple[int, int]):
-        self.ids, self.n, self.totals = ids, n, totals
+def words_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first bytes) of the words in UTF-8 bytes in lower case: runs of letters. Punctuation and
+    symbols of two or three bytes (led by C2 or E2, ideographic and full-width marks) part words too."""
+    letter = _LETTER[b]
+    for lead, more in ((0xC2, 2), (0xE2, 3)):
+        for i in range(more):
+            at = np.flatnonzero(b == lead) + i
+            letter[at[at < len(b)]] = False
+    for lead, second in ((0xE3, 0x80), (0xEF, 0xBC)):
+        at = np.flatnonzero((b[:-2] == lead) & (b[1:-1] == second)) if len(b) > 2 else _EMPTY
+        for i in range(3):
+            letter[at + i] = False
+    edge = np.diff(letter.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _powers(len(b) + 1)
+    with np.errstate(over="ignore"):
+        run = np.cumsum(b.astype(np.uint64) * up[: len(b)] * letter, dtype=np.uint64)
+        run = np.concatenate([np.zeros(1, np.uint64), run])
+        h = (run[last] - run[first]) * down[first]
+    return _of_kind(_mix(h), 0), first
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.ids):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.ids, h), len(self.ids) - 1)
-        return np.where(self.ids[at] == h, self.n[at], 0)
 
-    def of_words(self, h: np.ndarray) -> np.ndarray:
-        return self.of(_mixed(h, 0))
+def pairs_of(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _of_kind(_mix((h[:-1] * np.uint64(0xD6E8FEB86659FD93)) ^ (h[1:] + np.uint64(0x165667B19E3779F9))), 1)
 
-    def of_pairs(self, h: np.ndarray) -> np.ndarray:
-        return self.of(_mixed(h, 1))
 
+class Block:
+    """Some pages as arrays: words, their lines and pages, and the pairs inside lines."""
 
-def _mixed(h: np.ndarray, kind: int) -> np.ndarray:
-    """Hashes spread evenly one to one; the lowest bit tells pairs (1) from words (0)."""
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h & ~np.uint64(1)) | np.uint64(kind)
+    def __init__(self, texts: pa.Array):
+        low = pc.utf8_lower(texts)
+        buf = np.frombuffer("\n".join(low.to_pylist()).encode("utf-8", "replace"), np.uint8)
+        self.bytes = buf
+        self.hash, self.at = words_of(buf)
+        self.breaks = np.flatnonzero(buf == 10)
+        self.line = np.searchsorted(self.breaks, self.at)
+        n = pc.add(pc.count_substring(low, "\n"), 1).to_numpy(zero_copy_only=False)
+        self.lines_before = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        self.n_lines = int(self.lines_before[-1])
+        self.page_of_line = np.repeat(np.arange(len(low)), n)
+        self.pair = pairs_of(self.hash) if len(self.hash) > 1 else np.zeros(0, np.uint64)
+        inside = np.flatnonzero(self.line[:-1] == self.line[1:])
+        self.pair, self.pair_line, self.left = self.pair[inside], self.line[:-1][inside], inside
+        self.pair_page = self.page_of_line[self.pair_line]
 
 
 def in_batches(pages: DataFrame) -> DataFrame:
-    """``batch, chars, pages`` for rows of ``k, t``: packed batches of about BATCH characters, written so
-    that a batch is the same one whenever it is read."""
+    """``batch, bytes, pages`` for rows of ``k, t, first``: packed batches of at most BATCH bytes (a longer
+    page is one by itself), written so that a batch is the same one whenever it is read."""
 
     def pack(batches):
         schema, held, size = None, [], 0
@@ -137,65 +137,105 @@ def in_batches(pages: DataFrame) -> DataFrame:
             with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 for x in held:
                     w.write_batch(x)
-            return pa.RecordBatch.from_pydict({"batch": pa.array([uuid.uuid4().int >> 65], pa.int64()), "chars": pa.array([size], pa.int64()), "pages": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"batch": pa.array([uuid.uuid4().int >> 65], pa.int64()), "bytes": pa.array([size], pa.int64()), "pages": pa.array([out.getvalue().to_pybytes()], pa.binary())})
 
         for rb in batches:
             schema = rb.schema
-            sizes = np.array([len(t) for t in rb.column("t").to_pylist()], np.int64)
+            sizes = pc.binary_length(rb.column("t")).to_numpy(zero_copy_only=False)
             first = 0
             for i, n in enumerate(sizes):
-                size += int(n)
-                if size >= BATCH:
-                    held.append(rb.slice(first, i + 1 - first))
+                if size and size + int(n) > BATCH:
+                    if i > first:
+                        held.append(rb.slice(first, i - first))
                     yield row()
-                    first, held, size = i + 1, [], 0
+                    first, held, size = i, [], 0
+                size += int(n)
             if first < len(sizes):
                 held.append(rb.slice(first))
         if held:
             yield row()
 
-    return written(pages.mapInArrow(pack, "batch long, chars long, pages binary"), "page-batches")
+    kind = dict(pages.dtypes)
+    assert list(kind) == ["k", "t", "first"]
+    return written(pages.mapInArrow(pack, "batch long, bytes long, pages binary"), "page-batches")
 
 
 def _unpacked(pages: bytes) -> pa.Table:
     return pa.ipc.open_stream(pages).read_all()
 
 
+def blocks(rows: pa.Table):
+    """(first row, texts) of about BLOCK bytes each."""
+    texts = rows.column("t").combine_chunks()
+    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else _EMPTY
+    i = 0
+    while i < len(texts):
+        before = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + BLOCK, side="right")))
+        yield i, texts.slice(i, j - i)
+        i = j
+
+
+def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, sorted, and the sums of their counts."""
+    ids, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *[x for x, _ in parts]]), return_inverse=True)
+    return ids, np.bincount(at, weights=np.concatenate([np.zeros(0), *[n for _, n in parts]]), minlength=len(ids)).astype(np.int64)
+
+
 def batch_counts(packed: DataFrame) -> DataFrame:
-    """``batch, ids, n, words, pairs``: for each batch, from each slice of the hashes, the corpus's counts
-    of what the batch has there, and the words and pairs of the whole slice."""
-    chars = packed.agg(F.sum("chars")).first()[0] or 0
-    slices = 1 + chars // SLICE
+    """``batch, ids, n, words, pairs, words_log, pairs_log``: for each batch, from each slice of the hashes, the
+    corpus's counts of what the batch has there; the number n of words and of pairs of the whole slice, and
+    the sums of n log n."""
+    slices = 1 + (packed.agg(F.sum("bytes")).first()[0] or 0) // SLICE
 
     def ask(batches):
-        memo = _Hash()
         for pdf in batches:
             for batch, pages in zip(pdf["batch"], pdf["pages"]):
-                h = [Sketch.ids(t, memo) for t in _unpacked(pages).column("t").to_pylist()]
-                words, nw = np.unique(np.concatenate([np.zeros(0, np.uint64), *h]), return_counts=True)
-                pairs, np_ = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_pairs(x) for x in h if len(x) > 1]]), return_counts=True)
-                ids, n = np.concatenate([_mixed(words, 0), _mixed(pairs, 1)]), np.concatenate([nw, np_]).astype(np.int64)
-                part = (ids >> np.uint64(32)).astype(np.int64) * slices >> 32
-                order = np.lexsort((ids, part))
-                ends = np.searchsorted(part[order], np.arange(slices + 1))
+                rows, parts = _unpacked(pages), []
+                first = rows.column("first").to_numpy()
+                for i, texts in blocks(rows):
+                    b = Block(texts)
+                    counted = first[i : i + len(texts)]
+                    for h, page in ((b.hash, b.page_of_line[b.line]), (b.pair, b.pair_page)):
+                        got, at = np.unique(h, return_inverse=True)
+                        parts.append((got, np.bincount(at, weights=counted[page], minlength=len(got))))
+                ids, n = _sums(parts)
+                ends = np.searchsorted((ids >> np.uint64(32)).astype(np.int64) * slices >> 32, np.arange(slices + 1))
                 # a batch asks every slice, as it needs the totals of all
-                yield pd.DataFrame([(batch, i, ids[order[s:e]].tobytes(), n[order[s:e]].tobytes()) for i, (s, e) in enumerate(zip(ends, ends[1:]))], columns=["batch", "slice", "ids", "n"])
+                yield pd.DataFrame([(batch, i, ids[s:e].tobytes(), n[s:e].tobytes()) for i, (s, e) in enumerate(zip(ends, ends[1:]))], columns=["batch", "slice", "ids", "n"])
 
     def answer(pdf):
-        ids = np.frombuffer(b"".join(pdf["ids"]), np.uint64)
-        got, at = np.unique(ids, return_inverse=True)
-        n = np.zeros(len(got), np.int64)
-        np.add.at(n, at, np.frombuffer(b"".join(pdf["n"]), np.int64))
+        asked = [np.frombuffer(x, np.uint64) for x in pdf["ids"]]
+        got, n = _sums([(x, np.frombuffer(y, np.int64)) for x, y in zip(asked, pdf["n"])])
         of_pairs = (got & np.uint64(1)).astype(bool)
-        ends = np.cumsum([0, *[len(x) // 8 for x in pdf["ids"]]])
-        return pd.DataFrame({"batch": pdf["batch"], "ids": pdf["ids"], "n": [n[at[s:e]].tobytes() for s, e in zip(ends, ends[1:])], "words": int(n[~of_pairs].sum()), "pairs": int(n[of_pairs].sum())})
+        log = n * np.log(np.maximum(n, 1))
+        totals = {"words": int(n[~of_pairs].sum()), "pairs": int(n[of_pairs].sum()), "words_log": float(log[~of_pairs].sum()), "pairs_log": float(log[of_pairs].sum())}
+        return pd.DataFrame({"batch": pdf["batch"], "ids": pdf["ids"], "n": [n[np.searchsorted(got, x)].tobytes() for x in asked], **totals})
 
     asked = packed.select("batch", "pages").mapInPandas(ask, "batch long, slice long, ids binary, n binary")
-    return asked.groupBy("slice").applyInPandas(answer, "batch long, ids binary, n binary, words long, pairs long")
+    return asked.groupBy("slice").applyInPandas(answer, "batch long, ids binary, n binary, words long, pairs long, words_log double, pairs_log double")
+
+
+class Counts:
+    """The corpus's counts of those words and pairs that a batch of pages has (``ids`` are sorted), and
+    ``level``, the mutual information of neighbours: what pairs have on average."""
+
+    def __init__(self, parts: pd.DataFrame):
+        ids, n = (np.frombuffer(b"".join(parts[c]), t) for c, t in (("ids", np.uint64), ("n", np.int64)))
+        order = np.argsort(ids)
+        self.ids, self.n = ids[order], n[order]
+        self.words, self.pairs = (max(1, int(parts[c].sum())) for c in ("words", "pairs"))
+        # entropies from the sums of n log n
+        of_words, of_pairs = (np.log(total) - parts[c].sum() / total for c, total in (("words_log", self.words), ("pairs_log", self.pairs)))
+        self.level = max(0.0, float(2 * of_words - of_pairs))
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return self.n[np.searchsorted(self.ids, h)] if len(h) else _EMPTY
 
 
 def line_kind(line: str) -> str | None:
-    """``links`` or ``tags`` where the line alone tells it."""
+    """``links`` or ``tags`` where a line looks like a list of them."""
     if "://" in line or "www." in line.lower():
         urls = _URL.findall(line)
         rest = _TAG.sub(" ", _URL.sub(" ", line))
@@ -218,82 +258,108 @@ def line_kind(line: str) -> str | None:
     return None
 
 
-def page_parts(text: str, s: Sketch | Counts, memo: _Hash, coherent: float, rate: float, burst: float) -> dict[str, float]:
-    """Characters of each kind of line, mean PMI and number of words of one page."""
-    out = dict.fromkeys(("links", "tags", "salad", "stuffed", "chars"), 0.0)
-    total_words, total_pairs = s.totals
-    plain: list[tuple[int, str]] = []
-    for line in text.split("\n"):
-        line = line.strip()
-        if not line:
-            continue
-        out["chars"] += len(line)
-        kind = line_kind(line)
-        if kind:
-            out[kind] += len(line)
-        else:
-            plain.append((len(line), line))
-    tokens = _WORD_OR_LINE.findall("\n".join([line for _, line in plain]).lower())
-    h = np.fromiter(map(memo.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-    ends = h == 0
-    line_no = np.cumsum(ends)[~ends]
-    every = h[~ends]
-    pmi_sum, pmi_n = 0.0, 0
-    if len(every) > 1:
-        inside = line_no[:-1] == line_no[1:]
-        pairs = _pairs(every)
-        cw = np.log(np.maximum(s.of_words(every), 1) / total_words)
-        cp = s.of_pairs(pairs).astype(float)
-        pmi = np.log(np.maximum(cp - 0.5, 0.5) / total_pairs) - cw[:-1] - cw[1:]
-        pmi_sum, pmi_n = float(pmi[inside].sum()), int(inside.sum())
-        _, where, count = np.unique(pairs, return_inverse=True, return_counts=True)
-        own = count[where]
-        hot = inside & (own >= max(4, rate * len(pairs)))
-        # far above the corpus's rate, or (in a small corpus) a pair that is almost only this page's own
-        hot &= (own / len(pairs) >= burst * cp / total_pairs) | (own >= 0.5 * cp)
-        covered = np.zeros(len(every), bool)
-        covered[:-1] |= hot
-        covered[1:] |= hot
-        n_of = np.bincount(line_no, minlength=len(plain))
-        share = np.bincount(line_no, weights=covered, minlength=len(plain)) / np.maximum(n_of, 1)
-        first = np.concatenate([[0], np.cumsum(n_of)])
-        for i in np.flatnonzero((n_of >= 15) | (share >= 0.5)):
-            chars, line = plain[i]
-            n = int(n_of[i])
-            if n >= 15 and len(_END.findall(line)) * 40 < n + 39 and len(_CODE.findall(line)) * 10 < n:
-                at = first[i]
-                if pmi[at : at + n - 1].mean() < coherent or len(np.unique(every[at : at + n])) < 0.25 * n:
-                    out["salad"] += chars
-                    continue
-            if share[i] >= 0.5 and len(_CODE.findall(line)) * 10 < n:
-                out["stuffed"] += chars
-    return out | {"pmi": pmi_sum / pmi_n if pmi_n else 0.0, "words": float(len(every))}
+def list_like(b: Block) -> np.ndarray:
+    """Lines that ``line_kind`` should look at: with an address, hash signs, a price or many separators."""
+    x, n = b.bytes, b.n_lines
+    per_line = lambda at: np.bincount(np.searchsorted(b.breaks, at), minlength=n)
+
+    def has(word: bytes) -> np.ndarray:
+        ok = np.ones(max(0, len(x) - len(word) + 1), bool)
+        for i, c in enumerate(word):
+            ok &= x[i : i + len(ok)] == c
+        return per_line(np.flatnonzero(ok)) > 0
+
+    separators = np.zeros(256, bool)
+    separators[list(b";,|/-\xc2\xe2")] = True
+    price = np.zeros(256, bool)
+    price[list(b"$\xc2\xe2")] = True
+    some = has(b"://") | has(b"www.") | (per_line(np.flatnonzero(x == ord("#"))) >= 3) | (per_line(np.flatnonzero(separators[x])) >= 7) | (per_line(np.flatnonzero(price[x])) > 0)
+    for word in (b"usd", b"eur", b"gbp"):
+        some |= has(word)
+    return np.flatnonzero(some)
 
 
 COLUMNS = ("links", "tags", "salad", "stuffed", "chars", "pmi", "words")
 
 
-def score_pages(docs: DataFrame, key: str, text: str, width: int = 1 << 20, coherent: float = 1.2, rate: float = 0.01, burst: float = 50.0, least_chars: int = 120) -> DataFrame:
+def score_block(texts: pa.Array, c: Counts, rate: float, burst: float, listed: float, loose: float) -> dict[str, np.ndarray]:
+    """The columns of each page."""
+    b = Block(texts)
+    lines = [s.strip() for t in texts.to_pylist() for s in t.split("\n")]
+    size = np.fromiter(map(len, lines), np.int64, count=len(lines))
+    pages, n_pages = b.page_of_line, len(texts)
+    cw, cp = c.of(b.hash), c.of(b.pair)
+    own = own_counts(b)
+    others = cp - own
+    pmi = np.where(others > 0, np.log(np.maximum(others, 1) / c.pairs) - np.log(np.maximum(cw[b.left], 1) / c.words) - np.log(np.maximum(cw[b.left + 1], 1) / c.words), 0.0)
+    n_pairs = np.bincount(b.pair_page, minlength=n_pages)
+    all_ = n_pairs[b.pair_page]
+    # far above the corpus's rate, or (in a small corpus) a pair that is almost only this page's own
+    hot = (own >= np.maximum(4, rate * all_)) & ((own / np.maximum(all_, 1) >= burst * cp / c.pairs) | (own >= 0.5 * cp))
+    covered = np.zeros(len(b.hash), bool)
+    covered[b.left[hot]] = True
+    covered[b.left[hot] + 1] = True
+    n_words = np.bincount(b.line, minlength=b.n_lines)
+    share = np.bincount(b.line, weights=covered, minlength=b.n_lines) / np.maximum(n_words, 1)
+    in_line = np.bincount(b.pair_line, minlength=b.n_lines)
+    total = np.bincount(b.pair_line, weights=pmi, minlength=b.n_lines)
+    out = {x: np.zeros(n_pages) for x in COLUMNS}
+    kind = np.zeros(b.n_lines, np.int8)
+    for i in list_like(b):
+        kind[i] = {"links": 1, "tags": 2, None: 0}[line_kind(lines[i])]
+    for k, name in ((1, "links"), (2, "tags")):
+        at = np.flatnonzero(kind == k)
+        of = lambda v: np.bincount(pages[at], weights=v[at], minlength=n_pages)  # noqa: B023, E731
+        pmi_sum, pmi_n, cover, words = of(total), of(in_line), of(share * n_words), of(n_words)
+        good = (pmi_sum < listed * c.level * pmi_n) | (cover >= 0.5 * np.maximum(words, 1)) | (words == 0)
+        kind[at[~good[pages[at]]]] = 0
+        out[name] = np.where(good, of(size), 0.0)
+    low = total < loose * c.level * in_line
+    for i in np.flatnonzero((kind == 0) & ((n_words >= 15) & low | (share >= 0.5) & (n_words > 0))):
+        n, code = int(n_words[i]), len(_CODE.findall(lines[i]))
+        if code * 10 >= n:
+            continue
+        if n >= 15 and low[i] and len(_END.findall(lines[i])) * 40 < n + 39:
+            out["salad"][pages[i]] += size[i]
+        elif share[i] >= 0.5:
+            out["stuffed"][pages[i]] += size[i]
+    out["chars"] = np.bincount(pages, weights=size, minlength=n_pages)
+    out["pmi"] = np.bincount(b.pair_page, weights=pmi, minlength=n_pages) / np.maximum(n_pairs, 1)
+    out["words"] = np.bincount(pages[b.line], minlength=n_pages).astype(float)
+    return out
+
+
+def own_counts(b: Block) -> np.ndarray:
+    """How often each pair comes in its own page."""
+    with np.errstate(over="ignore"):
+        key = _mix(b.pair ^ (b.pair_page.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    _, where, count = np.unique(key, return_inverse=True, return_counts=True)
+    return count[where]
+
+
+def score_pages(docs: DataFrame, key: str, text: str, listed: float = 0.9, loose: float = 0.4, rate: float = 0.01, burst: float = 50.0, least_chars: int = 120) -> DataFrame:
     """``key, links, tags, salad, stuffed, chars, pmi, words, flagged`` for every row with a text.
 
-    ``coherent`` is the mean PMI (in nats) below which neighbours count as unrelated; a collocation is
-    excessive if it makes at least ``rate`` of the page's pairs (and four) and ``burst`` times its rate
-    in the corpus. Null texts have no row; texts of fewer than ``least_chars`` characters (empty ones
-    too) are never flagged. Each row is scored by itself, so repeated rows have equal results.
-    ``width`` was that of a sketch and has no effect since counts are exact."""
+    ``listed`` and ``loose`` are shares of the corpus's mean PMI below which neighbours in lists and in running
+    lines count as unrelated; a collocation is excessive if it makes at least ``rate`` of the page's pairs
+    (and four) and ``burst`` times its rate in the corpus, or half of it. Null texts have no row; texts of fewer
+    than ``least_chars`` characters (empty ones too) are never flagged. Each row is scored by itself, so
+    repeated rows have equal results; without pairs in the corpus nothing is incoherent."""
+    kind = dict(docs.dtypes)[key]
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    # all but one of equal texts, by their hashes; few in most corpora, so that they are joined without a shuffle of the texts
+    hashes = written(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(F.trim(text), F.length(F.trim(text))).alias("h")), "page-hashes")
+    again = hashes.groupBy("h").agg(F.min("k").alias("least"), F.count("*").alias("n")).where("n > 1").select("h", "least")
+    copies = written(hashes.join(again, "h").where("k <> least").select("k", F.lit(False).alias("first")).distinct(), "page-copies")
+    packed = in_batches(rows.join(copies, "k", "left").select("k", "t", F.coalesce("first", F.lit(True)).alias("first")))
 
     def run(mine, theirs):
-        memo = _Hash()
-        ids, n = (np.frombuffer(b"".join(theirs[c]), t) for c, t in (("ids", np.uint64), ("n", np.int64)))
-        order = np.argsort(ids)
-        s = Counts(ids[order], n[order], (max(1, int(theirs["words"].sum())), max(1, int(theirs["pairs"].sum()))))
+        c = Counts(theirs)
         for pages in mine["pages"]:
-            rows = _unpacked(pages)
-            parts = [page_parts(t, s, memo, coherent, rate, burst) for t in rows.column("t").to_pylist()]
-            return rows.select(["k"]).to_pandas().assign(**{c: [p[c] for p in parts] for c in COLUMNS})
+            table = _unpacked(pages)
+            parts = [score_block(texts, c, rate, burst, listed, loose) for _, texts in blocks(table)]
+            return table.select(["k"]).to_pandas().assign(**{x: np.concatenate([p[x] for p in parts]) for x in COLUMNS})
 
-    kind = dict(docs.dtypes)[key]
-    packed = in_batches(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")))
     scored = packed.select("batch", "pages").groupBy("batch").cogroup(batch_counts(packed).groupBy("batch")).applyInPandas(run, f"k {kind}, " + ", ".join(f"{c} double" for c in COLUMNS))
     flagged = (F.col("chars") >= least_chars) & (F.col("links") + F.col("tags") + F.col("salad") + F.col("stuffed") > 0.5 * F.col("chars"))
     return scored.select(F.col("k").alias(key), *COLUMNS, flagged.alias("flagged"))

@@ -45,7 +45,7 @@ PLAIN = {
 
 def test_kinds(spark):
     rows = [(f"spam-{k}", t) for k, t in SPAM.items()] + [(f"plain-{k}", t) for k, t in PLAIN.items()] + [(f"fill-{i}", prose()) for i in range(300)] + [("null", None)]
-    got = {r.k: r for r in stuffing.score_pages(spark.createDataFrame(rows, "k string, t string"), "k", "t", width=1 << 16).collect()}
+    got = {r.k: r for r in stuffing.score_pages(spark.createDataFrame(rows, "k string, t string"), "k", "t").collect()}
     assert "null" not in got and len(got) == len(rows) - 1
     assert {k for k, r in got.items() if r.flagged} == {f"spam-{k}" for k in SPAM}
     assert got["spam-salad"].pmi < got["plain-prose"].pmi
@@ -53,21 +53,44 @@ def test_kinds(spark):
 
 def test_empty_and_repeated(spark):
     df = spark.createDataFrame([], "k string, t string")
-    assert stuffing.score_pages(df, "k", "t", width=1 << 16).count() == 0
+    assert stuffing.score_pages(df, "k", "t").count() == 0
     twice = spark.createDataFrame([("a", SPAM["links"]), ("a", SPAM["links"]), ("b", prose() * 400)], "k string, t string")
-    assert sorted((r.k, r.flagged) for r in stuffing.score_pages(twice, "k", "t", width=1 << 16).collect())[:2] == [("a", True), ("a", True)]
+    assert sorted((r.k, r.flagged) for r in stuffing.score_pages(twice, "k", "t").collect())[:2] == [("a", True), ("a", True)]
 
 
-def test_sketch_counts():
-    s, memo = stuffing.Sketch(1 << 14), stuffing._Hash()
-    ids = stuffing.Sketch.ids("a b a b a c", memo)
-    s.add([ids])
-    assert list(s.of_words(ids)) == [3, 2, 3, 2, 3, 1] and list(s.of_pairs(stuffing._pairs(ids))) == [2, 2, 2, 2, 1]
+def test_words_of_bytes():
+    text = "Größe, naïve—test “quoted” a_b1c\n\nЖук жук 全角。漢字 x"
+    b = stuffing.np.frombuffer(text.lower().encode(), stuffing.np.uint8)
+    h, at = stuffing.words_of(b)
+    want = ["größe", "naïve", "test", "quoted", "a", "b", "c", "жук", "жук", "全角", "漢字", "x"]
+    assert len(h) == len(want) and all((h[i] == h[j]) == (want[i] == want[j]) for i in range(len(want)) for j in range(len(want)))
+    assert [bytes(b[i : i + 1]).isascii() or want[n][0] > "z" for n, i in enumerate(at)] == [True] * len(want)
+
+
+def test_without_pmi_word_salad_and_lists_pass(spark):
+    word = lambda: rng.choice(NOUNS) + rng.choice("aeiou")
+    spam = {f"salad{i}": " ".join(word() for _ in range(160)) for i in range(5)} | {f"tags{i}": ", ".join(f"{word()} {word()}" for _ in range(60)) for i in range(5)}
+    spam |= {f"links{i}": "\n".join(f"http://{word()}-{word()}.example/{word()}/{word()}/{word()}" for _ in range(25)) for i in range(5)} | {"repeat": SPAM["repeat"]}
+    rows = list(spam.items()) + [(f"fill-{i}", prose()) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t string")
+    flags = lambda **kw: {r.k for r in stuffing.score_pages(df, "k", "t", **kw).where("flagged").collect()}
+    every, without = flags(), flags(listed=0.0, loose=0.0)
+    assert every == set(spam) and len(every - without) >= len(every) / 2 and "repeat" in without
+
+
+def test_copies_do_not_vouch_for_each_other(spark):
+    """Rare words are in no other page than in a page's own copies."""
+    r = random.Random(8)
+    page = " ".join("#" + "".join(r.choices("abcdefghijklmnop", k=9)) for _ in range(60))
+    rows = [(f"copy-{i}", page + " " * i) for i in range(40)] + [(f"fill-{i}", prose()) for i in range(300)]
+    got = stuffing.score_pages(spark.createDataFrame(rows, "k string, t string"), "k", "t").where("flagged").collect()
+    assert {x.k for x in got} == {f"copy-{i}" for i in range(40)}
 
 
 def test_counts_are_exact_at_any_size(spark, monkeypatch):
     """Over a million distinct pairs, in many batches and slices: each batch gets the corpus's exact counts."""
     monkeypatch.setattr(stuffing, "BATCH", 1 << 20)
+    monkeypatch.setattr(stuffing, "BLOCK", 1 << 18)
     monkeypatch.setattr(stuffing, "SLICE", 1 << 20)
     r = random.Random(3)
     word = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(30_000)]
@@ -85,5 +108,6 @@ def test_counts_are_exact_at_any_size(spark, monkeypatch):
     nw, np_ = sum(words.values()), sum(pairs.values())
     for k, t in rows[:3] + rows[260:262]:
         w = t.split()
-        pmi = [math.log((pairs[a, b] - 0.5) / np_) - math.log(words[a] / nw) - math.log(words[b] / nw) for a, b in zip(w, w[1:])]
+        own = Counter(zip(w, w[1:]))
+        pmi = [math.log((pairs[p] - own[p]) / np_) - math.log(words[p[0]] / nw) - math.log(words[p[1]] / nw) if pairs[p] > own[p] else 0.0 for p in zip(w, w[1:])]
         assert abs(got[k].pmi - sum(pmi) / len(pmi)) < 1e-9
