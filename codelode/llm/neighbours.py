@@ -13,10 +13,11 @@ stored vectors.
 * **The index** that is broadcast has the codebooks and one byte a cell (the logarithm of its count), that
   is an eighth of a byte for each vector; ``per_cell`` rises where there would be more than 2^27 cells.
 * **Search.** Cells lie in an order that keeps near ones together (recursive bisection of the codebooks,
-  interleaved) and are packed in it into blocks of about ``block`` candidates; a denser place is dealt out
-  over several blocks. A vector is sent to the blocks that have cells it reaches, in slices of about
-  ``asking`` vectors, so no group holds more than a fixed number of rows, and each group has a partition of
-  its own. The best of all blocks are merged.
+  interleaved) and are packed in it into blocks of about ``block`` vectors; a denser place is dealt out over
+  several blocks. Where a cell reaches one in another block, the vectors of the earlier block visit the later,
+  in slices of about ``asking`` vectors, and either side's questions are answered there. So a pair of blocks
+  meets once, no group holds more than a fixed number of rows, and each group has a partition of its own. The
+  best of all blocks are merged.
 
 Of vectors that are equal (to a millionth in each number at unit length) only the first k + 1 by key are
 indexed, which is enough for any answer; the other copies get their neighbours from that class. Cosines
@@ -201,19 +202,31 @@ class MultiIndex:
                 heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
         return np.array(out if cell in out else [cell, *out], np.int64)
 
-    def routes(self, cell: int, reach: float, pops: int) -> list[tuple[int, np.ndarray]]:
-        """(block, the cells that the vectors of ``cell`` reach in it)."""
+    def routes(self, cell: int, reach: float, pops: int) -> tuple[list[tuple[int, int, np.ndarray]], set[tuple[int, int]]]:
+        """What the vectors of ``cell`` are compared with: (block, kind, cells) where residents of the block
+        ask residents (OWN), visitors ask residents (TO) or residents ask visitors (FROM); and who visits:
+        (block, cell). Of two blocks the vectors in the earlier one visit the later, whoever asks."""
         found = self.traverse(cell, reach, pops)
-        z = self.bins(found)
-        first, parts = self.first[z], self.parts[z]
-        out: dict[int, list[np.ndarray]] = {}
-        for f, p in set(zip(first.tolist(), parts.tolist())):
-            own = found[(first == f) & (parts == p)]
+        z, own = self.bins(found), self.bins(np.array([cell]))[0]
+        first, parts, f0, p0 = self.first[z], self.parts[z], int(self.first[own]), int(self.parts[own])
+        lists, visits = [], set()
+        for f, p in sorted(set(zip(first[first >= f0].tolist(), parts[first >= f0].tolist()))):
+            cells = found[(first == f) & (parts == p)]
             for block in range(f, f + p):
-                out.setdefault(block, []).append(own)
-        return [(block, np.concatenate(x)) for block, x in sorted(out.items())]
-
-
+                if f == f0:
+                    lists.append((block, OWN, cells))
+                if f != f0 or p > 1:  # the parts of a dense bin visit each other
+                    lists.append((block, TO, cells))
+                    visits.add((block, cell))
+        before = found[first < f0]
+        if len(before):
+            for block in range(f0, f0 + p0):
+                lists.append((block, FROM, before))
+                visits.update((block, c) for c in before.tolist())
+        return lists, visits
+
+
+OWN, TO, FROM = 2, 3, 4
 _SIZE_LIST = SIZES.tolist()
 _ONE_CELL = np.zeros(1, np.int64)
 
@@ -245,47 +258,59 @@ def best(asks: np.ndarray, keys: np.ndarray, theirs: np.ndarray, near: np.ndarra
     return r[keep], exact[keep], their_keys[c[keep]]
 
 
+class Pool:
+    """Vectors sorted by their cells."""
+
+    def __init__(self, t: pa.Table, dim: int):
+        cell = t["cell"].to_numpy()
+        order = np.argsort(cell, kind="stable")
+        self.key, self.v = t["key"].to_numpy()[order], matrix(t["v"], dim)[order]
+        self.near = unit(self.v).astype(np.float32)
+        self.cells, self.starts = np.unique(cell[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(cell))
+
+    def rows(self, cells: np.ndarray) -> np.ndarray:
+        if not len(self.cells):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.cells, cells), len(self.cells) - 1)
+        return np.concatenate([np.zeros(0, np.int64), *[np.arange(self.starts[i], self.ends[i]) for i in at[self.cells[at] == cells]]])
+
+
 def search(t: pa.Table, dim: int, k: int) -> pa.Table:
-    """One slice of one block: kind 0 are its candidates, kind 1 the vectors that ask, kind 2 the cells that
-    those of a cell reach in this block. -> ``key, near``, the best of the block for each that asks."""
+    """One slice of one block: rows of kind 0 are its residents, of kind 1 its visitors, the others what a
+    cell's vectors are compared with (``routes``). -> ``key, near``, the best k of each comparison."""
     kind = t["kind"].to_numpy()
-    cand, ask, lists = (t.take(pa.array(np.flatnonzero(kind == i))) for i in range(3))
-    schema = pa.schema([("key", pa.int64()), ("near", pa.list_(pa.struct([("far", pa.float64()), ("neighbour", pa.int64())])))])
-    if not cand.num_rows or not ask.num_rows:
-        return schema.empty_table()
-    reached = {c: np.frombuffer(x, np.int64) for c, x in zip(lists["cell"].to_pylist(), lists["v"].to_pylist())}
-    their_cell, their_key, theirs = cand["cell"].to_numpy(), cand["key"].to_numpy(), matrix(cand["v"], dim)
-    o = np.argsort(their_cell, kind="stable")
-    their_cell, their_key, theirs = their_cell[o], their_key[o], theirs[o]
-    near = unit(theirs).astype(np.float32)
-    cells, starts = np.unique(their_cell, return_index=True)
-    ends = np.append(starts[1:], len(their_cell))
-    cell, key, asks = ask["cell"].to_numpy(), ask["key"].to_numpy(), matrix(ask["v"], dim)
-    o = np.argsort(cell, kind="stable")
-    cell, key, asks = cell[o], key[o], asks[o]
+    residents, visitors = (Pool(t.take(pa.array(np.flatnonzero(kind == i))), dim) for i in range(2))
+    lists = t.take(pa.array(np.flatnonzero(kind > 1)))
     rows, scores, found = [], [], []
-    for c, s, e in zip(*(lambda u, i: (u.tolist(), i.tolist(), np.append(i[1:], len(cell)).tolist()))(*np.unique(cell, return_index=True))):
-        at = np.minimum(np.searchsorted(cells, reached[c]), len(cells) - 1)
-        at = at[cells[at] == reached[c]]  # a part of a bin needn't have vectors of all of its cells
-        if not len(at):
+    for which, cell, reached in zip(lists["kind"].to_pylist(), lists["cell"].to_pylist(), lists["v"].to_pylist()):
+        asks, theirs = visitors if which == TO else residents, visitors if which == FROM else residents
+        own = asks.rows(np.array([cell]))
+        i = theirs.rows(np.frombuffer(reached, np.int64)) if len(own) else own
+        if not len(i):
             continue
-        i = np.concatenate([np.arange(starts[x], ends[x]) for x in at])
-        n, k_, m = near[i], their_key[i], theirs[i]
+        near, v, key = theirs.near[i], theirs.v[i], theirs.key[i]
         step = max(1, (1 << 22) // len(i))
-        for p in range(s, e, step):
-            r, x, y = best(asks[p : min(e, p + step)], key[p : min(e, p + step)], m, n, k_, k)
-            rows.append(r + p)
+        for p in range(0, len(own), step):
+            part = own[p : p + step]
+            r, x, y = best(asks.v[part], asks.key[part], v, near, key, k)
+            rows.append(part[r] + (len(residents.key) if which == TO else 0))
             scores.append(-x)
             found.append(y)
+    schema = pa.schema([("key", pa.int64()), ("near", pa.list_(pa.struct([("far", pa.float64()), ("neighbour", pa.int64())])))])
     if not rows:
         return schema.empty_table()
-    rows = np.concatenate(rows)
-    offsets = np.searchsorted(rows, np.arange(len(key) + 1)).astype(np.int32)
-    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(scores)), pa.array(np.concatenate(found))], names=["far", "neighbour"])
-    return pa.table([pa.array(key), pa.ListArray.from_arrays(pa.array(offsets), pairs)], schema=schema)
+    rows, scores, found = np.concatenate(rows), np.concatenate(scores), np.concatenate(found)
+    order = np.lexsort((found, scores, rows))
+    rows = rows[order]
+    order = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
+    rows, starts = np.unique(np.sort(rows)[np.arange(len(rows)) - np.searchsorted(rows, rows) < k], return_index=True)
+    pairs = pa.StructArray.from_arrays([pa.array(scores[order]), pa.array(found[order])], names=["far", "neighbour"])
+    offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
+    return pa.table([pa.array(np.concatenate([residents.key, visitors.key])[rows]), pa.ListArray.from_arrays(offsets, pairs)], schema=schema)
 
 
-def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 3000, pops: int = 256, per_cell: float = 8.0, sample: int = 40_000, block: int = 12_288, asking: int = 24_576, salts: int = 32) -> DataFrame:
+def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 3000, pops: int = 256, per_cell: float = 8.0, sample: int = 40_000, block: int = 16_384, asking: int = 16_384, salts: int = 32) -> DataFrame:
     """``key, neighbour, score, rank``: for each usable vector the k others of its collection with the
     largest cosine (fewer if there are fewer); rank is from 1, ties go to the smaller neighbour.
 
@@ -357,15 +382,22 @@ def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int
     def probes(batches):
         for rb in batches:
             out: list[tuple] = []
-            for name, cell, n in zip(*(c.to_pylist() for c in (rb.column("collection"), rb.column("cell"), rb.column("n")))):
+            for name, cell in zip(rb.column("collection").to_pylist(), rb.column("cell").to_pylist()):
                 ix = whole.value.get(name)
-                routes, salts_ = ([(0, _ONE_CELL)], 1) if ix is None else (ix.routes(cell, reach, pops), int(ix.salts(np.array([cell]))[0]))
-                out += [(name, cell, n, salts_, block_, reached.tobytes()) for block_, reached in routes]
-            columns = zip(*out) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["collection", "cell", "n", "salts", "block", "v"])
-
-    routes = written(occupied.repartition(spread).mapInArrow(probes, "collection string, cell long, n long, salts int, block int, v binary"), "knn-routes")
-    blocks = routes.groupBy("collection", "block").agg(F.ceil(F.sum("n") / asking).cast("long").alias("slices"))  # a row a block
+                lists, visits = ([(0, OWN, _ONE_CELL)], set()) if ix is None else ix.routes(cell, reach, pops)
+                out += [(name, block_, kind, cell, 0, 0, cells.tobytes()) for block_, kind, cells in lists]
+                if visits:
+                    who = np.array([c for _, c in visits])
+                    sizes, salts_ = np.ceil(SIZES[ix.codes.ravel()[who]]).astype(np.int64).tolist(), ix.salts(who).tolist()
+                    out += [(name, block_, 1, c, n, s, b"") for (block_, c), n, s in zip(visits, sizes, salts_)]
+            columns = zip(*out) if out else [[]] * 7
+            types = (pa.string(), pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["collection", "block", "kind", "cell", "n", "salts", "v"])
+
+    routes = written(occupied.repartition(spread).select("collection", "cell").mapInArrow(probes, "collection string, block int, kind tinyint, cell long, n long, salts int, v binary"), "knn-routes")
+    visits = routes.where("kind = 1").select("collection", "block", "cell", "n", "salts").distinct()
+    blocks = routes.where("kind > 1").select("collection", "block").distinct().join(visits.groupBy("collection", "block").agg(F.sum("n").alias("n")), ["collection", "block"], "left")
+    blocks = blocks.select("collection", "block", F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(0)) / asking)).cast("long").alias("slices"))  # a row a block
     numbered = blocks.withColumn("end", F.sum("slices").over(Window.orderBy("collection", "block").rowsBetween(Window.unboundedPreceding, 0)))
     numbered = written(numbered.select("collection", "block", F.explode(F.sequence(F.col("end") - F.col("slices"), F.col("end") - 1)).alias("group")), "knn-groups")
     lanes = max(1, min(MOST_LANES, numbered.count()))
@@ -387,12 +419,14 @@ def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int
     placed = entries.select("collection", "key", "v").mapInArrow(assigned, "collection string, cell long, key long, v binary, own int, salt int")
     each = F.explode("lanes").alias("to")
     columns = ["to", F.col("kind").cast("tinyint").alias("kind"), "cell", "key", "v"]
-    candidates = placed.withColumnRenamed("own", "block").join(slices, ["collection", "block"]).select("*", F.lit(0).alias("kind"), each).select(*columns)
-    to = routes.select("collection", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    residents = placed.withColumnRenamed("own", "block").join(slices, ["collection", "block"]).select("*", F.lit(0).alias("kind"), each).select(*columns)
+    to = visits.select("collection", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     one = F.element_at("lanes", (F.pmod(F.xxhash64("key"), F.size("lanes")) + 1).cast("int")).alias("to")
-    asks = placed.join(to, ["collection", "cell", "salt"]).join(slices, ["collection", "block"]).select("*", F.lit(1).alias("kind"), one).select(*columns)
-    lists = routes.join(slices, ["collection", "block"]).select("*", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"), each).select(*columns)
-    every = candidates.unionByName(asks).unionByName(lists).select(F.col("to.lane").alias("lane"), F.col("to.group").alias("group"), "kind", "cell", "key", "v")
+    visitors = placed.join(to, ["collection", "cell", "salt"]).where("own <> block").join(slices, ["collection", "block"]).select("*", F.lit(1).alias("kind"), one).select(*columns)
+    lists = routes.where("kind > 1").withColumn("key", F.lit(0).cast("long")).join(slices, ["collection", "block"])
+    # residents ask each other once, in the first slice
+    lists = lists.where(f"kind = {OWN}").withColumn("to", F.element_at("lanes", 1)).select(*columns).unionByName(lists.where(f"kind > {OWN}").select("*", each).select(*columns))
+    every = residents.unionByName(visitors).unionByName(lists).select(F.col("to.lane").alias("lane"), F.col("to.group").alias("group"), "kind", "cell", "key", "v")
     parts = every.repartition(lanes, "lane").groupBy("lane", "group").applyInArrow(lambda t: search(t, dim, k), "key long, near array<struct<far: double, neighbour: long>>")
     best_ = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k)  # at most k from each block
     near = parts.groupBy("key").agg(best_.alias("near")).select("key", F.posexplode("near").alias("at", "x"))

@@ -121,6 +121,17 @@ def test_a_dense_place_gets_centroids_of_its_own_and_no_block_is_large():
         block = ix.first[z] + N.part_of(np.arange(len(m)) * 12, ix.parts[z])
         assert np.bincount(block).max() <= 700
         assert most is None or counts.max() <= most
-        hottest = int(cells[np.argmax(counts)])
-        seen = {(b, c) for b, x in ix.routes(hottest, 8000, 9999) for c in x.tolist()}
-        assert seen >= {(int(b), int(c)) for b, c in zip(block, at) if c == hottest}
+        # every vector of a reached cell is met exactly once, in a block of its own or of the one that asks
+        for hottest in (int(cells[np.argmax(counts)]), int(cells[0]), int(cells[-1])):
+            lists, visits = ix.routes(hottest, 3000, 9999)
+            reached = set(ix.traverse(hottest, 3000, 9999).tolist())
+            for asker in np.unique(block[at == hottest]).tolist():
+                met = []
+                for b, kind, x in lists:
+                    here = asker == b if kind in (N.OWN, N.FROM) else (b, hottest) in visits and asker != b
+                    if here and kind == N.FROM:
+                        assert all((b, c) in visits for c in x.tolist())
+                        met += [i for i in np.flatnonzero(np.isin(at, x)).tolist() if block[i] != b]
+                    elif here:
+                        met += np.flatnonzero(np.isin(at, x) & (block == b)).tolist()
+                assert sorted(met) == np.flatnonzero(np.isin(at, sorted(reached))).tolist()

@@ -98,7 +98,7 @@ def test_counts_are_exact_at_any_size(spark, monkeypatch):
     salad = " ".join(f"{a} {b}" for a, b in zip(NOUNS * 4, reversed(NOUNS * 4))) + " " + " ".join(r.choices(NOUNS, k=300))
     rows = [(f"t{i}", t) for i, t in enumerate(texts)] + [("salad", salad)] + [(f"n{i}", " ".join(r.choices(NOUNS, k=4))) for i in range(20_000)]
     words, pairs = Counter(), Counter()
-    for _, t in rows:
+    for t in {t for _, t in rows}:  # exact copies are one page
         w = t.split()
         words.update(w)
         pairs.update(zip(w, w[1:]))
