@@ -4,16 +4,20 @@
    addresses and blocks of private keys, each with the identifiers around it.
 2. A character Markov model (pairs of bytes) is counted over all texts; a value's mean log-likelihood
    under it tells random strings from words.
-3. Patterns label a part of the candidates weakly: formats of known issuers and secret-sounding names
-   with mixed values against placeholders, references, checksums and plain words.
-4. A logistic regression on likelihood, shape, identifiers and path is fitted on at most ``sample``
-   weakly labelled candidates of either label, calibrated (Platt) on a held-out fifth of them, and
-   applied to all candidates. Values with a calibrated score of at least ``threshold`` are redacted.
+3. Families of patterns label a part of the candidates weakly: formats of known issuers, private keys,
+   addresses with a password and secret-sounding names with mixed values against placeholders, references,
+   checksums and code. What they can't tell stays without a label.
+4. A logistic regression is fitted on at most ``sample`` weakly labelled candidates of each family. It sees
+   the likelihood and how the value's characters are made up, and hashed words of the surrounding
+   identifiers, of the value and of the path; none of the labelling patterns is a feature. It is calibrated
+   (Platt) on a held-out fifth, and its score decides every candidate, labelled or not: values with a score
+   of at least ``threshold`` are redacted.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,17 +27,24 @@ from pyspark.sql import functions as F
 
 from codelode.session import written
 
-# Formats of keys as their issuers publish them.
-ISSUED = re.compile(
-    r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w\-]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"
-    r"|xox[abeoprs]-[A-Za-z0-9\-]{10,}|AIza[\w\-]{35}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,}|npm_[A-Za-z0-9]{36}|SG\.[\w\-]{16,}\.[\w\-]{16,}|pypi-[\w\-]{16,}|ya29\.[\w\-]{20,})$"
-)
+# Formats of keys as their issuers publish them, a family each.
+ISSUERS = {
+    "aws": re.compile(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$"),
+    "github": re.compile(r"^(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,})$"),
+    "gitlab": re.compile(r"^glpat-[\w\-]{20,}$"),
+    "stripe": re.compile(r"^[sr]k_(?:live|test)_[A-Za-z0-9]{16,}$"),
+    "slack": re.compile(r"^xox[abeoprs]-[A-Za-z0-9\-]{10,}$"),
+    "google": re.compile(r"^(?:AIza[\w\-]{35}|ya29\.[\w\-]{20,})$"),
+    "jwt": re.compile(r"^eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,}$"),
+    "packages": re.compile(r"^(?:npm_[A-Za-z0-9]{36}|pypi-[\w\-]{16,})$"),
+    "sendgrid": re.compile(r"^SG\.[\w\-]{16,}\.[\w\-]{16,}$"),
+}
 PLACEHOLDER = re.compile(
     r"(?i)^(?:[x*.•#_\-]{3,}|<.*>?|\{.*\}?|\[.*\]|\$.*|%.*%?|your[_\-].*|.*[_\-]here|change[_\-]?me.*|replace[_\-]?me.*|insert[_\-].*|tbd|fixme|(?:example|sample|dummy|placeholder|fake|todo|none|null|nil|undefined|true|false|redacted|removed|hidden|secret|password|passwd|token|test|default|string|empty)[\W_\d]*)$"
     r"|\*{3,}|x{6,}|\$\{|\{\{|\}\}|<[A-Za-z_\- ]+>|\.{3,}|process\.env|os\.environ|getenv|^env[.:(]|^ENC\[|^vault:|^@@?\w+@@?$|^!(?:vault|ref|env)"
 )
 # Plain words, numbers, paths, addresses without a password, embedded media, checksums.
-PLAIN = re.compile(r"^(?:[A-Za-z]+|[a-z]+(?:[_\-. ][a-z]+)*|\d+(?:\.\d+)*)$|^[\w.\-/]*/[\w\-]+\.\w{1,5}$|^[A-Za-z][A-Za-z0-9+.\-]*://|^data:|^sha\d+[-:]")
+PLAIN = re.compile(r"^(?:[A-Za-z]+|[a-z]+(?:[_\-. ][a-z]+)*|\d+(?:\.\d+)*)$|^[\w.\-/]*/[\w\-]+\.\w{1,5}$|^[A-Za-z][A-Za-z0-9+.\-]*://|^data:|^sha\d+[-:]|^[A-Za-z_]\w*(?:\.[a-z]+(?:[A-Z][a-z]+)+\d*)+$")
 NOUNS = frozenset("password passwd pwd pass passphrase secret token key apikey apitoken credential credentials cred auth authorization jwt dsn bearer accesskeyid secretaccesskey".split())
 OTHER = frozenset("sha sha1 sha256 sha512 md5 hash checksum digest integrity uuid guid id icon image img data font public label field name path size count width depth kind type status stamp total owner limit offset phase weight url uri version license commit etag revision fingerprint signature file dir header".split())
 CONFIG = re.compile(r"(?i)\.(?:env|ya?ml|toml|ini|cfg|conf|config|properties|json|tmpl|template|example|tf|tfvars|netrc|npmrc|pypirc|xml|txt|md|sh)(?:\.\w+)?$|(?:^|/)\.env")
@@ -50,10 +61,17 @@ _KEY_VALUE = re.compile(r"(?<![\w.\-])[A-Za-z_][\w.\-]*[ \t]*=[ \t]*([^\s;,&\"'`
 _SCHEME = re.compile(r"(?i)^(?:bearer|basic|token|digest)[ \t]+")
 _LOOKUP = re.compile(r"(?i)(?:\w\[|(?:getenv|environ\.get|env|secrets?|config|settings|vault|params?|property|getproperty|header|get)\s*\()\s*[\"'`]$")
 _FILLER = frozenset("bearer basic is here are was be the a an this that of for now value todo remove temp".split())  # fixed values
-_BARE = re.compile(r"(?<![\w+/=.\-])[A-Za-z0-9_+/=.\-]{16,}(?![\w+/=\-])")
+_BARE = re.compile(r"(?<![\w+/.\-])[A-Za-z0-9_+/.\-]{16,}={0,2}(?![\w+/=\-])")
 _LOOSE = re.compile(r"(?m)(?:^[ \t]*(?://|#|\*|/\*|--|;)[^\n]*?[:=][ \t]+|\bis[ \t]+)(?:(?:[Bb]earer|[Bb]asic)[ \t]+)?([^\s\"'`<>{}()\[\],;]{6,})(?=[.,;]?(?:[ \t]*\*/)?[ \t]*$)")
 _MIXED = re.compile(r"\d.*[A-Za-z]|[A-Za-z].*\d")
-FEATURES = 24
+_LETTERS = re.compile(r"[A-Za-z]+")
+_SAME = re.compile(r"(.)\1*", re.S)
+_CLASS = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
+KINDS = ("bare", "config")  # the others have none of these features
+LIKE_BINS, LENGTH_BINS, LAST, EARLIER, INSIDE, PLACE = 12, 8, 256, 128, 192, 32  # one-hot features: bins, and buckets of hashed words
+DENSE = 18
+FEATURES = DENSE + LIKE_BINS + LENGTH_BINS + len(KINDS) + LAST + EARLIER + INSIDE + PLACE
+FAMILIES = ("private", "userinfo", "named", *ISSUERS)  # of credentials; "lookalike" and "harmless" are none
 
 
 @dataclass
@@ -124,7 +142,7 @@ def candidates(text: str, path: str | None) -> list[Candidate]:
             add(m.start(1), m.start(1) + len(m.group(1).rstrip(".")), "bare")
     for m in _BARE.finditer(text):
         v = m.group().rstrip(".")
-        if (_MIXED.search(v) and sum(c.isdigit() for c in v) >= 2) or ISSUED.match(v):
+        if (_MIXED.search(v) and sum(c.isdigit() for c in v) >= 2) or any(x.match(v) for x in ISSUERS.values()):
             add(m.start(), m.start() + len(v), "bare")
     out = []
     breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 10)
@@ -163,78 +181,118 @@ def secret_name(words: list[str]) -> bool:
     return words[-1] in NOUNS or "".join(words) in NOUNS or "".join(words[-2:]) in ("databaseurl", "connectionstring")
 
 
-def weak_label(kind: str, value: str, names: str) -> int:
-    """1 or 0 where the patterns are sure, else -1."""
+def weak_family(kind: str, value: str, names: str) -> str | None:
+    """The family of patterns that labels a candidate: one of FAMILIES for a credential, ``lookalike``
+    or ``harmless`` for none (with or without a secret's name or a placeholder's form), None where the patterns aren't sure."""
     words = name_words(names)
     if kind == "private":
-        return 1
+        return "private"
     if PLACEHOLDER.search(value):
-        return 0
+        return "lookalike"
     if kind == "userinfo":
-        return 1
-    if ISSUED.match(value):
-        return 1
+        return "userinfo"
+    for issuer, form in ISSUERS.items():
+        if form.match(value):
+            return issuer
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
     plain = PLAIN.search(value)
     if secret_name(words):
-        return 0 if plain else 1 if mixed and 8 <= len(value) <= 200 else -1
-    if plain or (set(words) & OTHER and not any(secret_name([w]) for w in words)):
-        return 0
-    return 0 if kind != "bare" and not any(secret_name([w]) for n in names.split(" ") for w in [p.lower() for p in _PARTS.findall(n)]) else -1
-
-
-def features(value: str, names: str, kind: str, path: str | None, pair_log: np.ndarray) -> list[float]:
-    v = value
-    b = np.frombuffer(v.encode("utf-8", "replace"), np.uint8).astype(np.int64)
-    like = float(pair_log[b[:-1] * 256 + b[1:]].mean()) if len(b) > 1 else -3.0
-    n = max(1, len(v))
-    digits, upper, lower = sum(c.isdigit() for c in v) / n, sum(c.isupper() for c in v) / n, sum(c.islower() for c in v) / n
+        if plain:
+            return None if re.fullmatch(r"[a-z]{8,}", value) else "lookalike"
+        return "named" if mixed and 8 <= len(value) <= 200 and not re.search(r"[(){};]", value) else None
+    if plain or set(words) & OTHER:
+        return "lookalike" if len(value) >= 20 else "harmless"
+    if "base64" in names:
+        return "lookalike"
+    if len(value) >= 16 and mixed and re.fullmatch(r"[\w+/=\-]+", value):
+        return None  # could be a key under any name
+    return "harmless" if kind != "bare" and not any(secret_name([w]) for n in names.split(" ") for w in [p.lower() for p in _PARTS.findall(n)]) else None
+
+
+_BUCKET: dict[str, int] = {}
+
+
+def _bucket(word: str) -> int:
+    if len(_BUCKET) > 200_000:
+        _BUCKET.clear()
+    h = _BUCKET.get(word)
+    if h is None:
+        h = _BUCKET[word] = zlib.crc32(word.encode("utf-8", "replace")) >> 3
+    return h
+
+
+def features(value: str, names: str, kind: str, path: str | None, pair_log: np.ndarray) -> tuple[list[float], list[int]]:
+    """Numbers of the value, and the places of the features that are 1."""
+    b = np.frombuffer(value.encode("utf-8", "replace"), np.uint8).astype(np.int64)
+    steps = pair_log[b[:-1] * 256 + b[1:]] if len(b) > 1 else np.full(1, -3.0)
+    like = float(steps.mean())
+    n = max(1, len(value))
+    shape = value.translate(_CLASS)
+    lower, upper, digits = (shape.count(c) / n for c in "aA0")
     counts = np.bincount(b, minlength=1)
     p = counts[counts > 0] / max(1, len(b))
-    entropy = float(-(p * np.log2(p)).sum())
-    runs = [len(x) for x in re.findall(r"[a-z]{3,}", v.lower())]
-    words = name_words(names)
-    earlier = [w for x in names.split(" ")[:-1] for w in (p_.lower() for p_ in _PARTS.findall(x))]
-    low = (path or "").lower()
-    placeholder = bool(PLACEHOLDER.search(value)) and kind != "private"
-    harmless = placeholder or (kind not in ("private", "userinfo") and bool(PLAIN.search(value)))
-    return [
-        like, -min(like, -4.0) - 4.0, np.log(n), entropy, digits, upper, lower, 1 - digits - upper - lower,
-        max(runs, default=0) / n, len(set(v)) / n, float(n > 120), float(n < 8),
-        float(secret_name(words) and not harmless), float(any(secret_name([w]) for w in earlier) and not harmless), float(bool(set(words) & OTHER)),
-        float(bool(ISSUED.match(value)) and not placeholder), float(placeholder), float("/" in v and "." in v), float(kind == "bare"), float(kind == "userinfo"),
-        float(kind == "private"), float(kind == "config"), float(bool(re.search(r"test|sample|example|fixture|mock|doc", low))), float(bool(CONFIG.search(low))),
+    runs = [m.group() for m in _LETTERS.finditer(value)]
+    changes = sum(x != y for x, y in zip(shape, shape[1:])) / n
+    dense = [
+        like, float(np.sort(steps)[: (len(steps) + 1) // 2].mean()), np.log(n), float(-(p * np.log2(p)).sum()), lower, upper, digits, 1 - lower - upper - digits,
+        sum(map(value.count, "<>{}$%*()[];=,")) / n, sum(map(value.count, "/.")) / n, max(map(len, runs), default=0) / n, max(len(m.group()) for m in _SAME.finditer(value)) / n if value else 1.0,
+        len(set(value)) / n, changes, value.count(" ") / n, float(-steps.sum() / 40), float(np.clip(-like - 3, 0, 2) * min(n, 40) / 40), float(value.lower().strip("0123456789abcdef-") == ""),
     ]
+    all_names = names.split(" ") if names else []
+    groups = (
+        (LIKE_BINS, [int(np.clip(-2 * like - 1, 0, LIKE_BINS - 1))]), (LENGTH_BINS, [min(LENGTH_BINS - 1, int(np.log2(n)))]), (len(KINDS), [i for i, x in enumerate(KINDS) if x == kind]),
+        (LAST, [_bucket(w.lower()) for x in all_names[-1:] for w in [*_PARTS.findall(x), "=" + x]]), (EARLIER, [_bucket(w.lower()) for x in all_names[:-1] for w in _PARTS.findall(x)]),
+        (INSIDE, [_bucket(w.lower()) for w in runs if 3 <= len(w) <= 12]), (PLACE, [_bucket(w.lower()) for w in _LETTERS.findall((path or "").rsplit("/", 1)[-1])[-2:]]),
+    )
+    at, ones = DENSE, set()
+    for size, ids in groups:
+        ones.update(at + i % size for i in ids)
+        at += size
+    return dense, sorted(ones)
+
+
+def _packed(dense: list[float], ones: list[int]) -> bytes:
+    return np.asarray(dense, np.float32).tobytes() + np.asarray(ones, np.uint16).tobytes()
+
+
+def _matrix(rows) -> np.ndarray:
+    x = np.zeros((len(rows), FEATURES), np.float32)
+    for i, r in enumerate(rows):
+        x[i, :DENSE] = np.frombuffer(r, np.float32, count=DENSE)
+        x[i, np.frombuffer(r, np.uint16, offset=4 * DENSE)] = 1
+    return x
 
 
 class Scorer:
     """Logistic regression with its scaling and calibration."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 5):
-        self.mean, self.sd = x.mean(0), np.maximum(x.std(0), 1e-6)
+        x = np.asarray(x, float)
+        self.mean, self.sd = x.mean(0), np.maximum(x.std(0), 0.05)
         held = np.random.default_rng(seed).random(len(y)) < 0.2
         z = (x - self.mean) / self.sd
         self.w, self.b = self._fit(z[~held], y[~held])
         s = z @ self.w + self.b
         use = held if 0 < y[held].sum() < held.sum() else ~held
-        a, c = self._fit(s[use, None] / 4, y[use], ridge=1e-3)
+        a, c = self._fit(s[use, None] / 4, y[use], even=False)
         self.a, self.c = float(a[0]) / 4, c
         self.held_accuracy = float(((self(x[use]) >= 0.5) == y[use]).mean()) if use.any() else 1.0
+        self.w, self.b = self._fit(z, y)  # with the held-out fifth, for what comes only once
 
     @staticmethod
-    def _fit(z: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, float]:
-        """Newton's method; classes weigh the same."""
+    def _fit(z: np.ndarray, y: np.ndarray, ridge: float = 5e-3, rounds: int = 25, even: bool = True) -> tuple[np.ndarray, float]:
+        """Newton's method; where ``even``, classes weigh the same."""
         w = np.zeros(z.shape[1] + 1)
         zz = np.hstack([z, np.ones((len(z), 1))])
         pos = max(1, y.sum())
-        weight = np.where(y == 1, len(y) / (2 * pos), len(y) / (2 * max(1, len(y) - pos)))
+        weight = np.where(y == 1, len(y) / (2 * pos), len(y) / (2 * max(1, len(y) - pos))) if even else np.ones(len(y))
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(zz @ w, -30, 30)))
             g = zz.T @ (weight * (p - y)) + ridge * len(y) * w
             h = (zz * (weight * p * (1 - p))[:, None]).T @ zz + ridge * len(y) * np.eye(len(w))
             step = np.linalg.solve(h, g)
             w -= step
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < 1e-4:
                 break
         return w[:-1], float(w[-1])
 
@@ -261,12 +319,13 @@ def pair_likelihoods(texts: DataFrame) -> np.ndarray:
     return np.log(m / m.sum(1, keepdims=True)).ravel()
 
 
-def score_candidates(texts: DataFrame, key: str, text: str, path: str, sample: int = 20_000) -> DataFrame:
-    """``key, line_no, start_char, end_char, kind, weak, score`` for each candidate of each text.
+def score_candidates(texts: DataFrame, key: str, text: str, path: str, sample: int = 4_000, without: tuple[str, ...] = ()) -> DataFrame:
+    """``key, line_no, start_char, end_char, kind, family, weak, score`` for each candidate of each text.
 
     ``key`` (BIGINT) must be unique. Null keys and texts have no candidates, empty texts neither; a null
     path counts as a path of unknown kind. Without weakly labelled rows of both labels the weak label
-    itself is the score (unsure: 0). ``sample`` bounds the rows of either label that training sees."""
+    itself is the score (unsure: 0). ``sample`` bounds the rows of each family that training sees (twice as many
+    at most). Families of patterns in ``without`` label nothing, to measure what is found without them."""
     spark = texts.sparkSession
     base = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.col(path).alias("path"))
     pair_log = pair_likelihoods(base)
@@ -277,29 +336,30 @@ def score_candidates(texts: DataFrame, key: str, text: str, path: str, sample: i
             out = []
             for k, t, p in zip(pdf["key"], pdf["text"], pdf["path"]):
                 for c in candidates(t, p):
-                    x = features(c.value, c.names, c.kind, p, model.value)
-                    out.append((k, c.line, c.start, c.end, c.kind, weak_label(c.kind, c.value, c.names), np.asarray(x, np.float32).tobytes()))
-            yield pd.DataFrame(out, columns=["key", "line_no", "start_char", "end_char", "kind", "weak", "x"])
-
-    found = written(base.mapInPandas(find, "key long, line_no int, start_char int, end_char int, kind string, weak int, x binary"), "secret-candidates")
-    sizes = {r.weak: r.n for r in found.groupBy("weak").agg(F.count("*").alias("n")).collect()}
-    parts = []
-    for label in (0, 1):
-        rows = found.where(F.col("weak") == label)
-        if sizes.get(label, 0) > sample:
-            rows = rows.where(F.pmod(F.xxhash64("key", "start_char"), F.lit(1 << 20)) < int((1 << 20) * sample / sizes[label]))
-        parts.append(rows.select("weak", "x").limit(2 * sample).toPandas())
-    train = pd.concat(parts)
-    if min(len(p) for p in parts) == 0:
-        return found.select("key", "line_no", "start_char", "end_char", "kind", "weak", F.when(F.col("weak") == 1, 1.0).otherwise(0.0).alias("score")).withColumnRenamed("key", key)
-    x = np.frombuffer(b"".join(train["x"]), np.float32).reshape(-1, FEATURES).astype(float)
-    scorer = spark.sparkContext.broadcast(Scorer(x, train["weak"].to_numpy(dtype=float)))
+                    out.append((k, c.line, c.start, c.end, c.kind, weak_family(c.kind, c.value, c.names), _packed(*features(c.value, c.names, c.kind, p, model.value))))
+            yield pd.DataFrame(out, columns=["key", "line_no", "start_char", "end_char", "kind", "family", "x"])
+
+    found = written(base.mapInPandas(find, "key long, line_no int, start_char int, end_char int, kind string, family string, x binary"), "secret-candidates")
+    weak = F.when(F.col("family").isin(*without) if without else F.lit(False), -1).otherwise(F.coalesce(F.col("family").isin(*FAMILIES).cast("int"), F.lit(-1)))
+    found = found.withColumn("weak", weak)
+    result = ["key", "line_no", "start_char", "end_char", "kind", "family", "weak"]
+    sizes = {r.family: r.n for r in found.where("weak >= 0").groupBy("family").agg(F.count("*").alias("n")).collect()}
+    train = []
+    for family, n in sorted(sizes.items()):  # a family for each row of patterns
+        rows = found.where((F.col("family") == family) & (F.col("weak") >= 0))
+        if n > sample:
+            rows = rows.where(F.pmod(F.xxhash64("key", "start_char"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
+        train.append(rows.select("weak", "x").limit(2 * sample).toPandas())
+    labels = pd.concat([t["weak"] for t in train]).to_numpy(dtype=float) if train else np.zeros(0)
+    if len(set(labels)) < 2:
+        return found.select(*result, F.when(F.col("weak") == 1, 1.0).otherwise(0.0).alias("score")).withColumnRenamed("key", key)
+    scorer = spark.sparkContext.broadcast(Scorer(_matrix([x for t in train for x in t["x"]]), labels))
 
     @F.pandas_udf("double")
     def score(b: pd.Series) -> pd.Series:
-        return pd.Series(scorer.value(np.frombuffer(b"".join(b), np.float32).reshape(-1, FEATURES).astype(float)) if len(b) else [])
+        return pd.Series(scorer.value(_matrix(b)) if len(b) else [], dtype=float)
 
-    return found.select("key", "line_no", "start_char", "end_char", "kind", "weak", score("x").alias("score")).withColumnRenamed("key", key)
+    return found.select(*result, score("x").alias("score")).withColumnRenamed("key", key)
 
 
 def redact(texts: DataFrame, key: str, text: str, scored: DataFrame, threshold: float = 0.5, mask: str = "REDACTED") -> DataFrame:

@@ -1,11 +1,15 @@
 """Secrets found, other literals left, texts otherwise unchanged."""
 
+import os
 import random
 import string
 
+import pytest
+
 from codelode.llm import credentials as K
 
 rng = random.Random(9)
+TABLES = "/root/testdata/sf0.1"
 
 
 def rand(n, alphabet=string.ascii_letters + string.digits):
@@ -82,6 +86,33 @@ def test_values_with_comments_blanks_and_length():
     assert ("s3cretPw9", "password") in got("dsn = 'host=db user=app password=s3cretPw9'", "a.py")
     assert ("Blue 42 horses run", "passphrase") in got('passphrase = "Blue 42 horses run"', "a.py")
     assert got('title = "Blue 42 horses run"', "a.py") == []
-    assert K.weak_label("quoted", "aB3" * 200, "api_key") == -1
+    assert K.weak_family("quoted", "aB3" * 200, "api_key") is None
     flat = K.np.zeros(65536)
     assert K.features("a" * 400, "x", "quoted", None, flat) != K.features("a" * 400 + "Z9" * 50, "x", "quoted", None, flat)
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="the tables are absent")
+def test_a_family_is_found_without_its_patterns(spark):
+    """Keys of an issuer whose format labels nothing, in the project's chunks."""
+    texts = spark.read.parquet(f"{TABLES}/chunks.parquet").dropDuplicates(["chunk_no"])
+    s = K.score_candidates(texts, "chunk_no", "text", "path", without=("github",)).toPandas()
+    own, sure = s[s.family == "github"], s[s.family.isin(["harmless", "lookalike"])]
+    assert len(own) > 20 and (own.weak == -1).all() and (own.score >= 0.5).mean() >= 0.9
+    assert (sure.score >= 0.5).mean() <= 0.001
+
+
+def test_the_score_decides_and_likelihood_moves_it():
+    """Random strings and words under a name that no pattern knows."""
+    text = "def gather(words, width):\n    return merge(words, width)  # as the reader expects it\n" * 200
+    pair = K.np.full((256, 256), 0.05)
+    b = K.np.frombuffer(text.encode(), K.np.uint8)
+    K.np.add.at(pair, (b[:-1], b[1:]), 1)
+    logs = K.np.log(pair / pair.sum(1, keepdims=True)).ravel()
+    train = [(f"{n}", v, 1) for n in ("token", "api_key") for v in [rand(30) for _ in range(60)]] + [("label", rng.choice(["gather the words", "merge_width", "reader expects"]), 0) for _ in range(120)]
+    x = [K._packed(*K.features(v, n, "quoted", "a.py", logs)) for n, v, _ in train]
+    scorer = K.Scorer(K._matrix(x), K.np.array([y for *_, y in train], float))
+    new = K._matrix([K._packed(*K.features(v, "thing", "quoted", "a.py", logs)) for v in ("gather words merge width as it", rand(30))])
+    assert scorer(new)[0] < 0.5 <= scorer(new)[1]
+    flat = new.copy()
+    flat[:, :2] = x_mean = K._matrix(x)[:, :2].mean(0)  # the value's likelihood made average
+    assert abs(scorer(flat) - scorer(new)).max() > 0 and x_mean[0] < 0
