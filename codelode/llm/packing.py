@@ -7,7 +7,9 @@ backtracked from the stored bitsets, and the same pattern is used as often as th
 the number of patterns is bounded by the lengths (about ``capacity * ln(capacity)``), not by the items.
 
 Items get their places on Spark: an item's rank among those of its length (salted, so that a length
-that a third of all items have is spread over many tasks) picks the pattern and the container.
+that a third of all items have is spread over many tasks) picks the pattern and the container. What is
+broadcast are the patterns and the first rank of each (length, salt), ``capacity * salts`` numbers; there
+are 64 salts, more only beyond some hundred million items.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ def _allocations(plan: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray
     return {"length": a[:, 0], "first": a[:, 1], "container": a[:, 2], "each": a[:, 3]}
 
 
-def pack(df: DataFrame, key: str, size: str, capacity: int = 4096, salts: int = 64) -> DataFrame:
+def pack(df: DataFrame, key: str, size: str, capacity: int = 4096, salts: int | None = None) -> DataFrame:
     """Every item's place: ``key, piece_no, start, length, container``.
 
     ``key`` must be unique. An item larger than the capacity is cut into full pieces and one rest
@@ -86,26 +88,29 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = 4096, salts: int =
     Equal sizes are ranked by a hash of the key, then the key, so every run gives the same result."""
     items = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("n"))
     items = written(items, "pack-sizes")
+    salts = salts or int(min(4096, max(64, items.count() >> 21)))
     pieces = items.select("key", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("n", F.lit(1)) - 1) / capacity).cast("long"))).alias("piece_no", "_")).select(
         "key", "piece_no", (F.col("piece_no") * capacity).cast("long").alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("piece_no") * capacity).cast("long").alias("length"),
         F.pmod(F.xxhash64("key", "piece_no"), F.lit(salts)).alias("salt"),
     )
-    counts = pieces.where("length > 0").groupBy("length", "salt").agg(F.count("*").alias("c"))
-    counts = written(counts, "pack-histogram")  # at most capacity x salts rows
-    histogram = {r.length: r.c for r in counts.groupBy("length").agg(F.sum("c").alias("c")).collect()}
-    where = df.sparkSession.sparkContext.broadcast(_allocations(patterns(histogram, capacity)))
-    before = counts.withColumn("offset", F.sum("c").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("offset", F.lit(0)).alias("offset"))
-    ranked = pieces.where("length > 0").withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("key", "piece_no")) - 1)
-    ranked = ranked.join(before, ["length", "salt"]).select("key", "piece_no", "start", "length", (F.col("rank") + F.col("offset")).cast("long").alias("rank"))
+    counts = pieces.where("length > 0").groupBy("length", "salt").agg(F.count("*").alias("c")).toPandas()  # at most capacity x salts rows
+    table = np.zeros((capacity + 1, salts), np.int64)
+    table[counts["length"].to_numpy(np.int64), counts["salt"].to_numpy(np.int64)] = counts["c"].to_numpy(np.int64)
+    each = table.sum(1)
+    plan = _allocations(patterns({int(n): int(each[n]) for n in np.flatnonzero(each)}, capacity))
+    where = df.sparkSession.sparkContext.broadcast((plan, np.cumsum(table, axis=1) - table))
+    ranked = pieces.where("length > 0").withColumn("rank", (F.row_number().over(Window.partitionBy("length", "salt").orderBy("key", "piece_no")) - 1).cast("long"))
 
     @F.pandas_udf("long")
-    def container(length: pd.Series, rank: pd.Series) -> pd.Series:
-        a = where.value
-        top = int(a["first"].max()) + int(rank.max()) + 2
-        i = np.searchsorted(a["length"] * top + a["first"], length.to_numpy() * top + rank.to_numpy(), side="right") - 1
-        return pd.Series(a["container"][i] + (rank.to_numpy() - a["first"][i]) // a["each"][i])
-
-    placed = ranked.select("key", "piece_no", "start", "length", container("length", "rank").alias("container"))
+    def container(length: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.Series:
+        a, before = where.value
+        n = length.to_numpy()
+        at = rank.to_numpy() + before[n, salt.to_numpy()]
+        top = int(max(a["first"].max(initial=0), at.max(initial=0))) + 2
+        i = np.searchsorted(a["length"] * top + a["first"], n * top + at, side="right") - 1
+        return pd.Series(a["container"][i] + (at - a["first"][i]) // a["each"][i])
+
+    placed = ranked.select("key", "piece_no", "start", "length", container("length", "salt", "rank").alias("container"))
     nothing = pieces.where("length = 0").select("key", "piece_no", "start", "length", F.lit(0).cast("long").alias("container"))
     return placed.unionByName(nothing).withColumnRenamed("key", key)
 

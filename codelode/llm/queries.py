@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm import credentials, handwritten, mixing, neighbours, packing, splitting, stuffing, tables, validity
-from codelode.session import spread, table, written
+from codelode.session import shared_dir, spread, table, written
 
 
 def _long_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,17 +78,33 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
 
 
+RANGE = 8192  # bytes; the longest chunks have several such ranges
+
+
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = splitting.split_texts(_long_chunks(spark, folder), "chunk_no", "text", "max_chars", "overlap_chars")
-    return pieces.select(F.col("key").alias("chunk_no"), "piece_no", "start_char", "end_char", "piece")
+    pieces = splitting.split_texts(_long_chunks(spark, folder), "chunk_no", "text", "max_chars", "overlap_chars", range_bytes=RANGE)
+    return pieces.select(F.col("key").alias("chunk_no"), "piece_no", "start_char", "end_char", "forced", "piece")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = splitting.split_texts(_long_chunks(spark, folder), "chunk_no", "text", "max_chars", "overlap_chars", with_text=False)
-    by = pieces.groupBy("key").agg(F.max("long_run").alias("forced"))
+    """A text with a forced cut has a run without white space longer than its limit."""
+    pieces = splitting.split_texts(_long_chunks(spark, folder), "chunk_no", "text", "max_chars", "overlap_chars", range_bytes=RANGE, with_text=False)
+    by = pieces.groupBy("key").agg(F.max("forced").alias("forced"))
     return by.select(F.col("key").alias("chunk_no"), F.when(F.col("forced"), "forced").otherwise("natural").alias("cut"))
 
 
+def p5_file_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents' texts as a few large files in the shared folder, cut by byte ranges."""
+    docs = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    where = f"{shared_dir(spark)}/codelode-texts-{uuid.uuid4().hex}"
+    docs.repartition(8, "doc_id").sortWithinPartitions("doc_id").select("text").write.text(where)
+    files = spark.read.format("binaryFile").load(where).select("path", "length")
+    no = F.regexp_extract("path", r"part-(\d+)", 1).cast("long")
+    files = files.select(no.alias("file_no"), "path", "length", F.lit(2000).alias("max_chars"), F.lit(200).alias("overlap"))
+    pieces = splitting.split_files(files, "file_no", "path", "length", "max_chars", "overlap", range_bytes=1 << 20, with_text=False)
+    return pieces.select(F.col("key").alias("file_no"), "piece_no", "start_char", "end_char", "forced")
+
+
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes are tokens of a byte-level tokenizer: one per UTF-8 byte."""
     docs = table(spark, folder, "documents").select("doc_id", F.octet_length("text").cast("long").alias("tokens"))
@@ -99,7 +116,9 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_containers(spark, folder).where("piece_no = 1").select("doc_id")
+    """Documents whose pieces lie in several containers."""
+    by = p6_containers(spark, folder).groupBy("doc_id").agg(F.min("container").alias("first"), F.max("container").alias("last"))
+    return by.where("first < last").select("doc_id")
 
 
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

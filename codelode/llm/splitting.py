@@ -1,19 +1,20 @@
 """Problem 5: cut oversized texts at natural boundaries, with overlap, by byte ranges.
 
 A text is read as byte ranges of ``range_bytes``. Each worker sees one range, a few bytes before it
-and a halo behind it of as many bytes as two pieces can hold; nobody holds a whole file. Texts of one
-range (nearly all) are cut where they are read, without a shuffle. For longer ones
+and a halo behind it of as many bytes as two pieces can hold; nobody holds a whole file. For every text
 
 1. every range makes a boundary table: for each character at which a piece can enter the range, the
    place where the chain of pieces that begins there leaves it and how many pieces begin inside. It
-   is kept run-length coded (chains merge fast), so it has about a thousandth of the text's size;
+   is kept run-length coded (chains merge fast), so it has about a thousandth of the text's size; a text's
+   first range has one entry;
 2. the ranges' lengths in characters are prefix-summed and the tables stitched in order per text;
 3. each range is read again with its entry point and first piece number and emits its pieces by offset.
 
 Boundaries from strong to weak: after a blank line, after a line end, after the end of a sentence,
 after white space. A piece ends at the last boundary of the strongest kind found in the second half
-of its window; failing that at the last white space of the window; failing that it is cut at the
-limit (forced). The next piece begins at the first boundary within the last ``overlap`` characters,
+of its window; failing that at the last white space of the window, or at the limit if white space follows;
+failing that it is cut at the limit (forced). So a text has forced cuts exactly if it has a run without white
+space that is longer than the limit. The next piece begins at the first boundary within the last ``overlap`` characters,
 or exactly ``overlap`` characters back if the cut was forced; where a piece from such a boundary
 would have to be forced before it gets beyond the last cut, a later boundary is taken.
 """
@@ -25,13 +26,16 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codelode.session import written
+
 BEFORE = 8  # bytes before a range: two characters
 _KINDS = (re.compile(r"\n[ \t\r]*\n"), re.compile(r"\n"), re.compile(r"[.!?;:][\"')\]]?\s"), re.compile(r"\s"))
-_WORD = re.compile(r"\S+")
 
 
 class Window:
@@ -49,10 +53,10 @@ class Window:
         self.cuts = [[m.end() for m in kind.finditer(self.text)] for kind in _KINDS]
         self.any = self.cuts[3]
 
-    def step(self, s: int) -> tuple[int, int | None]:
-        """(end of the piece that begins at ``s``, start of the next piece or None at the end of the text)."""
+    def step(self, s: int) -> tuple[int, int | None, bool]:
+        """(end of the piece that begins at ``s``, start of the next piece or None at the end of the text, forced)."""
         if self.end is not None and self.end - s <= self.limit:
-            return self.end, None
+            return self.end, None, False
         top = s + self.limit
         for cuts in self.cuts:
             i = bisect_right(cuts, top) - 1
@@ -61,32 +65,25 @@ class Window:
                 break
         else:
             i = bisect_right(self.any, top) - 1
-            e, forced = (self.any[i], False) if i >= 0 and self.any[i] > s else (top, True)
+            e, forced = (self.any[i], False) if i >= 0 and self.any[i] > s else (top, not self.text[top : top + 1].isspace())
         back = max(e - self.overlap, s + 1)
         if forced:
-            return e, min(back, e)
+            return e, min(back, e), True
         i = bisect_right(self.any, e)
         ahead = self.any[i] if i < len(self.any) else self.end
         for b in self.any[bisect_left(self.any, back) : i]:  # the piece from b must get beyond e
             if ahead is not None and b + self.limit >= ahead:
-                return e, b
-        return e, e
+                return e, b, False
+        return e, e, False
 
-    def chain(self, entry: int) -> Iterator[tuple[int, int, int | None]]:
-        """(start, end, next) of the pieces that begin in the range, from the entry on."""
+    def chain(self, entry: int) -> Iterator[tuple[int, int, bool]]:
+        """(start, end, forced) of the pieces that begin in the range, from the entry on."""
         s: int | None = entry + self.shift
         while s is not None and s < self.shift + self.n:
-            e, nxt = self.step(s)
-            yield s, e, nxt
+            e, nxt, forced = self.step(s)
+            yield s, e, forced
             s = nxt
 
-    def long_run(self) -> bool:
-        """Does a run without white space of more than the limit begin in this range?"""
-        for m in _WORD.finditer(self.text):
-            if m.end() - max(m.start(), 0) > self.limit and m.start() < self.shift + self.n and m.end() - self.shift > self.limit:
-                return True
-        return False
-
 
 def _whole_start(body: bytes) -> int:
     """Bytes at the front that continue a character of the range before."""
@@ -103,65 +100,85 @@ def _whole_end(body: bytes, after: bytes) -> int:
 
 PIECES = T.StructType([
     T.StructField("key", T.LongType()), T.StructField("piece_no", T.LongType()), T.StructField("start_char", T.LongType()),
-    T.StructField("end_char", T.LongType()), T.StructField("long_run", T.BooleanType()), T.StructField("piece", T.StringType()),
+    T.StructField("end_char", T.LongType()), T.StructField("forced", T.BooleanType()), T.StructField("piece", T.StringType()),
 ])
 TABLE = "key long, range_no long, chars long, from_char array<int>, exit_char array<int>, n_pieces array<int>"
 
 
+RANGES = "key long, max_chars int, overlap int, range_no long, before binary, body binary, after binary, ends boolean"
+FLUSH = 1 << 24  # bytes of ranges that a task hands on at once
+
+
+def _size(limit: int, range_bytes: int) -> int:
+    return max(range_bytes, 4 * limit)
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    names, held, size = [c.split(" ")[0] for c in RANGES.split(", ")], [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[5]) + len(r[6])
+        if size >= FLUSH:
+            yield pd.DataFrame(held, columns=names)
+            held, size = [], 0
+    yield pd.DataFrame(held, columns=names)
+
+
 def byte_ranges(df: DataFrame, range_bytes: int) -> DataFrame:
-    """(key, text, max_chars, overlap) -> one row per byte range with its surroundings."""
-    b = F.encode("text", "UTF-8")
-    sized = df.select("key", F.col("max_chars").cast("int").alias("max_chars"), F.coalesce(F.col("overlap").cast("int"), F.lit(0)).alias("overlap"), b.alias("b"), F.octet_length("text").cast("long").alias("n"))
-    size = F.greatest(F.lit(range_bytes), F.col("max_chars") * 32).cast("int")
-    sized = sized.withColumn("size", size).withColumn("last_range", F.floor((F.greatest("n", F.lit(1)) - 1) / F.col("size")).cast("long"))
-    cut = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_range"))).alias("range_no")).withColumn("off", F.col("range_no") * F.col("size"))
-    halo = F.col("max_chars") * 8 + 16
-    return cut.select(
-        "key", "max_chars", "overlap", "range_no", "last_range",
-        F.when(F.col("off") > 0, F.expr(f"substring(b, int(off - {BEFORE} + 1), {BEFORE})")).otherwise(F.lit(b"")).alias("before"),
-        F.expr("substring(b, int(off + 1), size)").alias("body"),
-        F.expr("substring(b, int(off + size + 1), max_chars * 8 + 16)").alias("after"),
-        (F.col("off") + F.col("size") + halo >= F.col("n")).alias("ends"),
-    )
+    """(key, text, max_chars, overlap) -> one row per byte range with its surroundings. A row's text is
+    there when it is read; from then on only ranges travel."""
+
+    def cut(batches):
+        def rows():
+            for pdf in batches:
+                for key, text, limit, overlap in zip(pdf["key"], pdf["text"], pdf["max_chars"], pdf["overlap"]):
+                    b = text.encode("utf-8", "replace")
+                    size, halo = _size(limit, range_bytes), limit * 8 + 16
+                    for no, off in enumerate(range(0, len(b), size)):
+                        yield key, limit, overlap, no, b[max(0, off - BEFORE) : off], b[off : off + size], b[off + size : off + size + halo], off + size + halo >= len(b)
+
+        yield from _batches(rows())
+
+    sized = df.select("key", "text", F.col("max_chars").cast("int").alias("max_chars"), F.coalesce(F.col("overlap").cast("int"), F.lit(0)).alias("overlap"))
+    return sized.mapInPandas(cut, RANGES)
 
 
 def file_ranges(files: DataFrame, range_bytes: int) -> DataFrame:
     """The same for files on storage that all executors reach: (key, path, n, max_chars, overlap), ``n``
     the size in bytes. Each task seeks to its ranges and reads no more than them and their halos."""
     sized = files.select("key", "path", F.col("n").cast("long").alias("n"), F.col("max_chars").cast("int").alias("max_chars"), F.coalesce(F.col("overlap").cast("int"), F.lit(0)).alias("overlap")).where("n > 0 AND max_chars >= 1")
-    sized = sized.withColumn("size", F.greatest(F.lit(range_bytes), F.col("max_chars") * 32).cast("int")).withColumn("last_range", F.floor((F.col("n") - 1) / F.col("size")).cast("long"))
-    cut = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_range"))).alias("range_no"))
+    sized = sized.withColumn("size", F.greatest(F.lit(range_bytes), F.col("max_chars") * 4).cast("long"))
+    cut = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("size")).cast("long"))).alias("range_no"))
 
     def read(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                off, halo = r.range_no * r.size, r.max_chars * 8 + 16
-                with open(r.path, "rb") as f:
-                    f.seek(max(0, off - BEFORE))
-                    got = f.read(min(off, BEFORE) + r.size + halo)
-                lead = min(off, BEFORE)
-                rows.append((r.key, r.max_chars, r.overlap, r.range_no, r.last_range, got[:lead], got[lead : lead + r.size], got[lead + r.size :], off + r.size + halo >= r.n))
-            yield pd.DataFrame(rows, columns=["key", "max_chars", "overlap", "range_no", "last_range", "before", "body", "after", "ends"])
+        def rows():
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    off, halo, lead = r.range_no * r.size, r.max_chars * 8 + 16, min(r.range_no * r.size, BEFORE)
+                    where, path = pa.fs.FileSystem.from_uri(r.path if ":" in r.path else f"file://{r.path}")
+                    with where.open_input_file(path) as f:
+                        f.seek(off - lead)
+                        got = f.read(lead + r.size + halo)
+                    yield r.key, r.max_chars, r.overlap, r.range_no, got[:lead], got[lead : lead + r.size], got[lead + r.size :], off + r.size + halo >= r.n
+
+        yield from _batches(rows())
 
     spread = max(2, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return cut.repartition(spread, "key", "range_no").mapInPandas(read, "key long, max_chars int, overlap int, range_no long, last_range long, before binary, body binary, after binary, ends boolean")
+    return cut.repartition(spread, "key", "range_no").mapInPandas(read, RANGES)
 
 
 def _window(r) -> Window:
     return Window(bytes(r.before), bytes(r.body), bytes(r.after), int(r.max_chars), int(r.overlap), bool(r.ends))
 
 
-def _emit(with_text: bool, fixed_entry: bool):
+def _emit(with_text: bool):
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                w = _window(r)
-                entry, no, base = (0, 0, 0) if fixed_entry else (int(r.entry), int(r.first_piece), int(r.base))
-                run_ = w.long_run()
-                for s, e, _ in w.chain(entry):
-                    out.append((r.key, no, base + s - w.shift, base + e - w.shift, run_, w.text[s:e] if with_text else None))
+                w, no, base = _window(r), int(r.first_piece), int(r.base)
+                for s, e, forced in w.chain(int(r.entry)):
+                    out.append((r.key, no, base + s - w.shift, base + e - w.shift, forced, w.text[s:e] if with_text else None))
                     no += 1
             yield pd.DataFrame(out, columns=PIECES.names)
 
@@ -210,31 +227,30 @@ def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def split_texts(df: DataFrame, key: str, text: str, max_chars: str, overlap: str, range_bytes: int = 1 << 20, with_text: bool = True) -> DataFrame:
-    """Pieces of every text: ``key, piece_no, start_char, end_char, long_run, piece``.
+    """Pieces of every text: ``key, piece_no, start_char, end_char, forced, piece``.
 
     Pieces have at most ``max_chars`` characters (code points); removing the overlaps gives the text
     back. A text within the limit is one piece, an empty text is one empty piece; rows with a null
     key, text or limit, or a limit below 1, have no pieces. ``key`` (BIGINT) must be unique: rows that
     repeat one must be removed before. An overlap of half the limit or more is cut down below half.
-    ``long_run`` tells that a run without white space longer than the limit begins in the piece's
-    byte range. A row's ``range_bytes`` is raised to 32 times its limit if it is less."""
+    ``forced`` tells that the piece ends inside a run without white space that is longer than the limit.
+    A row's ``range_bytes`` is raised to four times its limit if it is less."""
     base = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.col(max_chars).alias("max_chars"), F.col(overlap).alias("overlap"))
     base = base.where("key IS NOT NULL AND text IS NOT NULL AND max_chars >= 1")
-    empty = base.where("text = ''").select("key", F.lit(0).cast("long").alias("piece_no"), F.lit(0).cast("long").alias("start_char"), F.lit(0).cast("long").alias("end_char"), F.lit(False).alias("long_run"), F.lit("").alias("piece"))
-    return _pieces(byte_ranges(base.where("text <> ''"), range_bytes), with_text).unionByName(empty)
+    empty = base.where("text = ''").select("key", F.lit(0).cast("long").alias("piece_no"), F.lit(0).cast("long").alias("start_char"), F.lit(0).cast("long").alias("end_char"), F.lit(False).alias("forced"), F.lit("").alias("piece"))
+    return _pieces(written(byte_ranges(base.where("text <> ''"), range_bytes), "text-ranges"), with_text).unionByName(empty)
 
 
 def split_files(files: DataFrame, key: str, path: str, size: str, max_chars: str, overlap: str, range_bytes: int = 1 << 24, with_text: bool = True) -> DataFrame:
     """As ``split_texts`` for UTF-8 files of any size, of which no task holds more than a range; empty
-    files have no pieces, bytes that aren't UTF-8 are read as replacement characters."""
+    files have no pieces, bytes that aren't UTF-8 are read as replacement characters. A path may have any
+    scheme that all executors reach."""
     base = files.select(F.col(key).cast("long").alias("key"), F.col(path).alias("path"), F.col(size).alias("n"), F.col(max_chars).alias("max_chars"), F.col(overlap).alias("overlap"))
     return _pieces(file_ranges(base.where("key IS NOT NULL AND path IS NOT NULL"), range_bytes), with_text)
 
 
 def _pieces(ranges: DataFrame, with_text: bool) -> DataFrame:
-    """Pieces of the texts whose byte ranges are given."""
-    single = ranges.where("last_range = 0").mapInPandas(_emit(with_text, True), PIECES)
-    many = ranges.where("last_range > 0")
-    chained = many.mapInPandas(_tables, TABLE).groupBy("key").applyInPandas(_stitch, "key long, range_no long, entry long, first_piece long, base long")
-    rest = many.join(chained, ["key", "range_no"]).mapInPandas(_emit(with_text, False), PIECES)
-    return single.unionByName(rest)
+    """Pieces of the texts whose byte ranges are given. A text's tables are stitched in one task; they are
+    about a thousandth of it."""
+    chained = ranges.mapInPandas(_tables, TABLE).groupBy("key").applyInPandas(_stitch, "key long, range_no long, entry long, first_piece long, base long")
+    return ranges.join(chained, ["key", "range_no"]).mapInPandas(_emit(with_text), PIECES)

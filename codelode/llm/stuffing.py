@@ -32,10 +32,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.llm.words import blocks, joined, mixed, words_of
 from codelode.session import written
 
 BATCH = 1 << 24  # bytes of the pages that ask together
-BLOCK = 1 << 22  # bytes that are tokenised together
 SLICE = 1 << 25  # bytes of the corpus whose hashes make one slice of the counts
 _WORD = re.compile(r"[^\W\d_]+")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>()\"'\]]*", re.I)
@@ -44,33 +44,6 @@ _END = re.compile(r"[.!?](?:\s|$)|[。！？]")
 _PRICE = re.compile(r"[$€£]\s?\d|\d\s?(?:[$€£]|(?:USD|EUR|GBP)\b)")
 _SEPARATOR = re.compile(r"\s*[;,|•·/]\s+|\s+[-–|•·]\s+")
 _CODE = re.compile(r"[(){}=\[\]`<>]|::|->|\w/\w")
-_EMPTY = np.zeros(0, np.int64)
-
-
-def _letters() -> np.ndarray:
-    """Bytes of words: ASCII letters and all bytes of longer characters (but see ``words_of``)."""
-    b = np.arange(256)
-    return ((b | 32) >= 97) & ((b | 32) <= 122) & (b < 128) | (b >= 128)
-
-
-_LETTER = _letters()
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64, and of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        base = 0x9E3779B97F4A7C15
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.full(n, x, np.uint64)) for x in (base, pow(base, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
 
 
 def _of_kind(h: np.ndarray, kind: int) -> np.ndarray:
@@ -78,47 +51,24 @@ def _of_kind(h: np.ndarray, kind: int) -> np.ndarray:
     return (h & ~np.uint64(1)) | np.uint64(kind)
 
 
-def words_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first bytes) of the words in UTF-8 bytes in lower case: runs of letters. Punctuation and
-    symbols of two or three bytes (led by C2 or E2, ideographic and full-width marks) part words too."""
-    letter = _LETTER[b]
-    for lead, more in ((0xC2, 2), (0xE2, 3)):
-        for i in range(more):
-            at = np.flatnonzero(b == lead) + i
-            letter[at[at < len(b)]] = False
-    for lead, second in ((0xE3, 0x80), (0xEF, 0xBC)):
-        at = np.flatnonzero((b[:-2] == lead) & (b[1:-1] == second)) if len(b) > 2 else _EMPTY
-        for i in range(3):
-            letter[at + i] = False
-    edge = np.diff(letter.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(len(b) + 1)
-    with np.errstate(over="ignore"):
-        run = np.cumsum(b.astype(np.uint64) * up[: len(b)] * letter, dtype=np.uint64)
-        run = np.concatenate([np.zeros(1, np.uint64), run])
-        h = (run[last] - run[first]) * down[first]
-    return _of_kind(_mix(h), 0), first
-
-
 def pairs_of(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return _of_kind(_mix((h[:-1] * np.uint64(0xD6E8FEB86659FD93)) ^ (h[1:] + np.uint64(0x165667B19E3779F9))), 1)
+        return _of_kind(mixed((h[:-1] * np.uint64(0xD6E8FEB86659FD93)) ^ (h[1:] + np.uint64(0x165667B19E3779F9))), 1)
 
 
 class Block:
     """Some pages as arrays: words, their lines and pages, and the pairs inside lines."""
 
     def __init__(self, texts: pa.Array):
-        low = pc.utf8_lower(texts)
-        buf = np.frombuffer("\n".join(low.to_pylist()).encode("utf-8", "replace"), np.uint8)
-        self.bytes = buf
-        self.hash, self.at = words_of(buf)
-        self.breaks = np.flatnonzero(buf == 10)
-        self.line = np.searchsorted(self.breaks, self.at)
-        n = pc.add(pc.count_substring(low, "\n"), 1).to_numpy(zero_copy_only=False)
-        self.lines_before = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-        self.n_lines = int(self.lines_before[-1])
-        self.page_of_line = np.repeat(np.arange(len(low)), n)
+        self.bytes, starts = joined(texts)
+        h, at = words_of(self.bytes)
+        self.hash = _of_kind(h, 0)
+        self.breaks = np.flatnonzero(self.bytes == 10)
+        self.line = np.searchsorted(self.breaks, at)
+        n = np.diff(np.searchsorted(self.breaks, starts - 1))  # a page's line ends, and the one before it
+        n[0] += 1
+        self.n_lines = int(n.sum())
+        self.page_of_line = np.repeat(np.arange(len(texts)), n)
         self.pair = pairs_of(self.hash) if len(self.hash) > 1 else np.zeros(0, np.uint64)
         inside = np.flatnonzero(self.line[:-1] == self.line[1:])
         self.pair, self.pair_line, self.left = self.pair[inside], self.line[:-1][inside], inside
@@ -164,17 +114,9 @@ def _unpacked(pages: bytes) -> pa.Table:
     return pa.ipc.open_stream(pages).read_all()
 
 
-def blocks(rows: pa.Table):
-    """(first row, texts) of about BLOCK bytes each."""
+def _texts(rows: pa.Table) -> pa.Array:
     texts = rows.column("t").combine_chunks()
-    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else _EMPTY
-    i = 0
-    while i < len(texts):
-        before = ends[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(ends, before + BLOCK, side="right")))
-        yield i, texts.slice(i, j - i)
-        i = j
+    return texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
 
 
 def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +136,7 @@ def batch_counts(packed: DataFrame) -> DataFrame:
             for batch, pages in zip(pdf["batch"], pdf["pages"]):
                 rows, parts = _unpacked(pages), []
                 first = rows.column("first").to_numpy()
-                for i, texts in blocks(rows):
+                for i, texts in blocks(_texts(rows)):
                     b = Block(texts)
                     counted = first[i : i + len(texts)]
                     for h, page in ((b.hash, b.page_of_line[b.line]), (b.pair, b.pair_page)):
@@ -231,7 +173,7 @@ class Counts:
         self.level = max(0.0, float(2 * of_words - of_pairs))
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        return self.n[np.searchsorted(self.ids, h)] if len(h) else _EMPTY
+        return self.n[np.searchsorted(self.ids, h)] if len(h) else np.zeros(0, np.int64)
 
 
 def line_kind(line: str) -> str | None:
@@ -332,7 +274,7 @@ def score_block(texts: pa.Array, c: Counts, rate: float, burst: float, listed: f
 def own_counts(b: Block) -> np.ndarray:
     """How often each pair comes in its own page."""
     with np.errstate(over="ignore"):
-        key = _mix(b.pair ^ (b.pair_page.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        key = mixed(b.pair ^ (b.pair_page.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
     _, where, count = np.unique(key, return_inverse=True, return_counts=True)
     return count[where]
 
@@ -357,7 +299,7 @@ def score_pages(docs: DataFrame, key: str, text: str, listed: float = 0.9, loose
         c = Counts(theirs)
         for pages in mine["pages"]:
             table = _unpacked(pages)
-            parts = [score_block(texts, c, rate, burst, listed, loose) for _, texts in blocks(table)]
+            parts = [score_block(texts, c, rate, burst, listed, loose) for _, texts in blocks(_texts(table))]
             return table.select(["k"]).to_pandas().assign(**{x: np.concatenate([p[x] for p in parts]) for x in COLUMNS})
 
     scored = packed.select("batch", "pages").groupBy("batch").cogroup(batch_counts(packed).groupBy("batch")).applyInPandas(run, f"k {kind}, " + ", ".join(f"{c} double" for c in COLUMNS))

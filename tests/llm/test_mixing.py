@@ -43,15 +43,16 @@ def test_unreachable_and_missing(spark):
     docs, goal = corpus(spark), targets(spark, [("docs", 0.3, 2), ("code", 0.6, 1), ("none", 0.1, 5)])
     _, rep = run(spark, docs, goal)
     assert not rep["code"].can_reach and not rep["none"].can_reach and rep["docs"].can_reach
+    assert rep["none"].residual == 1.0 and rep["code"].at_caps > 0.9 and abs(rep["docs"].residual) < 0.01
     assert rep["none"].size == 0 and rep["code"].most_copies == 1 and rep["code"].labelled_tokens == rep["code"].size
 
 
 def test_classifier_held_out(spark):
     docs = corpus(spark, 900, 0.0)
     names = sorted(WORDS)
-    counts = mixing.train_counts(docs.where("id % 5 <> 0").select(F.col("source").alias("label"), "text"), names)
-    got = mixing.posteriors(docs.where("id % 5 = 0"), counts, spark).collect()
-    assert np.mean([names[int(np.argmax(r.p))] == r.source for r in got]) > 0.95
+    rows = docs.select("id", (F.col("id") % mixing.FOLDS).cast("int").alias("fold"), F.col("source").alias("label"), "text", F.lit(1).cast("long").alias("n"))
+    got = mixing.posteriors(rows, mixing.train_counts(rows, names)).collect()  # each row by the other folds' counts
+    assert len(got) == 900 and np.mean([names[int(np.argmax(r.p))] == r.label for r in got]) > 0.95
     assert all(abs(sum(r.p) - 1) < 1e-4 for r in got)
 
 

@@ -26,11 +26,11 @@ def text(rng, n):
 def test_round_trip_and_ranges(spark):
     rng = random.Random(4)
     rows = [(i, text(rng, rng.randint(1, 900)) + ("z" * rng.randint(5, 90) if i % 3 == 0 else ""), rng.choice([7, 20, 40]), rng.choice([0, 3, 9])) for i in range(60)]
-    whole, ranged = pieces(spark, rows), pieces(spark, rows, range_bytes=1)  # one byte is raised to 32 times the limit
+    whole, ranged = pieces(spark, rows), pieces(spark, rows, range_bytes=1)  # one byte is raised to four times the limit
     for k, t, m, _ in rows:
         assert [(p.start_char, p.end_char, p.piece) for p in whole[k]] == [(p.start_char, p.end_char, p.piece) for p in ranged[k]]
         long = max(map(len, re.findall(r"\S+", t)), default=0) > m
-        assert any(p.long_run for p in whole[k]) == any(p.long_run for p in ranged[k]) == long
+        assert any(p.forced for p in whole[k]) == any(p.forced for p in ranged[k]) == long
         at = 0
         for p in whole[k]:
             assert p.piece == t[p.start_char : p.end_char] and len(p.piece) <= m and p.start_char <= at < p.end_char
@@ -45,7 +45,12 @@ def test_boundaries_and_overlap(spark):
     for a, b in zip(got, got[1:]):
         assert 0 <= a.end_char - b.start_char <= 12 and (b.start_char == 0 or t[b.start_char - 1].isspace())
     forced = pieces(spark, [(1, "q" * 100, 30, 5)])[1]
-    assert [(p.start_char, p.end_char) for p in forced] == [(0, 30), (25, 55), (50, 80), (75, 100)] and forced[0].long_run
+    assert [(p.start_char, p.end_char) for p in forced] == [(0, 30), (25, 55), (50, 80), (75, 100)] and [p.forced for p in forced] == [True, True, True, False]
+
+
+def test_a_run_of_just_the_limit_is_no_forced_cut(spark):
+    got = pieces(spark, [(1, "ab " + "q" * 30 + " cd " + "r" * 30 + "\n", 30, 5), (2, "x " + "q" * 31 + " y", 30, 5)])
+    assert not any(p.forced for p in got[1]) and any(p.forced for p in got[2])
 
 
 def test_odd_rows(spark):

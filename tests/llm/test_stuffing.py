@@ -4,7 +4,7 @@ import math
 import random
 from collections import Counter
 
-from codelode.llm import stuffing
+from codelode.llm import stuffing, words
 
 rng = random.Random(5)
 NOUNS = [f"{a}{b}" for a in ("ba", "ko", "ri", "tu", "me", "lo", "sa") for b in ("ker", "lin", "mot", "der", "nas")]
@@ -90,24 +90,24 @@ def test_copies_do_not_vouch_for_each_other(spark):
 def test_counts_are_exact_at_any_size(spark, monkeypatch):
     """Over a million distinct pairs, in many batches and slices: each batch gets the corpus's exact counts."""
     monkeypatch.setattr(stuffing, "BATCH", 1 << 20)
-    monkeypatch.setattr(stuffing, "BLOCK", 1 << 18)
+    monkeypatch.setattr(words, "BLOCK", 1 << 18)
     monkeypatch.setattr(stuffing, "SLICE", 1 << 20)
     r = random.Random(3)
     word = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(30_000)]
     texts = [" ".join(r.choices(word, k=5000)) for _ in range(260)]
     salad = " ".join(f"{a} {b}" for a, b in zip(NOUNS * 4, reversed(NOUNS * 4))) + " " + " ".join(r.choices(NOUNS, k=300))
     rows = [(f"t{i}", t) for i, t in enumerate(texts)] + [("salad", salad)] + [(f"n{i}", " ".join(r.choices(NOUNS, k=4))) for i in range(20_000)]
-    words, pairs = Counter(), Counter()
+    n_word, pairs = Counter(), Counter()
     for t in {t for _, t in rows}:  # exact copies are one page
         w = t.split()
-        words.update(w)
+        n_word.update(w)
         pairs.update(zip(w, w[1:]))
     assert len(pairs) > 1_000_000
     got = {x.k: x for x in stuffing.score_pages(spark.createDataFrame(rows, "k string, t string").repartition(4), "k", "t").collect()}
     assert len(got) == len(rows)
-    nw, np_ = sum(words.values()), sum(pairs.values())
+    nw, np_ = sum(n_word.values()), sum(pairs.values())
     for k, t in rows[:3] + rows[260:262]:
         w = t.split()
         own = Counter(zip(w, w[1:]))
-        pmi = [math.log((pairs[p] - own[p]) / np_) - math.log(words[p[0]] / nw) - math.log(words[p[1]] / nw) if pairs[p] > own[p] else 0.0 for p in zip(w, w[1:])]
+        pmi = [math.log((pairs[p] - own[p]) / np_) - math.log(n_word[p[0]] / nw) - math.log(n_word[p[1]] / nw) if pairs[p] > own[p] else 0.0 for p in zip(w, w[1:])]
         assert abs(got[k].pmi - sum(pmi) / len(pmi)) < 1e-9
