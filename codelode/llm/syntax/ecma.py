@@ -81,11 +81,29 @@ decorator: '@' lhs
 """
 
 SCRIPT = r"""
+vardecl: ('var' | 'let') binding (',' binding)* | 'const' initialised (',' initialised)*
+
+initialised: target '=' assign
+
+assign: arrow | cond | pattern '=' assign | simple assignop assign | 'yield' '*'? assign?
+
+simple: ident | (primary | 'new'+ newtarget suffix* args) suffix* ('.' (name | PRIVATE) | '[' expr ']' | args) | '(' simple ')'
+
+pattern: '{' (assignprop (',' assignprop)* ','?)? '}' | '[' assignelem? (',' assignelem?)* ']'
+
+assignprop: propname ':' (pattern | simple) ('=' assign)? | ident ('=' assign)? | '...' (pattern | simple)
+
+assignelem: '...'? (pattern | simple) ('=' assign)?
+
+unary: ('!' | '~' | '+' | '-' | 'typeof' | 'void' | 'delete' | 'await')* (lhs | simple ('++' | '--') | ('++' | '--') simple)
+
+for: 'for' 'await'? '(' ((vardecl | expr)? ';' expr? ';' expr? | (('var' | 'let' | 'const') target | simple | pattern) ('of' assign | 'in' expr) | 'var' ident '=' assign 'in' expr) ')' stmt
+
 importspec: ident | (name | STR) 'as' ident
 
 export: 'export' ('*' ('as' (name | STR))? 'from' STR attrs? SC | '{' (exportspec (',' exportspec)* ','?)? '}' ('from' STR attrs?)? SC | 'default' (func | class | 'async' func | ~'function' ~'class' assign SC) | vardecl SC | func | 'async' func | class)
 
-binding: target ('=' assign)?
+binding: ident ('=' assign)? | (objectpattern | arraypattern) '=' assign
 
 catch: 'catch' ('(' target ')')? block
 
@@ -103,7 +121,7 @@ suffix: '.' (name | PRIVATE) | '?.' (name | PRIVATE | '[' expr ']' | args) | '['
 
 primary: ident | NUM | STR | TPL | REGEX | 'this' | 'super' | 'null' | 'true' | 'false' | array | object | func | 'async' func | class | '(' expr ')' | 'import' ('(' assign (',' assign)? ','? ')' | '.' name)
 
-prop: propname ':' assign | ident ('=' assign)? | '...' assign | method
+prop: propname ':' assign | ident | '...' assign | method
 
 method: ('get' | 'set' | 'async'? '*'?) propname params block
 
@@ -230,7 +248,7 @@ def _pattern(jsx: bool) -> re.Pattern:
 
 
 _FULL = {k: re.compile(v) for k, v in {"STR": _STRING, "NUM": _NUMBER, "ID": _IDENT, "PRIVATE": "#" + _IDENT, "REGEX": r"[ \t]*" + _REGEX}.items()}
-_CHUNK = re.compile(_TEXT)
+_CHUNK, _SLASHED = re.compile(_TEXT), re.compile(_REGEX)
 
 
 def _template(pattern: re.Pattern, text: str, at: int) -> tuple[int, list[tuple[int, int]]] | None:
@@ -274,8 +292,8 @@ class _Language(Language):
     def tokens(self, text: str) -> list[str]:
         return [t for _, t in self.places(text)] if "`" in text else super().tokens(text)
 
-    def places(self, text: str):
-        i, closed = 0, True
+    def places(self, text: str, i: int = 0):
+        closed = True
         while m := self.pattern.search(text, i):
             i = m.end()
             if m.group() == "`" and closed:
@@ -285,6 +303,28 @@ class _Language(Language):
                     i = found[0]
             yield m.start(), text[m.start() : i]
 
+    def check(self, text: str, rule: str | None = None) -> tuple[bool, int | None, bool]:
+        """As for any language, but that a slash after a parenthesis is a division or begins a regular
+        expression: where the first can't be derived the second is tried."""
+        got = super().check(text, rule)
+        if got[0] or ")" not in text or "/" not in text:
+            return got
+        text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+        s, i, known = self.state.start(self.grammar, rule), 0, 0
+        while True:
+            for at, t in self.places(text, i):
+                new = s[self.kinds[t]]
+                if new.dead() and t in ("/", "/=") and at >= known and (m := _SLASHED.match(text, at)):
+                    new, t = s["REGEX"], None
+                if new.dead():
+                    return False, text.count("\n", 0, at + (t == "\n")) + 1, False
+                s = new
+                if t is None:
+                    i = known = m.end()
+                    break
+            else:
+                return (True, None, False) if s.complete() else (False, text.count("\n") + 1, True)
+
 
 class _Classify:
     """Kinds of tokens; the expressions inside a template are checked by the same language."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import keyword
 import re
+import unicodedata
 
 from codelode.llm.syntax.derivatives import Grammar, IndentState, Language
 
@@ -16,9 +17,9 @@ stmt: simple | compound
 
 simple: small (';' small)* ';'? NEWLINE
 
-small: exprstmt | 'pass' | 'break' | 'continue' | 'return' starlist? | 'raise' (test ('from' test)?)? | 'global' name (',' name)* | 'nonlocal' name (',' name)* | 'del' starlist | 'assert' test (',' test)? | importname | importfrom | 'type' name typeparams? '=' test
+small: exprstmt | 'pass' | 'break' | 'continue' | 'return' starlist? | 'raise' (test ('from' test)?)? | 'global' name (',' name)* | 'nonlocal' name (',' name)* | 'del' deltarget (',' deltarget)* ','? | 'assert' test (',' test)? | importname | importfrom | 'type' name typeparams? '=' test
 
-exprstmt: starlist (':' test ('=' rhs)? | augassign rhs | ('=' rhs)*)
+exprstmt: starlist | (targets '=')+ rhs | single augassign rhs | (single | '(' single ')') ':' test ('=' rhs)?
 
 rhs: starlist | yieldexpr
 
@@ -60,9 +61,23 @@ typeparams: '[' typeparam (',' typeparam)* ','? ']'
 
 typeparam: ('*' | '**')? name (':' test)? ('=' test)?
 
-params: param (',' param)* ','?
+params: before ','?
 
-param: name (':' (test | '*' atomexpr))? ('=' test)? | '*' (name (':' (test | '*' atomexpr))?)? | '**' name (':' test)? | '/'
+before: plain (',' (before | '/' (',' after)?))? | default (',' defaults)? | star
+
+defaults: default (',' defaults)? | star | '/' (',' (default (',' keyworddefaults)? | star))?
+
+after: plain (',' after)? | default (',' keyworddefaults)? | star
+
+keyworddefaults: default (',' keyworddefaults)? | star
+
+star: '*' name (':' (test | '*' atomexpr))? (',' keywords)? | '*' ',' (plain | default) (',' keywords)? | '**' plain
+
+keywords: (plain | default) (',' keywords)? | '**' plain
+
+plain: name (':' test)?
+
+default: name (':' test)? '=' test
 
 classdef: 'class' name typeparams? ('(' args? ')')? ':' block
 
@@ -82,21 +97,41 @@ patkv: ('-'? NUM | STR+ | 'None' | 'True' | 'False' | dotted) ':' pattern | '**'
 
 targets: target (',' target)* ','?
 
-target: '*'? atomexpr
+one: single | '(' targets? ')' | '[' targets? ']'
+
+single: name | atom trailer* ('.' name | '[' subs ']')
+
+deltarget: single | '(' (deltarget (',' deltarget)* ','?)? ')' | '[' (deltarget (',' deltarget)* ','?)? ']'
 
-starlist: staritem (',' staritem)* ','? | yieldexpr
+target: '*'? one
+
+starlist: plainitem (',' plainitem)* ','? | yieldexpr
+
+plainitem: '*' bitor | test
 
 staritem: '*' bitor | named
 
 yieldexpr: 'yield' ('from' test | starlist)?
 
-named: test (':=' test)?
+named: test | name ':=' test
 
 test: lambda | ortest ('if' ortest 'else' test)?
 
-lambda: 'lambda' (lparam (',' lparam)* ','?)? ':' test
+lambda: 'lambda' (lbefore ','?)? ':' test
+
+lbefore: name (',' (lbefore | '/' (',' lafter)?))? | ldefault (',' ldefaults)? | lstar
 
-lparam: name ('=' test)? | '*' name? | '**' name | '/'
+ldefaults: ldefault (',' ldefaults)? | lstar | '/' (',' (ldefault (',' lrest)? | lstar))?
+
+lafter: name (',' lafter)? | ldefault (',' lrest)? | lstar
+
+lrest: ldefault (',' lrest)? | lstar
+
+lstar: '*' name (',' lkeywords)? | '*' ',' (name | ldefault) (',' lkeywords)? | '**' name
+
+lkeywords: (name | ldefault) (',' lkeywords)? | '**' name
+
+ldefault: name '=' test
 
 ortest: notcmp (('or' | 'and') notcmp)*
 
@@ -118,9 +153,15 @@ subs: sub (',' sub)* ','?
 
 sub: named | '*' bitor | test? ':' test? (':' test?)?
 
-args: arg (',' arg)* ','?
+args: named compfor | (positional (',' positional)* (',' keyed)? | keyed) ','?
+
+positional: named | '*' test
 
-arg: named compfor? | name '=' test | '*' test | '**' test
+keyed: (name '=' test | '*' test) (',' keyed)? | unpacked
+
+unpacked: '**' test (',' (name '=' test (',' unpackedmore)? | unpacked))?
+
+unpackedmore: name '=' test (',' unpackedmore)? | unpacked
 
 atom: name | NUM | STR+ | 'None' | 'True' | 'False' | '...' | '(' (yieldexpr | staritem (compfor | (',' staritem)* ','?))? ')' | '[' (staritem (compfor | (',' staritem)* ','?))? ']' | '{' (dictitem (compfor | (',' dictitem)* ','?) | staritem (compfor | (',' staritem)* ','?))? '}'
 
@@ -128,7 +169,7 @@ dictitem: test ':' test | '**' bitor
 
 compfor: 'async'? 'for' targets 'in' ortest (compfor | compif)?
 
-compif: 'if' (lambda | ortest (':=' ortest)?) (compfor | compif)?
+compif: 'if' ortest (compfor | compif)?
 
 name: ID | 'match' | 'case' | 'type'
 """
@@ -138,7 +179,7 @@ _OPS = "... **= //= >>= <<= -> := += -= *= /= %= @= &= |= ^= == != <= >= << >> *
 _FSTART = r"(?:[fFtT][rR]?|[rR][fFtT])(?:\"\"\"|'''|\"|')"
 _STRING = r"(?:[rRuUbB]{1,2})?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!\'\'))*'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!\'\')(?:[^'\\\n]|\\[\s\S])*')"
 _NUMBER = r"(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)"
-PATTERN = re.compile(r"\n[ \t\f]*|#[^\n]*|\\\n|" + _FSTART + "|" + _STRING + r"|[^\W\d]\w*|" + _NUMBER + "|" + "|".join(map(re.escape, _OPS)) + r"|[^\s]")
+PATTERN = re.compile(r"\n[ \t\f]*|#[^\n]*|\\\n|" + _FSTART + "|" + _STRING + r"|[^\W\d](?:\w|[^\x00-\x7f\s])*|" + _NUMBER + "|" + "|".join(map(re.escape, _OPS)) + r"|[^\s]")
 _FULL_NUMBER, _FULL_STRING = re.compile(_NUMBER), re.compile("(?:" + _STRING + ")")
 
 
@@ -241,6 +282,28 @@ class _Classify:
         return classify(t)
 
 
+_ESCAPE = re.compile(r"\\(?:x([\da-fA-F]{2})?|u([\da-fA-F]{4})?|U([\da-fA-F]{8})?|N(?:\{([^}]*)\})?|[\s\S])")
+
+
+def escapes(t: str) -> bool:
+    """Are a literal's escapes, and a bytes literal's characters, allowed?"""
+    lead = re.match("[A-Za-z]*", t).group().lower()
+    if "b" in lead and not t.isascii():
+        return False
+    if "r" in lead or "\\" not in t:
+        return True
+    for m in _ESCAPE.finditer(t):
+        c = t[m.start() + 1]
+        if c == "x" and not m.group(1) or "b" not in lead and (c == "u" and not m.group(2) or c == "U" and (not m.group(3) or int(m.group(3), 16) > 0x10FFFF)):
+            return False
+        if c == "N" and "b" not in lead:
+            try:
+                unicodedata.lookup(m.group(4) or "")
+            except KeyError:
+                return False
+    return True
+
+
 def classify(t: str):
     c = t[0]
     if c == "\n":
@@ -256,7 +319,7 @@ def classify(t: str):
         return t if keyword.iskeyword(t) else "ID"
     if _FULL_NUMBER.fullmatch(t):
         return "BAD" if re.fullmatch(r"0\d+", t.replace("_", "")) and t.strip("0_") else "NUM"
-    return "STR" if _FULL_STRING.fullmatch(t) else "BAD"
+    return "STR" if _FULL_STRING.fullmatch(t) and escapes(t) else "BAD"
 
 
 def language() -> Language:
