@@ -19,8 +19,55 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_files").select("repo_id", "file_id", "path", "language", "file_ord")
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """Of the five files that follow each in its repository, those of its own family of languages, with the first
+    name that each declares. The recorded imports hardly name a file of the tables; these do."""
+    family = F.when(F.col("path").rlike(r"\.pyi?$"), "python").when(F.col("path").endswith(".java"), "java").when(F.col("path").endswith(".go"), "go").when(F.col("path").rlike(r"\.(m?[jt]s|tsx)$"), "esm")
+    f = table(spark, d, "source_files").select("repo_id", "file_id", "path", "file_ord", X.dirname("path").alias("folder"), family.alias("kind")).where("kind IS NOT NULL")
+    names = table(spark, d, "function_nodes").groupBy("file_id").agg(F.min("fn_name").alias("fn"), F.min("id").alias("fn_id"))
+    f = f.join(names, "file_id", "left")
+    a = f.select("repo_id", "kind", "file_id", "folder", "fn_id", "file_ord", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).withColumn("ord", F.col("file_ord") + F.col("k")).drop("file_ord")
+    t = f.select("repo_id", "kind", F.col("file_ord").alias("ord"), F.col("path").alias("to_path"), F.col("folder").alias("to_folder"), "fn")
+    return a.join(t, ["repo_id", "kind", "ord"]).withColumn("stem", F.regexp_replace("to_path", r"\.[^./]+$", ""))
+
+
+def _specifier() -> F.Column:
+    """How the files of ``_links`` are asked for: by relative and absolute names, by package, module and workspace."""
+    k, stem = F.col("k"), F.col("stem")
+    depth = F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))
+    dotted = F.translate(stem, "/", ".")
+    relative = F.concat(F.when(depth == 0, F.lit("./")).otherwise(F.repeat(F.lit("../"), depth)), stem, F.when(k % 3 == 2, ".js").otherwise(""))
+    return (
+        F.when(F.col("kind") == "python", F.concat(F.when(k % 2 == 1, F.repeat(F.lit("."), depth + 1)).otherwise(""), dotted))
+        .when((F.col("kind") == "java") & (k % 2 == 0) & (F.col("to_folder") != ""), F.concat(F.translate("to_folder", "/", "."), F.lit(".*")))
+        .when(F.col("kind") == "java", dotted)
+        .when(F.col("kind") == "go", F.concat_ws("/", F.concat(F.lit("git.example/m"), F.col("repo_id")), F.nullif("to_folder", F.lit(""))))
+        .when(k % 3 == 0, F.concat(F.lit("@m"), F.col("repo_id"), F.lit("/"), stem))
+        .otherwise(relative)
+    )
+
+
 def imports(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "import_refs").select("repo_id", "file_id", "imp_ord", F.trim("specifier").alias("specifier"), "kind", "names", "uses", "implicit")
+    """The recorded imports, and those of ``_links``."""
+    recorded = table(spark, d, "import_refs").select("repo_id", "file_id", "imp_ord", F.trim("specifier").alias("specifier"), "kind", "names", "uses", "implicit")
+    types = dict(recorded.dtypes)
+    bound = F.col("kind").isin("esm", "python") & F.col("fn").isNotNull()
+    names = F.when(bound, F.array(F.struct(F.col("fn").alias("local_name"), F.col("fn").alias("imported_name")))).otherwise(F.expr("array()").cast(types["names"]))
+    uses = F.when(F.col("kind").isin("java", "go"), F.array_compact(F.array("fn")))
+    derived = _links(spark, d).select("repo_id", "file_id", (F.col("k") + 1000).cast(types["imp_ord"]).alias("imp_ord"), _specifier().alias("specifier"), "kind", names.cast(types["names"]).alias("names"), uses.cast(types["uses"]).alias("uses"), F.lit(False).alias("implicit"))
+    return recorded.unionByName(derived)
+
+
+def packages(spark: SparkSession, d: str) -> DataFrame:
+    """Workspace packages: the top folders of each repository."""
+    top = F.substring_index("path", "/", 1)
+    named = table(spark, d, "source_files").where("path LIKE '%/%'").select("repo_id", F.concat(F.lit("@m"), F.col("repo_id"), F.lit("/"), top).alias("name"), top.alias("folder")).distinct()
+    return named.withColumn("ord", F.lit(0))
+
+
+def modules(spark: SparkSession, d: str) -> DataFrame:
+    """One Go module at the root of each repository."""
+    return table(spark, d, "source_files").select("repo_id").distinct().select("repo_id", F.concat(F.lit("git.example/m"), F.col("repo_id")).alias("module"), F.lit("").alias("folder"))
 
 
 def functions(spark: SparkSession, d: str) -> DataFrame:
@@ -30,12 +77,14 @@ def functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
+    """The recorded calls, and one of the name that each of ``_links`` asks for."""
     c = table(spark, d, "call_refs").select("file_id", "repo_id", "call_ord", "callee", "enclosing").dropDuplicates(["file_id", "call_ord"])
-    return c.join(files(spark, d).select("file_id", "path"), "file_id")
+    linked = _links(spark, d).select("file_id", "repo_id", (F.col("k") + 1_000_000).cast(dict(c.dtypes)["call_ord"]).alias("call_ord"), F.col("fn").alias("callee"), F.col("fn_id").alias("enclosing"))
+    return c.unionByName(linked).join(files(spark, d).select("file_id", "path"), "file_id")
 
 
 def resolved(spark: SparkSession, d: str) -> DataFrame:
-    return R.resolve_imports(files(spark, d), imports(spark, d))
+    return R.resolve_imports(files(spark, d), imports(spark, d), packages(spark, d), modules(spark, d))
 
 
 def narrowed(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +130,7 @@ def function_ranks(spark: SparkSession, d: str, iterations: int | None = None) -
 
 
 def importance(spark: SparkSession, d: str, iterations: int | None = None) -> DataFrame:
-    return file_scores(spark, d, iterations).select("repo_id", "path", F.round("importance", 3).alias("importance"))
+    return file_scores(spark, d, iterations).select("repo_id", "path", "importance")
 
 
 def places(scored: DataFrame) -> DataFrame:
@@ -91,9 +140,21 @@ def places(scored: DataFrame) -> DataFrame:
 
 SQL_FILES = r"""
 f AS (SELECT repo_id, file_id, path, lower(language) AS language, regexp_replace(path, '/?[^/]*$', '') AS folder FROM source_files),
-imp AS (SELECT DISTINCT ON (i.file_id, i.imp_ord) i.repo_id, i.file_id, i.imp_ord, trim(i.specifier) AS specifier, i.kind, i.names, i.uses,
+lf AS (SELECT s.repo_id, s.file_id, s.path, s.file_ord, f.folder, n.fn, n.fn_id, CASE WHEN regexp_matches(s.path, '\.pyi?$') THEN 'python' WHEN ends_with(s.path, '.java') THEN 'java' WHEN ends_with(s.path, '.go') THEN 'go' WHEN regexp_matches(s.path, '\.(m?[jt]s|tsx)$') THEN 'esm' END AS kind
+       FROM source_files s JOIN f USING (file_id) LEFT JOIN (SELECT file_id, min(fn_name) AS fn, min(id) AS fn_id FROM function_nodes GROUP BY 1) n USING (file_id)),
+lk AS (SELECT a.repo_id, a.file_id, a.kind, a.folder, a.fn_id, a.k, t.folder AS to_folder, t.fn, regexp_replace(t.path, '\.[^./]+$', '') AS stem, CASE WHEN a.folder = '' THEN 0 ELSE len(string_split(a.folder, '/')) END AS depth
+       FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS k FROM lf) a JOIN lf t ON t.repo_id = a.repo_id AND t.kind = a.kind AND t.file_ord = a.file_ord + a.k),
+lr AS (SELECT repo_id, file_id, 1000 + k AS imp_ord, CASE kind
+         WHEN 'python' THEN CASE WHEN k % 2 = 1 THEN repeat('.', depth + 1) ELSE '' END || replace(stem, '/', '.')
+         WHEN 'java' THEN CASE WHEN k % 2 = 0 AND to_folder <> '' THEN replace(to_folder, '/', '.') || '.*' ELSE replace(stem, '/', '.') END
+         WHEN 'go' THEN 'git.example/m' || repo_id || CASE WHEN to_folder = '' THEN '' ELSE '/' || to_folder END
+         ELSE CASE WHEN k % 3 = 0 THEN '@m' || repo_id || '/' || stem ELSE CASE WHEN depth = 0 THEN './' ELSE repeat('../', depth) END || stem || CASE WHEN k % 3 = 2 THEN '.js' ELSE '' END END END AS specifier, kind,
+         CASE WHEN kind IN ('esm', 'python') AND fn IS NOT NULL THEN [{'local_name': fn, 'imported_name': fn}] ELSE [] END AS names,
+         CASE WHEN kind IN ('java', 'go') THEN CASE WHEN fn IS NULL THEN [] ELSE [fn] END END AS uses, false AS implicit FROM lk),
+allimp AS (SELECT repo_id, file_id, imp_ord, trim(specifier) AS specifier, kind, names, uses, implicit FROM import_refs UNION ALL SELECT * FROM lr),
+imp AS (SELECT DISTINCT ON (i.file_id, i.imp_ord) i.repo_id, i.file_id, i.imp_ord, i.specifier, i.kind, i.names, i.uses,
         coalesce(i.implicit, false) AS implicit, f.path AS from_path, f.folder, ends_with(f.path, '_test.go') AS test
-        FROM import_refs i JOIN f USING (file_id)),
+        FROM allimp i JOIN f USING (file_id)),
 fn AS (SELECT DISTINCT n.id, n.repo_id, n.file_id, n.fn_name, n.qualified_name, n.kind, n.start_line, n.end_line, n.exported, f.path
        FROM function_nodes n JOIN f USING (file_id)),
 dirs AS (SELECT repo_id, path, folder, string_split(path, '/') AS parts, string_split(folder, '/') AS dparts FROM f)
@@ -106,7 +167,9 @@ js0 AS (SELECT *, regexp_extract(specifier, '^((\.{1,2}/)*)', 1) AS pre, regexp_
         FROM imp WHERE kind IN ('esm', 'require', 'dynamic') AND starts_with(specifier, '.')),
 js1 AS (SELECT *, (length(pre) - length(replace(pre, '../', ''))) // 3 AS ups, CASE WHEN folder = '' THEN [] ELSE string_split(folder, '/') END AS fp FROM js0),
 js2 AS (SELECT repo_id, file_id, imp_ord, from_path,
-        array_to_string(list_concat(fp[1:len(fp) - ups], list_filter(string_split(rest, '/'), lambda x: x <> '' AND x <> '.')), '/') AS base FROM js1 WHERE ups <= len(fp)),
+        array_to_string(list_concat(fp[1:len(fp) - ups], list_filter(string_split(rest, '/'), lambda x: x <> '' AND x <> '.')), '/') AS base FROM js1 WHERE ups <= len(fp)
+  UNION ALL SELECT i.repo_id, i.file_id, i.imp_ord, i.from_path, specifier[strpos(specifier, '/') + 1:] AS base FROM imp i
+        WHERE kind IN ('esm', 'require', 'dynamic') AND starts_with(specifier, '@m' || repo_id || '/') AND EXISTS (FROM f WHERE f.repo_id = i.repo_id AND starts_with(f.path, split_part(i.specifier, '/', 2) || '/'))),
 js3 AS (SELECT *, regexp_extract(base, '\.([^./]+)$', 1) AS ext, regexp_replace(base, '\.[^./]+$', '') AS stem FROM js2),
 js4 AS (SELECT repo_id, file_id, imp_ord, from_path, list_concat(
           CASE ext WHEN 'js' THEN [stem || '.ts', stem || '.tsx', stem || '.js', stem || '.jsx'] WHEN 'mjs' THEN [stem || '.mts', stem || '.mjs']
@@ -134,7 +197,9 @@ many AS (SELECT * FROM jm
   UNION SELECT i.repo_id, i.file_id, i.imp_ord, i.from_path, f.path FROM imp i JOIN f ON f.repo_id = i.repo_id AND f.folder = i.folder WHERE i.kind = 'java' AND i.specifier = '*'
   UNION SELECT i.repo_id, i.file_id, i.imp_ord, i.from_path, s.path FROM imp i JOIN jdir s ON s.repo_id = i.repo_id AND s.suffix = replace(i.specifier[1:-3], '.', '/') WHERE i.kind = 'java' AND ends_with(i.specifier, '.*')
   UNION SELECT i.repo_id, i.file_id, i.imp_ord, i.from_path, f.path FROM imp i JOIN f ON f.repo_id = i.repo_id AND f.folder = i.folder
-        WHERE i.kind = 'go' AND i.specifier = '.' AND ends_with(f.path, '.go') AND (i.test OR NOT ends_with(f.path, '_test.go'))),
+        WHERE i.kind = 'go' AND i.specifier = '.' AND ends_with(f.path, '.go') AND (i.test OR NOT ends_with(f.path, '_test.go'))
+  UNION SELECT i.repo_id, i.file_id, i.imp_ord, i.from_path, f.path FROM imp i JOIN f ON f.repo_id = i.repo_id AND i.specifier = 'git.example/m' || i.repo_id || CASE WHEN f.folder = '' THEN '' ELSE '/' || f.folder END
+        WHERE i.kind = 'go' AND ends_with(f.path, '.go') AND NOT ends_with(f.path, '_test.go')),
 res0 AS (SELECT *, 0 AS target_ord FROM one UNION ALL SELECT *, row_number() OVER (PARTITION BY file_id, imp_ord ORDER BY target) - 1 FROM many),
 res AS (SELECT * FROM res0 WHERE target <> from_path)
 """
@@ -164,7 +229,8 @@ b0 AS (SELECT repo_id, from_path AS path, unnest(used) AS name, target AS origin
 b1 AS (SELECT repo_id, file_id, imp_ord, from_path AS path, arg_min(target, target_ord) AS origin FROM nar GROUP BY ALL),
 b2 AS (SELECT b1.repo_id, b1.path, unnest(list_transform(i.names, lambda x: x.local_name)) AS name, b1.origin, b1.imp_ord, 1 AS step, 0 AS target_ord FROM b1 JOIN imp i USING (file_id, imp_ord)),
 org AS (SELECT repo_id, path, name, arg_max(origin, (imp_ord, step, target_ord)) AS origin FROM (SELECT * FROM b0 UNION ALL SELECT * FROM b2) GROUP BY ALL),
-cl AS (SELECT DISTINCT ON (c.file_id, c.call_ord) c.repo_id, c.callee, c.enclosing, f.path FROM call_refs c JOIN f USING (file_id)),
+cl AS (SELECT DISTINCT ON (c.file_id, c.call_ord) c.repo_id, c.callee, c.enclosing, f.path
+       FROM (SELECT repo_id, file_id, call_ord, callee, enclosing FROM call_refs UNION ALL SELECT repo_id, file_id, 1000000 + k, fn, fn_id FROM lk) c JOIN f USING (file_id)),
 cr AS (SELECT cl.repo_id, cl.enclosing AS src, coalesce(o.id, t.id) AS dst FROM cl LEFT JOIN ix o ON o.repo_id = cl.repo_id AND o.path = cl.path AND o.name = cl.callee
         LEFT JOIN org g ON g.repo_id = cl.repo_id AND g.path = cl.path AND g.name = cl.callee LEFT JOIN ix t ON t.repo_id = g.repo_id AND t.path = g.origin AND t.name = g.name
         WHERE cl.enclosing IS NOT NULL AND cl.callee IS NOT NULL),
@@ -173,33 +239,43 @@ cedge AS (SELECT repo_id, src, dst, count(*) AS weight FROM cr WHERE dst IS NOT
 )
 
 
-def unrolled(k: int, vertices: str, edge: str) -> str:
-    """PageRank of every repository in SQL, ``k`` steps written out."""
+def unrolled(k: int, vertices: str, edge: str, stop: bool = False) -> str:
+    """PageRank of every repository in SQL, ``k`` steps written out; with ``stop`` a repository keeps its ranks once
+    they change by less than a millionth for each of its vertices."""
     sql = f"""
-pv AS (SELECT DISTINCT repo_id, v FROM {vertices}), pn AS (SELECT repo_id, count(*) AS n FROM pv GROUP BY 1),
-pe AS (SELECT e.repo_id, e.src, e.dst, min(e.weight)::DOUBLE AS w FROM {edge} e JOIN pv a ON a.repo_id = e.repo_id AND a.v = e.src JOIN pv b ON b.repo_id = e.repo_id AND b.v = e.dst WHERE e.src <> e.dst GROUP BY ALL),
-po AS (SELECT repo_id, src, sum(w) AS o FROM pe GROUP BY ALL), ps AS (SELECT pe.repo_id, pe.src, pe.dst, w / o AS s FROM pe JOIN po USING (repo_id, src)),
-r0 AS (SELECT pv.repo_id, pv.v, pn.n, po.o IS NOT NULL AS sends, 1 / pn.n AS r FROM pv JOIN pn USING (repo_id) LEFT JOIN po ON po.repo_id = pv.repo_id AND po.src = pv.v)"""
+pv AS MATERIALIZED (SELECT DISTINCT repo_id, v FROM {vertices}), pn AS MATERIALIZED (SELECT repo_id, count(*) AS n FROM pv GROUP BY 1),
+pe AS MATERIALIZED (SELECT e.repo_id, e.src, e.dst, min(e.weight)::DOUBLE AS w FROM {edge} e JOIN pv a ON a.repo_id = e.repo_id AND a.v = e.src JOIN pv b ON b.repo_id = e.repo_id AND b.v = e.dst WHERE e.src <> e.dst GROUP BY ALL),
+po AS MATERIALIZED (SELECT repo_id, src, sum(w) AS o FROM pe GROUP BY ALL), ps AS MATERIALIZED (SELECT pe.repo_id, pe.src, pe.dst, w / o AS s FROM pe JOIN po USING (repo_id, src)),
+r0 AS MATERIALIZED (SELECT pv.repo_id, pv.v, pn.n, po.o IS NOT NULL AS sends, 1 / pn.n AS r, false AS done FROM pv JOIN pn USING (repo_id) LEFT JOIN po ON po.repo_id = pv.repo_id AND po.src = pv.v)"""
+    kept = "CASE WHEN done THEN r ELSE x END AS r, done OR sum(abs(x - r)) OVER (PARTITION BY repo_id) < n * 1e-6 AS done" if stop else "x AS r, false AS done"
     for i in range(k):
         sql += f""",
-r{i + 1} AS (SELECT p.repo_id, p.v, p.n, p.sends, 0.15 / p.n + 0.85 * (coalesce(g.x, 0) + l.x / p.n) AS r FROM r{i} p
+r{i + 1} AS MATERIALIZED (SELECT repo_id, v, n, sends, {kept} FROM (SELECT p.repo_id, p.v, p.n, p.sends, p.r, p.done, 0.15 / p.n + 0.85 * (coalesce(g.x, 0) + l.x / p.n) AS x FROM r{i} p
   LEFT JOIN (SELECT ps.repo_id, ps.dst, sum(ps.s * q.r) AS x FROM ps JOIN r{i} q ON q.repo_id = ps.repo_id AND q.v = ps.src GROUP BY ALL) g ON g.repo_id = p.repo_id AND g.dst = p.v
-  JOIN (SELECT repo_id, sum(CASE WHEN sends THEN 0 ELSE r END) AS x FROM r{i} GROUP BY ALL) l ON l.repo_id = p.repo_id)"""
+  JOIN (SELECT repo_id, sum(CASE WHEN sends THEN 0 ELSE r END) AS x FROM r{i} GROUP BY ALL) l ON l.repo_id = p.repo_id))"""
     return sql
 
 
-SQL_SCORES = (
-    SQL_NARROWED
-    + ", fv AS (SELECT repo_id, path AS v FROM f),"
-    + unrolled(4, "fv", "edge")
-    + r""",
+STEPS = 60  # more than any graph of the tables takes
+
+
+def _scores(ranks: str, last: str) -> str:
+    return (
+        SQL_NARROWED
+        + ", fv AS (SELECT repo_id, path AS v FROM f),"
+        + ranks
+        + rf""",
 ch AS (SELECT repo_id, regexp_replace(path, '^(\./)+', '') AS path, count(*) AS churn FROM parsed_files GROUP BY ALL),
-sc0 AS (SELECT r4.repo_id, r4.v AS path, r4.r, coalesce(ch.churn, 0) AS churn, ln(1 + coalesce(ch.churn, 0)) AS lc FROM r4 LEFT JOIN ch ON ch.repo_id = r4.repo_id AND ch.path = r4.v),
+sc0 AS (SELECT {last}.repo_id, {last}.v AS path, {last}.r, coalesce(ch.churn, 0) AS churn, ln(1 + coalesce(ch.churn, 0)) AS lc FROM {last} LEFT JOIN ch ON ch.repo_id = {last}.repo_id AND ch.path = {last}.v),
 bd AS (SELECT repo_id, min(r) AS r0_, max(r) AS r1_, min(lc) AS l0, max(lc) AS l1 FROM sc0 GROUP BY 1),
 sc AS (SELECT repo_id, path, churn, CASE WHEN r1_ = r0_ THEN 0.5 ELSE (r - r0_) / (r1_ - r0_) END AS centrality, CASE WHEN l1 = l0 THEN 0.5 ELSE (lc - l0) / (l1 - l0) END AS churn_score FROM sc0 JOIN bd USING (repo_id)),
 score AS (SELECT *, floor((0.7 * centrality + 0.3 * churn_score) * 10000 + 0.5) / 10000 AS importance FROM sc)
 """
-)
+    )
+
+
+SQL_SCORES = _scores(unrolled(4, "fv", "edge"), "r4")
+SQL_CONVERGED = _scores(unrolled(STEPS, "fv", "edge", stop=True), f"r{STEPS}")
 
 # -- queries
 
@@ -255,7 +331,7 @@ def pagerank_files_four_steps(spark, d):
     return file_ranks(spark, d, iterations=4)
 
 
-@query()
+@query("WITH " + SQL_NARROWED + ", fv AS (SELECT repo_id, path AS v FROM f)," + unrolled(STEPS, "fv", "edge", stop=True) + f" SELECT repo_id, v AS path, round(r, 7) AS rank FROM r{STEPS}")
 def pagerank_files(spark, d):
     """Ranks of files in their repository's import graph, until each has converged."""
     return file_ranks(spark, d)
@@ -266,7 +342,7 @@ def pagerank_functions_three_steps(spark, d):
     return function_ranks(spark, d, iterations=3)
 
 
-@query()
+@query("WITH " + SQL_CALLS + ", fv AS (SELECT repo_id, id AS v FROM fn)," + unrolled(STEPS, "fv", "cedge", stop=True) + f" SELECT repo_id, v AS id, round(r, 7) AS rank FROM r{STEPS}")
 def pagerank_functions(spark, d):
     """Ranks of declarations in their repository's call graph, until each has converged."""
     return function_ranks(spark, d)
@@ -278,35 +354,36 @@ def churn_scores(spark, d):
     return E.log_scores(rows, ["repo_id"], "churn", "churn_score").withColumn("churn_score", F.round("churn_score", 6))
 
 
-@query("WITH " + SQL_SCORES + "SELECT repo_id, path, round(importance, 3) AS importance FROM score")
+@query("WITH " + SQL_SCORES + "SELECT repo_id, path, importance FROM score")
 def file_importance_four_steps(spark, d):
     return importance(spark, d, iterations=4)
 
 
-@query()
+@query("WITH " + SQL_CONVERGED + "SELECT repo_id, path, importance FROM score")
 def file_importance(spark, d):
     """Importance of each file, from ranks that have converged."""
     return importance(spark, d)
 
 
-@query("WITH " + SQL_SCORES + """SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY round(importance, 3) DESC, path) AS place, round(importance, 3) AS importance
+@query("WITH " + SQL_SCORES + """SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY importance DESC, path) AS place, importance
 FROM score QUALIFY place <= 10""")
 def analyze_rank_files_four_steps(spark, d):
     """The flagship's list from four steps of PageRank, which SQL can check."""
     return places(importance(spark, d, iterations=4))
 
 
-@query()
+@query("WITH " + SQL_CONVERGED + """SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY importance DESC, path) AS place, importance
+FROM score QUALIFY place <= 10""")
 def analyze_rank_files(spark, d):
     """The flagship: resolve, collapse, rank until every repository has converged, blend and list each
     repository's ten most important files."""
     return places(importance(spark, d))
 
 
-@query()
+@query("WITH " + SQL_CONVERGED + "SELECT repo_id, path, round(centrality, 6) AS centrality, churn, round(churn_score, 6) AS churn_score, importance FROM score")
 def analyze_converged(spark, d):
-    """The parts of every file's importance, unrounded."""
-    return file_scores(spark, d).select("repo_id", "path", "centrality", "churn", "churn_score", "importance")
+    """The parts of every file's importance."""
+    return file_scores(spark, d).select("repo_id", "path", F.round("centrality", 6).alias("centrality"), "churn", F.round("churn_score", 6).alias("churn_score"), "importance")
 
 
 @query("WITH " + SQL_NARROWED + """, e AS (SELECT repo_id, count(*) AS n FROM edge GROUP BY 1), ff AS (SELECT repo_id, count(*) AS n FROM fn GROUP BY 1), x AS (SELECT i.repo_id, count(*) AS n FROM imp i ANTI JOIN res USING (file_id, imp_ord) WHERE NOT i.implicit GROUP BY 1)

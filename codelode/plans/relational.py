@@ -9,7 +9,7 @@ from codelode.functions import exprs as X
 from codelode.operators import edges as E
 from codelode.operators.pagerank import pagerank
 from codelode.plans.catalogue import query
-from codelode.plans.graph import unrolled
+from codelode.plans.graph import STEPS, unrolled
 from codelode.session import table, written
 
 SQL_E = """t AS (SELECT strftime(ts, '%Y-%m') AS repo_id, user_id AS src, lead(user_id) OVER (PARTITION BY strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS dst FROM events),
@@ -17,9 +17,15 @@ edge AS (SELECT repo_id, src, dst, count(*) AS weight FROM t WHERE dst IS NOT NU
 
 
 def transitions(spark, d) -> DataFrame:
-    """From each event's user to the next one's, month by month."""
-    e = table(spark, d, "events").withColumn("month", F.date_format("ts", "yyyy-MM"))
-    nxt = e.select("month", F.col("user_id").alias("src"), F.lead("user_id").over(Window.partitionBy("month").orderBy("ts", "event_id")).alias("dst"))
+    """From each event's user to the next one's, month by month. Events are ordered within quarters of an hour,
+    so a busy month is no task of its own; its slices are at most 2,976 rows."""
+    e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM").alias("month"), F.unix_micros("ts").alias("t"), "event_id", "user_id").withColumn("slice", F.floor(F.col("t") / (900 * 1_000_000)))
+    inside = e.withColumn("dst", F.lead("user_id").over(Window.partitionBy("month", "slice").orderBy("t", "event_id")))
+    # a slice's last event is followed by the first of the next slice that has any
+    at = F.struct("t", "event_id")
+    ends = e.groupBy("month", "slice").agg(F.max_by("user_id", at).alias("src"), F.min_by("user_id", at).alias("first"))
+    across = ends.withColumn("dst", F.lead("first").over(Window.partitionBy("month").orderBy("slice")))
+    nxt = inside.select("month", F.col("user_id").alias("src"), "dst").unionByName(across.select("month", "src", "dst"))
     return E.collapse(nxt, ["month", "src", "dst"], drop_loops=("src", "dst"))
 
 
@@ -57,7 +63,7 @@ def pagerank_weighted_four_steps(spark, d):
     return user_ranks(spark, d, iterations=4)
 
 
-@query()
+@query("WITH " + SQL_E + "," + unrolled(STEPS, "ev", "edge", stop=True) + f" SELECT repo_id AS month, v AS user_id, round(r, 8) AS rank FROM r{STEPS}")
 def pagerank_weighted(spark, d):
     """Ranks of users by transitions, until each month has converged."""
     return user_ranks(spark, d)
@@ -71,7 +77,7 @@ def pagerank_dangling_three_steps(spark, d):
     return part_ranks(spark, d, iterations=3)
 
 
-@query()
+@query("WITH " + SQL_P + "," + unrolled(STEPS, "pvx", "edge", stop=True) + f" SELECT repo_id AS flag, v AS vertex, round(r, 9) AS rank FROM r{STEPS}")
 def pagerank_dangling(spark, d):
     """Parts to suppliers, until each flag has converged."""
     return part_ranks(spark, d)

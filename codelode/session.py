@@ -77,4 +77,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     read column by column."""
     path = f"{shared_dir(df.sparkSession)}/codelode-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (out, path)
+    return out
+
+
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a table that ``written`` made, once nothing reads it any more."""
+    found = _WRITTEN.pop(id(df), None)
+    if found:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(found[1])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
