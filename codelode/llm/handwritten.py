@@ -1,8 +1,9 @@
 """Problem 1: files that nobody wrote by hand: vendored, generated, minified, or data saved as code.
 
-Vendored copies are found by winnowing. A file's tokens without comments and white space are hashed in
-runs of ``K``; of every ``W`` neighbouring runs the smallest hash is kept, so any common passage of
-K + W - 1 tokens shares a fingerprint. A fingerprint recurs if it comes in files of at least ``owners``
+Vendored copies are found by winnowing. A file's tokens are normalised: comments and white space are left
+out, and names, strings and numbers each stand for their class, so that renaming or other texts hide no
+copy. They are hashed in runs of ``K``; of every ``W`` neighbouring runs the smallest hash is kept, so any
+common passage of K + W - 1 tokens shares a fingerprint. A fingerprint recurs if it comes in files of at least ``owners``
 unrelated owners of repositories; a file is a vendored copy if at least ``share`` of its fingerprints
 recur. Fingerprints are counted over all files: distinct (fingerprint, repository) pairs are formed
 before the shuffle, and only recurring fingerprints go back to the files.
@@ -26,7 +27,12 @@ from pyspark.sql import functions as F
 from codelode.llm import tables
 from codelode.session import written
 
-K, W = 16, 16
+K, W = 80, 40  # of normalised tokens; shorter runs of them recur in unrelated code too
+# Words of the six languages that stand for themselves.
+KEYWORDS = frozenset(
+    "abstract and as assert async await boolean break byte case catch chan char class const continue def default defer del do double elif else enum except export extends fallthrough False final finally float for from func function go goto if implements import in instanceof int interface is lambda let long map "
+    "new None nonlocal not null of or package pass private protected public raise range return select self short static string struct super switch this throw throws True try type typeof undefined var void while with yield".split()
+)
 NOTICE = re.compile(
     r"(?i)@generated\b|\bauto-?(?:matically )?[ -]?generated\b|\b(?:code|file|source) (?:was |is |has been )?generated\b|\bgenerated (?:by|from|with|using)\b"
     r"|\bproduced by (?:the )?[\w\- ]*(?:compiler|generator|tool)\b|\bdo not (?:edit|modify|change)\b|\b(?:manual )?(?:edits|changes|modifications) (?:are|will be) (?:lost|overwritten)\b"
@@ -38,11 +44,21 @@ _BLOB = re.compile(r"[\"'`]((?:[A-Za-z0-9+/=_\-]|\\x[\da-fA-F]{2}|\\u[\da-fA-F]{
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`")
 
 
+def normal(t: str) -> str:
+    """A token's class: strings, numbers and names are alike, words of the language and signs are themselves."""
+    c = t[0]
+    if c in "\"'`":
+        return "S"
+    if c.isdigit():
+        return "9"
+    return "w" if (c == "_" or c.isalpha()) and t not in KEYWORDS else t
+
+
 class _Hash(dict):
     def __missing__(self, t: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[t] = h = zlib.crc32(t.encode("utf-8", "replace"))
+        self[t] = h = zlib.crc32(normal(t).encode("utf-8", "replace"))
         return h
 
 
@@ -145,7 +161,7 @@ def examine(files: DataFrame, key: str, repo: str, path: str, content: str) -> D
     return rows.where("key IS NOT NULL AND language IS NOT NULL AND content <> ''").mapInPandas(run, "key long, repo long, kind string, prints array<long>")
 
 
-def file_kinds(files: DataFrame, repos: DataFrame, key: str, repo: str, path: str, content: str, owners: int = 3, share: float = 0.8, least: int = 10) -> DataFrame:
+def file_kinds(files: DataFrame, repos: DataFrame, key: str, repo: str, path: str, content: str, owners: int = 3, share: float = 0.8, least: int = 5) -> DataFrame:
     """``key, kind, n_prints, recurring`` for every file of the six languages with a content.
 
     ``kind`` is ``generated``, ``minified``, ``data``, ``vendored`` or null (hand-written); what the file

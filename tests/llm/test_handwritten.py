@@ -1,6 +1,7 @@
 """Vendored, generated, minified and data files against hand-written ones."""
 
 import random
+import re
 
 from codelode.llm import handwritten as H
 
@@ -41,6 +42,13 @@ def test_winnowing_guarantee():
     assert w.tolist() == H.fingerprints("x  =  1\n" * 40, True, memo).tolist()
 
 
+def test_renamed_copies_share_their_prints():
+    memo = H._Hash()
+    text = LIB.split("\n", 1)[1]
+    renamed = re.sub(r"\b(\d+)\b", "7", re.sub(r"'\w+'", "'other'", re.sub(r"\b(load|store|merge|split|scan|pack|tag|route|bind|trace)([A-Z])", r"my_\1\2", text)))
+    assert renamed != text and H.fingerprints(renamed, False, memo).tolist() == H.fingerprints(text, False, memo).tolist() != []
+
+
 def test_vendored(spark):
     rows = [(i, i, f"vendor/lib{i}.js", "// lib 1.0\n" + LIB.replace("\n", "\r\n") if i % 2 else LIB) for i in range(4)]
     rows += [(10 + i, 50, f"own/copy{i}.js", hand(30, random.Random(7))) for i in range(5)]  # copies inside one repository
