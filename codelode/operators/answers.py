@@ -56,11 +56,11 @@ def file_prompt(path: str, language: str, loc: str, declares: str, content: str,
 REPLY = "struct<summary:string,functions:array<struct<name:string,summary:string>>>"
 
 
-def summarise(files: DataFrame, cache: DataFrame, chat: Chat, key: list[str], prompt: str, hash_: str, tasks: int = 2) -> DataFrame:
+def summarise(files: DataFrame, cache: DataFrame, chat: Chat, key: list[str], prompt: str, hash_: str, tasks: int | None = None) -> DataFrame:
     """``files`` with ``reply`` (a struct), ``source``: ``cache``, ``model`` or ``failed``, and ``failure``.
 
     ``cache`` has (hash, model, prompt_version, reply). Only files that it doesn't hold are sent to the
-    model, by at most ``tasks`` tasks; one that fails is counted, it doesn't stop the others."""
+    model, by at most ``tasks`` tasks (by default as many as there are cores); one that fails is counted, it doesn't stop the others."""
     held = cache.where((F.col("model") == chat.model) & (F.col("prompt_version") == PROMPT_VERSION)).groupBy("hash").agg(F.any_value("reply").alias("reply"))
     both = files.join(held.withColumnRenamed("hash", hash_), hash_, "left")
     hits = both.where("reply IS NOT NULL").select(*files.columns, "reply", F.lit("cache").alias("source"), F.lit(None).cast("string").alias("failure"))
@@ -78,7 +78,7 @@ def summarise(files: DataFrame, cache: DataFrame, chat: Chat, key: list[str], pr
                     failures.append(str(e)[:300])
             yield pdf.assign(_text=texts, failure=failures)
 
-    asked = both.where("reply IS NULL").select(*files.columns).repartition(tasks).mapInPandas(run, schema)
+    asked = both.where("reply IS NULL").select(*files.columns).repartition(tasks or files.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, schema)
     parsed = asked.withColumn("reply", F.from_json(C.loose_json("_text"), REPLY))
     got = parsed.select(*files.columns, "reply", F.when(F.col("reply").isNotNull(), "model").otherwise("failed").alias("source"), F.when(F.col("reply").isNull(), F.coalesce("failure", F.lit("no JSON in the reply"))).alias("failure"))
     return hits.unionByName(got)

@@ -12,12 +12,15 @@ from pyspark.sql import types as T
 from codelode.functions.exprs import fixed3, trim_ws
 
 
-def file_text(path: str, language: str, importance: str, in_degree: str, out_degree: str, churn: str, loc: str, declares: str) -> Column:
-    """Text of a file's chunk; ``declares`` is an array of lines, null or empty for none."""
-    none = F.lit("This file declares nothing at its top level.")
+def file_text(path: str, language: str, importance: str, in_degree: str, out_degree: str, churn: str, loc: str, declares: str, summary: str | None = None) -> Column:
+    """Text of a file's chunk; ``declares`` is an array of lines, null or empty for none, ``summary`` the name of a
+    column, null where there is none."""
+    none = F.lit("No declarations.")
     listed = F.when(F.size(F.coalesce(F.col(declares), F.array().cast("array<string>"))) > 0, F.concat(F.lit("Declares:\n"), F.array_join(declares, "\n"))).otherwise(none)
-    graph = F.concat(F.lit("Graph: importance "), fixed3(importance), F.lit(", imported by "), F.col(in_degree), F.lit(" file(s), imports "), F.col(out_degree), F.lit(" file(s), "), F.col(churn), F.lit(" commit(s), "), F.col(loc), F.lit(" lines."))
-    return F.concat_ws("\n", F.concat(F.lit("File: "), path), F.concat(F.lit("Language: "), language), F.lit(""), graph, F.lit(""), listed)
+    facts = [("importance", fixed3(importance)), ("importers", F.col(in_degree)), ("imports", F.col(out_degree)), ("commits", F.col(churn)), ("lines", F.col(loc))]
+    graph = F.concat_ws("; ", *[F.concat(F.lit(f"{name} "), value) for name, value in facts])
+    said = F.col(summary) if summary else F.lit(None).cast("string")
+    return F.concat_ws("\n", F.concat(F.col(path), F.lit(" ("), F.coalesce(F.col(language), F.lit("unknown")), F.lit(")")), said, graph, listed)
 
 
 def function_text(name: str, path: str, line: str, kind: str, exported: str, signature: str, calls: str) -> Column:
@@ -26,14 +29,20 @@ def function_text(name: str, path: str, line: str, kind: str, exported: str, sig
     return F.concat_ws("\n", F.concat(F.lit("Function: "), name), F.concat(F.lit("In file: "), F.col(path), F.lit(" (line "), F.col(line), F.lit(")")), how, F.concat(F.lit("Signature: "), signature), F.lit(""), listed)
 
 
-def signature(content: str, line: str, name: str, most: int = 120) -> Column:
-    """First line of a declaration that is no annotation, without the bracket or colon at its end; cut
-    at ``most`` characters; the name where the file has no such line."""
-    lines = F.split(F.col(content), "\n")
-    rest = F.filter(F.slice(lines, F.greatest(F.col(line), F.lit(1)), 20), lambda x: ~x.rlike(r"^\s*@"))
-    first = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.get(rest, F.lit(0)), r"^\s+", ""), r"\s+$", ""), r"\s*[{:]$", "")
-    cut = F.when(F.length(first) > most, F.concat(F.substring(first, 1, most - 3), F.lit("..."))).otherwise(first)
-    return F.when((F.col(line) >= 1) & (cut != ""), cut).otherwise(F.col(name))
+def signature(content: str, line: str, name: str, last: str | None = None, most: int = 120) -> Column:
+    """First line of a declaration that holds more than annotations (its ``last`` line at the latest), without the
+    bracket or colon at its end; cut at ``most`` characters; the name where the file has no such line."""
+    lines = F.split(F.col(content), "\n", -1)
+    only = r"^\s*(@[\w.]+(\([^)]*\))?\s*)+$"
+    start = F.greatest(F.col(line), F.lit(1))
+    own = F.get(lines, start - 1)
+    span = F.slice(lines, start, F.greatest(F.col(last) - start + 1, F.lit(1)) if last else F.greatest(F.size(lines), F.lit(1)))
+    rest = F.filter(span, lambda x: ~x.rlike(only))
+    # all that follows is looked through only where the line itself is an annotation
+    found = F.when(own.rlike(only), F.coalesce(F.get(rest, F.lit(0)), F.element_at(span, -1))).otherwise(own)
+    bare = trim_ws(F.regexp_replace(F.regexp_replace(trim_ws(found), r"\s*\{\s*$", ""), r"\s*:\s*$", ""))
+    cut = F.when(F.length(bare) > most, F.concat(F.substring(bare, 1, most - 3), F.lit("..."))).otherwise(bare)
+    return F.when((F.col(line) >= 1) & cut.isNotNull(), cut).otherwise(F.col(name))
 
 
 def text_hash(text: str | Column) -> Column:

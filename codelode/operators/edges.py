@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.exprs import log_count, round4, scaled
@@ -47,3 +47,24 @@ def blend(centrality: str, churn: str, churn_available: str | None = None, w_cen
     """Importance: the weighted mean of both scores, without churn where there is no history."""
     k = F.lit(w_churn) if churn_available is None else F.when(F.col(churn_available), F.lit(w_churn)).otherwise(F.lit(0.0))
     return round4((F.lit(w_centrality) * F.col(centrality) + k * F.col(churn)) / (F.lit(w_centrality) + k))
+
+
+def value_at_rank(rows: DataFrame, by: list[str], value: str, ranks: DataFrame, rank: str, bins: int = 4096) -> DataFrame:
+    """``by..., value``: the value at place ``rank`` of each group, from 1, largest first; equal values take a
+    place each, nulls none. ``ranks``: by..., rank.
+
+    A group isn't sorted: its values are counted by bins of equal width, and only the distinct values of the bin
+    that holds the place are looked at. Groups with fewer values than the rank have no row."""
+    v = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    ends = v.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    bin_ = F.when(F.col("_high") == F.col("_low"), F.lit(0)).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins)))
+    binned = v.join(ends, by).select(*by, "_v", bin_.cast("int").alias("_bin"))
+
+    def hit(counts: DataFrame, order: str, rank: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumn("_upto", F.sum("_c").over(w)).where((F.col("_upto") >= F.col(rank)) & (F.col("_upto") - F.col("_c") < F.col(rank)))
+
+    counts = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_c")).join(ranks.select(*by, F.col(rank).alias("_k")), by)
+    at = hit(counts, "_bin", "_k").select(*by, "_bin", (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_k"))
+    inside = binned.join(at, [*by, "_bin"]).groupBy(*by, "_k", "_v").agg(F.count("*").alias("_c"))
+    return hit(inside, "_v", "_k").select(*by, F.col("_v").alias(value))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.exprs import dirname, joined
+from codelode.session import written
 
 JS_EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs"]  # fixed order of trial
 RUNTIME_TO_SOURCE = {"js": [".ts", ".tsx", ".js", ".jsx"], "mjs": [".mts", ".mjs"], "cjs": [".cts", ".cjs"]}  # fixed
@@ -58,7 +59,8 @@ def resolve_imports(files: DataFrame, imports: DataFrame, packages: DataFrame |
     known = f.select("repo_id", "path").distinct()
     asked = imports.select("repo_id", "file_id", "imp_ord", F.trim("specifier").alias("specifier"), "kind").dropDuplicates(["file_id", "imp_ord"])
     asked = asked.join(f.select("file_id", F.col("path").alias("from_path")), "file_id").withColumn("folder", dirname("from_path"))
-    distinct = asked.select("repo_id", "folder", "specifier", "kind", F.col("from_path").endswith("_test.go").alias("test")).distinct()
+    asked = written(asked.withColumn("test", F.col("from_path").endswith("_test.go")), "asked")  # several rules read it
+    distinct = asked.select("repo_id", "folder", "specifier", "kind", "test").distinct()
     key = ["repo_id", "folder", "specifier", "kind", "test"]
     js = F.col("kind").isin("esm", "require", "dynamic")
 
@@ -106,7 +108,6 @@ def resolve_imports(files: DataFrame, imports: DataFrame, packages: DataFrame |
     per = Window.partitionBy(*key)
     many = hits.withColumn("_most", F.max("end").over(per)).where("end = _most").withColumn("target_ord", F.row_number().over(per.orderBy("target")) - 1)
     every = one.unionByName(many.select(*one.columns))
-    asked = asked.withColumn("test", F.col("from_path").endswith("_test.go"))
     return asked.join(every, key).where(F.col("target") != F.col("from_path")).select("repo_id", "file_id", "imp_ord", "from_path", "target_ord", "target")
 
 

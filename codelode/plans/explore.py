@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import exprs as X
+from codelode.operators import edges as E
 from codelode.operators import explore as O
 from codelode.operators import vectors as V
 from codelode.plans.catalogue import query
@@ -75,9 +76,11 @@ def layout_frame(spark, d):
     return O.frame(_points(spark, d), ["repo_id"], "x", "y", "z", "importance").select("repo_id", _three("cx"), _three("mx"), _three("radius"))
 
 
-@query("""WITH g AS (SELECT repo_id, path, string_split(path, '/') AS s FROM source_files), l AS (SELECT repo_id, path, array_to_string(s[-2:], '/') AS two,
- CASE WHEN regexp_replace(s[-1], '\\.[^.]*$', '') IN ('index', 'main', '__init__', 'mod', 'utils', 'util', 'types', 'test', 'app') THEN array_to_string(s[-2:], '/') ELSE s[-1] END AS l FROM g)
-SELECT repo_id, path, CASE WHEN count(*) OVER (PARTITION BY repo_id, l) > 1 THEN two ELSE l END AS label FROM l""")
+SQL_LABELS = r"""g AS (SELECT repo_id, file_id, path, string_split(path, '/') AS s FROM source_files),
+lb AS (SELECT repo_id, file_id, path, CASE WHEN regexp_full_match(s[-1], 'index\.[cm]?[jt]sx?|__init__\.py|mod\.rs|main\.(py|go)') AND len(s) > 1 THEN s[-2] || '/' || s[-1] ELSE s[-1] END AS label FROM g)"""
+
+
+@query("WITH " + SQL_LABELS + " SELECT repo_id, path, label FROM lb")
 def file_labels(spark, d):
     return O.file_labels(files(spark, d))
 
@@ -99,6 +102,91 @@ def folder_panel(spark, d):
     return f.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 8").select("repo_id", "folder", "id", "place")
 
 
+def _file_weights(spark, d) -> DataFrame:
+    """Files with the importance of their most important declaration (0 without any)."""
+    fn = table(spark, d, "function_nodes").groupBy("file_id").agg(F.max(F.coalesce("importance", F.lit(0.0))).alias("importance"))
+    return files(spark, d).join(fn, "file_id", "left").select("repo_id", "file_id", "path", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
+SQL_WEIGHTS = "im AS (SELECT file_id, max(coalesce(importance, 0)) AS importance FROM function_nodes GROUP BY 1), fw AS (SELECT f.repo_id, f.file_id, f.path, coalesce(im.importance, 0) AS importance FROM source_files f LEFT JOIN im USING (file_id))"
+
+
+@query("WITH " + SQL_LABELS + "," + SQL_WEIGHTS + " SELECT repo_id, path, label, place FROM (SELECT fw.*, lb.label, row_number() OVER (PARTITION BY fw.repo_id ORDER BY importance DESC, fw.path) AS place FROM fw JOIN lb USING (file_id)) WHERE place <= 12")
+def map_labels(spark, d):
+    """The twelve files of each repository whose names are on the map."""
+    top = O.top_rows(_file_weights(spark, d), ["repo_id"], [F.desc("importance"), F.asc("path")], 12)
+    return top.join(O.file_labels(files(spark, d)), ["repo_id", "path"]).select("repo_id", "path", "label", "place")
+
+
+@query("WITH " + SQL_WEIGHTS + ", x AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS folder FROM fw) SELECT repo_id, folder, path, place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, folder ORDER BY importance DESC, path) AS place FROM x) WHERE place <= 8")
+def folder_files(spark, d):
+    """The eight most important files of each folder."""
+    rows = _file_weights(spark, d).withColumn("folder", X.dirname("path"))
+    return O.top_rows(rows, ["repo_id", "folder"], [F.desc("importance"), F.asc("path")], 8).select("repo_id", "folder", "path", "place")
+
+
+@query("WITH " + SQL_ONE + ", n AS (SELECT repo_id, cluster, count(*) AS files FROM clu GROUP BY ALL) SELECT repo_id, cluster, files, place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY files DESC, cluster) AS place FROM n) WHERE place <= 15")
+def bubble_labels(spark, d):
+    """The fifteen largest folders of each repository, which are named in the folders view."""
+    n = one_level(spark, d).groupBy("repo_id", "cluster").agg(F.count("*").alias("files"))
+    return O.top_rows(n, ["repo_id"], [F.desc("files"), F.asc("cluster")], 15).select("repo_id", "cluster", "files", "place")
+
+
+@query("""WITH fn AS (SELECT file_id, id, any_value(qualified_name) AS q, max(coalesce(importance, 0)) AS importance, min((start_line, id)) AS o, bool_or(exported) AS e FROM function_nodes GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY importance DESC, id) AS i, row_number() OVER (PARTITION BY file_id ORDER BY o) AS j, count(*) FILTER (e) OVER (PARTITION BY file_id) AS exported FROM fn)
+SELECT file_id, id, CASE WHEN exported > 0 THEN i ELSE j END AS place FROM r WHERE (exported > 0 AND i <= 5) OR (exported = 0 AND j <= 12)""")
+def node_panel(spark, d):
+    """A file's five most important declarations where any is exported (as a stand-in for summarised ones), else
+    the first twelve in the file."""
+    fn = table(spark, d, "function_nodes").groupBy("file_id", "id").agg(F.max(F.coalesce("importance", F.lit(0.0))).alias("importance"), F.min(F.struct("start_line", "id")).alias("o"), F.bool_or("exported").alias("e"))
+    some = fn.groupBy("file_id").agg(F.coalesce(F.bool_or("e"), F.lit(False)).alias("any"))
+    rows = fn.join(some, "file_id")
+    best = O.top_rows(rows.where("any"), ["file_id"], [F.desc("importance"), F.asc("id")], 5)
+    return best.unionByName(O.top_rows(rows.where("NOT any"), ["file_id"], [F.asc("o")], 12)).select("file_id", "id", "place")
+
+
+@query("WITH " + SQL_CALLS + "," + SQL_WEIGHTS + """, ew AS (SELECT repo_id, max(weight) AS top FROM cedge GROUP BY 1)
+SELECT e.repo_id, e.src, e.dst, round(ln(1 + weight) / ln(1 + top), 6) AS tint FROM cedge e JOIN ew USING (repo_id)""")
+def call_tints(spark, d):
+    """How strongly each call is drawn."""
+    e = call_edges(spark, d)
+    both = e.join(e.groupBy("repo_id").agg(F.max("weight").alias("top")), "repo_id")
+    return both.select("repo_id", "src", "dst", F.round(O.scales("weight", "weight", "top", "weight", "top")["tint"], 6).alias("tint"))
+
+
+@query("WITH " + SQL_WEIGHTS + """, n AS (SELECT repo_id, count(*) AS n FROM fw GROUP BY 1), m AS (SELECT max(n) AS most FROM n)
+SELECT fw.repo_id, fw.path, round(sqrt(importance), 6) AS ramp, round(0.006 + 0.018 * sqrt(importance), 6) AS radius_share, round(0.025 + 0.075 * sqrt(n.n / m.most), 6) AS bubble_share FROM fw JOIN n USING (repo_id), m""")
+def node_scales(spark, d):
+    """Place on the colour ramp and radius of each file, and its repository's share as a bubble."""
+    w = _file_weights(spark, d)
+    n = w.groupBy("repo_id").agg(F.count("*").alias("n"))
+    both = w.join(n, "repo_id").crossJoin(F.broadcast(n.agg(F.max("n").alias("most"))))  # one row
+    s = O.scales("importance", "n", "most", "importance", "importance")
+    return both.select("repo_id", "path", *[F.round(s[c], 6).alias(c) for c in ("ramp", "radius_share", "bubble_share")])
+
+
+@query("WITH " + SQL_POINTS + """, n AS (SELECT repo_id, count(*) AS n FROM po GROUP BY 1), r AS (SELECT po.*, n.n, row_number() OVER (PARTITION BY po.repo_id ORDER BY po.importance DESC, chunk_no) AS place FROM po JOIN n USING (repo_id)),
+fo AS (SELECT * FROM r WHERE place <= least(n, 300, greatest(10, floor(n * 0.2 + 0.5)))),
+c AS (SELECT repo_id, CASE WHEN sum(importance * importance) > 0 THEN sum(importance * importance * x) / sum(importance * importance) ELSE avg(x) END AS cx, CASE WHEN sum(importance * importance) > 0 THEN sum(importance * importance * y) / sum(importance * importance) ELSE avg(y) END AS cy,
+  CASE WHEN sum(importance * importance) > 0 THEN sum(importance * importance * z) / sum(importance * importance) ELSE avg(z) END AS cz FROM fo GROUP BY 1),
+m AS (SELECT repo_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM po GROUP BY 1),
+fd AS (SELECT fo.repo_id, sqrt(power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2)) AS d FROM fo JOIN c USING (repo_id)), od AS (SELECT po.repo_id, sqrt(power(x - mx, 2) + power(y - my, 2) + power(z - mz, 2)) AS d FROM po JOIN m USING (repo_id)),
+ed AS (SELECT po.repo_id, max(sqrt(power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2))) AS d FROM po JOIN c USING (repo_id) GROUP BY 1),
+pf AS (SELECT repo_id, list_sort(list(d))[1 + least(count(*) - 1, floor(count(*) * 0.9))::BIGINT] AS d FROM fd GROUP BY 1), pp AS (SELECT repo_id, list_sort(list(d))[1 + least(count(*) - 1, floor(count(*) * 0.9))::BIGINT] AS d FROM od GROUP BY 1)
+SELECT c.repo_id, floor(cx * 1000 + 0.5) / 1000 AS cx, floor(my * 1000 + 0.5) / 1000 AS my, floor(CASE WHEN pf.d > 0 THEN pf.d ELSE 100 END * 1000 + 0.5) / 1000 AS radius, floor(CASE WHEN pp.d > 0 THEN pp.d ELSE 100 END * 1000 + 0.5) / 1000 AS overview,
+ floor(greatest(ed.d, CASE WHEN pf.d > 0 THEN pf.d ELSE 100 END) * 1000 + 0.5) / 1000 AS extent FROM c JOIN m USING (repo_id) JOIN pf USING (repo_id) JOIN pp USING (repo_id) JOIN ed USING (repo_id)""")
+def layout_view(spark, d):
+    """What the camera frames of each repository's points, with the overview and the furthest point."""
+    return O.layout(_points(spark, d), ["repo_id"], "chunk_no", "x", "y", "z", "importance").select("repo_id", *[_three(c) for c in ("cx", "my", "radius", "overview", "extent")])
+
+
+@query("WITH " + SQL_POINTS + """, m AS (SELECT repo_id, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my, (min(z) + max(z)) / 2 AS mz FROM po GROUP BY 1)
+SELECT repo_id, floor(any_value(mx) * 1000 + 0.5) / 1000 AS mx, floor(greatest(1.4 * max(sqrt(power(x - mx, 2) + power(y - my, 2) + power(z - mz, 2))), 100) * 1000 + 0.5) / 1000 AS radius FROM po JOIN m USING (repo_id) GROUP BY 1""")
+def cluster_frame(spark, d):
+    """What the folders view frames: every bubble."""
+    return O.cluster_frame(_points(spark, d), ["repo_id"], "x", "y", "z").select("repo_id", _three("mx"), _three("radius"))
+
+
 @query("""WITH n AS (SELECT repo_id, count(*) AS n FROM source_files GROUP BY 1) SELECT repo_id, n AS files, CASE WHEN n <= 300 THEN 100.0 ELSE greatest(0.1, 300 / n * 100) END AS prominent_percent, n > 400 AS folders_view FROM n""")
 def view_defaults(spark, d):
     n = files(spark, d).groupBy("repo_id").agg(F.count("*").alias("files"))
@@ -128,7 +216,6 @@ def visible_edges(spark, d):
     """Calls of which both ends are among the more important half of their repository."""
     im = table(spark, d, "function_nodes").groupBy("repo_id", "id").agg(F.max(F.coalesce("importance", F.lit(0.0))).alias("importance"))
     n = im.groupBy("repo_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") * 0.5 + 0.5)).alias("k"))
-    r = im.join(n, "repo_id").withColumn("i", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("importance"), "id")))
-    keep = im.join(r.where("i = k").select("repo_id", F.col("importance").alias("cut")), "repo_id").where("importance >= cut").select("repo_id", "id")
+    keep = im.join(E.value_at_rank(im, ["repo_id"], "importance", n, "k").withColumnRenamed("importance", "cut"), "repo_id").where("importance >= cut").select("repo_id", "id")
     e = call_edges(spark, d).select("repo_id", "src", "dst")
     return e.join(keep.withColumnRenamed("id", "src"), ["repo_id", "src"], "left_semi").join(keep.withColumnRenamed("id", "dst"), ["repo_id", "dst"], "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codelode.functions import exprs as X
 from codelode.operators import edges as E
 from codelode.operators import resolve as R
+from codelode.operators.explore import top_rows
 from codelode.operators.pagerank import pagerank
 from codelode.plans.catalogue import query
 from codelode.session import table, written
@@ -111,12 +112,16 @@ def churn(spark: SparkSession, d: str) -> DataFrame:
 
 def file_scores(spark: SparkSession, d: str, iterations: int | None = None) -> DataFrame:
     """Each file with centrality, churn score and importance, scaled within its repository."""
-    v, e = files(spark, d), written(file_edges(spark, d), "file-edges")
-    ranks = pagerank(v, e, "repo_id", "path", "src", "dst", "weight", iterations=iterations)
-    c = E.min_max(ranks, ["repo_id"], "rank", "centrality")
-    with_churn = c.join(churn(spark, d), ["repo_id", "path"], "left").fillna(0, ["churn"])
-    both = E.log_scores(with_churn, ["repo_id"], "churn", "churn_score")
-    return both.withColumn("importance", E.blend("centrality", "churn_score"))
+    return scores_of(spark, d, written(file_edges(spark, d), "file-edges"), iterations)
+
+
+def scores_of(spark: SparkSession, d: str, e: DataFrame, iterations: int | None = None) -> DataFrame:
+    ranks = pagerank(files(spark, d), e, "repo_id", "path", "src", "dst", "weight", iterations=iterations)
+    with_churn = ranks.join(churn(spark, d), ["repo_id", "path"], "left").fillna(0, ["churn"]).withColumn("log", X.log_count("churn"))
+    rows = written(with_churn, "file-ranks")
+    ends = rows.groupBy("repo_id").agg(*[f(c).alias(f"{name}_{c}") for c in ("rank", "log") for name, f in (("low", F.min), ("high", F.max))])
+    both = rows.join(ends, "repo_id").withColumns({"centrality": X.scaled("rank", "low_rank", "high_rank"), "churn_score": X.scaled("log", "low_log", "high_log")})
+    return both.select("repo_id", "path", "centrality", "churn", "churn_score", E.blend("centrality", "churn_score").alias("importance"))
 
 
 def file_ranks(spark: SparkSession, d: str, iterations: int | None = None) -> DataFrame:
@@ -134,8 +139,7 @@ def importance(spark: SparkSession, d: str, iterations: int | None = None) -> Da
 
 
 def places(scored: DataFrame) -> DataFrame:
-    w = Window.partitionBy("repo_id").orderBy(F.desc("importance"), "path")
-    return scored.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 10").select("repo_id", "path", "place", "importance")
+    return top_rows(scored.select("repo_id", "path", "importance"), ["repo_id"], [F.desc("importance"), F.asc("path")], 10).select("repo_id", "path", "place", "importance")
 
 
 SQL_FILES = r"""
@@ -348,6 +352,16 @@ def pagerank_functions(spark, d):
     return function_ranks(spark, d)
 
 
+@query("WITH " + SQL_CALLS + ", fv AS (SELECT repo_id, id AS v FROM fn)," + unrolled(STEPS, "fv", "cedge", stop=True) + f""", fb AS (SELECT repo_id, min(r) AS lo, max(r) AS hi FROM r{STEPS} GROUP BY 1), fs AS (SELECT r.repo_id, r.v AS id, round(CASE WHEN hi = lo THEN 0.5 ELSE (r.r - lo) / (hi - lo) END, 6) AS importance FROM r{STEPS} r JOIN fb USING (repo_id))
+SELECT repo_id, id, importance, place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY importance DESC, id) AS place FROM fs) WHERE place <= 20""")
+def ranked_functions(spark, d):
+    """The twenty most important declarations of each repository: scaled ranks in the call graph."""
+    v, e = functions(spark, d).select("repo_id", "id"), written(call_edges(spark, d), "call-edges")
+    ranks = written(pagerank(v, e, "repo_id", "id", "src", "dst", "weight"), "function-ranks")
+    scaled = E.min_max(ranks, ["repo_id"], "rank", "importance").select("repo_id", "id", F.round("importance", 6).alias("importance"))
+    return top_rows(scaled, ["repo_id"], [F.desc("importance"), F.asc("id")], 20).select("repo_id", "id", "importance", "place")
+
+
 @query("WITH " + SQL_SCORES + "SELECT repo_id, path, churn, round(churn_score, 6) AS churn_score FROM score")
 def churn_scores(spark, d):
     rows = files(spark, d).select("repo_id", "path").join(churn(spark, d), ["repo_id", "path"], "left").fillna(0, ["churn"])
@@ -405,13 +419,14 @@ def language_histogram(spark, d):
 
 @query("WITH " + SQL_CALLS + """, cc AS (SELECT repo_id, dst AS id, sum(weight)::BIGINT AS calls FROM cedge GROUP BY ALL)
 SELECT repo_id, path, id, qualified_name, calls, place FROM (SELECT fn.repo_id, fn.path, fn.id, fn.qualified_name, coalesce(cc.calls, 0)::BIGINT AS calls,
-  row_number() OVER (PARTITION BY fn.repo_id, fn.path ORDER BY coalesce(cc.calls, 0) DESC, fn.qualified_name, fn.start_line, fn.end_line, fn.kind, fn.exported) AS place
-  FROM fn LEFT JOIN cc ON cc.repo_id = fn.repo_id AND cc.id = fn.id) WHERE place <= 3""")
+  row_number() OVER (PARTITION BY fn.repo_id, fn.path ORDER BY coalesce(cc.calls, 0) DESC, coalesce(fi.importance, -1) DESC, fn.qualified_name, fn.start_line, fn.end_line, fn.kind, fn.exported) AS place
+  FROM fn LEFT JOIN cc ON cc.repo_id = fn.repo_id AND cc.id = fn.id LEFT JOIN (SELECT repo_id, id, max(importance) AS importance FROM function_nodes GROUP BY ALL) fi ON fi.repo_id = fn.repo_id AND fi.id = fn.id) WHERE place <= 3""")
 def top_functions(spark, d):
-    """The three most called declarations of each file."""
+    """The three most called declarations of each file; of equal ones the more important."""
     counts = E.incoming_weight(call_edges(spark, d), ["repo_id"], "dst", "weight", "calls").withColumnRenamed("dst", "id")
-    both = functions(spark, d).join(counts, ["repo_id", "id"], "left").fillna(0, ["calls"])
-    w = Window.partitionBy("repo_id", "path").orderBy(F.desc("calls"), "qualified_name", "start_line", "end_line", "kind", "exported")
+    weights = table(spark, d, "function_nodes").groupBy("repo_id", "id").agg(F.coalesce(F.max("importance"), F.lit(-1.0)).alias("importance"))
+    both = functions(spark, d).join(counts, ["repo_id", "id"], "left").fillna(0, ["calls"]).join(weights, ["repo_id", "id"])
+    w = Window.partitionBy("repo_id", "path").orderBy(F.desc("calls"), F.desc("importance"), "qualified_name", "start_line", "end_line", "kind", "exported")
     return both.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("repo_id", "path", "id", "qualified_name", "calls", "place")
 
 

@@ -25,9 +25,60 @@ _SQL_LINES = """s AS (SELECT file_id, CASE WHEN lower(language) IN ('javascript'
 l AS (SELECT file_id, family, unnest(ls) AS text, generate_subscripts(ls, 1)::INT AS line FROM s WHERE family IS NOT NULL)"""
 
 
-@query("WITH " + _SQL_LINES + f", x AS (SELECT file_id, line, {_case(P.IMPORTS, 'specifier')} FROM l) SELECT file_id, line, m.kind AS kind, m.v AS specifier FROM x WHERE m IS NOT NULL")
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+SQL_IMPORTS = rf"""src AS (SELECT file_id, CASE WHEN lower(language) IN ('javascript', 'typescript', 'tsx') THEN 'ecma' WHEN lower(language) IN ('python', 'java', 'go') THEN lower(language) END AS fam, replace(content, chr(13), '') AS c FROM source_files WHERE content IS NOT NULL),
+tx AS (SELECT file_id, fam, CASE fam WHEN 'ecma' THEN regexp_replace(c, {_sql(P.COMMENT_LINES)}, '', 'g') WHEN 'go' THEN regexp_split_to_array(c, {_sql(P.GO_BODY)})[1] ELSE c END AS c FROM src WHERE fam IS NOT NULL),
+mk AS (SELECT file_id, fam, string_split(CASE fam {" ".join(f"WHEN '{f}' THEN regexp_replace(c, {_sql('(' + m + ')')}, chr(1) || '" + chr(92) + "1', 'g')" for f, m in P.IMPORT_MARKS.items())} END, chr(1)) AS p FROM tx),
+pc AS (SELECT file_id, fam, p, unnest(range(2, len(p) + 1)) AS i FROM mk),
+mt AS (SELECT file_id, fam, 1 + length(array_to_string(p[1:i - 1], '')) - length(replace(array_to_string(p[1:i - 1], ''), chr(10), '')) AS line,
+  CASE fam {" ".join(f"WHEN '{f}' THEN regexp_extract(p[i], {_sql('^(?:' + m + ')')})" for f, m in P.IMPORT_MARKS.items())} END AS m FROM pc),
+qu AS (SELECT *, regexp_extract(m, '["'']([^"''\n]+)["'']', 1) AS q, regexp_extract(m, '^import\s+(?:type\s+)?([\s\S]*?)\s*\bfrom\s*["'']', 1) AS cl FROM mt),
+ec AS (SELECT file_id, line, CASE WHEN starts_with(m, 'require') THEN 'require' WHEN regexp_matches(m, '^import\s*\(') THEN 'dynamic' ELSE 'esm' END AS kind, q AS specifier,
+  list_concat(list_concat(CASE WHEN regexp_matches(cl, '^[\w$]+\s*(,|$)') THEN [regexp_extract(cl, '^([\w$]+)', 1) || '<default'] ELSE [] END, CASE WHEN regexp_matches(cl, '\*\s*as\s+[\w$]+') THEN [regexp_extract(cl, '\*\s*as\s+([\w$]+)', 1) || '<*'] ELSE [] END),
+   list_transform(list_filter(list_transform(string_split(regexp_extract(cl, '\{{([^}}]*)\}}', 1), ','), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', ''), '^type\s+', '')), lambda x: x <> ''),
+    lambda x: CASE WHEN regexp_matches(x, '^[\w$.]+\s+as\s+[\w$]+$') THEN regexp_extract(x, 'as\s+([\w$]+)$', 1) || '<' || regexp_extract(x, '^([\w$.]+)', 1) ELSE regexp_extract(x, '^([\w$.*]+)', 1) || '<' || regexp_extract(x, '^([\w$.*]+)', 1) END)) AS names FROM qu WHERE fam = 'ecma'),
+pf AS (SELECT file_id, line, regexp_extract(m, '^[ \t]*from[ \t]+([.\w]+)', 1) AS o, m FROM mt WHERE fam = 'python'),
+pi AS (SELECT file_id, line, o, unnest(CASE WHEN o <> '' THEN [regexp_replace(m, '^[ \t]*from[ \t]+[.\w]+[ \t]+import[ \t]+', '')] ELSE string_split(regexp_replace(m, '^[ \t]*import[ \t]+', ''), ',') END) AS x FROM pf),
+py AS (SELECT file_id, line, 'python' AS kind, CASE WHEN o <> '' THEN o ELSE regexp_extract(trim(x), '^([\w.]+)', 1) END AS specifier,
+  list_transform(list_filter(list_transform(string_split(replace(replace(regexp_replace(x, '#[^\n]*', '', 'g'), '(', ''), ')', ''), ','), lambda y: regexp_replace(regexp_replace(y, '^\s+', ''), '\s+$', '')), lambda y: y <> ''),
+   lambda y: CASE WHEN regexp_matches(y, '^[\w$.]+\s+as\s+[\w$]+$') THEN regexp_extract(y, 'as\s+([\w$]+)$', 1) ELSE string_split(regexp_extract(y, '^([\w$.*]+)', 1), '.')[-1] END || '<' || regexp_extract(y, '^([\w$.*]+)', 1)) AS names FROM pi WHERE o <> '' OR regexp_matches(x, '\w')),
+ja AS (SELECT file_id, line, 'java' AS kind, regexp_extract(m, '([\w.]+(?:\.\*)?)[ \t]*;$', 1) AS specifier, CASE WHEN regexp_matches(m, '\*[ \t]*;$') THEN [] ELSE [regexp_extract(m, '(\w+)[ \t]*;$', 1) || '<' || regexp_extract(m, '(\w+)[ \t]*;$', 1)] END AS names FROM mt WHERE fam = 'java'),
+ga AS (SELECT file_id, line, q, regexp_extract(m, '^[ \t]*(?:import[ \t]+)?([\w.]+)[ \t]+"', 1) AS a, list_filter(string_split(q, '/'), lambda x: NOT regexp_full_match(x, 'v[0-9]+'))[-1] AS l FROM qu WHERE fam = 'go'),
+go AS (SELECT file_id, line, 'go' AS kind, q AS specifier, CASE WHEN a IN ('_', '.') THEN [] WHEN a NOT IN ('', 'import') THEN [a || '<*'] ELSE [regexp_replace(regexp_replace(regexp_replace(l, '\.v[0-9]+$', ''), '^go-', ''), '[-.]', '_', 'g') || '<*'] END AS names FROM ga),
+im AS (SELECT * FROM ec UNION ALL SELECT * FROM py UNION ALL SELECT * FROM ja UNION ALL SELECT * FROM go)"""
+
+
+@query("WITH " + SQL_IMPORTS + " SELECT file_id, line, kind, specifier, array_to_string(names, ',') AS names FROM im")
 def parse_imports(spark, d):
-    return P.matches(P.lines(table(spark, d, "source_files"), "file_id", "language", "content"), "file_id", P.IMPORTS, "specifier")
+    """Imports from the texts, over several lines too, with the names they bind."""
+    i = P.imported(table(spark, d, "source_files"), "file_id", "language", "content")
+    return i.select("file_id", "line", "kind", "specifier", F.array_join(F.transform("names", lambda x: F.concat(x["local_name"], F.lit("<"), x["imported_name"])), ",").alias("names"))
+
+
+SQL_FAMILY = "src AS (SELECT file_id, CASE WHEN lower(language) IN ('javascript', 'typescript', 'tsx') THEN 'ecma' WHEN lower(language) IN ('python', 'java', 'go') THEN lower(language) END AS fam, content AS c FROM source_files WHERE content IS NOT NULL)"
+SQL_BARE = "b AS (SELECT file_id, fam, CASE fam " + " ".join(f"WHEN '{f}' THEN regexp_replace(regexp_replace(c, {_sql(P.ESCAPES)}, '', 'g'), {_sql(m)}, '\"\"', 'g')" for f, m in P.LITERALS.items()) + " END AS c FROM src WHERE fam IS NOT NULL)"
+
+
+@query(f"WITH {SQL_FAMILY}, {SQL_BARE}, x AS (SELECT file_id, fam, unnest(regexp_extract_all(c, {_sql(P.CALL)})) AS x FROM b)," + r"""
+y AS (SELECT file_id, regexp_extract(x, '([A-Za-z_$][\w$]*)\s*\($', 1) AS callee FROM x WHERE NOT regexp_matches(x, '^(function|def|func|class|record)\s') AND (fam = 'java' OR NOT regexp_matches(x, '^new\s')))
+SELECT file_id, callee, count(*) AS n FROM y WHERE callee NOT IN (""" + ", ".join(f"'{w}'" for w in P.NO_CALL) + ") GROUP BY ALL")
+def parse_calls(spark, d):
+    """Names called in each file's text."""
+    return P.called(table(spark, d, "source_files"), "file_id", "language", "content")
+
+
+@query("WITH " + _SQL_LINES + f", x0 AS (SELECT file_id, family, line, text, {_case({f: [*o, *P.MEMBERS.get(f, [])] for f, o in P.DECLARATIONS.items()}, 'name')} FROM l), x AS (SELECT file_id, family, line, text, m.kind AS kind, m.v AS name, length(regexp_extract(replace(text, chr(9), '    '), '^( *)', 1)) AS indent FROM x0 WHERE m IS NOT NULL AND m.v NOT IN (" + ", ".join(f"'{w}'" for w in P.NOT_MEMBERS) + r""")),
+c AS (SELECT a.file_id, a.line, c.line AS cl, c.name FROM x a JOIN x c ON c.file_id = a.file_id AND c.kind = 'class' AND c.line < a.line AND c.indent < a.indent AND NOT EXISTS (FROM x e WHERE e.file_id = a.file_id AND e.line > c.line AND e.line < a.line AND e.indent <= c.indent)),
+p AS (SELECT file_id, line, string_agg(name, '.' ORDER BY cl) AS path FROM c GROUP BY ALL),
+r AS (SELECT x.*, CASE WHEN family = 'go' AND regexp_matches(text, '^func\s+\(') THEN regexp_extract(text, '^func\s+\(\s*(?:\w+\s+)?\*?([A-Za-z_]\w*)', 1) ELSE p.path END AS q, p.path FROM x LEFT JOIN p USING (file_id, line))
+SELECT file_id, line, CASE WHEN kind = 'function' AND path IS NOT NULL THEN 'method' ELSE kind END AS kind, name, coalesce(q || '.', '') || name AS qualified_name,
+ CASE family WHEN 'python' THEN NOT starts_with(name, '_') WHEN 'go' THEN regexp_matches(name, '^[A-Z]') WHEN 'java' THEN regexp_matches(text, '\bpublic\b') ELSE regexp_matches(text, '^\s*export\b') END AS exported FROM r""")
+def parse_symbols(spark, d):
+    """Declarations from the texts with the classes around them."""
+    return P.declared(table(spark, d, "source_files"), "file_id", "language", "content")
 
 
 @query("WITH " + _SQL_LINES + f", x AS (SELECT file_id, line, {_case(P.DECLARATIONS, 'fn_name')} FROM l) SELECT file_id, line, m.kind AS kind, m.v AS fn_name FROM x WHERE m IS NOT NULL")
@@ -96,13 +147,17 @@ def go_package_name(spark, d):
     return s.select("specifier", F.regexp_replace(F.regexp_replace(F.regexp_replace(last, r"\.v[0-9]+$", ""), "^go-", ""), "[-.]", "_").alias("local_name"))
 
 
-@query("""WITH l AS (SELECT doc_id, trim(l) AS line, n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL)
- WHERE regexp_matches(trim(l), '(?i)\\b(fatal|error|remote|warning):')), t AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM l)
-SELECT doc_id, string_agg(line, ' ' ORDER BY r)[1:300] AS detail FROM t WHERE r <= 3 GROUP BY 1""")
+@query(r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, l, list_filter(list_transform(l, lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: regexp_matches(x, '^(?i:fatal|error|remote|warning):')) AS good FROM t)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(array_to_string(CASE WHEN len(good) > 0 THEN good[1:3] ELSE l[1:3] END, ' ')[1:300], '([A-Za-z][A-Za-z0-9+.\-]*://)[^/@\s]+@', '\1<redacted>@', 'g'), '^\s+', ''), '\s+$', '') AS detail FROM u""")
 def error_details(spark, d):
-    """The first three lines of a log that say what went wrong, cut at 300 characters."""
-    rows = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"(?i)\b(fatal|error|remote|warning):"))
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", rows.alias("l")).where("size(l) > 0").select("doc_id", F.substring(F.array_join(F.slice("l", 1, 3), " "), 1, 300).alias("detail"))
+    """Of each text read as the output of a failed command: the first three lines that begin by saying what went
+    wrong, else the first three, at most 300 characters without passwords."""
+    l = F.split(X.trim_ws("text"), "\n", -1)  # noqa: E741
+    good = F.filter(F.transform(l, lambda x: X.trim_ws(x)), lambda x: x.rlike(r"(?i)^(fatal|error|remote|warning):"))
+    some = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", l.alias("l"), good.alias("good"))
+    chosen = F.when(F.size("good") > 0, F.slice("good", 1, 3)).otherwise(F.slice("l", 1, 3))
+    return some.withColumn("cut", F.substring(F.array_join(chosen, " "), 1, 300)).select("doc_id", X.trim_ws(X.redact_urls("cut")).alias("detail"))
 
 
 @query(r"""WITH x AS (SELECT repo_id, source_url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?(?:[^/@\s]+@)?git\.example[:/]([^/\s]+)/([^/\s]+?)(?:\.git)?/?$' AS p FROM repos)

@@ -19,7 +19,7 @@ edge AS (SELECT repo_id, src, dst, count(*) AS weight FROM t WHERE dst IS NOT NU
 def transitions(spark, d) -> DataFrame:
     """From each event's user to the next one's, month by month. Events are ordered within quarters of an hour,
     so a busy month is no task of its own; its slices are at most 2,976 rows."""
-    e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM").alias("month"), F.unix_micros("ts").alias("t"), "event_id", "user_id").withColumn("slice", F.floor(F.col("t") / (900 * 1_000_000)))
+    e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM").alias("month"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", "user_id").withColumn("slice", F.floor(F.col("t") / (900 * 1_000_000)))
     inside = e.withColumn("dst", F.lead("user_id").over(Window.partitionBy("month", "slice").orderBy("t", "event_id")))
     # a slice's last event is followed by the first of the next slice that has any
     at = F.struct("t", "event_id")
@@ -113,8 +113,7 @@ def threshold_by_rank(spark, d):
     """The dearest tenth of each brand, with all parts that tie with the last of it."""
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice")
     n = p.groupBy("p_brand").agg(F.greatest(F.lit(1), F.floor(F.count("*") * 0.1 + 0.5)).alias("k"))
-    r = p.join(n, "p_brand").withColumn("i", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")))
-    cut = r.where("i = k").select("p_brand", F.col("p_retailprice").alias("cut"))
+    cut = E.value_at_rank(p, ["p_brand"], "p_retailprice", n, "k").withColumnRenamed("p_retailprice", "cut")
     return p.join(cut, "p_brand").where("p_retailprice >= cut").select("p_partkey", "p_brand")
 
 

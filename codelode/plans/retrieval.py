@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from codelode.functions import exprs as X
 from codelode.operators import answers as A
 from codelode.operators import chunks as C
+from codelode.operators import edges as E
 from codelode.operators import vectors as V
 from codelode.plans.catalogue import query
-from codelode.plans.graph import SQL_CALLS, functions
-from codelode.session import table
+from codelode.plans.graph import SQL_CALLS, SQL_CONVERGED, files, functions, narrowed, scores_of
+from codelode.session import table, written
 
 DIM, K = 96, 8
 
@@ -92,14 +93,16 @@ def incremental_reuse(spark, d):
     return C.reuse(new, stored, ["repo_id", "id", "model"]).groupBy("model").agg(F.count("*").alias("total"), F.count_if("reused").alias("reused"), F.count_if(~F.col("reused")).alias("embedded"))
 
 
-@query(r"""WITH l AS (SELECT n.id, n.file_id, n.start_line, n.end_line, n.kind, n.exported, n.fn_name, list_filter(string_split(s.content, chr(10))[greatest(n.start_line, 1):greatest(n.start_line, 1) + 19], lambda x: NOT regexp_matches(x, '^\s*@'))[1] AS line
-  FROM (SELECT DISTINCT id, file_id, fn_name, kind, start_line, end_line, exported FROM function_nodes) n JOIN source_files s USING (file_id)),
-t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(line, '^\s+', ''), '\s+$', ''), '\s*[{:]$', '') AS sig FROM l)
-SELECT file_id, id, start_line, end_line, kind, exported, CASE WHEN start_line >= 1 AND sig <> '' THEN CASE WHEN length(sig) > 120 THEN sig[1:117] || '...' ELSE sig END ELSE fn_name END AS signature FROM t""")
+@query(r"""WITH n AS (SELECT DISTINCT id, file_id, fn_name, kind, start_line, end_line, exported, greatest(start_line, 1) AS s FROM function_nodes),
+l AS (SELECT n.*, string_split(f.content, chr(10)) AS ls FROM n JOIN source_files f USING (file_id)),
+o AS (SELECT *, ls[s] AS own, ls[s:greatest(end_line, s)] AS span FROM l),
+t AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN regexp_matches(own, '^\s*(@[\w.]+(\([^)]*\))?\s*)+$') THEN coalesce(list_filter(span, lambda x: NOT regexp_matches(x, '^\s*(@[\w.]+(\([^)]*\))?\s*)+$'))[1], span[-1]) ELSE own END, '^\s+', ''), '\s+$', '') AS line FROM o),
+u AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\s*\{\s*$', ''), '\s*:\s*$', ''), '^\s+', ''), '\s+$', '') AS sig FROM t)
+SELECT file_id, id, start_line, end_line, kind, exported, CASE WHEN start_line >= 1 AND sig IS NOT NULL THEN CASE WHEN length(sig) > 120 THEN sig[1:117] || '...' ELSE sig END ELSE fn_name END AS signature FROM u""")
 def signatures(spark, d):
     f = table(spark, d, "function_nodes").select("id", "file_id", "fn_name", "kind", "start_line", "end_line", "exported").distinct()
     both = f.join(table(spark, d, "source_files").select("file_id", "content"), "file_id")
-    return both.select("file_id", "id", "start_line", "end_line", "kind", "exported", C.signature("content", "start_line", "fn_name").alias("signature"))
+    return both.select("file_id", "id", "start_line", "end_line", "kind", "exported", C.signature("content", "start_line", "fn_name", "end_line").alias("signature"))
 
 
 @query(r"""WITH p AS (SELECT * FROM parsed_files QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY loaded_at DESC NULLS LAST) = 1),
@@ -119,6 +122,45 @@ def chunk_texts(spark, d):
     return both.select("file_id", C.text_hash(text).alias("hash"))
 
 
+SQL_FILE_TEXT = ", dg AS (SELECT repo_id, v AS path, sum(o) AS od, sum(i) AS id_ FROM (SELECT repo_id, src AS v, 1 AS o, 0 AS i FROM edge UNION ALL SELECT repo_id, dst, 0, 1 FROM edge) GROUP BY ALL)," + r"""
+pl AS (SELECT file_id, max(loc) AS loc FROM parsed_files GROUP BY 1), dcl AS (SELECT file_id, string_agg('- ' || kind || ' ' || qualified_name, chr(10) ORDER BY start_line, end_line, id, kind) AS declares FROM fn GROUP BY 1),
+x AS (SELECT s.file_id, f.path, f.language, s.repo_id, score.importance, coalesce(dg.id_, 0) AS ind, coalesce(dg.od, 0) AS outd, score.churn, coalesce(pl.loc, 0) AS loc, dcl.declares
+  FROM source_files s JOIN f USING (file_id) JOIN score ON score.repo_id = s.repo_id AND score.path = s.path LEFT JOIN dg ON dg.repo_id = s.repo_id AND dg.path = s.path LEFT JOIN pl USING (file_id) LEFT JOIN dcl USING (file_id))"""
+EXACT3 = "CASE WHEN importance IN (0.0625, 0.3125, 0.5625, 0.8125) THEN printf('%.3f', importance + 0.0004) ELSE printf('%.3f', importance) END"  # halves that are exact in binary go up
+
+
+def _file_facts(spark, d) -> DataFrame:
+    """Each file with its metrics and a line for each declaration."""
+    n = narrowed(spark, d).select("repo_id", F.col("from_path").alias("src"), F.col("target").alias("dst"))
+    edges = written(E.collapse(n, ["repo_id", "src", "dst"]), "file-edges")
+    scores = scores_of(spark, d, edges).select("repo_id", "path", "importance", "churn")
+    deg = E.degrees(files(spark, d).select("repo_id", "path"), edges, ["repo_id"], "path", "src", "dst")
+    loc = table(spark, d, "parsed_files").groupBy("file_id").agg(F.max("loc").alias("loc"))
+    fn = table(spark, d, "function_nodes").select("id", "file_id", "qualified_name", "kind", "start_line", "end_line", "exported").distinct()
+    line = F.concat(F.lit("- "), F.col("kind"), F.lit(" "), F.col("qualified_name"))
+    dc = fn.groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("start_line", "end_line", "id", "kind", line.alias("line")))), lambda x: x.line).alias("declares"))
+    both = files(spark, d).withColumn("language", F.lower("language")).join(scores, ["repo_id", "path"]).join(deg, ["repo_id", "path"]).join(loc, "file_id", "left").join(dc, "file_id", "left")
+    return both.fillna(0, ["loc"])
+
+
+@query("WITH " + SQL_CONVERGED + SQL_FILE_TEXT + " SELECT file_id, sha256(path || ' (' || coalesce(language, 'unknown') || ')' || chr(10) || 'importance ' || " + EXACT3 + """ || '; importers ' || ind || '; imports ' || outd || '; commits ' || churn || '; lines ' || loc || chr(10) ||
+ coalesce('Declares:' || chr(10) || declares, 'No declarations.')) AS hash FROM x""")
+def file_chunk_texts(spark, d):
+    """Hashes of the files' chunk texts with their place in the graph."""
+    rows = _file_facts(spark, d)
+    text = C.file_text("path", "language", "importance", "in_degree", "out_degree", "churn", "loc", "declares")
+    return rows.select("file_id", C.text_hash(text).alias("hash"))
+
+
+@query("WITH " + SQL_CONVERGED + SQL_FILE_TEXT + """, c AS (SELECT repo_id, id, any_value(model) AS m FROM chunks GROUP BY ALL) SELECT x.repo_id, count(*) AS files, count(*) FILTER (c.id IS NOT NULL) AS known, count(*) FILTER (c.id IS NULL) AS added FROM x LEFT JOIN c ON c.repo_id = x.repo_id AND c.id = 'file:' || x.path GROUP BY 1""")
+def index_plan(spark, d):
+    """Of each repository's file chunks, how many an index holds by id, and how many a build would add."""
+    have = table(spark, d, "chunks").where("id IS NOT NULL").select("repo_id", "id").distinct().withColumn("known", F.lit(1))
+    mine = _file_facts(spark, d).select("repo_id", F.concat(F.lit("file:"), "path").alias("id"))
+    both = mine.join(have, ["repo_id", "id"], "left")
+    return both.groupBy("repo_id").agg(F.count("*").alias("files"), F.count("known").alias("known"), F.count_if(F.col("known").isNull()).alias("added"))
+
+
 def hits(spark, d) -> DataFrame:
     h = table(spark, d, "search_hits").where("score IS NOT NULL")
     return h.groupBy("question_id", "hit_rank").agg(F.max_by(F.struct("question", "chunk_no", "path", "ref", "start_line", "score"), F.struct(F.coalesce("loaded_at", F.timestamp_seconds(F.lit(0))), F.col("chunk_no"))).alias("h")).select("question_id", "hit_rank", "h.*")
