@@ -103,7 +103,7 @@ def imported(files: DataFrame, key: str, language: str, content: str) -> DataFra
 
     clause = F.regexp_extract(m, r"""^import\s+(?:type\s+)?([\s\S]*?)\s*\bfrom\s*["']""", 1)
     default, star = F.regexp_extract(clause, r"^([\w$]+)\s*(?:,|$)", 1), F.regexp_extract(clause, r"\*\s*as\s+([\w$]+)", 1)
-    named = F.transform(_items(F.regexp_extract(clause, r"\{([^}]*)\}", 1), r"^type\s+"), lambda x: _renamed(x, True))
+    named = F.transform(_items(F.regexp_replace(F.regexp_extract(clause, r"\{([^}]*)\}", 1), r"//[^\n]*|/\*[\s\S]*?\*/", ""), r"^type\s+"), lambda x: _renamed(x, True))
     ecma_names = F.concat(F.when(default != "", F.array(_pair(default, F.lit("default")))).otherwise(none), F.when(star != "", F.array(_pair(star, F.lit("*")))).otherwise(none), named)
     kind = F.when(m.startswith("require"), "require").when(m.rlike(r"^import\s*\("), "dynamic").otherwise("esm")
     ecma = pieces(of("ecma"), key, F.regexp_replace("_c", COMMENT_LINES, ""), IMPORT_MARKS["ecma"]).select(key, "line", kind.alias("kind"), quoted.alias("specifier"), ecma_names.alias("names"))

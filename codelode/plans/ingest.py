@@ -38,7 +38,7 @@ mt AS (SELECT file_id, fam, 1 + length(array_to_string(p[1:i - 1], '')) - length
 qu AS (SELECT *, regexp_extract(m, '["'']([^"''\n]+)["'']', 1) AS q, regexp_extract(m, '^import\s+(?:type\s+)?([\s\S]*?)\s*\bfrom\s*["'']', 1) AS cl FROM mt),
 ec AS (SELECT file_id, line, CASE WHEN starts_with(m, 'require') THEN 'require' WHEN regexp_matches(m, '^import\s*\(') THEN 'dynamic' ELSE 'esm' END AS kind, q AS specifier,
   list_concat(list_concat(CASE WHEN regexp_matches(cl, '^[\w$]+\s*(,|$)') THEN [regexp_extract(cl, '^([\w$]+)', 1) || '<default'] ELSE [] END, CASE WHEN regexp_matches(cl, '\*\s*as\s+[\w$]+') THEN [regexp_extract(cl, '\*\s*as\s+([\w$]+)', 1) || '<*'] ELSE [] END),
-   list_transform(list_filter(list_transform(string_split(regexp_extract(cl, '\{{([^}}]*)\}}', 1), ','), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', ''), '^type\s+', '')), lambda x: x <> ''),
+   list_transform(list_filter(list_transform(string_split(regexp_replace(regexp_extract(cl, '\{{([^}}]*)\}}', 1), '//[^\n]*|/\*[\s\S]*?\*/', '', 'g'), ','), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', ''), '^type\s+', '')), lambda x: x <> ''),
     lambda x: CASE WHEN regexp_matches(x, '^[\w$.]+\s+as\s+[\w$]+$') THEN regexp_extract(x, 'as\s+([\w$]+)$', 1) || '<' || regexp_extract(x, '^([\w$.]+)', 1) ELSE regexp_extract(x, '^([\w$.*]+)', 1) || '<' || regexp_extract(x, '^([\w$.*]+)', 1) END)) AS names FROM qu WHERE fam = 'ecma'),
 pf AS (SELECT file_id, line, regexp_extract(m, '^[ \t]*from[ \t]+([.\w]+)', 1) AS o, m FROM mt WHERE fam = 'python'),
 pi AS (SELECT file_id, line, o, unnest(CASE WHEN o <> '' THEN [regexp_replace(m, '^[ \t]*from[ \t]+[.\w]+[ \t]+import[ \t]+', '')] ELSE string_split(regexp_replace(m, '^[ \t]*import[ \t]+', ''), ',') END) AS x FROM pf),
