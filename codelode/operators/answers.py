@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from codelode.functions.exprs import fixed3, round4
 from codelode.operators import chunks as C
 from codelode.operators import vectors as V
+from codelode.session import written
 
 PROMPT_VERSION = 1
 
@@ -122,3 +124,68 @@ def ask(spark: SparkSession, question: str, index: DataFrame, embedder: Embedder
         return Answer(True, chat.generate(prompt), sources=found.drop(columns="block").to_dict("records"))
     except Exception as e:  # noqa: BLE001
         return Answer(False, message=str(e)[:300])
+
+
+def question_for(path: str) -> Column:
+    """What to ask about a file."""
+    return F.concat(F.lit("What is "), F.col(path), F.lit(" for, and what relies on it?"))
+
+
+def question_for_folder(folder: str) -> Column:
+    where = F.when(F.col(folder) == "", F.lit("the repository's root")).otherwise(F.col(folder))
+    return F.concat(F.lit("What is "), where, F.lit(" responsible for, and which of its files matter most?"))
+
+
+def counters(done: DataFrame) -> DataFrame:
+    """One row for what ``summarise`` gave: selected, from the cache, generated, failed."""
+    of = lambda s, name: F.count_if(F.col("source") == s).alias(name)
+    return done.agg(F.count("*").alias("selected"), of("cache", "from_cache"), of("model", "generated"), of("failed", "failed"))
+
+
+@dataclass
+class Backends:
+    chat: Chat
+    embedder: Embedder
+    note: str | None = None  # set where another provider embeds
+
+
+def choose_backends(name: str, chats: dict, embedders: dict, fallback: str) -> Backends:
+    """The chat backend of a provider with its own embeddings where it has any, else the fallback's, with a note.
+    ``chats`` and ``embedders`` give a backend for a provider's name."""
+    if name not in chats:
+        raise ValueError(f"no provider {name}; there are {', '.join(sorted(chats))}")
+    if name in embedders:
+        return Backends(chats[name](), embedders[name]())
+    embedder = embedders[fallback]()
+    return Backends(chats[name](), embedder, f"{name} has no embeddings; {fallback} ({embedder.model}) embeds and must be running")
+
+
+@dataclass
+class IndexReport:
+    ran: bool
+    model: str
+    total: int = 0
+    embedded: int = 0
+    reused: int = 0
+    dim: int = 0
+    message: str = ""
+
+
+def build_index(chunks: DataFrame, stored: DataFrame, embedder: Embedder, key: list[str], save: Callable[[DataFrame], None]) -> IndexReport:
+    """Brings an index up to date: vectors of chunks whose text is unchanged are kept, the others are embedded, all are
+    brought to unit length and handed to ``save``. ``chunks``: key..., text and more; ``stored``: key..., hash,
+    embedding of the embedder's model. On any failure nothing is saved and the report says why."""
+    try:
+        new = C.reuse(chunks.withColumn("hash", C.text_hash("text")), stored, key)
+        counts = new.agg(F.count("*").alias("n"), F.count_if("reused").alias("r")).first()
+        if not counts.n:
+            return IndexReport(True, embedder.model, message="There is nothing to index.")
+        made = C.embed(new.where("NOT reused").drop("embedding", "reused"), "text", "embedding", embedder.embed)
+        every = written(new.where("reused").drop("reused").unionByName(made).withColumn("embedding", V.unit("embedding")), "index-new")
+        dims = [r.n for r in every.select(F.coalesce(F.size("embedding"), F.lit(0)).alias("n")).distinct().limit(2).collect()]
+        if len(dims) != 1 or dims[0] < 1:
+            return IndexReport(False, embedder.model, reused=counts.r, message="The embedding model gave vectors of different lengths.")
+        save(every)
+        return IndexReport(True, embedder.model, counts.n, counts.n - counts.r, counts.r, dims[0])
+    except Exception as e:  # noqa: BLE001
+        return IndexReport(False, embedder.model, message=str(e)[:300])

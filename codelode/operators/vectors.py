@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelode.session import written
+
 BLOCK = 8192  # queries at a time: what is broadcast has at most about BLOCK x dimension x 8 bytes
 
 
@@ -37,6 +39,8 @@ def search(rows: DataFrame, queries: DataFrame, key: str, vector: str, within: l
     spark = rows.sparkSession
     cols = [key, *within, kind, vector]
     data, asked = rows.select(*cols).where(usable(vector, dim)), queries.select(*cols).where(usable(vector, dim))
+    if asked.limit(BLOCK + 1).count() > BLOCK:  # several passes over the rows
+        data, asked = written(data, "search-rows"), written(asked, "search-questions")
     blocks = max(1, -(-asked.count() // BLOCK))
     kinds = dict(rows.dtypes)
     schema = ", ".join([f"query {kinds[key]}", f"{key} {kinds[key]}", *[f"{w} {kinds[w]}" for w in within], f"{kind} {kinds[kind]}", "score double"])

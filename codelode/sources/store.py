@@ -51,3 +51,29 @@ def load_index(spark: SparkSession, folder: str, model: str, schema: str) -> Dat
 def prune_cache(cache: DataFrame, live: DataFrame, by: list[str]) -> DataFrame:
     """Entries of a cache whose key is still in use."""
     return cache.join(live.select(*by).distinct(), by, "left_semi")
+
+
+def clear_index(spark: SparkSession, folder: str, model: str) -> None:
+    """Removes a model's index; nothing happens where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(folder, f"model={model_slug(model)}"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+GRAPH = "version int, source string, nodes array<struct<path:string,language:string,importance:double>>, edges array<struct<`from`:string,`to`:string,weight:int>>"
+
+
+def load_graph(spark: SparkSession, path: str, schema: str = GRAPH) -> DataFrame:
+    """A stored graph document as one row. Where there is none, or it isn't one, the error says what to do."""
+    try:
+        got = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+        if got.where("nodes IS NOT NULL").limit(1).count():
+            return got
+    except AnalysisException:
+        raise FileNotFoundError(f"There is no graph at {path}; analyse the repository first.") from None
+    raise ValueError(f"{path} holds no graph; analyse the repository again.")
+
+
+def trimmed(nodes: DataFrame, edges: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A graph small enough to ship as a sample: files with the named columns and no declarations, edges as they are."""
+    kept = nodes.select(*columns, F.array().cast("array<string>").alias("functions"))
+    return kept, edges

@@ -46,3 +46,36 @@ def test_ask(spark):
     assert "no index" in A.ask(spark, "x", index.limit(0), e, Fake("")).message
     assert "again" in A.ask(spark, "x", index, A.BagOfWords(["a", "b", "c"]), Fake("")).message
     assert not A.ask(spark, "broken registry", index, e, Fake("")).ok
+
+
+def test_build_index(spark):
+    e = A.BagOfWords(["registry", "helper"])
+    chunks = spark.createDataFrame([("a", "registry registry"), ("b", "helper"), ("c", "nothing")], "id string, text string")
+    saved = []
+    none = spark.createDataFrame([], "id string, hash string, embedding array<float>")
+    r = A.build_index(chunks, none, e, ["id"], lambda df: saved.append(df.select("id", "hash", "embedding")))
+    assert (r.ran, r.total, r.embedded, r.reused, r.dim) == (True, 3, 3, 0, 2) and {x.id: list(x.embedding) for x in saved[0].collect()} == {"a": [1.0, 0.0], "b": [0.0, 1.0], "c": [0.0, 0.0]}
+    edited = chunks.withColumn("text", F.when(F.col("id") == "b", "helper registry").otherwise(F.col("text")))
+    r = A.build_index(edited, saved[0], e, ["id"], lambda df: saved.append(df))
+    assert (r.embedded, r.reused) == (1, 2) and len(saved) == 2
+    assert A.build_index(chunks.limit(0), none, e, ["id"], saved.append).message == "There is nothing to index."
+
+    class Ragged:
+        model = "ragged"
+
+        def embed(self, texts):
+            return [[1.0] * (1 + len(t) % 2) for t in texts]
+
+    bad = A.build_index(chunks, none, Ragged(), ["id"], saved.append)
+    assert not bad.ran and bad.message and len(saved) == 2
+
+
+def test_counters_and_backends(spark):
+    done = spark.createDataFrame([("cache",), ("model",), ("model",), ("failed",)], "source string")
+    assert tuple(A.counters(done).first()) == (4, 1, 2, 1) and tuple(A.counters(done.limit(0)).first()) == (0, 0, 0, 0)
+    own = A.choose_backends("a", {"a": lambda: "chat"}, {"a": lambda: "embed"}, "b")
+    assert own.note is None and own.embedder == "embed"
+    other = A.choose_backends("a", {"a": lambda: "chat"}, {"b": lambda: A.BagOfWords(["x"])}, "b")
+    assert "b (bag-of-words)" in other.note
+    df = spark.createDataFrame([("src/a.py", ""), ("b.py", "src")], "p string, f string")
+    assert [r[0] for r in df.select(A.question_for("p")).collect()][0].startswith("What is src/a.py ") and "root" in df.select(A.question_for_folder("f")).first()[0]
