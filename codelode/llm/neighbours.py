@@ -310,7 +310,7 @@ def search(t: pa.Table, dim: int, k: int) -> pa.Table:
     return pa.table([pa.array(np.concatenate([residents.key, visitors.key])[rows]), pa.ListArray.from_arrays(offsets, pairs)], schema=schema)
 
 
-def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 3000, pops: int = 256, per_cell: float = 8.0, sample: int = 40_000, block: int = 16_384, asking: int = 16_384, salts: int = 32) -> DataFrame:
+def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 4000, pops: int = 256, per_cell: float = 8.0, sample: int = 40_000, block: int = 16_384, asking: int = 16_384, salts: int = 32) -> DataFrame:
     """``key, neighbour, score, rank``: for each usable vector the k others of its collection with the
     largest cosine (fewer if there are fewer); rank is from 1, ties go to the smaller neighbour.
 
