@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from codelode.session import written
 
@@ -44,7 +47,7 @@ def search(rows: DataFrame, queries: DataFrame, key: str, vector: str, within: l
     blocks = max(1, -(-asked.count() // BLOCK))
     kinds = dict(rows.dtypes)
     schema = ", ".join([f"query {kinds[key]}", f"{key} {kinds[key]}", *[f"{w} {kinds[w]}" for w in within], f"{kind} {kinds[kind]}", "score double"])
-    parts = []
+    parts, shape = [], to_arrow_schema(T.StructType.fromDDL(schema))
     for b in range(blocks):
         q = asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).toPandas()
         m = np.stack([np.asarray(x, dtype=float) for x in q[vector]]) if len(q) else np.zeros((0, dim))
@@ -53,9 +56,10 @@ def search(rows: DataFrame, queries: DataFrame, key: str, vector: str, within: l
 
         def best(batches, shared=shared):
             ids, groups, m = shared.value
-            for pdf in batches:
-                v = np.stack([np.asarray(x, dtype=float) for x in pdf[vector]]) if len(pdf) else np.zeros((0, dim))
+            for rb in batches:
+                v = rb.column(vector).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
                 v /= np.linalg.norm(v, axis=1, keepdims=True) if len(v) else 1
+                pdf = pa.Table.from_batches([rb]).select([key, *within, kind]).to_pandas()
                 of = pd.MultiIndex.from_frame(pdf[[*within, kind]]) if len(pdf) else []
                 codes, names = pd.factorize(of)
                 for c, name in enumerate(names):
@@ -70,9 +74,9 @@ def search(rows: DataFrame, queries: DataFrame, key: str, vector: str, within: l
                     out = pdf.iloc[at[i]][[key, *within, kind]].copy()
                     out.insert(0, "query", ids[mine][j])
                     out["score"] = score[i, j]
-                    yield out
+                    yield pa.RecordBatch.from_pandas(out, schema=shape, preserve_index=False)
 
-        parts.append(data.mapInPandas(best, schema))
+        parts.append(data.mapInArrow(best, schema))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -37,9 +37,9 @@ sc AS (SELECT q.chunk_no AS query, u.chunk_no, u.kind, u.model, coalesce(u.impor
 
 
 def _scored(spark, d) -> DataFrame:
-    c = chunks(spark, d, "model", "kind", "embedding")
+    c = written(chunks(spark, d, "model", "kind", "importance", "embedding"), "search-chunks")  # read several times
     hits = V.search(c, c.where("chunk_no % 100 = 0"), "chunk_no", "embedding", ["model"], "kind", K, DIM)
-    weight = chunks(spark, d, "importance").select("chunk_no", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+    weight = c.select("chunk_no", F.coalesce("importance", F.lit(0.0)).alias("importance"))
     return hits.join(weight, "chunk_no")
 
 
