@@ -186,3 +186,36 @@ def declared(files: DataFrame, key: str, language: str, content: str) -> DataFra
     path = F.when(F.col("receiver") != "", F.array("receiver")).otherwise(F.col("path"))
     kind = F.when((F.col("kind") == "function") & (F.size("path") > 0), "method").otherwise(F.col("kind"))
     return flat.select(key, "line", kind.alias("kind"), "name", F.array_join(F.concat(path, F.array("name")), ".").alias("qualified_name"), "exported")
+
+
+# -- names that a file uses of packages it sees as a whole
+
+
+def used(files: DataFrame, key: str, language: str, content: str) -> DataFrame:
+    """``key, specifier, implicit, uses``: the names that Java and Go files use of packages, sorted.
+
+    Java: the capitalised names of a file (outside strings, comments, imports and annotations) that it neither
+    declares as classes nor imports by name; for each of its wildcard imports and, implicit, for its own
+    package (``*`` where it has none), if there are any. Go: for each import with a local name, what is
+    selected through that name, possibly nothing; blank and dot imports have no row."""
+    rows = files.select(key, family(language).alias("family"), F.regexp_replace(content, "\r", "").alias("_c")).where("family IN ('java', 'go') AND _c IS NOT NULL")
+    bare = F.when(F.col("family") == "java", F.regexp_replace(F.regexp_replace("_c", ESCAPES, ""), LITERALS["java"], '""')).otherwise(F.regexp_replace(F.regexp_replace("_c", ESCAPES, ""), LITERALS["go"], '""'))
+    rows = rows.withColumn("_c", bare)
+    refs = imported(files, key, language, content)
+
+    java = rows.where("family = 'java'")
+    text = F.regexp_replace(F.regexp_replace("_c", r"(?m:^)[ \t]*(?:import|package)\b[^;\n]*", ""), r"@\w+", "")
+    names = java.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z]\w*)"), F.lit(1)))).alias("name"))
+    classes = declared(files, key, language, content).where("kind = 'class'").select(key, "name")
+    bound = refs.where("kind = 'java'").select(key, F.explode("names.local_name").alias("name"))
+    foreign = names.join(classes.unionByName(bound).distinct(), [key, "name"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("uses"))
+    package = F.regexp_extract("_c", r"(?m:^)[ \t]*package[ \t]+([\w.]+)", 1)
+    own = java.select(key, F.when(package != "", F.concat(package, F.lit(".*"))).otherwise("*").alias("specifier"), F.lit(True).alias("implicit"))
+    wild = refs.where("kind = 'java' AND specifier LIKE '%.*'").select(key, "specifier", F.lit(False).alias("implicit"))
+    of_java = own.unionByName(wild).distinct().join(foreign, key).select(key, "specifier", "implicit", "uses")
+
+    pairs = rows.where("family = 'go'").select(key, F.explode(F.array_distinct(F.regexp_extract_all("_c", F.lit(r"\b(\w+\.[A-Za-z_]\w*)"), F.lit(1)))).alias("x"))
+    pairs = pairs.select(key, F.substring_index("x", ".", 1).alias("local"), F.substring_index("x", ".", -1).alias("name"))
+    locals_ = refs.where("kind = 'go'").select(key, "specifier", F.explode("names.local_name").alias("local")).distinct()
+    of_go = locals_.join(pairs, [key, "local"], "left").groupBy(key, "specifier").agg(F.array_sort(F.collect_set("name")).alias("uses"))
+    return of_java.unionByName(of_go.select(key, "specifier", F.lit(False).alias("implicit"), "uses"))

@@ -70,17 +70,36 @@ def parse_calls(spark, d):
     return P.called(table(spark, d, "source_files"), "file_id", "language", "content")
 
 
-@query("WITH " + _SQL_LINES + f", x0 AS (SELECT file_id, family, line, text, {_case({f: [*o, *P.MEMBERS.get(f, [])] for f, o in P.DECLARATIONS.items()}, 'name')} FROM l), x AS (SELECT file_id, family, line, text, m.kind AS kind, m.v AS name, length(regexp_extract(replace(text, chr(9), '    '), '^( *)', 1)) AS indent FROM x0 WHERE m IS NOT NULL AND m.v NOT IN (" + ", ".join(f"'{w}'" for w in P.NOT_MEMBERS) + r""")),
+SQL_SYMBOLS = "WITH " + _SQL_LINES + f", x0 AS (SELECT file_id, family, line, text, {_case({f: [*o, *P.MEMBERS.get(f, [])] for f, o in P.DECLARATIONS.items()}, 'name')} FROM l), x AS (SELECT file_id, family, line, text, m.kind AS kind, m.v AS name, length(regexp_extract(replace(text, chr(9), '    '), '^( *)', 1)) AS indent FROM x0 WHERE m IS NOT NULL AND m.v NOT IN (" + ", ".join(f"'{w}'" for w in P.NOT_MEMBERS) + r""")),
 c AS (SELECT a.file_id, a.line, c.line AS cl, c.name FROM x a JOIN x c ON c.file_id = a.file_id AND c.kind = 'class' AND c.line < a.line AND c.indent < a.indent AND NOT EXISTS (FROM x e WHERE e.file_id = a.file_id AND e.line > c.line AND e.line < a.line AND e.indent <= c.indent)),
 p AS (SELECT file_id, line, string_agg(name, '.' ORDER BY cl) AS path FROM c GROUP BY ALL),
 r AS (SELECT x.*, CASE WHEN family = 'go' AND regexp_matches(text, '^func\s+\(') THEN regexp_extract(text, '^func\s+\(\s*(?:\w+\s+)?\*?([A-Za-z_]\w*)', 1) ELSE p.path END AS q, p.path FROM x LEFT JOIN p USING (file_id, line))
 SELECT file_id, line, CASE WHEN kind = 'function' AND path IS NOT NULL THEN 'method' ELSE kind END AS kind, name, coalesce(q || '.', '') || name AS qualified_name,
- CASE family WHEN 'python' THEN NOT starts_with(name, '_') WHEN 'go' THEN regexp_matches(name, '^[A-Z]') WHEN 'java' THEN regexp_matches(text, '\bpublic\b') ELSE regexp_matches(text, '^\s*export\b') END AS exported FROM r""")
+ CASE family WHEN 'python' THEN NOT starts_with(name, '_') WHEN 'go' THEN regexp_matches(name, '^[A-Z]') WHEN 'java' THEN regexp_matches(text, '\bpublic\b') ELSE regexp_matches(text, '^\s*export\b') END AS exported FROM r"""
+
+
+@query(SQL_SYMBOLS)
 def parse_symbols(spark, d):
     """Declarations from the texts with the classes around them."""
     return P.declared(table(spark, d, "source_files"), "file_id", "language", "content")
 
 
+@query("WITH sy AS (" + SQL_SYMBOLS + "), " + SQL_IMPORTS + """, bare AS (SELECT file_id, CASE fam WHEN 'java' THEN """ + f"regexp_replace(regexp_replace(c, {_sql(P.ESCAPES)}, '', 'g'), {_sql(P.LITERALS['java'])}, '\"\"', 'g') ELSE regexp_replace(regexp_replace(c, {_sql(P.ESCAPES)}, '', 'g'), {_sql(P.LITERALS['go'])}, '\"\"', 'g') END AS c, fam" + r""" FROM src WHERE fam IN ('java', 'go')),
+ty AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(c, '(?m:^)[ \t]*(?:import|package)\b[^;\n]*', '', 'g'), '@\w+', '', 'g'), '\b([A-Z]\w*)', 1)) AS name FROM bare WHERE fam = 'java'),
+kn AS (SELECT file_id, name FROM sy WHERE kind = 'class' UNION SELECT file_id, string_split(unnest(names), '<')[1] FROM ja),
+us AS (SELECT file_id, list_sort(list(name)) AS uses FROM ty ANTI JOIN kn USING (file_id, name) GROUP BY 1),
+pk AS (SELECT file_id, regexp_extract(c, '(?m:^)[ \t]*package[ \t]+([\w.]+)', 1) AS p FROM bare WHERE fam = 'java'),
+rf AS (SELECT file_id, CASE WHEN p <> '' THEN p || '.*' ELSE '*' END AS specifier, true AS implicit FROM pk UNION SELECT file_id, specifier, false FROM ja WHERE ends_with(specifier, '.*')),
+lo AS (SELECT DISTINCT file_id, specifier, string_split(unnest(names), '<')[1] AS loc FROM go),
+pr AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(c, '\b(\w+\.[A-Za-z_]\w*)', 1)) AS x FROM bare WHERE fam = 'go')
+SELECT file_id, specifier, implicit, array_to_string(uses, ',') AS uses FROM rf JOIN us USING (file_id)
+UNION ALL SELECT lo.file_id, lo.specifier, false, coalesce(string_agg(DISTINCT split_part(x, '.', 2), ',' ORDER BY split_part(x, '.', 2)), '') FROM lo LEFT JOIN pr ON pr.file_id = lo.file_id AND split_part(pr.x, '.', 1) = lo.loc GROUP BY lo.file_id, lo.specifier""")
+def parse_uses(spark, d):
+    """Names that Java and Go files use of packages, from the texts."""
+    u = P.used(table(spark, d, "source_files"), "file_id", "language", "content")
+    return u.select("file_id", "specifier", "implicit", F.array_join("uses", ",").alias("uses"))
+
+
 @query("WITH " + _SQL_LINES + f", x AS (SELECT file_id, line, {_case(P.DECLARATIONS, 'fn_name')} FROM l) SELECT file_id, line, m.kind AS kind, m.v AS fn_name FROM x WHERE m IS NOT NULL")
 def parse_declarations(spark, d):
     return P.matches(P.lines(table(spark, d, "source_files"), "file_id", "language", "content"), "file_id", P.DECLARATIONS, "fn_name")
