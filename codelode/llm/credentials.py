@@ -65,13 +65,14 @@ _BARE = re.compile(r"(?<![\w+/.\-])[A-Za-z0-9_+/.\-]{16,}={0,2}(?![\w+/=\-])")
 _LOOSE = re.compile(r"(?m)(?:^[ \t]*(?://|#|\*|/\*|--|;)[^\n]*?[:=][ \t]+|\bis[ \t]+)(?:(?:[Bb]earer|[Bb]asic)[ \t]+)?([^\s\"'`<>{}()\[\],;]{6,})(?=[.,;]?(?:[ \t]*\*/)?[ \t]*$)")
 _MIXED = re.compile(r"\d.*[A-Za-z]|[A-Za-z].*\d")
 _LETTERS = re.compile(r"[A-Za-z]+")
+_WORDS = re.compile(r"[A-Z]{3,}|[A-Z]?[a-z]{3,}")
 _SAME = re.compile(r"(.)\1*", re.S)
 _CLASS = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
 KINDS = ("bare", "config")  # the others have none of these features
 LIKE_BINS, LENGTH_BINS, LAST, EARLIER, INSIDE, PLACE = 12, 8, 256, 128, 192, 32  # one-hot features: bins, and buckets of hashed words
-DENSE = 18
+DENSE = 22
 FEATURES = DENSE + LIKE_BINS + LENGTH_BINS + len(KINDS) + LAST + EARLIER + INSIDE + PLACE
-FAMILIES = ("private", "userinfo", "named", *ISSUERS)  # of credentials; "lookalike" and "harmless" are none
+FAMILIES = ("private", "userinfo", "named", *ISSUERS)  # of credentials; "placeholder", "lookalike" and "harmless" are none
 
 
 @dataclass
@@ -182,13 +183,13 @@ def secret_name(words: list[str]) -> bool:
 
 
 def weak_family(kind: str, value: str, names: str) -> str | None:
-    """The family of patterns that labels a candidate: one of FAMILIES for a credential, ``lookalike``
-    or ``harmless`` for none (with or without a secret's name or a placeholder's form), None where the patterns aren't sure."""
+    """The family of patterns that labels a candidate: one of FAMILIES for a credential, ``placeholder``,
+    ``lookalike`` (long, or under a secret's name) or ``harmless`` for none, None where the patterns aren't sure."""
     words = name_words(names)
     if kind == "private":
         return "private"
     if PLACEHOLDER.search(value):
-        return "lookalike"
+        return "placeholder"
     if kind == "userinfo":
         return "userinfo"
     for issuer, form in ISSUERS.items():
@@ -237,6 +238,7 @@ def features(value: str, names: str, kind: str, path: str | None, pair_log: np.n
         like, float(np.sort(steps)[: (len(steps) + 1) // 2].mean()), np.log(n), float(-(p * np.log2(p)).sum()), lower, upper, digits, 1 - lower - upper - digits,
         sum(map(value.count, "<>{}$%*()[];=,")) / n, sum(map(value.count, "/.")) / n, max(map(len, runs), default=0) / n, max(len(m.group()) for m in _SAME.finditer(value)) / n if value else 1.0,
         len(set(value)) / n, changes, value.count(" ") / n, float(-steps.sum() / 40), float(np.clip(-like - 3, 0, 2) * min(n, 40) / 40), float(value.lower().strip("0123456789abcdef-") == ""),
+        float(digits == 0), sum(map(len, _WORDS.findall(value))) / n, float(value[:1] in "$%{<[@!&"), float(digits == 0) * sum(map(len, _WORDS.findall(value))) / n,
     ]
     all_names = names.split(" ") if names else []
     groups = (
@@ -264,41 +266,54 @@ def _matrix(rows) -> np.ndarray:
 
 
 class Scorer:
-    """Logistic regression with its scaling and calibration."""
+    """Logistic regression with its scaling and calibration. Rows are gone through a few thousand at a time, so
+    the driver holds them once, in single precision."""
+
+    CHUNK = 4096
 
     def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 5):
-        x = np.asarray(x, float)
-        self.mean, self.sd = x.mean(0), np.maximum(x.std(0), 0.05)
+        x = np.asarray(x, np.float32)
+        self.mean, self.sd = x.mean(0, dtype=float), np.maximum(x.std(0, dtype=float), 0.05)
         held = np.random.default_rng(seed).random(len(y)) < 0.2
-        z = (x - self.mean) / self.sd
-        self.w, self.b = self._fit(z[~held], y[~held])
-        s = z @ self.w + self.b
+        self.w, self.b = self._fit(x, y, np.flatnonzero(~held))
+        s = self._margin(x)
         use = held if 0 < y[held].sum() < held.sum() else ~held
-        a, c = self._fit(s[use, None] / 4, y[use], even=False)
+        a, c = Scorer._plain()._fit(s[:, None] / 4, y, np.flatnonzero(use), even=False)
         self.a, self.c = float(a[0]) / 4, c
         self.held_accuracy = float(((self(x[use]) >= 0.5) == y[use]).mean()) if use.any() else 1.0
-        self.w, self.b = self._fit(z, y)  # with the held-out fifth, for what comes only once
-
-    @staticmethod
-    def _fit(z: np.ndarray, y: np.ndarray, ridge: float = 5e-3, rounds: int = 25, even: bool = True) -> tuple[np.ndarray, float]:
-        """Newton's method; where ``even``, classes weigh the same."""
-        w = np.zeros(z.shape[1] + 1)
-        zz = np.hstack([z, np.ones((len(z), 1))])
-        pos = max(1, y.sum())
-        weight = np.where(y == 1, len(y) / (2 * pos), len(y) / (2 * max(1, len(y) - pos))) if even else np.ones(len(y))
+        self.w, self.b = self._fit(x, y, np.arange(len(y)))  # with the held-out fifth, for what comes only once
+
+    @classmethod
+    def _plain(cls) -> Scorer:
+        """One that doesn't scale its only feature."""
+        out = cls.__new__(cls)
+        out.mean, out.sd = 0.0, 1.0
+        return out
+
+    def _fit(self, x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 5e-3, rounds: int = 25, even: bool = True) -> tuple[np.ndarray, float]:
+        """Newton's method on the rows named; where ``even``, classes weigh the same."""
+        d, n = x.shape[1], len(rows)
+        w, pos = np.zeros(d + 1), max(1, y[rows].sum())
+        weight = np.where(y == 1, n / (2 * pos), n / (2 * max(1, n - pos))) if even else np.ones(len(y))
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(zz @ w, -30, 30)))
-            g = zz.T @ (weight * (p - y)) + ridge * len(y) * w
-            h = (zz * (weight * p * (1 - p))[:, None]).T @ zz + ridge * len(y) * np.eye(len(w))
+            g, h = ridge * n * w, ridge * n * np.eye(d + 1)
+            for i in range(0, n, self.CHUNK):
+                at = rows[i : i + self.CHUNK]
+                z = np.hstack([(x[at] - self.mean) / self.sd, np.ones((len(at), 1))])
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                g = g + z.T @ (weight[at] * (p - y[at]))
+                h = h + (z * (weight[at] * p * (1 - p))[:, None]).T @ z
             step = np.linalg.solve(h, g)
             w -= step
             if np.abs(step).max() < 1e-4:
                 break
         return w[:-1], float(w[-1])
 
+    def _margin(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([((x[i : i + self.CHUNK] - self.mean) / self.sd) @ self.w + self.b for i in range(0, len(x), self.CHUNK)] or [np.zeros(0)])
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        s = ((x - self.mean) / self.sd) @ self.w + self.b
-        return 1 / (1 + np.exp(-np.clip(self.a * s + self.c, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.a * self._margin(x) + self.c, -30, 30)))
 
 
 def pair_likelihoods(texts: DataFrame) -> np.ndarray:
