@@ -21,7 +21,17 @@ def _case(exprs: dict, name: str) -> str:
     return out + " END AS m"
 
 
-_SQL_LINES = """s AS (SELECT file_id, CASE WHEN lower(language) IN ('javascript', 'typescript', 'tsx') THEN 'ecma' WHEN lower(language) IN ('python', 'java', 'go') THEN lower(language) END AS family, string_split(replace(content, chr(13), ''), chr(10)) AS ls FROM source_files WHERE content IS NOT NULL),
+# files with the language of their label, or of their extension where there is none
+_SOURCES = """(SELECT *, coalesce(lower(language), CASE lower(regexp_extract(path, '[.]([^./]+)$', 1)) WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'mjs' THEN 'javascript' WHEN 'cjs' THEN 'javascript'
+ WHEN 'ts' THEN 'typescript' WHEN 'mts' THEN 'typescript' WHEN 'cts' THEN 'typescript' WHEN 'tsx' THEN 'tsx' WHEN 'py' THEN 'python' WHEN 'pyi' THEN 'python' WHEN 'java' THEN 'java' WHEN 'go' THEN 'go' END) AS lang FROM source_files)"""
+
+
+def sources(spark, d):
+    f = table(spark, d, "source_files").select("file_id", "path", "language", "content")
+    return f.withColumn("language", F.coalesce(F.lower("language"), X.language_of("path")))
+
+
+_SQL_LINES = f"""s AS (SELECT file_id, CASE WHEN lang IN ('javascript', 'typescript', 'tsx') THEN 'ecma' WHEN lang IN ('python', 'java', 'go') THEN lang END AS family, string_split(replace(content, chr(13), ''), chr(10)) AS ls FROM {_SOURCES} WHERE content IS NOT NULL),
 l AS (SELECT file_id, family, unnest(ls) AS text, generate_subscripts(ls, 1)::INT AS line FROM s WHERE family IS NOT NULL)"""
 
 
@@ -29,7 +39,7 @@ def _sql(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-SQL_IMPORTS = rf"""src AS (SELECT file_id, CASE WHEN lower(language) IN ('javascript', 'typescript', 'tsx') THEN 'ecma' WHEN lower(language) IN ('python', 'java', 'go') THEN lower(language) END AS fam, replace(content, chr(13), '') AS c FROM source_files WHERE content IS NOT NULL),
+SQL_IMPORTS = rf"""src AS (SELECT file_id, CASE WHEN lang IN ('javascript', 'typescript', 'tsx') THEN 'ecma' WHEN lang IN ('python', 'java', 'go') THEN lang END AS fam, replace(content, chr(13), '') AS c FROM {_SOURCES} WHERE content IS NOT NULL),
 tx AS (SELECT file_id, fam, CASE fam WHEN 'ecma' THEN regexp_replace(c, {_sql(P.COMMENT_LINES)}, '', 'g') WHEN 'go' THEN regexp_split_to_array(c, {_sql(P.GO_BODY)})[1] ELSE c END AS c FROM src WHERE fam IS NOT NULL),
 mk AS (SELECT file_id, fam, string_split(CASE fam {" ".join(f"WHEN '{f}' THEN regexp_replace(c, {_sql('(' + m + ')')}, chr(1) || '" + chr(92) + "1', 'g')" for f, m in P.IMPORT_MARKS.items())} END, chr(1)) AS p FROM tx),
 pc AS (SELECT file_id, fam, p, unnest(range(2, len(p) + 1)) AS i FROM mk),
@@ -54,11 +64,11 @@ im AS (SELECT * FROM ec UNION ALL SELECT * FROM py UNION ALL SELECT * FROM ja UN
 @query("WITH " + SQL_IMPORTS + " SELECT file_id, line, kind, specifier, array_to_string(names, ',') AS names FROM im")
 def parse_imports(spark, d):
     """Imports from the texts, over several lines too, with the names they bind."""
-    i = P.imported(table(spark, d, "source_files"), "file_id", "language", "content")
+    i = P.imported(sources(spark, d), "file_id", "language", "content")
     return i.select("file_id", "line", "kind", "specifier", F.array_join(F.transform("names", lambda x: F.concat(x["local_name"], F.lit("<"), x["imported_name"])), ",").alias("names"))
 
 
-SQL_FAMILY = "src AS (SELECT file_id, CASE WHEN lower(language) IN ('javascript', 'typescript', 'tsx') THEN 'ecma' WHEN lower(language) IN ('python', 'java', 'go') THEN lower(language) END AS fam, content AS c FROM source_files WHERE content IS NOT NULL)"
+SQL_FAMILY = f"src AS (SELECT file_id, CASE WHEN lang IN ('javascript', 'typescript', 'tsx') THEN 'ecma' WHEN lang IN ('python', 'java', 'go') THEN lang END AS fam, content AS c FROM {_SOURCES} WHERE content IS NOT NULL)"
 SQL_BARE = "b AS (SELECT file_id, fam, CASE fam " + " ".join(f"WHEN '{f}' THEN regexp_replace(regexp_replace(c, {_sql(P.ESCAPES)}, '', 'g'), {_sql(m)}, '\"\"', 'g')" for f, m in P.LITERALS.items()) + " END AS c FROM src WHERE fam IS NOT NULL)"
 
 
@@ -67,7 +77,7 @@ y AS (SELECT file_id, regexp_extract(x, '([A-Za-z_$][\w$]*)\s*\($', 1) AS callee
 SELECT file_id, callee, count(*) AS n FROM y WHERE callee NOT IN (""" + ", ".join(f"'{w}'" for w in P.NO_CALL) + ") GROUP BY ALL")
 def parse_calls(spark, d):
     """Names called in each file's text."""
-    return P.called(table(spark, d, "source_files"), "file_id", "language", "content")
+    return P.called(sources(spark, d), "file_id", "language", "content")
 
 
 SQL_SYMBOLS = "WITH " + _SQL_LINES + f", x0 AS (SELECT file_id, family, line, text, {_case({f: [*o, *P.MEMBERS.get(f, [])] for f, o in P.DECLARATIONS.items()}, 'name')} FROM l), x AS (SELECT file_id, family, line, text, m.kind AS kind, m.v AS name, length(regexp_extract(replace(text, chr(9), '    '), '^( *)', 1)) AS indent FROM x0 WHERE m IS NOT NULL AND m.v NOT IN (" + ", ".join(f"'{w}'" for w in P.NOT_MEMBERS) + r""")),
@@ -81,7 +91,7 @@ SELECT file_id, line, CASE WHEN kind = 'function' AND path IS NOT NULL THEN 'met
 @query(SQL_SYMBOLS)
 def parse_symbols(spark, d):
     """Declarations from the texts with the classes around them."""
-    return P.declared(table(spark, d, "source_files"), "file_id", "language", "content")
+    return P.declared(sources(spark, d), "file_id", "language", "content")
 
 
 @query("WITH sy AS (" + SQL_SYMBOLS + "), " + SQL_IMPORTS + """, bare AS (SELECT file_id, CASE fam WHEN 'java' THEN """ + f"regexp_replace(regexp_replace(c, {_sql(P.ESCAPES)}, '', 'g'), {_sql(P.LITERALS['java'])}, '\"\"', 'g') ELSE regexp_replace(regexp_replace(c, {_sql(P.ESCAPES)}, '', 'g'), {_sql(P.LITERALS['go'])}, '\"\"', 'g') END AS c, fam" + r""" FROM src WHERE fam IN ('java', 'go')),
@@ -96,13 +106,13 @@ SELECT file_id, specifier, implicit, array_to_string(uses, ',') AS uses FROM rf
 UNION ALL SELECT lo.file_id, lo.specifier, false, coalesce(string_agg(DISTINCT split_part(x, '.', 2), ',' ORDER BY split_part(x, '.', 2)), '') FROM lo LEFT JOIN pr ON pr.file_id = lo.file_id AND split_part(pr.x, '.', 1) = lo.loc GROUP BY lo.file_id, lo.specifier""")
 def parse_uses(spark, d):
     """Names that Java and Go files use of packages, from the texts."""
-    u = P.used(table(spark, d, "source_files"), "file_id", "language", "content")
+    u = P.used(sources(spark, d), "file_id", "language", "content")
     return u.select("file_id", "specifier", "implicit", F.array_join("uses", ",").alias("uses"))
 
 
 @query("WITH " + _SQL_LINES + f", x AS (SELECT file_id, line, {_case(P.DECLARATIONS, 'fn_name')} FROM l) SELECT file_id, line, m.kind AS kind, m.v AS fn_name FROM x WHERE m IS NOT NULL")
 def parse_declarations(spark, d):
-    return P.matches(P.lines(table(spark, d, "source_files"), "file_id", "language", "content"), "file_id", P.DECLARATIONS, "fn_name")
+    return P.matches(P.lines(sources(spark, d), "file_id", "language", "content"), "file_id", P.DECLARATIONS, "fn_name")
 
 
 @query("SELECT file_id, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) END AS loc FROM source_files WHERE content IS NOT NULL")
