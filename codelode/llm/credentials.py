@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,7 +67,7 @@ _LOOSE = re.compile(r"(?m)(?:^[ \t]*(?://|#|\*|/\*|--|;)[^\n]*?[:=][ \t]+|\bis[
 _MIXED = re.compile(r"\d.*[A-Za-z]|[A-Za-z].*\d")
 _LETTERS = re.compile(r"[A-Za-z]+")
 _WORDS = re.compile(r"[A-Z]{3,}|[A-Z]?[a-z]{3,}")
-_SAME = re.compile(r"(.)\1*", re.S)
+_SAME, _CHANGE, _MARKUP = re.compile(r"(.)\1+", re.S), re.compile(r"(?=(.)(?!\1).)", re.S), re.compile(r"[<>{}$%*()\[\];=,]")
 _CLASS = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
 KINDS = ("bare", "config")  # the others have none of these features
 LIKE_BINS, LENGTH_BINS, LAST, EARLIER, INSIDE, PLACE = 12, 8, 256, 128, 192, 32  # one-hot features: bins, and buckets of hashed words
@@ -85,11 +86,31 @@ class Candidate:
     kind: str  # quoted, config, bare, userinfo, private
 
 
+class _Taken:
+    """Places of a text that belong to something, as sorted intervals that don't touch."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, s: int, e: int) -> bool:
+        i = bisect_right(self.ends, s)
+        return i == len(self.starts) or self.starts[i] >= e
+
+    def append(self, span: tuple[int, int]) -> None:
+        s, e = span
+        i, j = bisect_left(self.ends, s), bisect_right(self.starts, e)
+        if i < j:
+            s, e = min(s, self.starts[i]), max(e, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [s], [e]
+
+
 def candidates(text: str, path: str | None) -> list[Candidate]:
     """Literals of a text that could be credentials. Each character belongs to one candidate at most;
     the lines inside a block of a key or certificate have none but the private key's own."""
     found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = _Taken()
+    free = taken.free
     for m in _PRIVATE.finditer(text):
         end = _END.search(text, m.end())
         body_end = end.start() if end else _key_body(text, m.end())
@@ -100,9 +121,6 @@ def candidates(text: str, path: str | None) -> list[Candidate]:
         end = text.find("-----END", m.end())
         taken.append((m.start(), end if end >= 0 else _key_body(text, m.end())))
 
-    def free(s: int, e: int) -> bool:
-        return all(e <= a or s >= b for a, b in taken)
-
     def add(s: int, e: int, kind: str) -> None:
         if e - s >= 4 and free(s, e):
             found.append((s, e, kind))
@@ -222,34 +240,50 @@ def _bucket(word: str) -> int:
     return h
 
 
-def features(value: str, names: str, kind: str, path: str | None, pair_log: np.ndarray) -> tuple[list[float], list[int]]:
-    """Numbers of the value, and the places of the features that are 1."""
-    b = np.frombuffer(value.encode("utf-8", "replace"), np.uint8).astype(np.int64)
-    steps = pair_log[b[:-1] * 256 + b[1:]] if len(b) > 1 else np.full(1, -3.0)
-    like = float(steps.mean())
-    n = max(1, len(value))
+def _of_value(value: str, pair_log: np.ndarray) -> tuple[list[float], int, int, set[int]]:
+    """The numbers of a value, its bins of likelihood and length, and the buckets of its words."""
+    b = np.frombuffer(value.encode("utf-8", "replace"), np.uint8)
+    steps = pair_log[b[:-1].astype(np.int64) * 256 + b[1:]] if len(b) > 1 else np.full(1, -3.0)
+    total, n = float(steps.sum()), max(1, len(value))
+    like = total / len(steps)
     shape = value.translate(_CLASS)
-    lower, upper, digits = (shape.count(c) / n for c in "aA0")
+    lower, upper, digits = shape.count("a") / n, shape.count("A") / n, shape.count("0") / n
     counts = np.bincount(b, minlength=1)
     p = counts[counts > 0] / max(1, len(b))
-    runs = [m.group() for m in _LETTERS.finditer(value)]
-    changes = sum(x != y for x, y in zip(shape, shape[1:])) / n
+    runs = _LETTERS.findall(value)
+    words = sum(map(len, _WORDS.findall(value))) / n
     dense = [
-        like, float(np.sort(steps)[: (len(steps) + 1) // 2].mean()), np.log(n), float(-(p * np.log2(p)).sum()), lower, upper, digits, 1 - lower - upper - digits,
-        sum(map(value.count, "<>{}$%*()[];=,")) / n, sum(map(value.count, "/.")) / n, max(map(len, runs), default=0) / n, max(len(m.group()) for m in _SAME.finditer(value)) / n if value else 1.0,
-        len(set(value)) / n, changes, value.count(" ") / n, float(-steps.sum() / 40), float(np.clip(-like - 3, 0, 2) * min(n, 40) / 40), float(value.lower().strip("0123456789abcdef-") == ""),
-        float(digits == 0), sum(map(len, _WORDS.findall(value))) / n, float(value[:1] in "$%{<[@!&"), float(digits == 0) * sum(map(len, _WORDS.findall(value))) / n,
+        like, float(np.sort(steps)[: (len(steps) + 1) // 2].mean()), float(np.log(n)), float(-(p * np.log2(p)).sum()), lower, upper, digits, 1 - lower - upper - digits,
+        len(_MARKUP.findall(value)) / n, (value.count("/") + value.count(".")) / n, max(map(len, runs), default=0) / n, max([1, *(m.end() - m.start() for m in _SAME.finditer(value))]) / n,
+        len(set(value)) / n, len(_CHANGE.findall(shape)) / n, value.count(" ") / n, -total / 40, min(max(-like - 3, 0.0), 2.0) * min(n, 40) / 40, float(value.lower().strip("0123456789abcdef-") == ""),
+        float(digits == 0), words, float(value[:1] in "$%{<[@!&"), float(digits == 0) * words,
     ]
+    return dense, int(min(max(-2 * like - 1, 0), LIKE_BINS - 1)), min(LENGTH_BINS - 1, int(np.log2(n))), {_bucket(w.lower()) % INSIDE for w in runs if 3 <= len(w) <= 12}
+
+
+def features(value: str, names: str, kind: str, path: str | None, pair_log: np.ndarray, memo: dict | None = None) -> tuple[list[float], list[int]]:
+    """Numbers of the value, and the places of the features that are 1. ``memo`` keeps what is known of values."""
+    memo = {} if memo is None else memo
+    if len(memo) > 50_000:
+        memo.clear()
+    got = memo.get(value)
+    if got is None:
+        got = memo[value] = _of_value(value, pair_log)
+    dense, like, length, inside = got
+    at = DENSE
+    ones = {at + like, at + LIKE_BINS + length}
+    at += LIKE_BINS + LENGTH_BINS
+    ones.update(at + i for i, x in enumerate(KINDS) if x == kind)
+    at += len(KINDS)
     all_names = names.split(" ") if names else []
-    groups = (
-        (LIKE_BINS, [int(np.clip(-2 * like - 1, 0, LIKE_BINS - 1))]), (LENGTH_BINS, [min(LENGTH_BINS - 1, int(np.log2(n)))]), (len(KINDS), [i for i, x in enumerate(KINDS) if x == kind]),
-        (LAST, [_bucket(w.lower()) for x in all_names[-1:] for w in [*_PARTS.findall(x), "=" + x]]), (EARLIER, [_bucket(w.lower()) for x in all_names[:-1] for w in _PARTS.findall(x)]),
-        (INSIDE, [_bucket(w.lower()) for w in runs if 3 <= len(w) <= 12]), (PLACE, [_bucket(w.lower()) for w in _LETTERS.findall((path or "").rsplit("/", 1)[-1])[-2:]]),
-    )
-    at, ones = DENSE, set()
-    for size, ids in groups:
-        ones.update(at + i % size for i in ids)
-        at += size
+    last = all_names[-1:]
+    ones.update(at + _bucket(w.lower()) % LAST for x in last for w in (*_PARTS.findall(x), "=" + x))
+    at += LAST
+    ones.update(at + _bucket(w.lower()) % EARLIER for x in all_names[:-1] for w in _PARTS.findall(x))
+    at += EARLIER
+    ones.update(at + i for i in inside)
+    at += INSIDE
+    ones.update(at + _bucket(w.lower()) % PLACE for w in _LETTERS.findall((path or "").rsplit("/", 1)[-1])[-2:])
     return dense, sorted(ones)
 
 
@@ -347,11 +381,12 @@ def score_candidates(texts: DataFrame, key: str, text: str, path: str, sample: i
     model = spark.sparkContext.broadcast(pair_log)
 
     def find(batches):
+        memo: dict = {}
         for pdf in batches:
             out = []
             for k, t, p in zip(pdf["key"], pdf["text"], pdf["path"]):
                 for c in candidates(t, p):
-                    out.append((k, c.line, c.start, c.end, c.kind, weak_family(c.kind, c.value, c.names), _packed(*features(c.value, c.names, c.kind, p, model.value))))
+                    out.append((k, c.line, c.start, c.end, c.kind, weak_family(c.kind, c.value, c.names), _packed(*features(c.value, c.names, c.kind, p, model.value, memo))))
             yield pd.DataFrame(out, columns=["key", "line_no", "start_char", "end_char", "kind", "family", "x"])
 
     found = written(base.mapInPandas(find, "key long, line_no int, start_char int, end_char int, kind string, family string, x binary"), "secret-candidates")
