@@ -88,9 +88,11 @@ def resolved(spark: SparkSession, d: str) -> DataFrame:
     return R.resolve_imports(files(spark, d), imports(spark, d), packages(spark, d), modules(spark, d))
 
 
-def narrowed(spark: SparkSession, d: str) -> DataFrame:
-    # narrowing reads the targets several times
-    return R.narrow(written(resolved(spark, d), "targets"), imports(spark, d), functions(spark, d))
+def narrowed(spark: SparkSession, d: str, i: DataFrame | None = None) -> DataFrame:
+    # imports and targets are read several times
+    i = written(imports(spark, d), "imports") if i is None else i
+    targets = R.resolve_imports(files(spark, d), i, packages(spark, d), modules(spark, d))
+    return R.narrow(written(targets, "targets"), i, functions(spark, d))
 
 
 def file_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +102,8 @@ def file_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def call_edges(spark: SparkSession, d: str) -> DataFrame:
     f = functions(spark, d)
-    origins = R.binding_origins(written(narrowed(spark, d), "narrowed"), imports(spark, d))
+    i = written(imports(spark, d), "imports")
+    origins = R.binding_origins(written(narrowed(spark, d, i), "narrowed"), i)
     return E.collapse(R.resolve_calls(calls(spark, d), R.symbol_index(f), origins), ["repo_id", "src", "dst"])
 
 
