@@ -1,23 +1,26 @@
 """Problem 4: the k most similar vectors of every vector, by an inverted multi-index.
 
 Each half of the vectors (at unit length) is quantised by its own k-means codebook; a cell is a pair of
-centroids. From each occupied cell the pairs of centroids are traversed in order of their summed distance
-with a heap, until their cells hold ``reach`` vectors or ``pops`` pairs were taken; the vectors of the
-cell are compared with those of the reached cells, and the best are reranked by the exact cosine of the
-stored vectors.
+centroids. From each vector the pairs of centroids are traversed in order of their summed distance to it
+with a heap; the vector lies in every cell that is nearly as close as the first (within the index's
+``slack``, at most ``pops`` cells). All vectors of a cell are compared with each other, the best are
+reranked by the exact cosine of the stored vectors. Two similar vectors so meet where any of the one's
+cells is one of the other's. That is done in ``views`` independent indices, of vectors turned differently,
+since what one misses another one finds.
 
 * **Codebooks** are fitted on a bounded sample (``sample`` vectors a collection), one task a collection;
-  every vector is indexed. The number of centroids grows with the root of the number of vectors, so a cell
-  holds about ``per_cell`` vectors at any size. Where a cell would hold more than four times ``reach``, its
+  every vector is indexed. The number of centroids grows with the root of the number of vectors, so a cell is
+  the closest one of about ``reach`` vectors at any size. ``slack`` is fitted on the sample, so that a vector lies
+  in about ``places`` cells whatever the distances are. Where a cell would hold more than four times ``reach``, its
   part of the sample gets centroids of its own. Collections of at most twice ``reach`` vectors are one cell.
-* **The index** that is broadcast has the codebooks and one byte a cell (the logarithm of its count), that
-  is an eighth of a byte for each vector; ``per_cell`` rises where there would be more than 2^27 cells.
+* **The index** that is broadcast has the codebooks and one byte a cell (the logarithm of its count);
+  ``reach`` rises where there would be more than 2^27 cells.
 * **Search.** Cells lie in an order that keeps near ones together (recursive bisection of the codebooks,
   interleaved) and are packed in it into blocks of about ``block`` vectors; a denser place is dealt out over
-  several blocks. Where a cell reaches one in another block, the vectors of the earlier block visit the later,
-  in slices of about ``asking`` vectors, and either side's questions are answered there. So a pair of blocks
-  meets once, no group holds more than a fixed number of rows, and each group has a partition of its own. The
-  best of all blocks are merged.
+  several blocks. The vectors of the earlier of these visit the later, in slices of about ``asking`` vectors, and
+  either side's questions are answered there. So a pair of blocks meets once, no group holds more than a fixed
+  number of rows, and each group has a partition of its own. The best of all blocks and views are merged.
+  Views run one after the other, and the shuffles of one are removed before the next.
 
 Of vectors that are equal (to a millionth in each number at unit length) only the first k + 1 by key are
 indexed, which is enough for any answer; the other copies get their neighbours from that class. Cosines
@@ -26,7 +29,10 @@ are rounded to nine places, ties go to the smaller key.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +47,7 @@ from codelode.session import written
 MOST_CELLS = 1 << 27  # bytes of the index; beyond that, cells hold more vectors
 SALT_ROWS = 1 << 16  # vectors of a cell that are joined with its routes in one task
 MOST_LANES = 100_000  # partitions of the search; beyond that, several groups share one, one after the other
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MARGIN = 2e-6  # of single precision; what is within it of the k-th best is reranked
 
 
@@ -140,16 +147,63 @@ def coded(n: np.ndarray) -> np.ndarray:
 SIZES = np.concatenate([[0.0], 2 ** (np.arange(255) / 7)])  # what the bytes stand for
 
 
+def turned(m: np.ndarray, view: int) -> np.ndarray:
+    """The vectors in the axes of an index: as they are in the first, turned at random in the others."""
+    if not view:
+        return m
+    return m @ np.linalg.qr(np.random.default_rng(view).normal(size=(m.shape[1], m.shape[1])))[0].astype(m.dtype)
+
+
+def walk(da: list[float], db: list[float]) -> Iterator[tuple[float, int, int]]:
+    """(sum, i, j) of the pairs of two sorted lists in order of their sums, from a heap."""
+    heap, na, nb = [(da[0] + db[0], 0, 0)], len(da), len(db)
+    while heap:
+        pair = heapq.heappop(heap)
+        yield pair
+        _, i, j = pair
+        if j + 1 < nb:
+            heapq.heappush(heap, (da[i] + db[j + 1], i, j + 1))
+        if j == 0 and i + 1 < na:
+            heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
+
+
 class MultiIndex:
     """Codebooks, each cell's count and, after ``lay_out``, its block. Without codebooks there is one cell."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, codes: np.ndarray):
-        self.a, self.b, self.h, self.ka, self.kb = a, b, a.shape[1], len(a), len(b)
+    def __init__(self, a: np.ndarray, b: np.ndarray, codes: np.ndarray, slack: float = 1.0):
+        self.a, self.b, self.h, self.ka, self.kb, self.slack = a, b, a.shape[1], len(a), len(b), slack
         self.codes = codes.reshape(self.ka, self.kb)
 
     def cells(self, m: np.ndarray) -> np.ndarray:
         return nearest(m[:, : self.h], self.a) * self.kb + nearest(m[:, self.h :], self.b)
 
+    def around(self, m: np.ndarray, pops: int) -> Iterator[tuple[list[int], list[float]]]:
+        """For each vector its cells and their summed distances, in order, from a heap: all within ``slack``
+        times the first one's, at most ``pops``."""
+        for p in range(0, len(m), 4096):
+            near = []
+            for y, c in ((m[p : p + 4096, : self.h], self.a), (m[p : p + 4096, self.h :], self.b)):
+                d = np.maximum((y * y).sum(1)[:, None] - 2 * y @ c.T + (c * c).sum(1), 0)
+                o = np.argpartition(d, pops - 1, axis=1)[:, :pops] if pops < len(c) else np.broadcast_to(np.arange(len(c)), d.shape)
+                at = np.argsort(np.take_along_axis(d, o, 1), axis=1, kind="stable")
+                o = np.take_along_axis(o, at, 1)
+                near += [np.take_along_axis(d, o, 1).tolist(), o.tolist()]
+            for da, oa, db, ob in zip(*near):
+                most, cells, far = (da[0] + db[0]) * self.slack, [], []
+                for x, i, j in walk(da, db):
+                    if x > most or len(cells) == pops:
+                        break
+                    cells.append(oa[i] * self.kb + ob[j])
+                    far.append(x)
+                yield cells, far
+
+    def with_slack(self, sample: np.ndarray, places: float, pops: int) -> MultiIndex:
+        """The slack with which a vector of the sample lies in ``places`` cells on average."""
+        self.slack = np.inf
+        ratio = np.sort(np.concatenate([np.array(d) / max(d[0], 1e-30) for _, d in self.around(sample, pops)]))
+        self.slack = float(ratio[min(len(ratio) - 1, int(places * len(sample)))])
+        return self
+
     def lay_out(self, block: int) -> MultiIndex:
         """Bins of neighbouring cells in interleaved order, packed into blocks; a bin with more vectors than
         a block is dealt out over several. Bins number some sixty to a block, however many cells there are."""
@@ -186,20 +240,14 @@ class MultiIndex:
         i0, j0 = divmod(cell, self.kb)
         da, db = ((self.a - self.a[i0]) ** 2).sum(1), ((self.b - self.b[j0]) ** 2).sum(1)
         oa, ob = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
-        da, db, rows, columns = da[oa].tolist(), db[ob].tolist(), oa.tolist(), ob.tolist()
-        heap, out, got, codes, sizes = [(da[0] + db[0], 0, 0)], [], 0.0, self.codes, _SIZE_LIST
-        ka, kb = self.ka, self.kb
-        while heap and got < reach and pops > 0:
-            _, i, j = heapq.heappop(heap)
-            pops -= 1
-            code = codes[rows[i], columns[j]]
+        out, got, codes, sizes = [], 0.0, self.codes, _SIZE_LIST
+        for _, i, j in itertools.islice(walk(da[oa].tolist(), db[ob].tolist()), pops):
+            code = codes[oa[i], ob[j]]
             if code:
-                out.append(rows[i] * kb + columns[j])
+                out.append(int(oa[i]) * self.kb + int(ob[j]))
                 got += sizes[code]
-            if j + 1 < kb:
-                heapq.heappush(heap, (da[i] + db[j + 1], i, j + 1))
-            if j == 0 and i + 1 < ka:
-                heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
+                if got >= reach:
+                    break
         return np.array(out if cell in out else [cell, *out], np.int64)
 
     def routes(self, cell: int, reach: float, pops: int) -> tuple[list[tuple[int, int, np.ndarray]], set[tuple[int, int]]]:
@@ -249,7 +297,12 @@ def best(asks: np.ndarray, keys: np.ndarray, theirs: np.ndarray, near: np.ndarra
     self_ = np.flatnonzero(their_keys[at] == keys)
     score[self_, at[self_]] = -9
     k = min(k, score.shape[1])
-    kth = np.partition(score, -k, axis=1)[:, -k]
+    w = score.shape[1] // 256
+    if w > 1 and k <= 32:  # k of the 256 parts' maxima are k scores, so the k-th best is no lower than the least of them
+        part = np.maximum.reduce(score[:, : w * 256].reshape(len(score), w, 256), axis=1)
+        kth = np.partition(part, -k, axis=1)[:, -k]
+    else:
+        kth = np.partition(score, -k, axis=1)[:, -k]
     r, c = np.nonzero(score >= np.maximum(kth - MARGIN, -2)[:, None])
     exact = np.round(np.einsum("ij,ij->i", own[r], unit(theirs[c])), 9)
     o = np.lexsort((their_keys[c], -exact, r))
@@ -259,13 +312,14 @@ def best(asks: np.ndarray, keys: np.ndarray, theirs: np.ndarray, near: np.ndarra
 
 
 class Pool:
-    """Vectors sorted by their cells."""
+    """Vectors and, sorted by cell, which of them lie in it."""
 
     def __init__(self, t: pa.Table, dim: int):
-        cell = t["cell"].to_numpy()
-        order = np.argsort(cell, kind="stable")
-        self.key, self.v = t["key"].to_numpy()[order], matrix(t["v"], dim)[order]
+        self.key, self.v = t["key"].to_numpy(), matrix(t["v"], dim)
         self.near = unit(self.v).astype(np.float32)
+        cell = pc.list_flatten(t["cells"]).to_numpy()
+        order = np.argsort(cell, kind="stable")
+        self.row = pc.list_parent_indices(t["cells"].combine_chunks()).to_numpy()[order]
         self.cells, self.starts = np.unique(cell[order], return_index=True)
         self.ends = np.append(self.starts[1:], len(cell))
 
@@ -273,19 +327,20 @@ class Pool:
         if not len(self.cells):
             return np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.cells, cells), len(self.cells) - 1)
-        return np.concatenate([np.zeros(0, np.int64), *[np.arange(self.starts[i], self.ends[i]) for i in at[self.cells[at] == cells]]])
+        return np.concatenate([np.zeros(0, np.int64), *[self.row[self.starts[i] : self.ends[i]] for i in at[self.cells[at] == cells]]])
 
 
 def search(t: pa.Table, dim: int, k: int) -> pa.Table:
     """One slice of one block: rows of kind 0 are its residents, of kind 1 its visitors, the others what a
-    cell's vectors are compared with (``routes``). -> ``key, near``, the best k of each comparison."""
+    cell's vectors are compared with (``routes``). -> ``key, far,
+    near``, the best k of each vector and their cosines in billionths, negated."""
     kind = t["kind"].to_numpy()
     residents, visitors = (Pool(t.take(pa.array(np.flatnonzero(kind == i))), dim) for i in range(2))
     lists = t.take(pa.array(np.flatnonzero(kind > 1)))
     rows, scores, found = [], [], []
-    for which, cell, reached in zip(lists["kind"].to_pylist(), lists["cell"].to_pylist(), lists["v"].to_pylist()):
+    for which, cell, reached in zip(lists["kind"].to_pylist(), lists["cells"].to_pylist(), lists["v"].to_pylist()):
         asks, theirs = visitors if which == TO else residents, visitors if which == FROM else residents
-        own = asks.rows(np.array([cell]))
+        own = asks.rows(np.array(cell))
         i = theirs.rows(np.frombuffer(reached, np.int64)) if len(own) else own
         if not len(i):
             continue
@@ -295,22 +350,27 @@ def search(t: pa.Table, dim: int, k: int) -> pa.Table:
             part = own[p : p + step]
             r, x, y = best(asks.v[part], asks.key[part], v, near, key, k)
             rows.append(part[r] + (len(residents.key) if which == TO else 0))
-            scores.append(-x)
+            scores.append(np.rint(-1e9 * x).astype(np.int32))
             found.append(y)
-    schema = pa.schema([("key", pa.int64()), ("near", pa.list_(pa.struct([("far", pa.float64()), ("neighbour", pa.int64())])))])
+    schema = pa.schema([("key", pa.int64()), ("far", pa.list_(pa.int32())), ("near", pa.list_(pa.int64()))])
     if not rows:
         return schema.empty_table()
-    rows, scores, found = np.concatenate(rows), np.concatenate(scores), np.concatenate(found)
+    keys, of = np.unique(np.concatenate([residents.key, visitors.key]), return_inverse=True)  # a vector may lie in several cells
+    rows, scores, found = of[np.concatenate(rows)], np.concatenate(scores), np.concatenate(found)
+    order = np.lexsort((scores, found, rows))
+    rows, scores, found = rows[order], scores[order], found[order]
+    new = np.append(True, (rows[1:] != rows[:-1]) | (found[1:] != found[:-1]))
+    rows, scores, found = rows[new], scores[new], found[new]
     order = np.lexsort((found, scores, rows))
     rows = rows[order]
-    order = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
-    rows, starts = np.unique(np.sort(rows)[np.arange(len(rows)) - np.searchsorted(rows, rows) < k], return_index=True)
-    pairs = pa.StructArray.from_arrays([pa.array(scores[order]), pa.array(found[order])], names=["far", "neighbour"])
+    few = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    order = order[few]
+    rows, starts = np.unique(rows[few], return_index=True)
     offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
-    return pa.table([pa.array(np.concatenate([residents.key, visitors.key])[rows]), pa.ListArray.from_arrays(offsets, pairs)], schema=schema)
+    return pa.table([pa.array(keys[rows]), pa.ListArray.from_arrays(offsets, pa.array(scores[order])), pa.ListArray.from_arrays(offsets, pa.array(found[order]))], schema=schema)
 
 
-def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 4000, pops: int = 256, per_cell: float = 8.0, sample: int = 40_000, block: int = 16_384, asking: int = 16_384, salts: int = 32) -> DataFrame:
+def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int = 96, k: int = 5, order: str | None = None, reach: int = 1000, places: float = 3.5, pops: int = 16, views: int = 2, sample: int = 40_000, block: int = 8192, asking: int = 8192, salts: int = 32) -> DataFrame:
     """``key, neighbour, score, rank``: for each usable vector the k others of its collection with the
     largest cosine (fewer if there are fewer); rank is from 1, ties go to the smaller neighbour.
 
@@ -334,34 +394,62 @@ def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int
 
     total = heads.count()
     large = heads.groupBy("collection").agg(F.count("*").alias("n")).where(F.col("n") > max(2 * reach, total >> 14))  # at most 2^14 rows
-    chance = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 30)) < F.floor(F.lit(float(1 << 30)) * sample / F.col("n"))
+    # a view's shuffles are as large as all its copies of the vectors, so they are removed as soon as it is written
+    done, kept = [], spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        for view in range(views if large.count() else 1):
+            own = entries.join(F.broadcast(large.select("collection")), "collection") if view else entries
+            done.append(written(one_view(own, large, view, dim, k, reach, places, pops, max(reach, total / MOST_CELLS), sample, block, asking), "knn-near"))
+    finally:
+        spark.conf.set(CLEAN_UP, kept)
+    # a pair may have met in several places, its score then differs by one billionth at most
+    merged = functools.reduce(DataFrame.unionByName, done).groupBy("key").agg(F.flatten(F.collect_list("far")).alias("far"), F.flatten(F.collect_list("near")).alias("neighbour"))
+    merged = merged.select("key", F.slice(F.array_distinct(F.sort_array(F.arrays_zip("far", "neighbour"))), 1, 2 * k).alias("met"))
+    best_ = F.slice(F.filter("met", lambda x, i: F.array_position(F.col("met.neighbour"), x["neighbour"]) == i + 1), 1, k)
+    near = merged.select("key", F.posexplode(best_).alias("at", "x"))
+    near = near.select("key", "x.neighbour", (F.col("x.far") / -1e9).alias("score"), (F.col("at") + 1).alias("rank"))
+    return near.unionByName(of_copies).withColumnRenamed("key", key)
+
+
+def one_view(entries: DataFrame, large: DataFrame, view: int, dim: int, k: int, reach: int, places: float, pops: int, per_cell: float, sample: int, block: int, asking: int) -> DataFrame:
+    """``key, far, near``: the best k of each vector in one index (``search``), a row for each block that it lies in."""
+    spark = entries.sparkSession
+    chance = F.pmod(F.xxhash64("key", F.lit(1 + view)), F.lit(1 << 30)) < F.floor(F.lit(float(1 << 30)) * sample / F.col("n"))
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def fit(t: pa.Table) -> pa.Table:
-        a, b = codebooks(unit(matrix(t["v"], dim)).astype(np.float32), t["n"][0].as_py(), max(per_cell, total / MOST_CELLS), 4.0 * reach)
-        return pa.table({"collection": t["collection"].slice(0, 1), "ka": [len(a)], "kb": [len(b)], "books": [a.tobytes() + b.tobytes()]}, schema=pa.schema([("collection", pa.string()), ("ka", pa.int32()), ("kb", pa.int32()), ("books", pa.binary())]))
+        m = turned(unit(matrix(t["v"], dim)).astype(np.float32), view)
+        a, b = codebooks(m, t["n"][0].as_py(), per_cell, 4.0 * reach)
+        ix = MultiIndex(a, b, np.zeros(len(a) * len(b), np.uint8)).with_slack(m[:4000], places, pops)
+        return pa.table({"collection": t["collection"].slice(0, 1), "ka": [len(a)], "kb": [len(b)], "slack": [ix.slack], "books": [a.tobytes() + b.tobytes()]}, schema=pa.schema([("collection", pa.string()), ("ka", pa.int32()), ("kb", pa.int32()), ("slack", pa.float64()), ("books", pa.binary())]))
 
     index: dict[str, MultiIndex] = {}
-    for r in entries.join(F.broadcast(large), "collection").where(chance).groupBy("collection").applyInArrow(fit, "collection string, ka int, kb int, books binary").collect():
+    for r in entries.join(F.broadcast(large), "collection").where(chance).groupBy("collection").applyInArrow(fit, "collection string, ka int, kb int, slack double, books binary").collect():
         h, c = dim // 2, np.frombuffer(r.books, np.float32)
-        index[r.collection] = MultiIndex(c[: r.ka * h].reshape(r.ka, h), c[r.ka * h :].reshape(r.kb, dim - h), np.zeros(r.ka * r.kb, np.uint8))
+        index[r.collection] = MultiIndex(c[: r.ka * h].reshape(r.ka, h), c[r.ka * h :].reshape(r.kb, dim - h), np.zeros(r.ka * r.kb, np.uint8), r.slack)
     books = spark.sparkContext.broadcast(index)
 
-    def cells_of(rb: pa.RecordBatch, index: dict[str, MultiIndex]) -> tuple[np.ndarray, list]:
-        """Each row's cell, and for each collection its rows."""
+    def cells_of(rb: pa.RecordBatch, index: dict[str, MultiIndex]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' cells as pairs of row and cell, by row."""
         names, m = np.array(rb.column("collection").to_pylist(), dtype=object), None
-        cell, rows = np.zeros(len(names), np.int64), []
+        row, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in dict.fromkeys(names.tolist()):
             at = np.flatnonzero(names == x)
             if x in index:
-                m = unit(matrix(rb.column("v"), dim)).astype(np.float32) if m is None else m
-                cell[at] = index[x].cells(m[at])
-                rows.append((index[x], at))
-        return cell, rows
+                m = turned(unit(matrix(rb.column("v"), dim)).astype(np.float32), view) if m is None else m
+                lists = [c for c, _ in index[x].around(m[at], pops)]
+                row.append(np.repeat(at, [len(c) for c in lists]))
+                cell.append(np.array(list(itertools.chain.from_iterable(lists)), np.int64))
+            else:
+                row.append(at)
+                cell.append(np.zeros(len(at), np.int64))
+        return np.concatenate(row), np.concatenate(cell)
 
     def cells(batches):
         for rb in batches:
-            yield pa.RecordBatch.from_arrays([rb.column("collection"), pa.array(cells_of(rb, books.value)[0])], names=["collection", "cell"])
+            row, cell = cells_of(rb, books.value)
+            yield pa.RecordBatch.from_arrays([rb.column("collection").take(pa.array(row)), pa.array(cell)], names=["collection", "cell"])
 
     # the cells are found again where they are needed; that costs less than to keep them with the vectors
     occupied = written(entries.select("collection", "v").mapInArrow(cells, "collection string, cell long").groupBy("collection", "cell").agg(F.count("*").alias("n")), "knn-cells")
@@ -384,7 +472,7 @@ def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int
             out: list[tuple] = []
             for name, cell in zip(rb.column("collection").to_pylist(), rb.column("cell").to_pylist()):
                 ix = whole.value.get(name)
-                lists, visits = ([(0, OWN, _ONE_CELL)], set()) if ix is None else ix.routes(cell, reach, pops)
+                lists, visits = ([(0, OWN, _ONE_CELL)], set()) if ix is None else ix.routes(cell, 1, 1)
                 out += [(name, block_, kind, cell, 0, 0, cells.tobytes()) for block_, kind, cells in lists]
                 if visits:
                     who = np.array([c for _, c in visits])
@@ -408,30 +496,38 @@ def most_similar(df: DataFrame, key: str, collection: str, vector: str, dim: int
 
     def assigned(batches):
         for rb in batches:
-            cell, rows = cells_of(rb, whole.value)
-            key_, block_, salt = rb.column("key").to_numpy(), np.zeros(len(cell), np.int32), np.zeros(len(cell), np.int32)
-            for ix, at in rows:
+            row, cell = cells_of(rb, whole.value)
+            names, key_ = np.array(rb.column("collection").to_pylist(), dtype=object)[row], rb.column("key").to_numpy()[row]
+            block_, salt = np.zeros(len(cell), np.int32), np.zeros(len(cell), np.int32)
+            for name in set(names.tolist()) & set(whole.value):
+                ix, at = whole.value[name], np.flatnonzero(names == name)
                 z = ix.bins(cell[at])
                 block_[at] = ix.first[z] + part_of(key_[at], ix.parts[z])
                 salt[at] = part_of(key_[at], ix.salts(cell[at]))
-            yield pa.RecordBatch.from_arrays([rb.column("collection"), pa.array(cell), rb.column("key"), rb.column("v"), pa.array(block_), pa.array(salt)], names=["collection", "cell", "key", "v", "own", "salt"])
-
-    placed = entries.select("collection", "key", "v").mapInArrow(assigned, "collection string, cell long, key long, v binary, own int, salt int")
+            # a vector with several cells in a block is sent there once
+            order = np.lexsort((block_, row))
+            row, cell, block_, salt = row[order], cell[order], block_[order], salt[order]
+            starts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (block_[1:] != block_[:-1])) if len(row) else row)
+            rb, ends = rb.take(pa.array(row[starts])), pa.array(np.append(starts, len(row)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (cell, salt)]
+            yield pa.RecordBatch.from_arrays([rb.column("collection"), *lists, rb.column("key"), rb.column("v"), pa.array(block_[starts])], names=["collection", "cells", "salts", "key", "v", "own"])
+
+    placed = entries.select("collection", "key", "v").mapInArrow(assigned, "collection string, cells array<long>, salts array<int>, key long, v binary, own int")
     each = F.explode("lanes").alias("to")
-    columns = ["to", F.col("kind").cast("tinyint").alias("kind"), "cell", "key", "v"]
+    columns = ["to", F.col("kind").cast("tinyint").alias("kind"), "cells", "key", "v"]
     residents = placed.withColumnRenamed("own", "block").join(slices, ["collection", "block"]).select("*", F.lit(0).alias("kind"), each).select(*columns)
     to = visits.select("collection", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     one = F.element_at("lanes", (F.pmod(F.xxhash64("key"), F.size("lanes")) + 1).cast("int")).alias("to")
-    visitors = placed.join(to, ["collection", "cell", "salt"]).where("own <> block").join(slices, ["collection", "block"]).select("*", F.lit(1).alias("kind"), one).select(*columns)
-    lists = routes.where("kind > 1").withColumn("key", F.lit(0).cast("long")).join(slices, ["collection", "block"])
+    each_cell = placed.select("collection", "key", "v", "own", F.explode(F.arrays_zip(F.col("cells").alias("cell"), F.col("salts").alias("salt"))).alias("x")).select("*", "x.*").drop("x")
+    visitors = each_cell.join(to, ["collection", "cell", "salt"]).where("own <> block").join(slices, ["collection", "block"]).select("*", F.lit(1).alias("kind"), F.array("cell").alias("cells"), one).select(*columns)
+    lists = routes.where("kind > 1").select("collection", "block", "kind", F.array("cell").alias("cells"), F.lit(0).cast("long").alias("key"), "v").join(slices, ["collection", "block"])
     # residents ask each other once, in the first slice
     lists = lists.where(f"kind = {OWN}").withColumn("to", F.element_at("lanes", 1)).select(*columns).unionByName(lists.where(f"kind > {OWN}").select("*", each).select(*columns))
-    every = residents.unionByName(visitors).unionByName(lists).select(F.col("to.lane").alias("lane"), F.col("to.group").alias("group"), "kind", "cell", "key", "v")
-    parts = every.repartition(lanes, "lane").groupBy("lane", "group").applyInArrow(lambda t: search(t, dim, k), "key long, near array<struct<far: double, neighbour: long>>")
-    best_ = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k)  # at most k from each block
-    near = parts.groupBy("key").agg(best_.alias("near")).select("key", F.posexplode("near").alias("at", "x"))
-    near = near.select("key", "x.neighbour", (-F.col("x.far")).alias("score"), (F.col("at") + 1).alias("rank"))
-    return near.unionByName(of_copies).withColumnRenamed("key", key)
+    every = residents.unionByName(lists)
+    if not visits.isEmpty():  # only dense places have any
+        every = every.unionByName(visitors)
+    every = every.select(F.col("to.lane").alias("lane"), F.col("to.group").alias("group"), "kind", "cells", "key", "v")
+    return every.repartition(lanes, "lane").groupBy("lane", "group").applyInArrow(lambda t: search(t, dim, k), "key long, far array<int>, near array<long>")
 
 
 def linked_pairs(near: DataFrame, key: str) -> DataFrame:

@@ -135,3 +135,22 @@ def test_a_dense_place_gets_centroids_of_its_own_and_no_block_is_large():
                     elif here:
                         met += np.flatnonzero(np.isin(at, x) & (block == b)).tolist()
                 assert sorted(met) == np.flatnonzero(np.isin(at, sorted(reached))).tolist()
+
+
+def test_small_families_among_many_vectors(spark):
+    """Families of a few vectors, whose cells are a small part of all."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(2000, 48))
+    m = (np.repeat(centres, 6, axis=0) + 0.3 * rng.normal(size=(12000, 48))).astype(np.float32)
+    m = m[rng.permutation(len(m))]
+    df = spark.createDataFrame([(i, "m", v.tolist()) for i, v in enumerate(m)], "k long, c string, v array<float>")
+    got = {}
+    for r in N.most_similar(df, "k", "c", "v", dim=48, reach=250, pops=16, block=3000).collect():
+        got.setdefault(r.k, set()).add(r.neighbour)
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    recall = []
+    for i in range(0, len(u), 20):
+        s = u @ u[i]
+        s[i] = -9
+        recall.append(len(got[i] & set(np.argsort(-s)[:5].tolist())) / 5)
+    assert all(len(x) == 5 for x in got.values()) and np.mean(recall) >= 0.97, np.mean(recall)
